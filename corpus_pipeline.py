@@ -1,8 +1,53 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: classify, filter, remove near copies, pack.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each one's rows
+to the shared store and hands them to the next.  All but the last keep the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerwing.llm import op4_quality, op6_jaccard_join, op7_quality_rules, op8_packing
+from ledgerwing.llm.common import staged
+from ledgerwing.llm.op3_language_id import held_out
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the discriminant, fitted on the labels that op4 learns from, doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id", 5, 0)).select("doc_id", "quality")
+    model = op4_quality.fit(docs, labels)
+    return op4_quality.score(docs, model, name="_score").where(F.col("_score") >= op4_quality.THRESHOLD).drop("_score")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return op7_quality_rules.quality_rules(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group linked at a Jaccard
+    index of 0.8 or more on 5-word shingles; documents without an id all stay."""
+    groups = op6_jaccard_join.jaccard_components(docs)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences of 2048 tokens."""
+    return op8_packing.pack_words(docs)
+
+
+STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules), ("near_copies", near_copies), ("packing", packing)]
+
+#: The stages' models and groupings aren't expressible in SQL; tests/llm holds run() against a plain version.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

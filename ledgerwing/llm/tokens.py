@@ -11,14 +11,27 @@ neighbour might be a multi-byte white-space character no cut is made.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
 
-from .common import LOWER
+from .common import LOWER, doc_blocks
 
-CACHE_PIECES = 700_000
-ENCODE_BYTES = 6 << 20
+CACHE_PIECES = 450_000
+ENCODE_BYTES = 12 << 20
+#: Below it, letters are letters in every version of the tables, and composed already.
+PLAIN = "\u0250"
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-in character of each byte, as byte-level vocabularies write them."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+_BYTES = {b: c for c, b in byte_alphabet().items()}
 
 _WS = np.zeros(256, bool)
 _WS[[*range(9, 14), *range(0x1C, 0x21)]] = True
@@ -42,8 +55,9 @@ def tokenizer(path: str):
     return tok
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sorted cut positions, 0 and the end included; every document edge is one."""
+def pieces(data: np.ndarray, offsets: np.ndarray, whole: tuple[bytes, ...] = ()) -> np.ndarray:
+    """Sorted cut positions, 0 and the end included; every document edge is one.
+    No cut falls within the added tokens in ``whole``."""
     n = len(data)
     if n == 0:
         return np.zeros(1, np.int64)
@@ -65,6 +79,12 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     after = np.zeros(n, bool)
     after[1:] = single[:-1] & (data[:-1] == 10)
     gap |= after
+    raw = data.tobytes() if whole else b""
+    for token in whole:
+        at = raw.find(token)
+        while at >= 0:
+            gap[at + 1 : at + len(token)] = False
+            at = raw.find(token, at + 1)
     gap[offsets[:-1][offsets[:-1] < n]] = True
     gap[0] = True
     return np.append(np.flatnonzero(gap), n)
@@ -74,35 +94,73 @@ class Encoder:
     """Ids of whole documents; one per Python worker, with a bounded cache of pieces."""
 
     def __init__(self, path: str, fold: bool = False):
-        self.tok, self.fold, self.cache = tokenizer(path), fold, {}
-
-    def _fill(self, words: list[bytes]) -> None:
-        if len(self.cache) + len(words) > CACHE_PIECES:
-            self.cache.clear()
-        new = [w for w in words if w not in self.cache]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, np.uint32).tobytes()
+        """fold: the vocabulary lower-cases and drops white space."""
+        self.tok, self.fold = tokenizer(path), fold
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.model = self.tok.model
+        self.added = tuple(t.content.encode() for t in self.tok.get_added_tokens_decoder().values())
+
+    def _fill(self, words: list[str]) -> None:
+        cache, fold, ask = self.cache, self.fold, self.model.tokenize
+        if len(cache) > CACHE_PIECES // 2:  # the pieces not met again are let go
+            self.old, self.cache = cache, {}
+            cache = self.cache
+        old, odd = self.old, []
+        for w in words:
+            if w in cache:
+                continue
+            if w in old:
+                cache[w] = old[w]
+                continue
+            spaced = w[:1] == " "
+            word = w[1:] if spaced else w
+            if word.isascii():
+                plain = word.isalpha() and (not fold or word.islower())
+            else:
+                word = word.lower() if fold else word
+                plain = word.isalpha() and max(word) < PLAIN
+            if plain:  # one pre-token: the model alone is asked
+                mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+                cache[w] = array("I", [t.id for t in ask("\u0120" + mapped if spaced and not fold else mapped)]).tobytes()
+            else:
+                odd.append(w)
+        for k in range(0, len(odd), 10_000):
+            part = odd[k : k + 10_000]
+            for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
+                cache[w] = array("I", e.ids).tobytes()
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all documents of a block, and n + 1 offsets."""
-        if self.fold:
-            data = LOWER[data]
-        cuts = pieces(data, offsets)
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = chunks.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        if self.fold and b"<|" not in data.tobytes():  # added tokens are matched before the text is lower-cased
+            data = LOWER[data]
+        cuts, words, codes = distinct_pieces(data, offsets, self.added)
         self._fill(words)
-        cache = self.cache
-        ids = pa.array([cache[w] for w in words], pa.large_binary())
-        flat = ids.take(coded.indices)
-        _, at, raw = flat.buffers()
-        at = np.frombuffer(at, np.int64)[: len(flat) + 1]
-        out = np.frombuffer(raw, np.uint32, int(at[-1]) // 4) if raw is not None else np.zeros(0, np.uint32)
-        return out, at[np.searchsorted(cuts, offsets)] // 4
+        return spread([self.cache[w] for w in words], codes, cuts, offsets)
+
+
+def distinct_pieces(data: np.ndarray, offsets: np.ndarray, whole: tuple[bytes, ...]) -> tuple[np.ndarray, list[str], pa.Array]:
+    """Cut positions of a block, its distinct pieces, and each piece's place among them."""
+    parts = [pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], whole)[:-1] + offsets[i] for i, j in doc_blocks(offsets) if offsets[j] > offsets[i]]
+    cuts = np.append(np.concatenate(parts), len(data))
+    chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = chunks.dictionary_encode()
+    try:
+        words = coded.dictionary.cast(pa.large_string()).to_pylist()
+    except pa.ArrowInvalid:  # not UTF-8
+        words = [w.decode("utf-8", "replace") for w in coded.dictionary.to_pylist()]
+    return cuts, words, coded.indices
+
+
+def spread(values: list[bytes], codes: pa.Array, cuts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pieces in order, and where each document's begin."""
+    flat = pa.array(values, pa.large_binary()).take(codes)
+    _, at, raw = flat.buffers()
+    at = np.frombuffer(at, np.int64)[: len(flat) + 1]
+    ids = np.frombuffer(raw, np.uint32, int(at[-1]) // 4) if raw is not None else np.zeros(0, np.uint32)
+    return ids, at[np.searchsorted(cuts, offsets)] // 4
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
