@@ -95,10 +95,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, fingerprint string, n_shingles_est double").withColumnRenamed("id", id_col)
 
 
-def ranges(docs: DataFrame, id_col: str, text_col: str, target: int = RANGE_BYTES, least: int = MIN_RANGES) -> list[int]:
-    """Bounds that cut the ids into ranges of about ``target`` bytes of text."""
+def ranges(docs: DataFrame, id_col: str, text_col: str, target: int = RANGE_BYTES, least: int = MIN_RANGES, most: int = 1 << 16) -> list[int]:
+    """Bounds that cut the ids into ranges of about ``target`` bytes of text, larger ones
+    where that would make more than ``most``."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(least, size // target)
+    n = max(least, min(most, size // target))
     cuts = docs.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], max(10_000, 4 * n))).first()[0] or []
     return sorted(set(cuts))
 
