@@ -31,7 +31,7 @@ from .common import staged
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats", "f_upper", "f_distinct")
 #: Least spread of each statistic: below it, differences say nothing about quality.
-FLOORS = (0.10, 0.06, 0.15, 0.15, 0.08, 0.06)
+FLOORS = (0.10, 0.06, 0.25, 0.25, 0.08, 0.06)
 SUPPORT = 0.75
 STEPS = 3
 MIN_GROUP = 60
