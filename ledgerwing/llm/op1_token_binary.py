@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import os
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -239,12 +238,7 @@ def token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None, target
 def digest(read: DataFrame, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of documents read from files."""
 
-    def run(batches):
-        for batch in batches:
-            crc = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column("ids")], pa.int64())
-            yield pa.record_batch([*batch.columns[:4], crc], names=["file", "doc_id", "local_start", "n_tokens", "ids_crc32"])
-
-    rows = read.mapInArrow(run, "file string, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    rows = read.withColumn("ids_crc32", F.crc32("ids"))
     return rows.join(manifest.select("file", "base"), "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
