@@ -118,3 +118,39 @@ def call_outcomes(instructions: DataFrame, by: list[str]) -> DataFrame:
     rank = F.coalesce(F.array_position(F.array(*[F.lit(u) for u, _ in OUTCOMES]), F.col("use")), F.lit(0))
     name = F.coalesce(*[F.when(F.col("use") == u, F.lit(n)) for u, n in OUTCOMES], F.lit("UNUSED"))
     return every.groupBy(*by, "ref").agg(F.min_by(name, F.when(rank > 0, rank).otherwise(99)).alias("outcome"))
+
+
+#: Operations that write their register, and those that read it.
+WRITES, READS = ("CONST", "GET", "MOVE_RESULT"), ("RETURN", "SPUT", "IPUT", "IF")
+
+
+def reaching(instructions: DataFrame, by: list[str]) -> DataFrame:
+    """Each reading instruction with ``src_op`` and ``src_ref`` of the write that reaches it in straight-line code.
+
+    The result of a call carries the call's reference.  No write before it gives nulls.
+    """
+    order = Window.partitionBy(*by).orderBy("idx")
+    origin = F.when(F.col("op") == "MOVE_RESULT", F.lag("ref").over(order)).otherwise(F.col("ref"))
+    marked = instructions.withColumn("_w", F.when(F.col("op").isin(*WRITES), F.struct(F.col("op").alias("op"), origin.alias("ref"))))
+    before = Window.partitionBy(*by, "register").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    seen = marked.withColumn("_s", F.last("_w", ignorenulls=True).over(before)).where(F.col("op").isin(*READS))
+    return seen.select(*instructions.columns, F.col("_s.op").alias("src_op"), F.col("_s.ref").alias("src_ref"))
+
+
+def returned_field(instructions: DataFrame, by: list[str]) -> DataFrame:
+    """(by, field): the only field whose value a method's returns give back."""
+    returns = reaching(instructions, by).where("op = 'RETURN'")
+    proven = returns.groupBy(*by).agg(single_or_null(F.when(F.col("src_op") == "GET", F.col("src_ref"))).alias("field"), F.count_if(~F.coalesce(F.col("src_op") == "GET", F.lit(False))).alias("_other"))
+    return proven.where("_other = 0 AND field IS NOT NULL").select(*by, "field")
+
+
+def result_writes(instructions: DataFrame, by: list[str]) -> DataFrame:
+    """(by, call, field): fields that store a call's result."""
+    rows = reaching(instructions, by).where("op IN ('SPUT', 'IPUT') AND src_op = 'MOVE_RESULT'")
+    return rows.select(*by, F.col("src_ref").alias("call"), F.col("ref").alias("field")).distinct()
+
+
+def field_moves(instructions: DataFrame, by: list[str]) -> DataFrame:
+    """(by, source, target): fields that store another field's value."""
+    rows = reaching(instructions, by).where("op IN ('SPUT', 'IPUT') AND src_op = 'GET'")
+    return rows.select(*by, F.col("src_ref").alias("source"), F.col("ref").alias("target")).distinct()

@@ -101,3 +101,45 @@ def mixed(values: Column, none: str = "NONE") -> Column:
 def link_kind(depth: Column, path: Column) -> Column:
     """DIRECT for a caller, CHAINED for one reached through others, DISPATCHED through an interface."""
     return first_match([(F.exists(path, lambda p: p.contains("#dispatch")), "DISPATCHED"), (depth <= 1, "DIRECT")], "CHAINED")
+
+
+def dependencies(reached: DataFrame, nodes: DataFrame, roles: dict[str, Column], root: str = "root") -> DataFrame:
+    """(root, one sorted array a role, status): names of reached nodes by role; a search that used up
+    its budget is SUSPENDED and names nothing.
+
+    reached: (root, node, exhausted); nodes: (node, name) and what the role conditions use.
+    """
+    rows = reached.join(nodes, "node", "left")
+    sets = [F.array_sort(F.collect_set(F.when(cond, F.col("name")))).alias(role) for role, cond in roles.items()]
+    out = rows.groupBy(root).agg(F.max("exhausted").alias("_full"), *sets)
+    none = F.array().cast("array<string>")
+    named = [F.when(F.col("_full"), none).otherwise(F.col(r)).alias(r) for r in roles]
+    some = F.greatest(*[F.size(r) for r in roles]) > 0 if len(roles) > 1 else F.size(next(iter(roles))) > 0
+    return out.select(root, *named, first_match([(F.col("_full"), "SUSPENDED"), (some, "FOUND")], "NONE").alias("status"))
+
+
+def targeted_search(starts: DataFrame, edges: DataFrame, kinds: DataFrame, budgets: dict[str, int], max_depth: int) -> DataFrame:
+    """(root, node, depth): a search that goes on from a node only while its kind's budget lasts.
+
+    kinds: (node, kind).  In every layer each root's new nodes of a kind take
+    that kind's places in order of the node; kinds without a budget end the path
+    (they are reached, not passed).
+    """
+    seen = saved(starts.select("root", "node", F.lit(0).alias("depth")))
+    front, used = seen.select("root", "node"), None
+    for depth in range(1, max_depth + 1):
+        step = front.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        new = saved(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth")))
+        if new.isEmpty():
+            break
+        seen = seen.union(new)
+        kind = new.join(kinds, "node", "left").withColumn("_n", F.row_number().over(Window.partitionBy("root", "kind").orderBy("node")))
+        if used is not None:
+            kind = kind.join(used, ["root", "kind"], "left")
+        place = F.col("_n") + (F.coalesce("used", F.lit(0)) if used is not None else F.lit(0))
+        limit = first_match([(F.col("kind") == k, F.lit(n)) for k, n in budgets.items()], F.lit(0))
+        passed = saved(kind.where(place <= limit).select("root", "node", "kind"))
+        counts = passed.groupBy("root", "kind").agg(F.count("*").alias("used"))
+        used = saved(counts if used is None else used.union(counts).groupBy("root", "kind").agg(F.sum("used").alias("used")))
+        front = passed.select("root", "node")
+    return seen

@@ -112,3 +112,44 @@ def registration_flow(spark, d):
         for k, (op, t, s, r, v, f) in enumerate([("STRING", 0, None, None, F.col("p_name"), None), ("NUMERIC", 1, None, None, F.col("p_size").cast("string"), None), ("INVOKE", None, None, (0, 1), None, None), ("MOVE_RESULT", 2, None, None, None, None), ("SPUT", None, 2, None, None, "f")])
     ])).alias("x")).select("p_partkey", "x.*")
     return dataflow.registration_flow(one, ["p_partkey"])
+
+
+_OPS = "CASE l_linenumber % 4 WHEN 0 THEN 'CONST' WHEN 1 THEN 'GET' WHEN 2 THEN 'SPUT' ELSE 'RETURN' END"
+_INSTR_SQL = f"""i AS (SELECT l_orderkey, l_linenumber * 100000 + min(l_partkey) AS idx, l_linenumber % 2 AS register, {_OPS} AS op, 'f' || min(l_suppkey) AS ref FROM lineitem GROUP BY l_orderkey, l_linenumber),
+    w AS (SELECT *, CASE WHEN op IN ('CONST', 'GET') THEN op || ':' || ref END AS mark FROM i),
+    r AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY l_orderkey, register ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM w)"""
+
+
+def _instructions(spark, d):
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    return lines.select("l_orderkey", (F.col("l_linenumber") * 100000 + F.col("p")).alias("idx"), (F.col("l_linenumber") % 2).alias("register"), F.expr(_OPS).alias("op"), F.concat(F.lit("f"), F.col("s").cast("string")).alias("ref"))
+
+
+@query(f"WITH {_INSTR_SQL} SELECT DISTINCT l_orderkey, substr(src, 5) AS source, ref AS target FROM r WHERE op = 'SPUT' AND src LIKE 'GET:%'")
+def field_moves(spark, d):
+    return dataflow.field_moves(_instructions(spark, d), ["l_orderkey"])
+
+
+@query(f"WITH {_INSTR_SQL} SELECT l_orderkey, min(substr(src, 5)) AS field FROM r WHERE op = 'RETURN' GROUP BY l_orderkey HAVING bool_and(coalesce(src LIKE 'GET:%', false)) AND count(DISTINCT src) = 1")
+def returned_field(spark, d):
+    return dataflow.returned_field(_instructions(spark, d), ["l_orderkey"])
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, -l_partkey AS dst FROM lineitem WHERE l_quantity >= 49), w AS (SELECT s_suppkey AS root, e.dst AS node FROM supplier JOIN e ON e.src = s_suppkey WHERE s_suppkey <= 20),
+    n AS (SELECT w.root, p_name, p_size FROM w JOIN part ON -p_partkey = w.node) SELECT s_suppkey AS root, coalesce((SELECT string_agg(DISTINCT p_name, '|' ORDER BY p_name) FROM n WHERE n.root = s_suppkey AND p_size < 10), '') AS small,
+    CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.root = s_suppkey AND (p_size < 10 OR p_size > 40)) THEN 'FOUND' ELSE 'NONE' END AS status FROM supplier WHERE s_suppkey <= 20""")
+def semantic_dependencies(spark, d):
+    starts = table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
+    found = graph.budgeted_search(starts, _edges(spark, d).withColumn("ordinal", F.col("dst")), 1_000_000, 1)
+    nodes = table(spark, d, "part").select((-F.col("p_partkey")).alias("node"), F.col("p_name").alias("name"), "p_size")
+    got = graph.dependencies(found, nodes, {"small": F.col("p_size") < 10, "large": F.col("p_size") > 40})
+    return got.select("root", F.array_join("small", "|").alias("small"), "status")
+
+
+@query()
+def targeted_search(spark, d):
+    edges = _edges(spark, d)
+    both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    kinds = table(spark, d, "part").select((-F.col("p_partkey")).alias("node"), F.when(F.col("p_size") < 25, "generic").otherwise("wrapper").alias("kind"))
+    starts = table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
+    return graph.targeted_search(starts, both, kinds, {"generic": 32, "wrapper": 24}, 3)
