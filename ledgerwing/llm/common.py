@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,13 +171,44 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-# --- streams of sorted groups ----------------------------------------------
+# --- bounded membership filters ---------------------------------------------
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows of a stream of batches, few at a time."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            yield from batch.slice(k, 256).to_pylist()
+FILTER_BITS = 1 << 24
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return np.concatenate([h % np.uint64(bits), (h >> np.uint64(32)) % np.uint64(bits)]).astype(np.int64)
+
+
+def maybe_in(ids: DataFrame, bits: int = FILTER_BITS):
+    """A condition on an id column that holds for all of ``ids`` (one long column)
+    and for few others: a Bloom filter of ``bits`` bits, whatever the number of ids.
+
+    It only spares a shuffle the rows that can't match; an exact join follows.
+    """
+    spark = ids.sparkSession
+
+    def build(batches):
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            own[_places(batch.column(0).drop_null().to_numpy(), bits)] = True
+        yield pa.record_batch([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
+
+    total = np.zeros(bits // 8, np.uint8)
+    for row in ids.coalesce(4).mapInArrow(build, "bits binary").toLocalIterator():
+        total |= np.frombuffer(row["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(total.tobytes())
+
+    @F.pandas_udf("boolean")
+    def held(col: pd.Series) -> pd.Series:
+        table = np.frombuffer(shared.value, np.uint8)
+        there = col.notna().to_numpy()
+        at = _places(col.fillna(0).to_numpy(np.int64), bits)
+        hit = (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        return pd.Series(there & (hit[: len(col)] & hit[len(col) :]).astype(bool))
+
+    return held
 
 
 # --- connected components --------------------------------------------------

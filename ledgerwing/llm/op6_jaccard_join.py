@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, mix, shingles, staged, text_buffer, word_hashes
+from .common import components, maybe_in, mix, shingles, staged, text_buffer, word_hashes
 
 BLOCK = 1000
 
@@ -99,29 +99,47 @@ def class_node(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def sketches(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(doc_id, n_shingles, digest, node, keys) of (id, text) rows; empty sets have no digest."""
+def _sets(batches, n: int):
+    """Pieces of the batches with the shingle sets of their last column."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1000):
+            piece = batch.slice(k, 1000)
+            yield piece, shingle_sets(piece.column(piece.num_columns - 1), n)
+
+
+def classes_of(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, digest, node) of (doc_id, text) rows; empty sets have no digest."""
+
+    def run(batches):
+        for piece, sets in _sets(batches, n):
+            digests = [set_digest(s) if len(s) else None for s in sets]
+            nodes = [None if d is None else class_node(d) for d in digests]
+            yield pa.record_batch([
+                piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()),
+            ], names=["doc_id", "n_shingles", "digest", "node"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, node long")
+
+
+def class_keys(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """(node, key): the join keys of (text) rows' classes, each class once for every batch it is in."""
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                piece = batch.slice(k, 1000)
-                sizes, digests, keys = [], [], []
-                for s in shingle_sets(piece.column(1), n):
-                    sizes.append(len(s))
-                    if not len(s):
-                        digests.append(None)
-                        keys.append([])
-                        continue
-                    digests.append(set_digest(s))
-                    band = bands.band(len(s))
-                    keys.append(np.concatenate([segment_keys(s, band, bands), segment_keys(s, band + 1, bands)]))
-                nodes = [None if d is None else class_node(d) for d in digests]
-                yield pa.record_batch([
-                    piece.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-                ], names=["doc_id", "n_shingles", "digest", "node", "keys"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, node long, keys array<long>")
+            seen: set[int] = set()
+            for _, sets in _sets([batch], n):
+                nodes, keys = [], []
+                for s in sets:
+                    if len(s) and (node := class_node(set_digest(s))) not in seen:
+                        seen.add(node)
+                        band = bands.band(len(s))
+                        for b in (band, band + 1):
+                            keys.append(segment_keys(s, b, bands))
+                            nodes.append(np.full(len(keys[-1]), node, np.int64))
+                if keys:
+                    yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys))], names=["node", "key"])
+
+    return docs.mapInArrow(run, "node long, key long")
 
 
 def verified_links(members: DataFrame, n: int, bands: Bands) -> DataFrame:
@@ -183,12 +201,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = staged(sketches(rows, n, bands).withColumn("seq", F.monotonically_increasing_id()))
-    least = known.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "node").agg(F.min(F.struct("doc_id", "seq")).alias("rep"))
-    classes = staged(least.select("digest", "node", F.col("rep.doc_id").alias("rep"), F.col("rep.seq").alias("seq")))
+    known = staged(classes_of(rows, n))
+    classes = staged(known.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "node").agg(F.min("doc_id").alias("rep")))
 
     # the least class of each key
-    keys = known.join(classes.select("seq"), "seq", "left_semi").select("node", F.explode("keys").alias("key"))
+    keys = class_keys(rows.where("doc_id IS NOT NULL").select("text"), n, bands)
     hubs = keys.withColumn("hub", F.min("node").over(Window.partitionBy("key")))
     star = staged(hubs.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     near = staged(components(star))
@@ -198,7 +215,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     dealt = near.join(staged(sizes), "root", "left").withColumn("blocks", F.ceil(F.coalesce("members", F.lit(1)) / F.lit(block)).cast("long"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select(F.col("root").alias("comp"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node")
-    members = staged(dealt.join(classes.select("node", F.col("rep").alias("doc_id")), "node")).join(rows, "doc_id").select("comp", "x", "y", "block", "node", "text")
+    dealt = staged(dealt.join(classes.select("node", F.col("rep").alias("doc_id")), "node"))
+    texts = rows.where(maybe_in(dealt.select("doc_id"))("doc_id"))
+    members = dealt.hint("merge").join(texts, "doc_id").select("comp", "x", "y", "block", "node", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = staged(verified_links(members.repartition(parts, "comp", "x", "y").sortWithinPartitions("comp", "x", "y"), n, bands))
 
