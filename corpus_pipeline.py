@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwing.llm import op4_quality, op6_jaccard_join, op7_quality_rules, op8_packing
-from ledgerwing.llm.common import staged
+from ledgerwing.llm.common import maybe_in, staged
 from ledgerwing.llm.op3_language_id import held_out
 
 
@@ -30,9 +30,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group linked at a Jaccard
     index of 0.8 or more on 5-word shingles; documents without an id all stay."""
-    groups = op6_jaccard_join.jaccard_components(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL")).select(*docs.columns)
+    groups = staged(op6_jaccard_join.jaccard_components(docs)).where("doc_id IS NOT NULL")
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    touched = staged(gone.union(again).distinct())
+    unsure = F.coalesce(maybe_in(touched)("doc_id"), F.lit(False))
+    some = docs.where(unsure).join(gone.distinct().hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return docs.where(~unsure).union(some.select(*docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

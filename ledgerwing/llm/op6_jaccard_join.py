@@ -7,8 +7,8 @@ it there, so two sketches differ in at most as many places as the sets do.
 1. Documents with equal sets (size and a 128-bit digest) become one class.
 2. Sizes fall into bands whose limits grow by 1 / threshold, so linked sets lie in the same or
    neighbouring bands, and a pair is compared in the larger one's band.  A band's
-   largest possible symmetric difference D is known, and its sketch has D + 1
-   segments: linked sets agree in one segment at least (pigeonhole).  A class
+   largest possible symmetric difference D is known, and its sketch has more than D
+   segments: linked sets agree in one that isn't empty (pigeonhole).  A class
    emits each segment's parity (the XOR of its shingles' hashes, a linear
    digest of the segment's bits) as a join key, for its own band and the next.
 3. Classes that share a key are joined to the least of them (no pairs of a group
@@ -62,6 +62,26 @@ class Bands:
         """Largest symmetric difference of linked sets, the larger in band k."""
         return 2 * self.limit(k) * (self.den - self.num) // (self.den + self.num)
 
+    def segments(self, k: int) -> int:
+        """Segments of band k's sketches: ``difference(k) + 1``, and as many more as a
+        set of the band is likely to leave empty, where that comes to a bounded number.
+
+        Two linked sets agree in ``segments - difference`` segments at least.  If
+        either leaves fewer empty, one of those holds shingles of both.
+        """
+        least = self.difference(k) + 1
+        low = self.limit(max(k - 1, 0)) * self.num / self.den
+        n = least
+        for _ in range(40):
+            empty = n * math.exp(-low / n)
+            more = least + math.ceil(empty + 3 * math.sqrt(empty))
+            if more > 2.5 * least + 4:
+                return least
+            if more <= n:
+                return n
+            n = more
+        return least
+
     def linked(self, shared: int, a: int, b: int) -> bool:
         return self.den * shared >= self.num * (a + b - shared)
 
@@ -73,14 +93,21 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
 
 
 def segment_keys(hashes: np.ndarray, band: int, bands: Bands) -> np.ndarray:
-    """Join keys of one set in one band: a hash of band, segment and the segment's parity."""
-    segments = bands.difference(band) + 1
+    """Join keys of one set in one band: a hash of band, segment and the segment's parity.
+
+    Empty segments, in which sets agree without being alike, give a key only where
+    the set leaves so many empty that the agreement of linked sets could lie in those alone.
+    """
+    segments = bands.segments(band)
     of = (mix(hashes) % np.uint64(segments)).astype(np.int64)
     order = np.argsort(of, kind="stable")
-    parity = np.zeros(segments, np.uint64)
     present, starts = np.unique(of[order], return_index=True)
-    parity[present] = np.bitwise_xor.reduceat(hashes[order], starts)
-    salt = mix(np.arange(segments, dtype=np.uint64) + np.uint64(band << 32 | 1))
+    parity = np.bitwise_xor.reduceat(hashes[order], starts)
+    if segments - len(present) >= segments - bands.difference(band):
+        whole = np.zeros(segments, np.uint64)
+        whole[present] = parity
+        present, parity = np.arange(segments), whole
+    salt = mix(present.astype(np.uint64) + np.uint64(band << 32 | 1))
     return mix(parity ^ salt).view(np.int64)
 
 

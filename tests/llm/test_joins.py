@@ -86,7 +86,25 @@ def test_sketch_distance_is_a_lower_bound():
         assert apart <= len(np.setxor1d(base, other))
         bands = op6.Bands(90, 100)
         keys = [op6.segment_keys(s, 20, bands) for s in (base, other)]
-        assert (keys[0] != keys[1]).sum() <= len(np.setxor1d(base, other))
+        assert len(np.setdiff1d(keys[0], keys[1])) <= len(np.setxor1d(base, other))
+
+
+def test_linked_sets_share_a_key():
+    """At the largest difference allowed, for all sizes, with and without room for empty segments."""
+    rng = np.random.default_rng(6)
+    for num, den in ((90, 100), (80, 100), (50, 100)):
+        bands = op6.Bands(num, den)
+        for size in [*range(1, 60), *range(60, 900, 37)] * 3:
+            base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            other = base
+            for drop in range(size, -1, -1):  # the fewest shared shingles that still link
+                cut = base[drop:]
+                grown = np.unique(np.concatenate([cut, rng.integers(0, 2**63, rng.integers(0, 2), dtype=np.uint64)]))
+                if len(cut) and bands.linked(len(cut), len(base), len(grown)):
+                    other = grown
+                    break
+            top = max(bands.band(len(base)), bands.band(len(other)))
+            assert np.intersect1d(op6.segment_keys(base, top, bands), op6.segment_keys(other, top, bands)).size, (num, size)
 
 
 def test_components_of_a_graph(spark):
