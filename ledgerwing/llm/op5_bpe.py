@@ -26,7 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_blocks, text_buffer
-from .tokens import CACHE_PIECES, ENCODE_BYTES, byte_alphabet, distinct_pieces, spread
+from .tokens import byte_alphabet, distinct_pieces, spread
+
+#: Pieces, and pre-tokens, that each of two generations of a worker's caches holds.
+CACHE_ENTRIES = 120_000
 
 # Fixed values of the public byte-level scheme: its white space and its pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -190,7 +193,7 @@ class Bpe:
 
     def _fill(self, chunks: list[str]) -> None:
         for name in ("chunks", "words"):  # what isn't met again is let go
-            if len(getattr(self, name)) > CACHE_PIECES // 2:
+            if len(getattr(self, name)) > CACHE_ENTRIES:
                 setattr(self, f"old_{name}", getattr(self, name))
                 setattr(self, name, {})
         vocab, words, old = self.vocab, self.words, self.old_words
@@ -238,48 +241,60 @@ def bpe(path: str) -> Bpe:
     return _BPE[path]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
+BLOCK_BYTES = 4 << 20
+
+
+def _encoded(batches, path: str):
+    """(doc_id, n_tokens, ids) batches of (doc_id, text) batches."""
+    engine = bpe(path)
+    for batch in batches:
+        data, offs = text_buffer(batch.column(1))
+        for i, j in doc_blocks(offs, BLOCK_BYTES):
+            ids, at = engine.block(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            raw = ids.astype("<u4").tobytes()
+            yield pa.record_batch([
+                batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array([raw[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)], pa.binary()),
+            ], names=["doc_id", "n_tokens", "ids"])
+
+
+def _decoded(batches, path: str):
+    """(doc_id, n_tokens, ids, text) batches of encoded ones."""
+    engine = bpe(path)
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            text = pa.array([engine.decode(np.frombuffer(x.as_buffer(), "<u4")).decode() for x in part.column(2)], pa.string())
+            yield pa.record_batch([*part.columns, text], names=["doc_id", "n_tokens", "ids", "text"])
 
-    def run(batches):
-        engine = bpe(tokenizer_path)
-        for batch in batches:
-            data, offs = text_buffer(batch.column(1))
-            for i, j in doc_blocks(offs, ENCODE_BYTES):
-                ids, at = engine.block(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                raw = ids.astype("<u4").tobytes()
-                yield pa.record_batch([
-                    batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array([raw[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)], pa.binary()),
-                ], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+def _digested(batches, path: str):
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) batches of decoded ones."""
+    decimal = bpe(path).vocab.decimal
+    for batch in batches:
+        ids = [hashlib.sha256(",".join(map(decimal.__getitem__, np.frombuffer(x.as_buffer(), "<u4").tolist())).encode()).hexdigest() for x in batch.column(2)]
+        text = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(3)]
+        yield pa.record_batch([*batch.columns[:2], pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(lambda b: _encoded(b, tokenizer_path), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text) of what ``encode`` gave."""
+    return encoded.mapInArrow(lambda b: _decoded(b, tokenizer_path), "doc_id long, n_tokens long, ids binary, text string")
 
-    def run(batches):
-        engine = bpe(tokenizer_path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                text = pa.array([engine.decode(np.frombuffer(x.as_buffer(), "<u4")).decode() for x in part.column(2)], pa.string())
-                yield pa.record_batch([*part.columns, text], names=["doc_id", "n_tokens", "ids", "text"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
+def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, so that a
+    worker holds one vocabulary."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(lambda b: _digested(_decoded(_encoded(b, tokenizer_path), tokenizer_path), tokenizer_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-
-    def digest(batches):
-        decimal = bpe(path).vocab.decimal
-        for batch in batches:
-            sha = [hashlib.sha256(",".join(map(decimal.__getitem__, np.frombuffer(x.as_buffer(), "<u4").tolist())).encode()).hexdigest() for x in batch.column(2)]
-            yield pa.record_batch([*batch.columns[:2], pa.array(sha, pa.string()), batch.column(3)], names=["doc_id", "n_tokens", "ids_sha256", "text"])
-
-    decoded = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
-    rows = decoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, text string")
-    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
