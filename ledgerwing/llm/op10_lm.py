@@ -1,22 +1,21 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Tokens are the lower-case (A-Z) words of a text and one end token.  Every word has a
-smoothed unigram probability from its exact count in all training texts.  Words
-with at least ``WORD_SHARE`` of all training tokens (so at most 1 / WORD_SHARE
-of them) also form 2- and 3-grams; those with a count of ``MIN_COUNT`` or more
-and ``GRAM_SHARE`` of all tokens are arcs of the automaton.  Its states are the
-contexts that have arcs; a state's failure arc leads to its longest proper
-suffix and carries the backoff weight, the discounted mass over the mass that the
-suffix leaves, so each state's probabilities sum to one.  One
-traversal from left to right carries the state; a token without an arc follows
-failure arcs, adding their weights, down to the unigrams.
-
-The automaton's size is bounded by the two shares, so it is broadcast.  Counts of
-the other words are never gathered: documents form blocks (ranges of ids), each
-block's distinct words are counted, and the total counts come back to the block
-by one shuffle on the word; the block's texts then stream past its own counts.
-
-Words are told apart by 64-bit hashes.  Nulls: a null text is an empty one (its end token is
+smoothed unigram probability from its exact count in all training texts.  All
+2- and 3-grams with a count of ``MIN_COUNT`` or more, of whatever words, are arcs of the
+automaton.  Its states are the contexts that have arcs; a state's failure arc leads to
+its longest proper suffix and carries the backoff weight, the discounted mass over the
+mass that the suffix leaves, so each state's probabilities sum to one.  ``Automaton``
+is the plain form for small vocabularies; ``score`` gives the same sums without ever
+holding the whole automaton, which grows with the corpus.
+
+Documents form blocks (ranges of ids).  Each block asks for the total counts of its own
+distinct words and grams, and one shuffle by key brings them back.  A block then
+knows every arc its texts can use.  The first block that asks for a gram adds it to its
+context's sums, and a second shuffle by context brings back the backoff weights.
+Keys travel as sorted arrays, a row for each block and range of keys.
+
+Words and grams are told apart by 64-bit hashes.  Nulls: a null text is an empty one (its end token is
 scored); a null id is in the first block and counts as the empty string in the hold-out
 rule.  Without training rows N is 0, and every token has the base probability 1
 of V = 0 words.  Repeated rows are all counted and scored; an empty table gives an empty
@@ -27,21 +26,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, text_buffer, word_hashes
+from .common import mix, staged, text_buffer, word_hashes
 from .op3_language_id import held_out
 from .op9_fingerprint import in_range, ranges
 
-WORD_SHARE = 1e-4
-GRAM_SHARE = 1e-6
 MIN_COUNT = 2
 DISCOUNT = 0.5
 END = np.uint64(0x5F3759DF5F3759DF)
 BLOCK_TEXT = 16 << 20
-FLUSH = 3_000_000
+FLUSH = 8_000_000
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,14 +46,83 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, at[1:], END), at + np.arange(len(at))
 
 
-def _train_tokens(batch, flag_at: int, text_at: int):
-    texts = batch.column(text_at).filter(pc.invert(batch.column(flag_at)))
-    return _tokens(texts)
+def _grams(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the 2- and 3-gram that end at each token, and whether the document has them."""
+    two, three = np.zeros_like(h), np.zeros_like(h)
+    two[1:] = mix(mix(h[:-1]) + h[1:])
+    three[2:] = mix(mix(two[1:-1]) + h[2:] * np.uint64(0x9E3779B97F4A7C15))
+    place = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
+    return two, three, place >= 1, place >= 2
 
 
-def block_words(docs: DataFrame) -> DataFrame:
-    """(block, word, n): the distinct words of each block as a task saw them, with
-    their count in training rows; of ``docs`` (block, held_out, text)."""
+def _planes(x: np.ndarray) -> bytes:
+    """Integers from 0 on, low bytes first, byte by byte: the first byte is their width."""
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplanes(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], n).T
+    return out.view("<u8").ravel()
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return _planes(np.diff(keys, prepend=keys[:1] * np.uint64(0))[1:]) + keys[:1].tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    first = np.frombuffer(raw, "<u8", offset=len(raw) - 8)
+    return np.cumsum(np.concatenate([first, _unplanes(raw[:-8], n - 1)]), dtype=np.uint64)
+
+
+def _dealt(keys: np.ndarray, n_dest: int):
+    """(dest, slice) of the ranges of keys among sorted ones."""
+    dest = ((keys >> np.uint64(32)) * np.uint64(n_dest) >> np.uint64(32)).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(dest)) + 1).tolist(), len(keys)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield int(dest[a]), slice(a, b)
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys and the sums of their values."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)
+
+
+def _runs(batches, column: int):
+    """(value, piece) of runs of equal values in a column, batch by batch."""
+    for batch in batches:
+        value = batch.column(column).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(value)) + 1).tolist(), len(value)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield int(value[a]), batch.slice(a, b - a)
+
+
+def _groups(batches, column: int):
+    """(value, pieces) of whole runs of equal values."""
+    at, held = None, []
+    for value, piece in _runs(batches, column):
+        if value != at and held:
+            yield at, held
+            held = []
+        at = value
+        held.append(piece)
+    if held:
+        yield at, held
+
+
+ASKED = "dest long, block long, size long, keys binary, nums binary"
+
+
+def asked(docs: DataFrame, n_dest: int) -> DataFrame:
+    """``ASKED`` of ``docs`` (block, held_out, text): the distinct words and grams of each block as
+    a task saw them; nums has twice the count in training rows, and 1 more for grams."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -65,77 +130,78 @@ def block_words(docs: DataFrame) -> DataFrame:
 
         def flush():
             for block, parts in held.items():
-                h = np.concatenate([p for p, _ in parts])
-                n = np.concatenate([c for _, c in parts])
-                words, of = np.unique(h, return_inverse=True)
-                total = np.bincount(of, weights=n, minlength=len(words)).astype(np.int64)
-                for k in range(0, len(words), 100_000):
-                    s = slice(k, k + 100_000)
-                    yield pa.record_batch([pa.array(np.full(len(words[s]), block, np.int64)), pa.array(words[s].view(np.int64)), pa.array(total[s])], names=["block", "word", "n"])
+                keys, n, gram = (np.concatenate(x) for x in zip(*parts, strict=True))
+                keys, n, gram = _summed(keys, n, gram)
+                nums = 2 * n.astype(np.int64) + (gram > 0)
+                cut = [(d, s) for d, s in _dealt(keys, n_dest)]
+                for k in range(0, len(cut), 64):
+                    own = cut[k : k + 64]
+                    yield pa.record_batch([
+                        pa.array([d for d, _ in own], pa.int64()), pa.array([block] * len(own), pa.int64()), pa.array([s.stop - s.start for _, s in own], pa.int64()),
+                        pa.array([_packed(keys[s]) for _, s in own], pa.binary()), pa.array([_planes(nums[s]) for _, s in own], pa.binary()),
+                    ], names=["dest", "block", "size", "keys", "nums"])
             held.clear()
 
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                piece = batch.slice(k, 1000)
-                blocks = piece.column(0).to_numpy()
-                h, at = _tokens(piece.column(2))
-                train = np.repeat(~np.asarray(piece.column(1).to_pylist(), bool), np.diff(at)).astype(np.int64)
-                of = np.repeat(blocks, np.diff(at))
-                for b in np.unique(blocks):
-                    own = of == b
-                    words, back = np.unique(h[own], return_inverse=True)
-                    held.setdefault(int(b), []).append((words, np.bincount(back, weights=train[own], minlength=len(words)).astype(np.int64)))
-                    size += len(words)
+                for block, piece in _runs([batch.slice(k, 1000)], 0):
+                    h, at = _tokens(piece.column(2))
+                    two, three, has_two, has_three = _grams(h, at)
+                    train = np.repeat(~np.asarray(piece.column(1).to_pylist(), bool), np.diff(at)).astype(np.int32)
+                    for keys, n, gram in ((h, train, 0), (two[has_two], train[has_two], 1), (three[has_three], train[has_three], 1)):
+                        keys, n = _summed(keys, n)
+                        held.setdefault(block, []).append((keys, n, np.full(len(keys), gram, np.int32)))
+                        size += len(keys)
                 if size > FLUSH:
                     yield from flush()
                     size = 0
         yield from flush()
 
-    return docs.mapInArrow(run, "block long, word long, n long")
+    return docs.mapInArrow(run, ASKED)
 
 
-def gram_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """(order, gram, n) of 2- and 3-grams of ``vocabulary`` (sorted hashes) in rows
-    (held_out, text) that aren't held out; gram packs the places in 20 bits each."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def totals(rows: DataFrame) -> DataFrame:
+    """``ASKED`` with n_tokens and n_words: what is known of each block's keys, without grams
+    under ``MIN_COUNT`` and unknown words.  nums has twice the total, and 1 more where
+    the block is the first that asks for a gram; each range's tokens and words are on one row."""
 
     def run(batches):
-        vocab = shared.value
-        held = {2: [], 3: []}
-
-        def flush(order):
-            grams, n = np.unique(np.concatenate(held[order]), return_counts=True)
-            held[order].clear()
-            return pa.record_batch([pa.array(np.full(len(grams), order, np.int32)), pa.array(grams), pa.array(n.astype(np.int64))], names=["order", "gram", "n"])
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                h, at = _train_tokens(batch.slice(k, 1000), 0, 1)
-                ids = places(h, vocab)
-                last = np.zeros(len(h), bool)
-                last[at[1:] - 1] = True
-                if len(h) > 1:
-                    two = (ids[:-1] >= 0) & (ids[1:] >= 0) & ~last[:-1]
-                    pairs = ids[:-1] << 20 | ids[1:]
-                    held[2].append(pairs[two])
-                    three = two[:-1] & two[1:]
-                    held[3].append((pairs[:-1] << 20 | ids[2:])[three])
-                for order in (2, 3):
-                    if sum(map(len, held[order])) > FLUSH:
-                        yield flush(order)
-        for order in (2, 3):
-            if held[order]:
-                yield flush(order)
-
-    return docs.mapInArrow(run, "order int, gram long, n long").groupBy("order", "gram").agg(F.sum("n").alias("n"))
-
-
-def places(hashes: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """Each hash's place in the sorted vocabulary, or -1."""
-    if not len(vocab):
-        return np.full(len(hashes), -1, np.int64)
-    at = np.minimum(np.searchsorted(vocab, hashes), len(vocab) - 1)
-    return np.where(vocab[at] == hashes, at, -1).astype(np.int64)
+        for dest, pieces in _groups(batches, 0):
+            blocks, sizes = [], []
+            keys, nums = [], []
+            for p in pieces:
+                for block, n, raw, num in zip(*(p.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                    blocks.append(block)
+                    sizes.append(n)
+                    keys.append(_unpacked(raw, n))
+                    nums.append(_unplanes(num, n).astype(np.int64))
+            flat, num = np.concatenate(keys), np.concatenate(nums)
+            del keys, nums
+            order = np.argsort(flat, kind="stable")
+            new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(num[order] >> 1, first)
+            gram = (num[order[first]] & 1).astype(bool)
+            of = np.empty(len(flat), np.int64)
+            of[order] = np.cumsum(new) - 1
+            owner = np.zeros(len(flat), np.int64)
+            owner[order[first[gram]]] = 1
+            kept = np.where(gram, total >= MIN_COUNT, total > 0)
+            sums = [int(total[~gram].sum()), int((total[~gram] > 0).sum())]
+            at = 0
+            for block, n in zip(blocks, sizes, strict=True):
+                s = slice(at, at + n)
+                at += n
+                some = kept[of[s]]
+                if some.any() or sums[0]:
+                    own = flat[s][some]
+                    yield pa.record_batch([
+                        pa.array([dest], pa.int64()), pa.array([block], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([_packed(own) if len(own) else b""], pa.binary()),
+                        pa.array([_planes(2 * total[of[s]][some] + owner[s][some])], pa.binary()), pa.array(sums[:1], pa.int64()), pa.array(sums[1:], pa.int64()),
+                    ], names=["dest", "block", "size", "keys", "nums", "n_tokens", "n_words"])
+                    sums = [0, 0]
+
+    return rows.mapInArrow(run, ASKED + ", n_tokens long, n_words long")
 
 
 class Automaton:
@@ -213,6 +279,164 @@ class Automaton:
         return total
 
 
+def places(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Each key's place among the sorted known ones, or -1."""
+    if not len(known):
+        return np.full(len(keys), -1, np.int64)
+    some, back = np.unique(keys, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, some), len(known) - 1)
+    return np.where(known[at] == some, at, -1).astype(np.int64)[back]
+
+
+HALF = "kind int, dest long, block long, size long, id long, held_out boolean, n_tokens long, n_known long, base double, part double, keys binary, nums binary"
+HALF_NAMES = [c.split()[0] for c in HALF.split(", ")]
+
+
+class Block:
+    """One block's known keys and what its documents leave to the contexts' weights."""
+
+    def __init__(self, rows: list[tuple[int, bytes, bytes]], below: float):
+        parts = [(_unpacked(k, n), _unplanes(v, n).astype(np.int64)) for n, k, v in rows if n]
+        keys, nums = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.known, first = np.unique(keys, return_index=True)
+        self.n = nums[first] >> 1
+        self.owed = np.zeros(len(self.known), bool)
+        self.owed[np.searchsorted(self.known, keys[nums & 1 == 1])] = True
+        self.below, self.docs = below, []
+        self.used = np.zeros(len(self.known), bool)
+        self.sums: list[tuple[np.ndarray, ...]] = []
+
+    def _owe(self, gram: np.ndarray, context: np.ndarray, lower: np.ndarray, whole: np.ndarray, base: np.ndarray):
+        """Adds each gram that this block answers for, once, to its context: twice the
+        discounted count, twice the lower state's, and what they are shares of."""
+        ok = np.flatnonzero(gram >= 0)
+        ok = ok[self.owed[gram[ok]]]
+        own, at = np.unique(gram[ok], return_index=True)
+        at = ok[at]
+        self.owed[own] = False
+        self.sums.append((context[at], 2 * self.n[own] - 1, lower[at], whole[at], base[at]))
+
+    def add(self, ids: pa.Array, flags: pa.Array, texts: pa.Array):
+        h, at = _tokens(texts)
+        two, three, has_two, has_three = _grams(h, at)
+        all_places = places(np.concatenate([h, two, three]), self.known)
+        w, two, three = (x.copy() for x in np.split(all_places, 3))
+        two[~has_two] = -1
+        three[~has_three] = -1
+        count = lambda x: np.where(x >= 0, self.n[x], 0) if len(self.n) else np.zeros(len(x), np.int64)
+        n1, n2, n3 = count(w), count(two), count(three)
+        w0, two0 = np.concatenate([[-1], w[:-1]]), np.concatenate([[-1], two[:-1]])
+        w0[~has_two], two0[~has_three] = -1, -1
+        c1, c2 = count(w0), count(two0)
+        self._owe(two, w0, 2 * (n1 + 1), c1, np.zeros_like(c1))
+        self._owe(three, two0, 2 * n2 - 1, c2, c1)
+        base = np.log10((n1 + 1) / self.below)
+        part = base.copy()
+        part[n2 > 0] = np.log10((n2[n2 > 0] - DISCOUNT) / c1[n2 > 0])
+        part[n3 > 0] = np.log10((n3[n3 > 0] - DISCOUNT) / c2[n3 > 0])
+        back2 = (n3 == 0) & (c2 >= MIN_COUNT)
+        back1 = (n3 == 0) & (n2 == 0) & (c1 >= MIN_COUNT)
+        uses = np.stack([np.where(back2, two0, -1), np.where(back1, w0, -1)], 1)
+        self.used[uses[uses >= 0]] = True
+        starts, total = at[:-1], lambda x: np.add.reduceat(x, at[:-1])
+        per = [u[u >= 0].astype(np.uint32) for u in (uses[a:b].ravel() for a, b in zip(starts, at[1:], strict=True))]
+        self.docs.append((ids, flags, np.diff(at), total((n1 > 0).astype(np.int64)), total(base), total(part), per))
+
+    def rows(self, block: int, n_dest: int):
+        """``HALF``: kind 0 asks for contexts' weights and brings sums, kind 1 are documents."""
+        none = lambda n, kind: pa.nulls(n, kind)
+        context, *sums = (np.concatenate(x) for x in zip(*self.sums, strict=True)) if self.sums else [np.zeros(0, np.int64)] * 5
+        _, held, low = _summed(context, *sums[:2])
+        at, first = np.unique(context, return_index=True)
+        need = self.used.copy()
+        need[at] = True
+        values = np.zeros((4, len(need)), np.int64)
+        values[:, at] = held, low, sums[2][first], sums[3][first]
+        keys, want, values = self.known[need], self.used[need], values[:, need]
+        for d, s in _dealt(keys, n_dest):
+            nums = b"".join(_planes(x) for x in (2 * values[0, s] + want[s], values[1, s], values[2, s], values[3, s]))
+            one = [pa.array([x], pa.int64()) for x in (d, block, s.stop - s.start)]
+            yield pa.record_batch([pa.array([0], pa.int32()), *one, none(1, pa.int64()), none(1, pa.bool_()), none(1, pa.int64()), none(1, pa.int64()), none(1, pa.float64()), none(1, pa.float64()),
+                                   pa.array([_packed(keys[s])], pa.binary()), pa.array([nums], pa.binary())], names=HALF_NAMES)
+        rank = np.cumsum(self.used) - 1
+        for ids, flags, n, seen, base, part, per in self.docs:
+            k = len(n)
+            uses = pa.array([_planes(rank[u]) for u in per], pa.binary())
+            yield pa.record_batch([pa.array(np.ones(k, np.int32)), none(k, pa.int64()), pa.array(np.full(k, block, np.int64)), pa.array([len(u) for u in per], pa.int64()), ids, flags,
+                                   pa.array(n), pa.array(seen), pa.array(base), pa.array(part), none(k, pa.binary()), uses], names=HALF_NAMES)
+
+
+def half_scored(rows: DataFrame, below: float, n_dest: int) -> DataFrame:
+    """``HALF`` of (block, kind, size, keys, nums, id, held_out, text) sorted by block and kind: totals, then texts."""
+
+    def run(batches):
+        at, got, made = None, [], None
+        for batch in batches:
+            for block, run_of in _runs([batch], 0):
+                if block != at:
+                    if made:
+                        yield from made.rows(at, n_dest)
+                    at, got, made = block, [], None
+                for kind, piece in _runs([run_of], 1):
+                    if kind == 0:
+                        got.extend(zip(*(piece.column(k).to_pylist() for k in (2, 3, 4)), strict=True))
+                        continue
+                    if made is None:
+                        made, got = Block(got, below), []
+                    for k in range(0, piece.num_rows, 500):
+                        some = piece.slice(k, 500)
+                        made.add(some.column(5), some.column(6), some.column(7))
+        if made:
+            yield from made.rows(at, n_dest)
+
+    return rows.mapInArrow(run, HALF)
+
+
+def weights(rows: DataFrame, below: float) -> DataFrame:
+    """(block, dest, size, nums): the log10 backoff weights of the contexts each block wants, in order of their
+    keys (0 without arcs); of (dest, block, size, keys, nums)."""
+
+    def run(batches):
+        for dest, pieces in _groups(batches, 0):
+            parts = []
+            for p in pieces:
+                for block, n, raw, num in zip(*(p.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                    values, at = [], 0
+                    for _ in range(4):
+                        end = at + 1 + num[at] * n
+                        values.append(_unplanes(num[at:end], n).astype(np.int64))
+                        at = end
+                    parts.append((block, _unpacked(raw, n), values))
+            flat = np.concatenate([k for _, k, _ in parts])
+            held, low, whole, base = (np.concatenate([v[k] for _, _, v in parts]) for k in range(4))
+            keys, of = np.unique(flat, return_inverse=True)
+            add = lambda x: np.bincount(of, weights=x, minlength=len(keys))
+            most = lambda x: np.maximum.reduceat(x[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of)) - np.bincount(of)).astype(np.float64)
+            has, under = most(whole), most(base)
+            kept = add(held >> 1) / 2 / np.maximum(has, 1)
+            given = add(low) / 2 / np.where(under > 0, under, below)
+            log = np.where(has > 0, np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - given, 1e-12)), 0.0)
+            at = 0
+            for block, own, values in parts:
+                mine = log[of[at : at + len(own)]][values[0] & 1 == 1]
+                at += len(own)
+                if len(mine):
+                    yield pa.record_batch([pa.array([block], pa.int64()), pa.array([dest], pa.int64()), pa.array([len(mine)], pa.int64()), pa.array([mine.astype("<f8").tobytes()], pa.binary())], names=["block", "dest", "size", "nums"])
+
+    return rows.mapInArrow(run, "block long, dest long, size long, nums binary")
+
+
+def _staged_alone(df: DataFrame) -> DataFrame:
+    """``staged``, with the shuffle files that led to it deleted at its end."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        return staged(df)
+    finally:
+        spark.conf.set(name, before)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_col: str = "held_out") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): rows with
     ``flag_col`` are scored but not learned from."""
@@ -220,71 +444,39 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(flag_col).alias("held_out"), F.col(text_col).alias("text"))
     bounds = ranges(rows, "id", "text", BLOCK_TEXT)
     rows = rows.withColumn("block", in_range(F.col("id"), bounds).cast("long"))
-    words = staged(block_words(rows.select("block", "held_out", "text")))
-    tokens = words.agg(F.sum("n")).first()[0] or 0
-    frequent = F.when((F.col("n") >= F.lit(WORD_SHARE * tokens)) & (F.col("n") > 0), F.col("word"))
-    # at most 1 / WORD_SHARE words, and one row for all others
-    totals = words.groupBy("word").agg(F.sum("n").alias("n")).groupBy(frequent.alias("word")).agg(F.count_if(F.col("n") > 0).alias("known"), F.max("n").alias("n")).collect()
-    distinct = sum(r["known"] for r in totals)
-    some = sorted((r["word"] % (1 << 64), r["n"]) for r in totals if r["word"] is not None)
-    vocab, counts = np.array([w for w, _ in some], np.uint64), np.array([n for _, n in some], np.int64)
-    grams: dict[int, dict[int, int]] = {2: {}, 3: {}}
-    least = max(MIN_COUNT, GRAM_SHARE * tokens)
-    for order, gram, n in gram_counts(rows.select("held_out", "text"), vocab).where(F.col("n") >= least).toPandas().itertuples(index=False):
-        grams[int(order)][int(gram)] = int(n)
+    n_blocks = len(bounds) + 1
+    n_dest = 4 * n_blocks
+    requests = asked(rows.select("block", "held_out", "text"), n_dest)
+    known = _staged_alone(totals(requests.repartition(n_dest, "dest").sortWithinPartitions("dest", "block")))
+    tokens, distinct = known.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     below = float(tokens + distinct + 1)
-    uni = (counts + 1) / below
-    model = spark.sparkContext.broadcast((Automaton(vocab, counts, uni, grams), counts))
 
-    # each block's other words with their totals, then its texts
-    rare = words.join(F.broadcast(spark.createDataFrame([(int(w),) for w in vocab.view(np.int64)], "word long")), "word", "left_anti") if len(vocab) else words
-    whole = rare.withColumn("n", F.sum("n").over(Window.partitionBy("word"))).where("n > 0")
-    stats = whole.select("block", F.lit(0).alias("kind"), F.col("word").alias("id"), "n", F.lit(None).cast("string").alias("text"))
-    texts = rows.select("block", F.lit(1).alias("kind"), "id", F.col("held_out").cast("long").alias("n"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = stats.union(texts).repartition(len(bounds) + 1, "block").sortWithinPartitions("block", "kind")
+    texts = rows.select("block", F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("size", "long"), ("keys", "binary"), ("nums", "binary"))], "id", "held_out", F.coalesce("text", F.lit("")).alias("text"))
+    found = known.where("size > 0").select("block", F.lit(0).alias("kind"), "size", "keys", "nums", *[F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("held_out", "boolean"), ("text", "string"))])
+    half = _staged_alone(half_scored(found.union(texts).repartition(n_blocks, "block").sortWithinPartitions("block", "kind"), below, n_dest))
+
+    contexts = half.where("kind = 0").select("dest", "block", "size", "keys", "nums")
+    back = weights(contexts.repartition(n_dest, "dest").sortWithinPartitions("dest", "block"), below)
+    nulls = [F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("part", "double"))]
+    parts = half.where("kind = 1").select("block", "kind", "dest", "size", "nums", "id", "held_out", "n_tokens", "n_known", "base", "part")
+    dealt = back.select("block", F.lit(0).alias("kind"), "dest", "size", "nums", *nulls).union(parts).repartition(n_blocks, "block").sortWithinPartitions("block", "kind", "dest")
 
     def run(batches):
-        auto, counts = model.value
-        at, ready, pend, known, n_known = None, False, [], None, None
-        for batch in batches:
-            block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
-            for a, b in zip([0, *edges], [*edges, len(block)], strict=True):
-                if a == b:
-                    continue
-                if block[a] != at:
-                    at, ready, pend = block[a], False, []
-                piece = batch.slice(a, b - a)
-                if kind[a] == 0:
-                    pend.append((piece.column(2).to_numpy().view(np.uint64).copy(), piece.column(3).to_numpy().copy()))
+        at, got, table = None, [], None
+        for block, run_of in _runs(batches, 0):
+            if block != at:
+                at, got, table = block, [], None
+            for kind, piece in _runs([run_of], 1):
+                if kind == 0:
+                    got.extend(np.frombuffer(x, "<f8") for x in piece.column(4).to_pylist())
                     continue
-                if not ready:
-                    known = np.concatenate([p for p, _ in pend]) if pend else np.zeros(0, np.uint64)
-                    n_known = np.concatenate([p for _, p in pend]) if pend else np.zeros(0, np.int64)
-                    known, first = np.unique(known, return_index=True)
-                    n_known, ready, pend = n_known[first], True, []
-                for k in range(0, piece.num_rows, 500):
-                    yield scored(auto, counts, known, n_known, piece.slice(k, 500))
-
-    def scored(auto, counts, known, n_known, piece):
-        h, offs = _tokens(piece.column(4))
-        ids = places(h, auto.vocab)
-        c = np.zeros(len(h), np.int64)
-        if len(counts):
-            c = np.where(ids >= 0, counts[ids], 0)
-        other = np.flatnonzero(ids < 0)
-        if len(known) and len(other):
-            at = places(h[other], known)
-            c[other] = np.where(at >= 0, n_known[at], 0)
-        logs = np.log10((c + 1) / below)
-        ends = offs[1:]
-        tops = np.add.reduceat(logs, offs[:-1])
-        seen = np.add.reduceat((c > 0).astype(np.int64), offs[:-1])
-        all_ids, all_logs = ids.tolist(), logs.tolist()
-        full = [auto.walk(all_ids[a:b], all_logs[a:b]) for a, b in zip(offs[:-1].tolist(), ends.tolist(), strict=True)]
-        return pa.record_batch([
-            piece.column(2), pc.equal(piece.column(3), 1), pa.array(np.diff(offs)), pa.array(seen), pa.array(np.full(piece.num_rows, tokens, np.int64)), pa.array(tops), pa.array(full, pa.float64()),
-        ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                if table is None:
+                    table, got = np.concatenate([*got, np.zeros(1)]), []
+                add = [table[_unplanes(raw, n).astype(np.int64)].sum() for raw, n in zip(piece.column(4).to_pylist(), piece.column(3).to_pylist(), strict=True)]
+                full = piece.column(10).to_numpy() + np.array(add)
+                yield pa.record_batch([
+                    piece.column(5), piece.column(6), piece.column(7), piece.column(8), pa.array(np.full(piece.num_rows, tokens, np.int64)), piece.column(9), pa.array(full, pa.float64()),
+                ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return dealt.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

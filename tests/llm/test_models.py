@@ -179,3 +179,27 @@ def test_automaton_sums_to_one():
             total = sum(10 ** (auto.walk([a, b, c], [logs[a], logs[b], logs[c]]) - before) for c in range(6))
             total += 10 ** (auto.walk([a, b, -1], [logs[a], logs[b], math.log10(other)]) - before)
             assert total == pytest.approx(1, abs=0.02)
+
+
+@pytest.mark.parametrize("which", ["rare", "odd", "table"])
+def test_lm_takes_every_gram(spark, odd, which):
+    """Grams of rare words count, and scores are those of the automaton over all words."""
+    rare = [(k, f"w{k} filler{k % 7} " * 800) for k in range(60)] + [(100, "seldom seen"), (101, "seldom seen"), (102, "seldom seen"), (103, "so seldom seen")]
+    docs = {"rare": spark.createDataFrame(rare, "doc_id long, text string"), "odd": odd, "table": spark.read.parquet(f"{SF}/documents.parquet")}[which].select("doc_id", "text")
+    docs = docs.withColumn("held_out", op10.held_out("doc_id", 7, 2))
+    texts = [(r["doc_id"], r["held_out"], [*words((r["text"] or "").translate(LOW)), ""]) for r in docs.collect()]
+    train = [t for _, held, t in texts if not held]
+    count = collections.Counter(w for t in train for w in t)
+    place = {w: k for k, w in enumerate(sorted(count))}
+    counts = np.array([count[w] for w in place], np.int64)
+    uni = (counts + 1) / (counts.sum() + len(counts) + 1)
+    ids = [[place[w] for w in t] for t in train]
+    two = collections.Counter(a << 20 | b for t in ids for a, b in zip(t, t[1:], strict=False))
+    three = collections.Counter(a << 40 | b << 20 | c for t in ids for a, b, c in zip(t, t[1:], t[2:], strict=False))
+    auto = op10.Automaton(np.arange(len(counts), dtype=np.uint64), counts, uni, {k: {g: n for g, n in grams.items() if n >= 2} for k, grams in ((2, two), (3, three))})
+    logs = {w: math.log10((count[w] + 1) / (counts.sum() + len(counts) + 1)) for _, _, t in texts for w in t}
+    want = sorted((d, auto.walk([place.get(w, -1) for w in t], [logs[w] for w in t])) for d, _, t in texts)
+    got = sorted((r["doc_id"], r["score"]) for r in op10.score(docs).collect())
+    assert [d for d, _ in got] == [d for d, _ in want]
+    for (_, a), (_, b) in zip(got, want, strict=True):
+        assert a == pytest.approx(b, rel=1e-9, abs=1e-6)
