@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import matching, overrides, ranking, roles
+from ..operators import graph, matching, overrides, roles
 from ..session import table
 from ..sources import sinks
 from .registry import registry
@@ -75,12 +75,12 @@ def readiness_ladder(spark, d):
     return table(spark, d, "part").select("p_partkey", overrides.readiness(ladder, "READY").alias("state"))
 
 
-def _members(df, name):
+def _members(df, name, *keep):
     parts = F.filter(F.split(F.lower("p_name"), " "), lambda w: w != "")
     body = F.struct(
         F.substring_index("p_type", " ", -1).alias("return_type"), F.array("p_brand").alias("parameter_types"), F.col("p_type").alias("opcode_sha"), F.col("p_size").alias("instruction_count"),
         F.array(F.concat(F.lit("a->b:"), F.substring_index("p_type", " ", 1))).alias("fields"), F.transform(parts, lambda w: F.concat(F.lit("o->m("), w, F.lit(")V"))).alias("calls"))
-    return df.select(F.col("p_partkey").alias(f"{name}_id"), "p_brand", body.alias(name))
+    return df.select(F.col("p_partkey").alias(f"{name}_id"), "p_brand", body.alias(name), *keep)
 
 
 def _scored(spark, d):
@@ -138,10 +138,28 @@ def weighted_tokens(spark, d):
     return matching.weighted_tokens(lines.select(F.col("s_nationkey").alias("owner"), (F.col("l_partkey") % 50).alias("token"), "l_linenumber"), "owner", "token", "l_linenumber")
 
 
+def _candidates(old, new):
+    """All pairs of two tables of parts that score at least MIN_SCORE within a brand: without an equal
+    last word of the type they can't, nor without an equal first word, size or set of words in the name."""
+    kind = F.struct("p_brand", F.substring_index("p_type", " ", -1))
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("p_name"), " "), lambda w: w != "")))
+    keys = F.explode(F.array(*[F.to_json(F.struct(kind, F.lit(k), x.alias("x"))) for k, x in (("t", F.substring_index("p_type", " ", 1)), ("s", F.col("p_size").cast("string")), ("w", F.to_json(words)))]))
+    o, n = (_members(df.withColumn("key", keys), name, "key") for df, name in ((old, "old"), (new, "new")))
+    pairs = o.join(n.drop("p_brand"), "key").select("old_id", "new_id", matching.structural_score("old", "new").alias("score"))
+    return pairs.where(F.col("score") >= matching.MIN_SCORE).dropDuplicates(["old_id", "new_id"])
+
+
+def _assigned(parts):
+    """Parts against themselves as the next version, solved by connected components of the candidates."""
+    pairs = graph.saved(_candidates(parts, parts))
+    nodes = graph.components(pairs.select((F.col("old_id") * 2).alias("a"), (F.col("new_id") * 2 + 1).alias("b")))
+    roots = nodes.where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("old_id"), F.col("root").alias("component"))
+    return matching.assign(pairs.join(roots, "old_id").select("component", F.col("old_id").alias("l_node"), F.col("new_id").alias("r_node"), "score"))
+
+
 @query()
 def global_assignment(spark, d):
-    best = ranking.top_n(_scored(spark, d), ["old_id"], [F.desc("score"), "new_id"], 3)
-    return matching.assign(best.select((F.col("old_id") % 97).alias("component"), F.col("old_id").alias("l_node"), F.col("new_id").alias("r_node"), "score"))
+    return _assigned(table(spark, d, "part"))
 
 
 @query("""WITH r AS (SELECT o_custkey, CASE WHEN min(o_orderpriority) FILTER (o_orderstatus = 'O') = max(o_orderpriority) FILTER (o_orderstatus = 'O') THEN min(o_orderpriority) FILTER (o_orderstatus = 'O') END AS open,

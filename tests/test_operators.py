@@ -281,3 +281,26 @@ def test_build_fingerprint_tells_equal_names_apart(spark):
 def test_once_and_dense(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": [1, 1, 1], "v": ["b", "a", "b"], "o": [0, 1, 2]}))
     assert {r["v"]: r["dense_id"] for r in ranking.dense_ids(df, ["k"], "v", "o").collect()} == {"b": 0, "a": 1}
+
+
+def test_assign_reports_large_components(spark):
+    rows = [("big", a, b, 70) for a in range(13) for b in range(100, 113)] + [("fit", 20 + k, 200 + k, 90) for k in range(12)] + [("two", 50, 300, 90), ("two", 51, 300, 70)]
+    got = matching.assign(spark.createDataFrame(rows, "component string, l_node long, r_node long, score int")).collect()
+    by = {r["l_node"]: r for r in got}
+    assert len(got) == len(by) == 13 + 12 + 2
+    assert all(by[a]["ambiguous"] and by[a]["r_node"] is None and not by[a]["accepted"] for a in range(13))
+    assert all(by[20 + k]["accepted"] and by[20 + k]["r_node"] == 200 + k for k in range(12))
+    assert by[50]["accepted"] and by[51]["ambiguous"] and by[51]["r_node"] is None
+
+
+def test_global_assignment_takes_all_parts(spark):
+    from ledgerwing.plans import override_queries as oq
+
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    keyed = {(r["old_id"], r["new_id"]): r["score"] for r in oq._candidates(parts, parts).collect()}
+    every = oq._members(parts, "old").join(oq._members(parts, "new"), "p_brand").select("old_id", "new_id", matching.structural_score("old", "new").alias("score"))
+    assert keyed == {(r["old_id"], r["new_id"]): r["score"] for r in every.where(f"score >= {matching.MIN_SCORE}").collect()}
+    got = oq.global_assignment(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len({r["l_node"] for r in got}) == len({a for a, _ in keyed})
+    taken = [r["r_node"] for r in got if r["r_node"] is not None]
+    assert len(taken) == len(set(taken))
