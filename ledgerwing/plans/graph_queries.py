@@ -17,6 +17,12 @@ def _edges(spark, d):
     return lines.select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey")).alias("dst")).distinct()
 
 
+def _all_edges(spark, d):
+    """Every supplier and part that any line item joins, in both directions: part p is -1 - p, as keys start at 0."""
+    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst")).distinct()
+    return edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
 _EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, -l_partkey AS dst FROM lineitem WHERE l_quantity >= 49), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
@@ -38,8 +44,7 @@ def reverse_bfs(spark, d):
 
 @query()
 def budgeted_bfs(spark, d):
-    edges = _edges(spark, d)
-    both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("ordinal", F.col("dst"))
+    both = _all_edges(spark, d).withColumn("ordinal", F.col("dst"))
     starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
     return graph.budgeted_search(starts, both, 64, 3)
 
@@ -148,8 +153,6 @@ def semantic_dependencies(spark, d):
 
 @query()
 def targeted_search(spark, d):
-    edges = _edges(spark, d)
-    both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    kinds = table(spark, d, "part").select((-F.col("p_partkey")).alias("node"), F.when(F.col("p_size") < 25, "generic").otherwise("wrapper").alias("kind"))
-    starts = table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
-    return graph.targeted_search(starts, both, kinds, {"generic": 32, "wrapper": 24}, 3)
+    kinds = table(spark, d, "part").select((-1 - F.col("p_partkey")).alias("node"), F.when(F.col("p_size") < 25, "generic").otherwise("wrapper").alias("kind"))
+    starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
+    return graph.targeted_search(starts, _all_edges(spark, d), kinds, {"generic": 32, "wrapper": 24}, 3)

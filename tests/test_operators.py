@@ -304,3 +304,19 @@ def test_global_assignment_takes_all_parts(spark):
     assert len(got) == len({r["l_node"] for r in got}) == len({a for a, _ in keyed})
     taken = [r["r_node"] for r in got if r["r_node"] is not None]
     assert len(taken) == len(set(taken))
+
+
+def test_searches_start_from_all_suppliers_over_all_lines(spark):
+    from ledgerwing.plans import graph_queries as gq
+
+    d = "/root/testdata/sf0.001"
+    lines = {(r[0], r[1]) for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()}
+    suppliers = {r[0] for r in spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey").collect()}
+    rows = gq.targeted_search(spark, d).where("depth <= 1").collect()
+    assert {r["root"] for r in rows if r["depth"] == 0} == suppliers
+    assert {(r["root"], -1 - r["node"]) for r in rows if r["depth"] == 1} == lines
+    near = {}
+    for r in gq.budgeted_bfs(spark, d).where("depth = 1").collect():
+        near.setdefault(r["root"], set()).add(-1 - r["node"])
+    for s in suppliers:  # the first is the start, and parts come in order of -p_partkey
+        assert near.get(s, set()) == set(sorted((p for q, p in lines if q == s), reverse=True)[:63])
