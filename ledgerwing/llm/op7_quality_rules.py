@@ -11,7 +11,8 @@ and joined back by size.  A document whose distance exceeds ``CUTOFF`` under its
 group's estimate, scaled to the chi-square median, is rejected.
 
 A group with under ``MIN_GROUP`` rows shares the estimate of its language's small groups,
-and that failing of all small groups; with fewer rows than that nothing is rejected.
+and that failing of all small groups; if those have fewer rows too, they are judged by
+an estimate over all rows.  Only a whole table of fewer rows rejects nothing.
 Rows that fail the base rules take no part in the estimates.
 
 Nulls: a null text has no words and fails the base rules; null language and
@@ -122,6 +123,9 @@ def mcd_distances(stats: DataFrame, use: str, keys: tuple[str, ...] = ("lang", "
     n = len(features)
     grouped = _groups(stats, keys, use)
     fit = grouped.where(use).select("_g", *features)
+    alone = fit.where("_g = 'all'").limit(MIN_GROUP).count()
+    if 0 < alone < MIN_GROUP:  # too few for an estimate of their own
+        fit = fit.where("_g <> 'all'").union(fit.withColumn("_g", F.lit("all")))
     quartiles = fit.groupBy("_g").agg(F.count("*").alias("_n"), *[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"_q_{i}") for i, f in enumerate(features)])
     start = quartiles.where(F.col("_n") >= MIN_GROUP).select(
         "_g", *[F.col(f"_q_{i}")[1].alias(f"_m_{i}") for i in range(n)],

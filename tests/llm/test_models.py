@@ -203,3 +203,14 @@ def test_lm_takes_every_gram(spark, odd, which):
     assert [d for d, _ in got] == [d for d, _ in want]
     for (_, a), (_, b) in zip(got, want, strict=True):
         assert a == pytest.approx(b, rel=1e-9, abs=1e-6)
+
+
+def test_rules_judge_small_pools(spark):
+    """A few rows of rare languages are judged by all rows; a whole small table isn't."""
+    rng = np.random.default_rng(4)
+    rows = [(k, "en", "s", True, *map(float, v)) for k, v in enumerate(rng.normal(0, 1, (300, 6)))]
+    rows += [(1000, "xx", "t", True, *[0.0] * 6), (1001, "yy", "t", True, *[40.0] * 6)]
+    schema = "id int, lang string, source string, ok boolean, " + ", ".join(f"{f} double" for f in op7.FEATURES)
+    got = {r["id"]: r["distance"] for r in op7.mcd_distances(spark.createDataFrame(rows, schema), "ok").collect()}
+    assert len(got) == 302 and got[1000] < op7.CUTOFF < got[1001]
+    assert {r["distance"] for r in op7.mcd_distances(spark.createDataFrame(rows[-20:], schema), "ok").collect()} == {None}
