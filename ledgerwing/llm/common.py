@@ -1,4 +1,4 @@
-"""What the corpus operators share: staged tables, Arrow text buffers, word hashing, components.
+"""What the corpus operators share: Arrow text buffers, word hashing, membership filters.
 
 Text is handled as the raw UTF-8 buffer of an Arrow column.  A word is a maximal
 run of bytes outside ``\\x20 \\x09-\\x0D``; those bytes never occur inside a
@@ -7,44 +7,18 @@ multi-byte character, so the byte view and the character view give the same word
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WS_REGEX = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 2 << 20
 
 
-# --- staged tables ---------------------------------------------------------
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the store that driver and executors share.
-
-    The folder comes from ``spark.checkpoint.dir``; only where a session has none
-    (local tests) is one made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared store and read it back: work is done once and
-    a lost executor costs only its running tasks."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # --- Arrow text buffers ----------------------------------------------------
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -173,67 +147,37 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
 
 # --- bounded membership filters ---------------------------------------------
 
-FILTER_BITS = 1 << 24
-
-
-def _places(ids: np.ndarray, bits: int) -> np.ndarray:
-    h = mix(ids.astype(np.int64).view(np.uint64))
-    return np.concatenate([h % np.uint64(bits), (h >> np.uint64(32)) % np.uint64(bits)]).astype(np.int64)
+#: Bits of a filter: 16 for each id, within these bounds (the larger is 32 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
-def maybe_in(ids: DataFrame, bits: int = FILTER_BITS):
+def maybe_in(ids: DataFrame):
     """A condition on an id column that holds for all of ``ids`` (one long column)
-    and for few others: a Bloom filter of ``bits`` bits, whatever the number of ids.
+    and for few others: a Bloom filter, built by a grouped bit-wise OR.
 
-    It only spares a shuffle the rows that can't match; an exact join follows.
+    It only spares a shuffle the rows that can't match; an exact join follows, so with
+    more ids than the largest filter serves, more rows take part in that join.
     """
     spark = ids.sparkSession
-
-    def build(batches):
-        own = np.zeros(bits, bool)
-        for batch in batches:
-            own[_places(batch.column(0).drop_null().to_numpy(), bits)] = True
-        yield pa.record_batch([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
-
-    total = np.zeros(bits // 8, np.uint8)
-    for row in ids.coalesce(4).mapInArrow(build, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(total.tobytes())
+    name = ids.columns[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, ids.count()) - 1).bit_length()))
+    places = F.array(*[F.pmod(F.xxhash64(F.col(name).cast("long"), F.lit(k)), F.lit(bits)) for k in (1, 2)])
+    words = ids.where(F.col(name).isNotNull()).select(F.explode(places).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("v"))
+    table = np.zeros(bits // 64, np.int64)
+    got = words.toArrow()
+    table[got.column("w").to_numpy()] = got.column("v").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
-    def held(col: pd.Series) -> pd.Series:
-        table = np.frombuffer(shared.value, np.uint8)
-        there = col.notna().to_numpy()
-        at = _places(col.fillna(0).to_numpy(np.int64), bits)
-        hit = (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-        return pd.Series(there & (hit[: len(col)] & hit[len(col) :]).astype(bool))
-
-    return held
-
-
-# --- connected components --------------------------------------------------
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): root is the smallest node that the edges (a, b) reach.
-
-    Alternates large-star and small-star steps, which settle in about log^2 n
-    rounds on any graph; every step is a grouped minimum and an equi-join, and each
-    round is written to the shared store, so no group is gathered anywhere.
-    """
-    edges = staged(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct())
-    before = None
-    for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = staged(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    def held(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = a.notna().to_numpy()
+        for p in (a, b):
+            at = p.fillna(0).to_numpy(np.int64)
+            out = out & ((shared.value[at >> 6] >> (at & 63)) & 1).astype(bool)
+        return pd.Series(out)
+
+    def condition(col) -> Column:
+        col = F.col(col) if isinstance(col, str) else col
+        return held(*[F.when(col.isNotNull(), F.pmod(F.xxhash64(col.cast("long"), F.lit(k)), F.lit(bits))) for k in (1, 2)])
+
+    return condition

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, staged, text_buffer, word_hashes
+from ..stores import saved as staged
+from .common import mix, text_buffer, word_hashes
 from .op3_language_id import held_out
 from .op9_fingerprint import in_range, ranges
 

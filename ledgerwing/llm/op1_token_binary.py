@@ -28,7 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_blocks, shared_dir, staged, text_buffer
+from ..stores import saved as staged
+from ..stores import shared_dir
+from .common import doc_blocks, text_buffer
 from .tokens import ENCODE_BYTES, encoder
 
 MAGIC = b"FRVB"

@@ -4,24 +4,32 @@ A document's set holds the distinct n-word shingles of its lower-cased (A-Z)
 words, as 64-bit hashes.  A parity sketch gives each shingle one segment and toggles
 it there, so two sketches differ in at most as many places as the sets do.
 
-1. Documents with equal sets (size and a 128-bit digest) become one class.
+1. Documents with equal sets become one class (a 64-bit digest, its ``node``).
 2. Sizes fall into bands whose limits grow by 1 / threshold, so linked sets lie in the same or
    neighbouring bands, and a pair is compared in the larger one's band.  A band's
-   largest possible symmetric difference D is known, and its sketch has more than D
-   segments: linked sets agree in one that isn't empty (pigeonhole).  A class
-   emits each segment's parity (the XOR of its shingles' hashes, a linear
-   digest of the segment's bits) as a join key, for its own band and the next.
-3. Classes that share a key are joined to the least of them (no pairs of a group
-   are listed); the components of that graph hold all links.
-4. Within a component the sets meet in blocks of at most ``BLOCK`` classes, all
-   pairs of blocks of a larger component in different tasks.  There the Hamming
-   distance of bit sketches, a lower bound of the symmetric difference, discards
-   pairs, and the rest not connected yet are verified on the sets themselves.
-5. Components of the verified links give the result.
+   largest possible symmetric difference D is known: of the segments that a set
+   fills, linked sets agree in all but D (pigeonhole).  A class emits each filled
+   segment's parity (the XOR of its shingles' hashes, a linear digest of the
+   segment's bits) as a join key, for its own band and the next.
+3. A key of more than ``HOT`` classes (a passage that many documents share) is given up by
+   every class that fills more segments than D and its hot keys together: a linked
+   class still meets it in another key.  Classes that can't spare their hot
+   keys, such as those of large groups of near copies, keep them.
+4. Each class is verified, on the texts' sets, against the least class it shares a key with;
+   that connects nearly all copies, and needs each text about once.
+5. Keys whose classes are still in several components are compared by bit sketches: a small
+   key in one unit, a larger one in blocks of ``BLOCK``, where only what lies outside the
+   key's largest component meets all blocks.  Pairs whose Hamming distance, a
+   lower bound of the symmetric difference, allows a link are verified best first, and
+   those that turn out connected meanwhile are left out, until none is left.
+
+No pairs of a group are listed: only pairs that no verified link connects and that
+the sketches can't refute.  All steps are exact, whatever ``HOT`` and ``BLOCK`` are.
 
 Nulls: a null or empty text has no shingles and links with nothing; a null id
 gets no component and takes no part.  Equal rows share a class; an empty table
-gives an empty result.
+gives an empty result.  Columns other than id and text play no part; ``one_of_each``
+passes them on under whatever names.
 """
 
 from __future__ import annotations
@@ -34,9 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, maybe_in, mix, shingles, staged, text_buffer, word_hashes
+from ..operators.graph import components
+from ..stores import heavy, saved
+from .common import maybe_in, mix, shingles, text_buffer, word_hashes
 
-BLOCK = 1000
+HOT = 64
+BLOCK = 4096
 
 
 class Bands:
@@ -63,24 +74,27 @@ class Bands:
         return 2 * self.limit(k) * (self.den - self.num) // (self.den + self.num)
 
     def segments(self, k: int) -> int:
-        """Segments of band k's sketches: ``difference(k) + 1``, and as many more as a
-        set of the band is likely to leave empty, where that comes to a bounded number.
+        """Segments of band k's sketches: the least number at which the smallest sets that are
+        compared in the band fill a third more than ``difference(k)``, and with a chance of
+        some 1e-4 to the contrary (four standard deviations) more than ``difference(k)``.
 
-        Two linked sets agree in ``segments - difference`` segments at least.  If
-        either leaves fewer empty, one of those holds shingles of both.
+        What a set fills beyond ``difference(k)`` is the number of hot keys it can spare;
+        a set that fills no more has keys of its own kind (``segment_keys``).
         """
-        least = self.difference(k) + 1
-        low = self.limit(max(k - 1, 0)) * self.num / self.den
-        n = least
-        for _ in range(40):
-            empty = n * math.exp(-low / n)
-            more = least + math.ceil(empty + 3 * math.sqrt(empty))
-            if more > 2.5 * least + 4:
-                return least
-            if more <= n:
+        least = self.difference(k)
+        low = max(1, math.ceil(self.limit(max(k - 1, 0)) * self.num / self.den))
+        for n in range(least + 1, 4 * (least + 4)):
+            p1, p2 = (1 - 1 / n) ** low, (1 - 2 / n) ** low
+            filled = n * (1 - p1)
+            spread = max(0.0, n * (n - 1) * p2 + n * p1 - (n * p1) ** 2)
+            if filled >= least * 4 / 3 + 1 and filled - 4 * math.sqrt(spread) > least:
                 return n
-            n = more
-        return least
+        return 4 * (least + 4)
+
+    def sketch_words(self, size: int) -> int:
+        """64-bit words of a bit sketch: a power of 2 with at least 4 bits for each
+        element of the largest difference, so that sets far apart show it."""
+        return 1 << (max(1, -(-4 * self.difference(self.band(size)) // 64)) - 1).bit_length()
 
     def linked(self, shared: int, a: int, b: int) -> bool:
         return self.den * shared >= self.num * (a + b - shared)
@@ -92,38 +106,39 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return [np.unique(shingles(words[a:b], n)) for a, b in zip(at, at[1:], strict=False)]
 
 
-def segment_keys(hashes: np.ndarray, band: int, bands: Bands) -> np.ndarray:
-    """Join keys of one set in one band: a hash of band, segment and the segment's parity.
+def segment_keys(hashes: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, int]:
+    """Join keys of one set in one band, and how many of them it can spare.
 
-    Empty segments, in which sets agree without being alike, give a key only where
-    the set leaves so many empty that the agreement of linked sets could lie in those alone.
+    A key is a hash of band, segment and the segment's parity.  Two linked sets that both fill
+    no more segments than the largest difference might agree in empty ones alone; such a set also
+    has a key for each size, from its own on, that a set linked to it can have.
     """
-    segments = bands.segments(band)
+    segments, apart = bands.segments(band), bands.difference(band)
     of = (mix(hashes) % np.uint64(segments)).astype(np.int64)
     order = np.argsort(of, kind="stable")
     present, starts = np.unique(of[order], return_index=True)
     parity = np.bitwise_xor.reduceat(hashes[order], starts)
-    if segments - len(present) >= segments - bands.difference(band):
-        whole = np.zeros(segments, np.uint64)
-        whole[present] = parity
-        present, parity = np.arange(segments), whole
-    salt = mix(present.astype(np.uint64) + np.uint64(band << 32 | 1))
-    return mix(parity ^ salt).view(np.int64)
+    keys = mix(parity ^ mix(present.astype(np.uint64) + np.uint64(band << 32 | 1)))
+    if len(present) <= apart:
+        sizes = np.arange(len(hashes), bands.den * len(hashes) // bands.num + 1, dtype=np.uint64)
+        keys = np.concatenate([keys, mix(sizes ^ mix(np.array([band << 33 | 1 << 32], np.uint64)))])
+    return keys.view(np.int64), max(0, len(present) - apart)
 
 
 def bit_sketch(hashes: np.ndarray, words: int) -> np.ndarray:
-    """Parity bits of a set: each shingle toggles one of ``64 * words`` bits."""
+    """Parity bits of a set: each shingle toggles one of ``64 * words`` bits (words: a power of 2)."""
     bits = np.bincount((mix(hashes ^ np.uint64(0xA5A5A5A5)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
-def set_digest(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch with ``words`` words of the same set."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
-def class_node(digest: bytes) -> int:
-    """The number under which a class takes part in graphs."""
-    return int.from_bytes(digest[:8], "little", signed=True)
+def class_node(hashes: np.ndarray) -> int:
+    """The number of a set's class: a 64-bit digest."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _sets(batches, n: int):
@@ -134,126 +149,248 @@ def _sets(batches, n: int):
             yield piece, shingle_sets(piece.column(piece.num_columns - 1), n)
 
 
-def classes_of(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, node) of (doc_id, text) rows; empty sets have no digest."""
+def classes_of(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """(doc_id, n_shingles, node, bits) of (doc_id, text) rows; empty sets have no node."""
 
     def run(batches):
         for piece, sets in _sets(batches, n):
-            digests = [set_digest(s) if len(s) else None for s in sets]
-            nodes = [None if d is None else class_node(d) for d in digests]
+            nodes = [class_node(s) if len(s) else None for s in sets]
+            bits = [bit_sketch(s, bands.sketch_words(len(s))).tobytes() if len(s) else None for s in sets]
             yield pa.record_batch([
-                piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()),
-            ], names=["doc_id", "n_shingles", "digest", "node"])
+                piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()),
+            ], names=["doc_id", "n_shingles", "node", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, node long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bits binary")
 
 
 def class_keys(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(node, key): the join keys of (text) rows' classes, each class once for every batch it is in."""
+    """(key, node, tag): the join keys of (text) rows' classes, each class once for every batch it is in;
+    tag is ``band << 32`` and the number of keys of that band that the class can spare."""
 
     def run(batches):
         for batch in batches:
             seen: set[int] = set()
             for _, sets in _sets([batch], n):
-                nodes, keys = [], []
+                nodes, keys, tags = [], [], []
                 for s in sets:
-                    if len(s) and (node := class_node(set_digest(s))) not in seen:
+                    if len(s) and (node := class_node(s)) not in seen:
                         seen.add(node)
                         band = bands.band(len(s))
                         for b in (band, band + 1):
-                            keys.append(segment_keys(s, b, bands))
-                            nodes.append(np.full(len(keys[-1]), node, np.int64))
+                            own, spare = segment_keys(s, b, bands)
+                            keys.append(own)
+                            nodes.append(np.full(len(own), node, np.int64))
+                            tags.append(np.full(len(own), b << 32 | spare, np.int64))
                 if keys:
-                    yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys))], names=["node", "key"])
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, nodes, tags)], names=["key", "node", "tag"])
+
+    return docs.mapInArrow(run, "key long, node long, tag long")
+
 
-    return docs.mapInArrow(run, "node long, key long")
+def shared_keys(keys: DataFrame, hot: int) -> DataFrame:
+    """(key, node, hub): keys that several classes have, with the least of them, without the hot keys
+    that classes can spare."""
+    own = Window.partitionBy("key")
+    many = keys.withColumns({"hub": F.min("node").over(own), "_top": F.max("node").over(own), "_n": F.count("*").over(own)})
+    many = saved(many.where("hub <> _top").drop("_top").distinct())
+    spared = many.where(F.col("_n") > hot).groupBy("node", "tag").agg(F.count("*").alias("_h")).where("_h < (tag & 4294967295)").select("node", "tag")
+    kept = many.where(F.col("_n") > hot).join(spared, ["node", "tag"], "left_anti")
+    return saved(many.where(F.col("_n") <= hot).select("key", "node", "hub").union(kept.select("key", "node", "hub")))
 
 
-def verified_links(members: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(a, b): enough verified links to connect all classes that are linked; of sorted
-    (comp, x, y, block, node, text) rows, one run for each pair of blocks."""
+def verified(pairs: DataFrame, ids: DataFrame, rows: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """The pairs (a, b) that are linked, of distinct pairs of classes.
+
+    ids: (node, doc_id), a document of each class; rows: (doc_id, text).  The set of a is
+    held while those of its partners pass; a class with very many partners is held by several tasks.
+    """
+    pairs = saved(pairs)
+    big = F.broadcast(heavy(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", pairs.count()))
+    dealt = pairs.join(big, "a", "left").withColumn("piece", F.pmod(F.xxhash64("b"), F.coalesce("pieces", F.lit(1))).cast("int"))
+    wanted = dealt.select("a", "piece", F.lit(0).alias("role"), F.col("a").alias("node")).distinct().union(dealt.select("a", "piece", F.lit(1).alias("role"), F.col("b").alias("node")))
+    wanted = saved(wanted.join(ids, "node"))
+    texts = rows.where(maybe_in(wanted.select("doc_id"))("doc_id"))
+    members = wanted.hint("merge").join(texts, "doc_id").select("a", "piece", "role", "node", "text")
 
     def run(batches):
-        at, held = None, {}
+        at, held = None, None
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 piece = batch.slice(k, 500)
-                heads = zip(*(piece.column(c).to_pylist() for c in range(5)), strict=True)
-                for (*key, block, node), s in zip(heads, shingle_sets(piece.column(5), n), strict=True):
-                    if key != at:
-                        if len(held) > 1:
-                            yield links(at, held)
-                        at, held = key, {}
-                    if node not in held and class_node(set_digest(s)) == node:  # an id may have other texts too
-                        held[node] = (block, node, s)
-        if len(held) > 1:
-            yield links(at, held)
-
-    def links(key, held):
-        got = _connect(list(held.values()), key[1] != key[2], key[1], bands)
-        return pa.record_batch([pa.array([x[c] for x in got], pa.int64()) for c in (0, 1)], names=["a", "b"])
-
-    return members.mapInArrow(run, "a long, b long")
-
+                out = []
+                heads = zip(*(piece.column(c).to_pylist() for c in range(4)), strict=True)
+                for (a, part, role, node), s in zip(heads, shingle_sets(piece.column(4), n), strict=True):
+                    if (a, part) != at:
+                        at, held = (a, part), None
+                    if class_node(s) != node:  # an id may have other texts too
+                        continue
+                    if not role:
+                        held = s
+                    elif bands.linked(len(np.intersect1d(held, s, assume_unique=True)), len(held), len(s)):
+                        out.append((a, node))
+                yield pa.record_batch([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(members.repartition(parts, "a", "piece").sortWithinPartitions("a", "piece", "role").mapInArrow(run, "a long, b long").distinct())
+
+
+def comparisons(shared: DataFrame, labels: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
+    """(key, x, y, z, node, label, size, bits): units (key, x, y) of what is to be compared of the keys
+    whose classes have several labels.
+
+    A key of up to ``block`` classes is one unit.  Of a larger one, classes outside its most common
+    label form blocks of their own and meet all blocks; the others meet only those.
+    """
+    named = saved(shared.select("key", "node").join(labels, "node"))
+    sums = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
+    sums = sums.agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    whole = F.col("n") <= block
+    cut = lambda c: F.ceil(c / F.lit(block)).cast("int")
+    sums = sums.select("key", F.when(~whole, F.col("top.label")).alias("top"), F.when(whole, 1).otherwise(cut(F.col("n") - F.col("top.n"))).alias("few"), F.when(whole, 0).otherwise(cut(F.col("top.n"))).alias("most"))
+    rows = named.join(saved(sums), "key")
+    rows = rows.withColumn("minor", ~F.col("label").eqNullSafe(F.col("top")))
+    z = F.when(F.col("minor"), F.pmod(F.xxhash64("node"), "few")).otherwise(F.col("few") + F.pmod(F.xxhash64("node"), F.greatest("most", F.lit(1)))).cast("int")
+    last = F.when(F.col("minor"), F.col("few") + F.col("most")).otherwise(F.col("few")) - 1
+    rows = rows.withColumn("z", z).join(sketches, "node").withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rows.select("key", F.least("z", "other").alias("x"), F.greatest("z", "other").alias("y"), "z", "node", "label", "size", "bits")
+
+
+def close_pairs(units: DataFrame, now: DataFrame, rank: tuple[int, int], bands: Bands) -> DataFrame:
+    """(a, b, more): of each unit the pairs that sketches allow to be linked and that ``now`` (node, root) doesn't
+    connect, for each two labels those with ranks in [from, to); ``more``: there are others behind."""
 
-def _connect(held: list[tuple[int, int, np.ndarray]], across: bool, first: int, bands: Bands) -> list[tuple[int, int]]:
-    """Links between the sets of one block, or only those across two blocks."""
-    held.sort(key=lambda x: (len(x[2]), x[1]))
-    size = np.array([len(s) for _, _, s in held])
-    side = np.array([b == first for b, _, _ in held])
-    words = max(1, (bands.difference(bands.band(int(size[-1]))) + 1))
-    bits = np.stack([bit_sketch(s, words) for _, _, s in held])
-    root = np.arange(len(held))
-    out = []
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in range(9)]
+            for key, x, y, *rest in zip(*cols, strict=True):
+                if (key, x, y) != at:
+                    if len(held) > 1:
+                        yield from _unit(held, at[1] != at[2], rank, bands)
+                    at, held = (key, x, y), []
+                held.append(rest)
+        if len(held) > 1:
+            yield from _unit(held, at[1] != at[2], rank, bands)
+
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = units.join(now, "node").select("key", "x", "y", "z", "node", "label", "size", "bits", "root")
+    return rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long, more boolean")
+
+
+def _unit(held: list, across: bool, rank: tuple[int, int], bands: Bands):
+    """The pairs of one unit, rows (z, node, label, size, bits, root)."""
+    held = sorted({h[1]: h for h in held}.values(), key=lambda h: (h[3], h[1]))
+    z, node, label, size, root = (np.array([h[c] for h in held], np.int64) for c in (0, 1, 2, 3, 5))
+    if root.min() == root.max():
+        return
+    raw = [np.frombuffer(h[4], np.uint64) for h in held]
+    words = min(map(len, raw))
+    bits = np.stack([folded(r, words) for r in raw])
+    found = []
     for i in range(1, len(held)):
         near = np.arange(np.searchsorted(size[:i], -(-bands.num * size[i] // bands.den)), i)
-        near = near[root[near] != root[i]]
+        near = near[label[near] != label[i]]
         if across:
-            near = near[side[near] != side[i]]
-        if not len(near):
-            continue
-        apart = np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64)
-        near = near[apart * (bands.den + bands.num) <= (bands.den - bands.num) * (size[near] + size[i])]
-        for j in near:
-            if root[i] == root[j]:
-                continue
-            shared = len(np.intersect1d(held[i][2], held[j][2], assume_unique=True))
-            if bands.linked(shared, int(size[i]), int(size[j])):
-                out.append((held[i][1], held[j][1]))
-                root[root == root[j]] = root[i]
-    return out
-
-
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+            near = near[z[near] != z[i]]
+        if len(near):
+            apart = np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64)
+            spare = (bands.den - bands.num) * (size[near] + size[i]) - apart * (bands.den + bands.num)
+            ok = spare >= 0
+            found.append(np.stack([near[ok], np.full(ok.sum(), i), spare[ok] * 1000 // (size[near][ok] + size[i])]))
+    if not found or not (pairs := np.concatenate(found, 1)).size:
+        return
+    i, j, spare = pairs
+    first, second = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+    order = np.lexsort((node[j], node[i], -spare, second, first))
+    i, j, first, second = i[order], j[order], first[order], second[order]
+    new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+    place = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    open_ = root[i] != root[j]
+    chosen = open_ & (place >= rank[0]) & (place < rank[1])
+    a, b = np.minimum(node[i], node[j])[chosen], np.maximum(node[i], node[j])[chosen]
+    yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool))], names=["a", "b", "more"])
+    if (open_ & (place >= rank[1])).any():
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([True])], names=["a", "b", "more"])
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) with the labels that ``links`` (a, b) connect made one."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    merged = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), "root")
+    return saved(labels.join(merged, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+
+
+def linked_classes(rows: DataFrame, n: int, bands: Bands, hot: int = HOT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, text) rows: (doc_id, n_shingles, node, bits) of each, and (node, rep, n_rows, component_id)
+    of each class: its least id, its rows, and the least id of all linked classes."""
+    known = saved(classes_of(rows, n, bands))
+    mine = known.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node")
+    classes = saved(mine.agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.min("n_shingles").alias("size"), F.min("bits").alias("bits")))
+    ids = classes.select("node", F.col("rep").alias("doc_id"))
+
+    shared = shared_keys(class_keys(rows.where("doc_id IS NOT NULL").select("text"), n, bands), hot)
+    star = shared.where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub"))
+    found = verified(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), ids, rows, n, bands)
+    labels = saved(shared.select("node", F.col("node").alias("label")).distinct())
+    labels = relabelled(labels, found)
+    units = saved(comparisons(shared, labels, classes.select("node", "size", "bits"), block))
+    rank, more = (0, 1), not units.isEmpty()
+    while more:
+        pairs = saved(close_pairs(units, labels.withColumnRenamed("label", "root"), rank, bands))
+        found = verified(pairs.where("NOT more").select("a", "b").distinct(), ids, rows, n, bands)
+        labels = relabelled(labels, found)
+        rank, more = (rank[1], 4 * rank[1]), not pairs.where("more").isEmpty()
+
+    of = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = of.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return known, saved(of.join(least, "label").select("node", "rep", "n_rows", "component_id"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    known, classes = linked_classes(_rows(docs, id_col, text_col), n, Bands(num, den), hot, block)
+    out = known.select("doc_id", "n_shingles", "node").join(classes.select("node", "component_id"), "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each group of linked rows: that with the least id.
+
+    Rows without an id or without words all stay, and rows of one id with unlike texts are
+    judged each for itself.  Of rows with equal id and equal set the least, by all columns' hash, stays.
+    Only rows that have copies are shuffled.
+    """
     bands = Bands(num, den)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = staged(classes_of(rows, n))
-    classes = staged(known.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "node").agg(F.min("doc_id").alias("rep")))
-
-    # the least class of each key
-    keys = class_keys(rows.where("doc_id IS NOT NULL").select("text"), n, bands)
-    hubs = keys.withColumn("hub", F.min("node").over(Window.partitionBy("key")))
-    star = staged(hubs.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    near = staged(components(star))
-
-    # the texts of each component, dealt to pairs of blocks
-    sizes = near.groupBy("root").agg(F.count("*").alias("members")).where(f"members > {block}")
-    dealt = near.join(staged(sizes), "root", "left").withColumn("blocks", F.ceil(F.coalesce("members", F.lit(1)) / F.lit(block)).cast("long"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col("root").alias("comp"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node")
-    dealt = staged(dealt.join(classes.select("node", F.col("rep").alias("doc_id")), "node"))
-    texts = rows.where(maybe_in(dealt.select("doc_id"))("doc_id"))
-    members = dealt.hint("merge").join(texts, "doc_id").select("comp", "x", "y", "block", "node", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = staged(verified_links(members.repartition(parts, "comp", "x", "y").sortWithinPartitions("comp", "x", "y"), n, bands))
-
-    found = components(links).join(classes.select("node", "rep"), "node")
-    found = staged(found.join(found.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id"))
-    labelled = classes.join(found, "node", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    out = known.select("doc_id", "n_shingles", "digest").join(labelled, "digest", "left")
-    own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    _, classes = linked_classes(_rows(docs, id_col, text_col), n, bands, hot, block)
+    groups = classes.groupBy("component_id").agg(F.sum("n_rows").alias("_rows"), F.min(F.struct("rep", "node")).alias("_first"))
+    groups = groups.where("_rows > 1").select("component_id", F.col("_first.node").alias("keeper"))
+    touched = saved(classes.join(groups, "component_id").select("node", "component_id", F.col("node").eqNullSafe(F.col("keeper")).alias("stays")))
+
+    used = set(docs.columns)
+    node, stays, least, nth = (next(c for c in (f"_{name}{k}" for k in range(len(used) + 1)) if c not in used) for name in ("node", "stays", "least", "nth"))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                piece = batch.slice(k, 1000)
+                nodes = [class_node(s) if len(s) else None for s in shingle_sets(piece.column(at), n)]
+                yield pa.record_batch([*piece.columns, pa.array(nodes, pa.int64())], names=[*piece.schema.names, node])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = docs.mapInArrow(run, f"{schema}, `{node}` long")
+    unsure = F.coalesce(maybe_in(touched.select("node"))(F.when(F.col(id_col).isNotNull(), F.col(node))), F.lit(False))
+    known = touched.select(F.col("node").alias(node), F.col("component_id").alias(least), F.col("stays").alias(stays))
+    judged = rows.where(unsure).join(known.hint("merge"), node, "left")
+    judged = judged.where(F.col(stays).isNull() | (F.col(stays) & (F.col(id_col).cast("long") == F.col(least))))
+    order = Window.partitionBy(node, least).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    once = judged.withColumn(nth, F.row_number().over(order)).where(F.col(stays).isNull() | (F.col(nth) == 1))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.where(~unsure).select(*names).union(once.select(*names))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
