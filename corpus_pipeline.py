@@ -11,36 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwing.llm import op4_quality, op6_jaccard_join, op7_quality_rules, op8_packing
-from ledgerwing.llm.common import maybe_in, staged
 from ledgerwing.llm.op3_language_id import held_out
+from ledgerwing.stores import saved
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the discriminant, fitted on the labels that op4 learns from, doesn't reject."""
+    """Documents that the discriminant, fitted on the labels that op4 learns from, doesn't reject.
+
+    A null text is judged as an empty one; rows are judged each for itself, whatever other columns there are.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id", 5, 0)).select("doc_id", "quality")
     model = op4_quality.fit(docs, labels)
-    return op4_quality.score(docs, model, name="_score").where(F.col("_score") >= op4_quality.THRESHOLD).drop("_score")
+    name = next(n for n in ("score", *map("score{}".format, range(len(docs.columns)))) if n not in docs.columns)
+    return op4_quality.score(docs, model, name=name).where(F.col(name) >= op4_quality.THRESHOLD).drop(name)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
+    """Documents that pass the base rules and are no outliers of their language and source.
+
+    A null text has no words and goes; null language and source are values of their own; other columns play no part.
+    """
     return op7_quality_rules.quality_rules(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group linked at a Jaccard
-    index of 0.8 or more on 5-word shingles; documents without an id all stay."""
-    groups = staged(op6_jaccard_join.jaccard_components(docs)).where("doc_id IS NOT NULL")
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    touched = staged(gone.union(again).distinct())
-    unsure = F.coalesce(maybe_in(touched)("doc_id"), F.lit(False))
-    some = docs.where(unsure).join(gone.distinct().hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return docs.where(~unsure).union(some.select(*docs.columns))
+    index of 0.8 or more on 5-word shingles.
+
+    Documents without an id or without words all stay; rows of one id with unlike texts are judged each for itself.
+    """
+    return op6_jaccard_join.one_of_each(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of 2048 tokens."""
+    """Pieces of the remaining documents in sequences of 2048 tokens; a null or empty text is its end id alone."""
     return op8_packing.pack_words(docs)
 
 
@@ -53,5 +57,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        docs = saved(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
