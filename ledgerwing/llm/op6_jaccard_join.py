@@ -15,13 +15,13 @@ it there, so two sketches differ in at most as many places as the sets do.
    every class that fills more segments than D and its hot keys together: a linked
    class still meets it in another key.  Classes that can't spare their hot
    keys, such as those of large groups of near copies, keep them.
-4. Each class is verified, on the texts' sets, against the least class it shares a key with;
-   that connects nearly all copies, and needs each text about once.
+4. Each class is compared with one other, of the least classes of its keys the one it shares
+   most keys with: by bit sketches, whose Hamming distance is a lower bound of the symmetric
+   difference, and if that allows a link, on the texts' sets.  That connects nearly all copies.
 5. Keys whose classes are still in several components are compared by bit sketches: a small
    key in one unit, a larger one in blocks of ``BLOCK``, where only what lies outside the
-   key's largest component meets all blocks.  Pairs whose Hamming distance, a
-   lower bound of the symmetric difference, allows a link are verified best first, and
-   those that turn out connected meanwhile are left out, until none is left.
+   key's largest component meets all blocks.  Pairs that may be
+   linked are verified best first, and those that turn out connected meanwhile are left out, until none is left.
 
 No pairs of a group are listed: only pairs that no verified link connects and that
 the sketches can't refute.  All steps are exact, whatever ``HOT`` and ``BLOCK`` are.
@@ -38,6 +38,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ class Bands:
 
     def segments(self, k: int) -> int:
         """Segments of band k's sketches: the least number at which the smallest sets that are
-        compared in the band fill a third more than ``difference(k)``, and with a chance of
+        compared in the band fill a fifth more than ``difference(k)``, and with a chance of
         some 1e-4 to the contrary (four standard deviations) more than ``difference(k)``.
 
         What a set fills beyond ``difference(k)`` is the number of hot keys it can spare;
@@ -87,7 +88,7 @@ class Bands:
             p1, p2 = (1 - 1 / n) ** low, (1 - 2 / n) ** low
             filled = n * (1 - p1)
             spread = max(0.0, n * (n - 1) * p2 + n * p1 - (n * p1) ** 2)
-            if filled >= least * 4 / 3 + 1 and filled - 4 * math.sqrt(spread) > least:
+            if filled >= least * 6 / 5 + 1 and filled - 4 * math.sqrt(spread) > least:
                 return n
         return 4 * (least + 4)
 
@@ -106,15 +107,26 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return [np.unique(shingles(words[a:b], n)) for a, b in zip(at, at[1:], strict=False)]
 
 
-def segment_keys(hashes: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, int]:
-    """Join keys of one set in one band, and how many of them it can spare.
+def _segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
+    return (mix(hashes) % np.uint64(segments)).astype(np.int64)
+
+
+def spare_keys(hashes: np.ndarray, bands: Bands) -> int:
+    """How many keys, of both bands together, a set can do without: what it fills beyond the largest
+    difference, in the band where that is less."""
+    band = bands.band(len(hashes))
+    return max(0, min(int((np.bincount(_segment_of(hashes, bands.segments(b))) > 0).sum()) - bands.difference(b) for b in (band, band + 1)))
+
+
+def segment_keys(hashes: np.ndarray, band: int, bands: Bands) -> np.ndarray:
+    """Join keys of one set in one band.
 
     A key is a hash of band, segment and the segment's parity.  Two linked sets that both fill
     no more segments than the largest difference might agree in empty ones alone; such a set also
     has a key for each size, from its own on, that a set linked to it can have.
     """
     segments, apart = bands.segments(band), bands.difference(band)
-    of = (mix(hashes) % np.uint64(segments)).astype(np.int64)
+    of = _segment_of(hashes, segments)
     order = np.argsort(of, kind="stable")
     present, starts = np.unique(of[order], return_index=True)
     parity = np.bitwise_xor.reduceat(hashes[order], starts)
@@ -122,7 +134,7 @@ def segment_keys(hashes: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarra
     if len(present) <= apart:
         sizes = np.arange(len(hashes), bands.den * len(hashes) // bands.num + 1, dtype=np.uint64)
         keys = np.concatenate([keys, mix(sizes ^ mix(np.array([band << 33 | 1 << 32], np.uint64)))])
-    return keys.view(np.int64), max(0, len(present) - apart)
+    return keys.view(np.int64)
 
 
 def bit_sketch(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -150,52 +162,68 @@ def _sets(batches, n: int):
 
 
 def classes_of(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(doc_id, n_shingles, node, bits) of (doc_id, text) rows; empty sets have no node."""
+    """(doc_id, n_shingles, node, bits, spare) of (doc_id, text) rows; empty sets have no node."""
 
     def run(batches):
         for piece, sets in _sets(batches, n):
             nodes = [class_node(s) if len(s) else None for s in sets]
             bits = [bit_sketch(s, bands.sketch_words(len(s))).tobytes() if len(s) else None for s in sets]
+            spare = [spare_keys(s, bands) if len(s) else None for s in sets]
             yield pa.record_batch([
-                piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()),
-            ], names=["doc_id", "n_shingles", "node", "bits"])
+                piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.array(spare, pa.int64()),
+            ], names=["doc_id", "n_shingles", "node", "bits", "spare"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bits binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bits binary, spare long")
 
 
 def class_keys(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(key, node, tag): the join keys of (text) rows' classes, each class once for every batch it is in;
-    tag is ``band << 32`` and the number of keys of that band that the class can spare."""
+    """(key, node): the join keys of (text) rows' classes, each class once for every batch it is in."""
 
     def run(batches):
         for batch in batches:
             seen: set[int] = set()
             for _, sets in _sets([batch], n):
-                nodes, keys, tags = [], [], []
+                nodes, keys = [], []
                 for s in sets:
                     if len(s) and (node := class_node(s)) not in seen:
                         seen.add(node)
                         band = bands.band(len(s))
                         for b in (band, band + 1):
-                            own, spare = segment_keys(s, b, bands)
-                            keys.append(own)
-                            nodes.append(np.full(len(own), node, np.int64))
-                            tags.append(np.full(len(own), b << 32 | spare, np.int64))
+                            keys.append(segment_keys(s, b, bands))
+                            nodes.append(np.full(len(keys[-1]), node, np.int64))
                 if keys:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, nodes, tags)], names=["key", "node", "tag"])
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, nodes)], names=["key", "node"])
 
-    return docs.mapInArrow(run, "key long, node long, tag long")
+    return docs.mapInArrow(run, "key long, node long")
 
 
-def shared_keys(keys: DataFrame, hot: int) -> DataFrame:
+def shared_keys(keys: DataFrame, classes: DataFrame, hot: int) -> DataFrame:
     """(key, node, hub): keys that several classes have, with the least of them, without the hot keys
-    that classes can spare."""
+    that classes (node, spare) can do without."""
     own = Window.partitionBy("key")
     many = keys.withColumns({"hub": F.min("node").over(own), "_top": F.max("node").over(own), "_n": F.count("*").over(own)})
     many = saved(many.where("hub <> _top").drop("_top").distinct())
-    spared = many.where(F.col("_n") > hot).groupBy("node", "tag").agg(F.count("*").alias("_h")).where("_h < (tag & 4294967295)").select("node", "tag")
-    kept = many.where(F.col("_n") > hot).join(spared, ["node", "tag"], "left_anti")
-    return saved(many.where(F.col("_n") <= hot).select("key", "node", "hub").union(kept.select("key", "node", "hub")))
+    own_hot = many.where(F.col("_n") > hot).groupBy("node").agg(F.count("*").alias("_h"))
+    spared = own_hot.join(classes.select("node", "spare"), "node").where("_h < spare").select("node")
+    kept = many.where(F.col("_n") > hot).join(spared, "node", "left_anti")
+    return many.where(F.col("_n") <= hot).select("key", "node", "hub").union(kept.select("key", "node", "hub"))
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) whose sketches (node, size, bits) allow a link."""
+    of = lambda c: sketches.select(F.col("node").alias(c), F.struct("size", "bits").alias(f"_{c}"))
+
+    @F.pandas_udf("boolean")
+    def allowed(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+        out = np.zeros(len(a), bool)
+        for k, (m, x, n, y) in enumerate(zip(a["size"], a["bits"], b["size"], b["bits"], strict=True)):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            words = min(len(x), len(y))
+            apart = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+            out[k] = bands.den * min(m, n) >= bands.num * max(m, n) and apart * (bands.den + bands.num) <= (bands.den - bands.num) * (m + n)
+        return pd.Series(out)
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(allowed("_a", "_b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, ids: DataFrame, rows: DataFrame, n: int, bands: Bands) -> DataFrame:
@@ -257,60 +285,79 @@ def comparisons(shared: DataFrame, labels: DataFrame, sketches: DataFrame, block
 
 def close_pairs(units: DataFrame, now: DataFrame, rank: tuple[int, int], bands: Bands) -> DataFrame:
     """(a, b, more): of each unit the pairs that sketches allow to be linked and that ``now`` (node, root) doesn't
-    connect, for each two labels those with ranks in [from, to); ``more``: there are others behind."""
+    connect, for each two labels those with ranks in [from, to); in ``more`` keys that have others behind."""
 
     def run(batches):
-        at, held = None, []
+        rest = None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(9)]
-            for key, x, y, *rest in zip(*cols, strict=True):
-                if (key, x, y) != at:
-                    if len(held) > 1:
-                        yield from _unit(held, at[1] != at[2], rank, bands)
-                    at, held = (key, x, y), []
-                held.append(rest)
-        if len(held) > 1:
-            yield from _unit(held, at[1] != at[2], rank, bands)
+            got = pa.Table.from_batches([batch])
+            got = got if rest is None else pa.concat_tables([rest, got])
+            key, x, y = (got.column(c).to_numpy() for c in range(3))
+            unit = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))])
+            last = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0
+            if last:
+                yield from _pairs(got.slice(0, last), unit[:last], rank, bands)
+            rest = got.slice(last)
+        if rest is not None and rest.num_rows:
+            yield from _pairs(rest, np.zeros(rest.num_rows, np.int64), rank, bands)
 
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = units.join(now, "node").select("key", "x", "y", "z", "node", "label", "size", "bits", "root")
-    return rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long, more boolean")
-
-
-def _unit(held: list, across: bool, rank: tuple[int, int], bands: Bands):
-    """The pairs of one unit, rows (z, node, label, size, bits, root)."""
-    held = sorted({h[1]: h for h in held}.values(), key=lambda h: (h[3], h[1]))
-    z, node, label, size, root = (np.array([h[c] for h in held], np.int64) for c in (0, 1, 2, 3, 5))
-    if root.min() == root.max():
-        return
-    raw = [np.frombuffer(h[4], np.uint64) for h in held]
-    words = min(map(len, raw))
-    bits = np.stack([folded(r, words) for r in raw])
+    rows = units.join(now, "node").select("key", "x", "y", "z", "node", "label", "size", "root", "bits")
+    return rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(run, "a long, b long, more long")
+
+
+def _sketches(column: pa.ChunkedArray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All sketches, each folded to its number of words, and where each starts."""
+    flat, at = text_buffer(column.cast(pa.large_binary()))
+    flat, at = np.ascontiguousarray(flat).view(np.uint64), at // 8
+    start = np.cumsum(words) - words
+    out = np.zeros(int(words.sum()), np.uint64)
+    to = np.arange(len(out)) - np.repeat(start, words)
+    for fold in range(int((np.diff(at) // words).max())):
+        own = np.repeat(np.diff(at) > fold * words, words)
+        out[own] ^= flat[(np.repeat(at[:-1] + fold * words, words) + to)[own]]
+    return out, start
+
+
+def _pairs(rows: pa.Table, unit: np.ndarray, rank: tuple[int, int], bands: Bands):
+    """The pairs of whole units: rows of (key, x, y, z, node, label, size, root, bits)."""
+    key, x, y, z, node, label, size, root = (rows.column(c).to_numpy() for c in range(8))
+    across = x != y
+    length = np.diff(text_buffer(rows.column(8).cast(pa.large_binary()))[1]) // 8
+    words = np.minimum.reduceat(length, np.flatnonzero(np.diff(unit, prepend=-1)))[unit - unit[0]]
+    bits, start = _sketches(rows.column(8), words)
     found = []
-    for i in range(1, len(held)):
-        near = np.arange(np.searchsorted(size[:i], -(-bands.num * size[i] // bands.den)), i)
-        near = near[label[near] != label[i]]
-        if across:
-            near = near[z[near] != z[i]]
-        if len(near):
-            apart = np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64)
-            spare = (bands.den - bands.num) * (size[near] + size[i]) - apart * (bands.den + bands.num)
-            ok = spare >= 0
-            found.append(np.stack([near[ok], np.full(ok.sum(), i), spare[ok] * 1000 // (size[near][ok] + size[i])]))
-    if not found or not (pairs := np.concatenate(found, 1)).size:
+    for step in range(1, len(unit)):  # rows that lie ``step`` apart in one unit
+        i = np.flatnonzero(unit[step:] == unit[:-step])
+        if not len(i):
+            break
+        j = i + step
+        ok = (label[i] != label[j]) & ~(across[i] & (z[i] == z[j])) & (bands.den * np.minimum(size[i], size[j]) >= bands.num * np.maximum(size[i], size[j]))
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        n = words[i]
+        cell = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        apart = np.add.reduceat(np.bitwise_count(bits[np.repeat(start[i], n) + cell] ^ bits[np.repeat(start[j], n) + cell]).astype(np.int64), np.cumsum(n) - n)
+        both = size[i] + size[j]
+        spare = (bands.den - bands.num) * both - apart * (bands.den + bands.num)
+        ok = spare >= 0
+        found.append(np.stack([i[ok], j[ok], spare[ok] * 1000 // both[ok]]))
+    if not found:
         return
-    i, j, spare = pairs
+    i, j, spare = np.concatenate(found, 1)
     first, second = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-    order = np.lexsort((node[j], node[i], -spare, second, first))
+    order = np.lexsort((node[j], node[i], -spare, second, first, unit[i]))
     i, j, first, second = i[order], j[order], first[order], second[order]
-    new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+    new = np.ones(len(i), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (unit[i][1:] != unit[i][:-1])
     place = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    open_ = root[i] != root[j]
-    chosen = open_ & (place >= rank[0]) & (place < rank[1])
-    a, b = np.minimum(node[i], node[j])[chosen], np.maximum(node[i], node[j])[chosen]
-    yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool))], names=["a", "b", "more"])
-    if (open_ & (place >= rank[1])).any():
-        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([True])], names=["a", "b", "more"])
+    apart = root[i] != root[j]
+    chosen = apart & (place >= rank[0]) & (place < rank[1])
+    pairs = np.unique(np.stack([np.minimum(node[i], node[j])[chosen], np.maximum(node[i], node[j])[chosen]]), axis=1)
+    behind = np.unique(key[i][apart & (place >= rank[1])])
+    yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], names=["a", "b", "more"])
+    yield pa.record_batch([pa.nulls(len(behind), pa.int64()), pa.nulls(len(behind), pa.int64()), pa.array(behind)], names=["a", "b", "more"])
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -321,25 +368,27 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked_classes(rows: DataFrame, n: int, bands: Bands, hot: int = HOT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Of (doc_id, text) rows: (doc_id, n_shingles, node, bits) of each, and (node, rep, n_rows, component_id)
+    """Of (doc_id, text) rows: (doc_id, n_shingles, node, bits, spare) of each, and (node, rep, n_rows, component_id)
     of each class: its least id, its rows, and the least id of all linked classes."""
     known = saved(classes_of(rows, n, bands))
     mine = known.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node")
-    classes = saved(mine.agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.min("n_shingles").alias("size"), F.min("bits").alias("bits")))
-    ids = classes.select("node", F.col("rep").alias("doc_id"))
+    classes = saved(mine.agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.min("n_shingles").alias("size"), F.min("bits").alias("bits"), F.min("spare").alias("spare")))
+    ids, sketches = classes.select("node", F.col("rep").alias("doc_id")), classes.select("node", "size", "bits")
 
-    shared = shared_keys(class_keys(rows.where("doc_id IS NOT NULL").select("text"), n, bands), hot)
-    star = shared.where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub"))
-    found = verified(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), ids, rows, n, bands)
+    shared = saved(shared_keys(class_keys(rows.where("doc_id IS NOT NULL").select("text"), n, bands), classes, hot))
+    star = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", -F.col("hub"), "hub"))["hub"].alias("hub"))
+    star = plausible(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), sketches, bands)
+    found = verified(star, ids, rows, n, bands)
     labels = saved(shared.select("node", F.col("node").alias("label")).distinct())
     labels = relabelled(labels, found)
-    units = saved(comparisons(shared, labels, classes.select("node", "size", "bits"), block))
-    rank, more = (0, 1), not units.isEmpty()
-    while more:
+    units = saved(comparisons(shared, labels, sketches, block))
+    rank = (0, 1)
+    while not units.isEmpty():
         pairs = saved(close_pairs(units, labels.withColumnRenamed("label", "root"), rank, bands))
-        found = verified(pairs.where("NOT more").select("a", "b").distinct(), ids, rows, n, bands)
+        found = verified(pairs.where("a IS NOT NULL").select("a", "b").distinct(), ids, rows, n, bands)
         labels = relabelled(labels, found)
-        rank, more = (rank[1], 4 * rank[1]), not pairs.where("more").isEmpty()
+        open_keys = pairs.where("more IS NOT NULL").select(F.col("more").alias("key")).distinct()
+        units, rank = saved(units.join(open_keys, "key", "left_semi")), (rank[1], 4 * rank[1])
 
     of = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of.groupBy("label").agg(F.min("rep").alias("component_id"))
