@@ -21,20 +21,20 @@ single document is its own successor.
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shingles, word_hashes
+from .common import shingles, tidy, word_hashes
 
 K = 128
 SHINGLE = 5
-RANGE_BYTES = 8 << 20
-MIN_RANGES = 64
+RANGE_BYTES = 4 << 20
+MIN_RANGES = 16
 
 
 def sketch(text: bytes, k: int = K, n: int = SHINGLE) -> np.ndarray:
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             got = [sketch((x.as_py() or "").encode(), k, n) for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(map(pack, got), pa.string()), pa.array([distinct_count(x, k) for x in got], pa.float64())], names=["id", "fingerprint", "n_shingles_est"])
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, fingerprint string, n_shingles_est double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(tidy(run), f"id {kind}, fingerprint string, n_shingles_est double").withColumnRenamed("id", id_col)
 
 
 def ranges(docs: DataFrame, id_col: str, text_col: str, target: int = RANGE_BYTES, least: int = MIN_RANGES, most: int = 1 << 16) -> list[int]:
@@ -104,16 +104,11 @@ def ranges(docs: DataFrame, id_col: str, text_col: str, target: int = RANGE_BYTE
     return sorted(set(cuts))
 
 
-def in_range(col, bounds: list[int]):
-    """The number of bounds that are at most the id (0 for null)."""
-    return F.coalesce(_search(col, bounds, 0, len(bounds)), F.lit(0))
-
-
-def _search(col, bounds, lo, hi):
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(col >= bounds[mid], _search(col, bounds, mid + 1, hi)).otherwise(_search(col, bounds, lo, mid))
+def in_range(col: Column, bounds: list[int]) -> Column:
+    """The number of bounds that are at most the id (0 for null), as a long."""
+    edges = np.array(bounds, np.int64)
+    places = F.pandas_udf(lambda s: pd.Series(np.where(s.isna(), 0, np.searchsorted(edges, s.fillna(0).astype("int64"), "right"))), "long")
+    return places(col.cast("long"))
 
 
 def with_next(docs: DataFrame, use, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,9 +116,7 @@ def with_next(docs: DataFrame, use, schema: str, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bounds = ranges(rows, "id", "text")
     spark = docs.sparkSession
-    places = spark.sparkContext.broadcast(bounds)
-    part = F.pandas_udf(lambda s: s.map(lambda x: bisect.bisect_right(places.value, x), na_action="ignore").fillna(0).astype("int64"), "long") if len(bounds) > 500 else None
-    rows = rows.withColumn("range", part(F.col("id")) if part else in_range(F.col("id"), bounds).cast("long"))
+    rows = rows.withColumn("range", in_range(F.col("id"), bounds))
     # one row for each range that has documents; its number is bounded by the bounds'
     heads = {r["range"]: r["head"] for r in rows.groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("there"), "id")).alias("head")).collect()}
     order = sorted(heads)
@@ -154,9 +147,8 @@ def with_next(docs: DataFrame, use, schema: str, id_col: str = "doc_id", text_co
     def as_batch(rows):
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    n = max(MIN_RANGES, len(order))
-    both = own.union(sent).repartition(n, "range").sortWithinPartitions("range", "extra", F.asc_nulls_first("id"), "text")
-    return both.mapInArrow(run, schema)
+    both = own.union(sent).repartitionById(len(bounds) + 1, F.col("range").cast("int")).sortWithinPartitions("range", "extra", F.asc_nulls_first("id"), "text")
+    return both.mapInArrow(tidy(run), schema)
 
 
 def edited(text: str, following: str) -> str:
