@@ -9,7 +9,7 @@ mass that the suffix leaves, so each state's probabilities sum to one.  ``Automa
 is the plain form for small vocabularies; ``score`` gives the same sums without ever
 holding the whole automaton, which grows with the corpus.
 
-Documents form blocks (ranges of ids).  Each block asks for the total counts of its own
+Documents form blocks (ranges of ids, of about ``BLOCK_TEXT`` bytes).  Each block asks for the total counts of its own
 distinct words and grams, and one shuffle by key brings them back.  A block then
 knows every arc its texts can use.  The first block that asks for a gram adds it to its
 context's sums, and a second shuffle by context brings back the backoff weights.
@@ -30,15 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..stores import saved as staged
-from .common import mix, text_buffer, word_hashes
+from .common import mix, text_buffer, tidy, word_hashes
 from .op3_language_id import held_out
 from .op9_fingerprint import in_range, ranges
 
 MIN_COUNT = 2
 DISCOUNT = 0.5
 END = np.uint64(0x5F3759DF5F3759DF)
-BLOCK_TEXT = 16 << 20
+BLOCK_TEXT, LEAST_BLOCKS = 8 << 20, 8
 FLUSH = 8_000_000
+PACK_BYTES = 16 << 20
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +159,7 @@ def asked(docs: DataFrame, n_dest: int) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return docs.mapInArrow(run, ASKED)
+    return docs.mapInArrow(tidy(run), ASKED)
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -202,7 +203,39 @@ def totals(rows: DataFrame) -> DataFrame:
                     ], names=["dest", "block", "size", "keys", "nums", "n_tokens", "n_words"])
                     sums = [0, 0]
 
-    return rows.mapInArrow(run, ASKED + ", n_tokens long, n_words long")
+    return rows.mapInArrow(tidy(run), ASKED + ", n_tokens long, n_words long")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(block, kind, size, keys, nums) of ``docs`` (block, id, held_out, text): rows of one block as compressed Arrow streams in ``keys``."""
+
+    def run(batches):
+        held: dict[int, list[pa.RecordBatch]] = {}
+        size = 0
+
+        def flush():
+            for block, parts in held.items():
+                rows = pa.Table.from_batches(parts).combine_chunks()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(rows)
+                yield pa.record_batch([
+                    pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.array([rows.num_rows], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, pa.binary()),
+                ], names=["block", "kind", "size", "keys", "nums"])
+            held.clear()
+
+        for batch in batches:
+            batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
+            for k in range(0, batch.num_rows, 500):
+                for block, piece in _runs([batch.slice(k, 500)], 0):
+                    held.setdefault(block, []).append(piece.select(["id", "held_out", "text"]))
+                    size += int(text_buffer(piece.column("text"))[1][-1])
+                if size > PACK_BYTES:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return docs.mapInArrow(tidy(run), "block long, kind int, size long, keys binary, nums binary")
 
 
 class Automaton:
@@ -362,13 +395,13 @@ class Block:
         rank = np.cumsum(self.used) - 1
         for ids, flags, n, seen, base, part, per in self.docs:
             k = len(n)
-            uses = pa.array([_planes(rank[u]) for u in per], pa.binary())
+            uses = pa.array([_planes(np.diff(np.sort(rank[u]), prepend=0)) for u in per], pa.binary())
             yield pa.record_batch([pa.array(np.ones(k, np.int32)), none(k, pa.int64()), pa.array(np.full(k, block, np.int64)), pa.array([len(u) for u in per], pa.int64()), ids, flags,
                                    pa.array(n), pa.array(seen), pa.array(base), pa.array(part), none(k, pa.binary()), uses], names=HALF_NAMES)
 
 
 def half_scored(rows: DataFrame, below: float, n_dest: int) -> DataFrame:
-    """``HALF`` of (block, kind, size, keys, nums, id, held_out, text) sorted by block and kind: totals, then texts."""
+    """``HALF`` of (block, kind, size, keys, nums) sorted by block and kind: totals, then ``packed`` texts."""
 
     def run(batches):
         at, got, made = None, [], None
@@ -384,13 +417,14 @@ def half_scored(rows: DataFrame, below: float, n_dest: int) -> DataFrame:
                         continue
                     if made is None:
                         made, got = Block(got, below), []
-                    for k in range(0, piece.num_rows, 500):
-                        some = piece.slice(k, 500)
-                        made.add(some.column(5), some.column(6), some.column(7))
+                    for raw in piece.column(3):
+                        rows = pa.ipc.open_stream(raw.as_buffer()).read_all()
+                        for some in rows.to_batches(max_chunksize=500):
+                            made.add(*some.columns)
         if made:
             yield from made.rows(at, n_dest)
 
-    return rows.mapInArrow(run, HALF)
+    return rows.mapInArrow(tidy(run), HALF)
 
 
 def weights(rows: DataFrame, below: float) -> DataFrame:
@@ -424,7 +458,7 @@ def weights(rows: DataFrame, below: float) -> DataFrame:
                 if len(mine):
                     yield pa.record_batch([pa.array([block], pa.int64()), pa.array([dest], pa.int64()), pa.array([len(mine)], pa.int64()), pa.array([mine.astype("<f8").tobytes()], pa.binary())], names=["block", "dest", "size", "nums"])
 
-    return rows.mapInArrow(run, "block long, dest long, size long, nums binary")
+    return rows.mapInArrow(tidy(run), "block long, dest long, size long, nums binary")
 
 
 def _staged_alone(df: DataFrame) -> DataFrame:
@@ -443,24 +477,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_
     ``flag_col`` are scored but not learned from."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(flag_col).alias("held_out"), F.col(text_col).alias("text"))
-    bounds = ranges(rows, "id", "text", BLOCK_TEXT)
-    rows = rows.withColumn("block", in_range(F.col("id"), bounds).cast("long"))
+    bounds = ranges(rows, "id", "text", BLOCK_TEXT, LEAST_BLOCKS)
+    rows = rows.withColumn("block", in_range(F.col("id"), bounds))
     n_blocks = len(bounds) + 1
     n_dest = 4 * n_blocks
     requests = asked(rows.select("block", "held_out", "text"), n_dest)
-    known = _staged_alone(totals(requests.repartition(n_dest, "dest").sortWithinPartitions("dest", "block")))
+    known = _staged_alone(totals(requests.repartitionById(n_dest, F.col("dest").cast("int")).sortWithinPartitions("dest", "block")))
     tokens, distinct = known.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     below = float(tokens + distinct + 1)
 
-    texts = rows.select("block", F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("size", "long"), ("keys", "binary"), ("nums", "binary"))], "id", "held_out", F.coalesce("text", F.lit("")).alias("text"))
-    found = known.where("size > 0").select("block", F.lit(0).alias("kind"), "size", "keys", "nums", *[F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("held_out", "boolean"), ("text", "string"))])
-    half = _staged_alone(half_scored(found.union(texts).repartition(n_blocks, "block").sortWithinPartitions("block", "kind"), below, n_dest))
+    texts = packed(rows.select("block", "id", "held_out", F.coalesce("text", F.lit("")).alias("text")))
+    found = known.where("size > 0").select("block", F.lit(0).alias("kind"), "size", "keys", "nums")
+    half = _staged_alone(half_scored(found.union(texts).repartitionById(n_blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind"), below, n_dest))
 
     contexts = half.where("kind = 0").select("dest", "block", "size", "keys", "nums")
-    back = weights(contexts.repartition(n_dest, "dest").sortWithinPartitions("dest", "block"), below)
+    back = weights(contexts.repartitionById(n_dest, F.col("dest").cast("int")).sortWithinPartitions("dest", "block"), below)
     nulls = [F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("part", "double"))]
     parts = half.where("kind = 1").select("block", "kind", "dest", "size", "nums", "id", "held_out", "n_tokens", "n_known", "base", "part")
-    dealt = back.select("block", F.lit(0).alias("kind"), "dest", "size", "nums", *nulls).union(parts).repartition(n_blocks, "block").sortWithinPartitions("block", "kind", "dest")
+    dealt = back.select("block", F.lit(0).alias("kind"), "dest", "size", "nums", *nulls).union(parts).repartitionById(n_blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind", "dest")
 
     def run(batches):
         at, got, table = None, [], None
@@ -473,13 +507,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_
                     continue
                 if table is None:
                     table, got = np.concatenate([*got, np.zeros(1)]), []
-                add = [table[_unplanes(raw, n).astype(np.int64)].sum() for raw, n in zip(piece.column(4).to_pylist(), piece.column(3).to_pylist(), strict=True)]
+                add = [table[np.cumsum(_unplanes(raw, n).astype(np.int64))].sum() for raw, n in zip(piece.column(4).to_pylist(), piece.column(3).to_pylist(), strict=True)]
                 full = piece.column(10).to_numpy() + np.array(add)
                 yield pa.record_batch([
                     piece.column(5), piece.column(6), piece.column(7), piece.column(8), pa.array(np.full(piece.num_rows, tokens, np.int64)), piece.column(9), pa.array(full, pa.float64()),
                 ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return dealt.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
