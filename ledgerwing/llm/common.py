@@ -7,6 +7,7 @@ multi-byte character, so the byte view and the character view give the same word
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,6 +146,35 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+# --- memory of workers -----------------------------------------------------
+
+def tidy(run):
+    """A partition function that hands what it freed back to the system at its end, so that waiting workers stay small."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+# --- names ------------------------------------------------------------------
+
+def clear_of(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with a column that has one of ``names``, which an operator gives, renamed to ``in_<name>``."""
+    for name in names:
+        other = f"in_{name}"
+        while name in docs.columns and other in docs.columns:
+            other = f"in_{other}"
+        docs = docs.withColumnRenamed(name, other)
+    return docs
+
+
 # --- bounded membership filters ---------------------------------------------
 
 #: Bits of a filter: 16 for each id, within these bounds (the larger is 32 MB).

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..stores import saved as staged
 from ..stores import shared_dir
-from .common import doc_blocks, text_buffer
+from .common import doc_blocks, text_buffer, tidy
 from .tokens import ENCODE_BYTES, encoder
 
 MAGIC = b"FRVB"
@@ -97,7 +97,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None, i
                     pa.array([x.astype("<u4" if x.max(initial=0) > 0xFFFF else "<u2").tobytes() for x in docs_ids], pa.binary()),
                 ], names=["doc_id", "n_tokens", "wide", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, wide boolean, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, wide boolean, ids binary")
 
 
 def _ids(raw: bytes, wide: bool) -> np.ndarray:
@@ -118,7 +118,7 @@ def token_counts(encoded: DataFrame) -> DataFrame:
         there = np.flatnonzero(total)
         yield pa.record_batch([pa.array(there), pa.array(total[there])], names=["token", "n"])
 
-    return encoded.select("ids", "wide").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return encoded.select("ids", "wide").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def write_files(encoded: DataFrame, target: str, file_tokens: int = FILE_TOKENS) -> DataFrame:
@@ -179,7 +179,7 @@ def write_files(encoded: DataFrame, target: str, file_tokens: int = FILE_TOKENS)
 
     parts = max(1, -(-total // file_tokens))
     ordered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", F.xxhash64("ids")).select("doc_id", "wide", "ids")
-    manifest = staged(ordered.mapInArrow(run, "file string, n_docs long, n_tokens long, part long, nth long"))
+    manifest = staged(ordered.mapInArrow(tidy(run), "file string, n_docs long, n_tokens long, part long, nth long"))
     before = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))  # one row a file
 
@@ -210,7 +210,7 @@ def read_files(spark: SparkSession, target: str) -> DataFrame:
                     ], names=["file", "doc_id", "local_start", "n_tokens", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.frvb").load(target)
-    return files.select("path", "content").mapInArrow(run, "file string, doc_id long, local_start long, n_tokens long, ids binary")
+    return files.select("path", "content").mapInArrow(tidy(run), "file string, doc_id long, local_start long, n_tokens long, ids binary")
 
 
 def decode_file(raw: np.ndarray, by_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

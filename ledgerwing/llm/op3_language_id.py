@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_blocks, text_buffer
+from .common import clear_of, doc_blocks, text_buffer, tidy
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -104,7 +104,7 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col
         lang, bucket = np.nonzero(table)
         yield pa.record_batch([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(table[lang, bucket].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    counts = some.select("lang", "text").mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = some.select("lang", "text").mapInArrow(tidy(run), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((len(langs), BUCKETS), SMOOTHING)
     table[counts["lang"], counts["bucket"]] += counts["n"]
     share = np.array([r["count"] for r in shares], float)
@@ -129,11 +129,13 @@ def score_block(points: np.ndarray, offsets: np.ndarray, matrix: np.ndarray) ->
 
 
 def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, lang_pred, score) for each row; score is the softened posterior."""
+    """(id, *keep, lang_pred, score) for each row; score is the softened posterior.  A kept column named
+    like one of these comes back as ``in_<name>``."""
     spark = docs.sparkSession
     langs, matrix = model or (["und"], np.zeros((1, BUCKETS + 2)))
     shared = spark.sparkContext.broadcast(matrix)
-    cols = docs.select(id_col, *keep, text_col)
+    cols = clear_of(docs.select(id_col, *[F.col(f"`{c}`") for c in keep]), "lang_pred", "score")
+    cols = docs.select(*[F.col(f"`{old}`").alias(new) for old, new in zip((id_col, *keep), cols.columns, strict=True)], F.col(text_col).alias("_text"))
 
     def run(batches):
         matrix = shared.value
@@ -151,7 +153,7 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
             yield pa.record_batch([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1])
-    return cols.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return cols.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

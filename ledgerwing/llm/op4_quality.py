@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE, doc_blocks, text_buffer, word_hashes
+from .common import _SPACE, clear_of, doc_blocks, text_buffer, tidy, word_hashes
 from .op3_language_id import held_out
 
 FEATURES = ("log_words", "log_word_bytes", "symbols", "upper", "exclaim", "digits", "distinct_words", "same_as_before", "distinct_pairs", "bare_symbols", "stops")
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         yield pa.record_batch([pa.array(a.astype(np.int32)) for a in (k, i, j)] + [pa.array(total[k, i, j])], names=["k", "i", "j", "v"])
 
     rows = docs.select(id_col, text_col).join(F.broadcast(some), id_col).select("label", text_col)
-    sums = rows.mapInArrow(run, "k int, i int, j int, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect()
+    sums = rows.mapInArrow(tidy(run), "k int, i int, j int, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect()
     total = np.zeros((2, d, d))
     for r in sums:
         total[r["k"], r["i"], r["j"]] = r["v"]
@@ -153,7 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 
 def score(docs: DataFrame, model: Discriminant, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text in the last column ``name``."""
+    """``docs`` with the score of each whole text in the last column ``name`` (an input column of that name
+    comes back as ``in_<name>``)."""
+    docs = clear_of(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -162,7 +164,7 @@ def score(docs: DataFrame, model: Discriminant, text_col: str = "text", name: st
             yield pa.record_batch([*batch.columns, pa.array(shared.value.score(x))], names=[*batch.schema.names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{name}` double")
+    return docs.mapInArrow(tidy(run), f"{schema}, `{name}` double")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

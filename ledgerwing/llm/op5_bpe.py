@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_blocks, text_buffer
+from .common import doc_blocks, text_buffer, tidy
 from .tokens import byte_alphabet, distinct_pieces, spread
 
 #: Pieces, and pre-tokens, that each of two generations of a worker's caches holds.
@@ -279,19 +279,19 @@ def _digested(batches, path: str):
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda b: _encoded(b, tokenizer_path), "doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(tidy(lambda b: _encoded(b, tokenizer_path)), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text) of what ``encode`` gave."""
-    return encoded.mapInArrow(lambda b: _decoded(b, tokenizer_path), "doc_id long, n_tokens long, ids binary, text string")
+    return encoded.mapInArrow(tidy(lambda b: _decoded(b, tokenizer_path)), "doc_id long, n_tokens long, ids binary, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, so that a
     worker holds one vocabulary."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda b: _digested(_decoded(_encoded(b, tokenizer_path), tokenizer_path), tokenizer_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(lambda b: _digested(_decoded(_encoded(b, tokenizer_path), tokenizer_path), tokenizer_path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..stores import heavy, saved
-from .common import maybe_in, mix, shingles, text_buffer, word_hashes
+from .common import maybe_in, mix, shingles, text_buffer, tidy, word_hashes
 
 HOT = 64
 BLOCK = 4096
@@ -173,7 +173,7 @@ def classes_of(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
                 piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.array(spare, pa.int64()),
             ], names=["doc_id", "n_shingles", "node", "bits", "spare"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bits binary, spare long")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, node long, bits binary, spare long")
 
 
 def class_keys(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
@@ -194,7 +194,7 @@ def class_keys(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
                 if keys:
                     yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, nodes)], names=["key", "node"])
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.mapInArrow(tidy(run), "key long, node long")
 
 
 def shared_keys(keys: DataFrame, classes: DataFrame, hot: int) -> DataFrame:
@@ -259,7 +259,7 @@ def verified(pairs: DataFrame, ids: DataFrame, rows: DataFrame, n: int, bands: B
                 yield pa.record_batch([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return saved(members.repartition(parts, "a", "piece").sortWithinPartitions("a", "piece", "role").mapInArrow(run, "a long, b long").distinct())
+    return saved(members.repartition(parts, "a", "piece").sortWithinPartitions("a", "piece", "role").mapInArrow(tidy(run), "a long, b long").distinct())
 
 
 def comparisons(shared: DataFrame, labels: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
@@ -303,7 +303,7 @@ def close_pairs(units: DataFrame, now: DataFrame, rank: tuple[int, int], bands:
 
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = units.join(now, "node").select("key", "x", "y", "z", "node", "label", "size", "root", "bits")
-    return rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(run, "a long, b long, more long")
+    return rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(tidy(run), "a long, b long, more long")
 
 
 def _sketches(column: pa.ChunkedArray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -431,7 +431,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
                 yield pa.record_batch([*piece.columns, pa.array(nodes, pa.int64())], names=[*piece.schema.names, node])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.mapInArrow(run, f"{schema}, `{node}` long")
+    rows = docs.mapInArrow(tidy(run), f"{schema}, `{node}` long")
     unsure = F.coalesce(maybe_in(touched.select("node"))(F.when(F.col(id_col).isNotNull(), F.col(node))), F.lit(False))
     known = touched.select(F.col("node").alias(node), F.col("component_id").alias(least), F.col("stays").alias(stays))
     judged = rows.where(unsure).join(known.hint("merge"), node, "left")

@@ -27,11 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_blocks, text_buffer
+from .common import doc_blocks, text_buffer, tidy
 from .tokens import ENCODE_BYTES, encoder
 
 LENGTH = 2048
 GROUP_DOCS = 4096
+CACHE_PIECES = 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -71,7 +72,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, fold: bool = False,
     """One row for each piece (``SCHEMA``); ``with_ids`` adds its ids, little-endian u32."""
 
     def run(batches):
-        enc, base, made = encoder(tokenizer_path, fold), TaskContext.get().partitionId() << 40, 0
+        enc, base, made = encoder(tokenizer_path, fold, CACHE_PIECES), TaskContext.get().partitionId() << 40, 0
         held: list[tuple[int | None, np.ndarray]] = []
 
         def flush():
@@ -106,7 +107,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, fold: bool = False,
         if held:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), SCHEMA + ", ids binary" * with_ids)
 
 
 def pack_words(docs: DataFrame) -> DataFrame:

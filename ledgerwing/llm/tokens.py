@@ -93,9 +93,9 @@ def pieces(data: np.ndarray, offsets: np.ndarray, whole: tuple[bytes, ...] = ())
 class Encoder:
     """Ids of whole documents; one per Python worker, with a bounded cache of pieces."""
 
-    def __init__(self, path: str, fold: bool = False):
-        """fold: the vocabulary lower-cases and drops white space."""
-        self.tok, self.fold = tokenizer(path), fold
+    def __init__(self, path: str, fold: bool = False, most: int = CACHE_PIECES):
+        """fold: the vocabulary lower-cases and drops white space; most: pieces that are kept."""
+        self.tok, self.fold, self.most = tokenizer(path), fold, most
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.model = self.tok.model
@@ -103,7 +103,7 @@ class Encoder:
 
     def _fill(self, words: list[str]) -> None:
         cache, fold, ask = self.cache, self.fold, self.model.tokenize
-        if len(cache) > CACHE_PIECES // 2:  # the pieces not met again are let go
+        if len(cache) > self.most // 2:  # the pieces not met again are let go
             self.old, self.cache = cache, {}
             cache = self.cache
         old, odd = self.old, []
@@ -166,7 +166,7 @@ def spread(values: list[bytes], codes: pa.Array, cuts: np.ndarray, offsets: np.n
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, fold: bool = False) -> Encoder:
+def encoder(path: str, fold: bool = False, most: int = CACHE_PIECES) -> Encoder:
     if (path, fold) not in _ENCODERS:
-        _ENCODERS[path, fold] = Encoder(path, fold)
+        _ENCODERS[path, fold] = Encoder(path, fold, most)
     return _ENCODERS[path, fold]

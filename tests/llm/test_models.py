@@ -205,12 +205,122 @@ def test_lm_takes_every_gram(spark, odd, which):
         assert a == pytest.approx(b, rel=1e-9, abs=1e-6)
 
 
-def test_rules_judge_small_pools(spark):
-    """A few rows of rare languages are judged by all rows; a whole small table isn't."""
+STATS = "id int, lang string, source string, ok boolean, " + ", ".join(f"{f} double" for f in op7.FEATURES)
+
+
+def brute_mcd(x, share, starts=60):
+    """Mean and covariance of the subset with the least determinant, by random starts."""
+    rng, best = np.random.default_rng(5), None
+    h = int(np.ceil(share * len(x)))
+    for _ in range(starts):
+        own = x[rng.permutation(len(x))[: x.shape[1] + 2]]
+        for _ in range(30):
+            m, c = own.mean(0), np.cov(own.T, bias=True) + 1e-9 * np.eye(x.shape[1])
+            own = x[np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m))[:h]]
+        det = np.linalg.slogdet(np.cov(own.T, bias=True))[1]
+        if best is None or det < best[0]:
+            best = det, own.mean(0), np.cov(own.T, bias=True)
+    return best
+
+
+def test_mcd_of_groups_against_brute_force(spark):
+    """Two groups of unlike shape, a fifth of one contaminated: each follows its own least determinant."""
+    rng = np.random.default_rng(11)
+    groups = {}
+    for k, (lang, source) in enumerate((("en", "a"), ("de", "b"))):
+        mix = rng.normal(0, 1, (6, 6)) + 2 * np.eye(6)
+        clean = rng.normal(0, 1, (800 + 400 * k, 6)) @ mix * (0.5 + k) + 3 * k
+        bad = rng.normal(0, 0.4, (200 * (1 - k), 6)) + clean.mean(0) + 9
+        groups[lang, source] = np.concatenate([clean, bad]) / 10
+    rows = [(k * 10_000 + i, lang, source, True, *map(float, v)) for k, ((lang, source), x) in enumerate(groups.items()) for i, v in enumerate(x)]
+    stats = spark.createDataFrame(rows, STATS)
+    tiny = (1e-4,) * 6
+    fit = stats.select(F.concat("lang", "source").alias("g"), *op7.FEATURES)
+    found = {r["g"]: r for r in op7.mcd(fit, op7.FEATURES, tiny).collect()}
+    for (lang, source), x in groups.items():
+        r = found[lang + source]
+        mean = np.array([r[f"mu_{i}"] for i in range(6)])
+        cov = np.array([[r[f"s_{max(i, j)}_{min(i, j)}"] for j in range(6)] for i in range(6)])
+        det, want_mean, want_cov = brute_mcd(x, op7.SUPPORT)
+        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        want = np.einsum("ij,jk,ik->i", x - want_mean, np.linalg.inv(want_cov), x - want_mean)
+        own = x[np.argsort(d)[: int(np.ceil(op7.SUPPORT * len(x)))]]
+        assert np.linalg.slogdet(np.cov(own.T, bias=True))[1] <= det + 0.05
+        assert np.corrcoef(np.log(d), np.log(want))[0, 1] > 0.99 and abs(np.median(d) / op7.CHI2_MEDIAN - 1) < 0.05
+        assert (d[1000 if lang == "de" else 800 :][:200] > op7.CUTOFF).all() or lang == "de"
+    got = {r["id"]: r["distance"] for r in op7.mcd_distances(stats, "ok", floors=tiny).collect()}
+    assert all(got[i] > op7.CUTOFF for i in range(800, 1000)) and sum(got[i] <= op7.CUTOFF for i in range(800)) >= 796
+
+
+def test_chi_square_points():
+    assert op7.chi_square_point(0.025, 6) == pytest.approx(14.449, abs=1e-3) and op7.CHI2_MEDIAN == pytest.approx(5.348, abs=1e-3)
+
+
+def test_rules_judge_small_groups(spark):
+    """A few rows of rare languages are judged by their parents' estimates; a whole small table isn't."""
     rng = np.random.default_rng(4)
     rows = [(k, "en", "s", True, *map(float, v)) for k, v in enumerate(rng.normal(0, 1, (300, 6)))]
-    rows += [(1000, "xx", "t", True, *[0.0] * 6), (1001, "yy", "t", True, *[40.0] * 6)]
-    schema = "id int, lang string, source string, ok boolean, " + ", ".join(f"{f} double" for f in op7.FEATURES)
-    got = {r["id"]: r["distance"] for r in op7.mcd_distances(spark.createDataFrame(rows, schema), "ok").collect()}
-    assert len(got) == 302 and got[1000] < op7.CUTOFF < got[1001]
-    assert {r["distance"] for r in op7.mcd_distances(spark.createDataFrame(rows[-20:], schema), "ok").collect()} == {None}
+    rows += [(1000, "xx", "t", True, *[0.0] * 6), (1001, "yy", "t", True, *[40.0] * 6), (1002, None, None, True, *[0.0] * 6), (1003, "en", None, False, *[90.0] * 6)]
+    got = {r["id"]: r["distance"] for r in op7.mcd_distances(spark.createDataFrame(rows, STATS), "ok").collect()}
+    assert len(got) == 304 and got[1000] < op7.CUTOFF < got[1001] and got[1002] < op7.CUTOFF and got[1003] is None
+    assert {r["distance"] for r in op7.mcd_distances(spark.createDataFrame(rows[-20:], STATS), "ok").collect()} == {None}
+
+
+def test_rules_take_clashing_columns(spark, odd):
+    docs = odd.select("*", *[F.lit(f"v {c}").alias(c) for c in (*op7.OUTPUTS[:1], "kept", "distance", "_w", "in_text", "g", "_levels")])
+    got = op7.quality_rules(docs, keep=("doc_id", "n_words", "kept", "g", "in_text"))
+    assert got.columns[:5] == ["doc_id", "in_n_words", "in_kept", "g", "in_text"] and all(r["in_kept"] == "v kept" and r["g"] == "v g" for r in got.collect())
+
+
+def test_scores_take_clashing_columns(spark, odd):
+    docs = odd.withColumns({"score": F.lit("mine"), "lang_pred": F.lit("mine")})
+    rows = op4.score(docs, op4.fit(docs, spark.createDataFrame([(15, 1), (16, 0)], "doc_id long, quality int"))).collect()
+    assert all(r["in_score"] == "mine" and 0 <= r["score"] <= 1 for r in rows)
+    rows = op3.predict(docs, op3.fit(docs), keep=("score", "lang_pred", "text")).collect()
+    assert all(r["in_score"] == r["in_lang_pred"] == "mine" and 0 <= r["score"] <= 1 for r in rows) and "text" in rows[0].asDict()
+
+
+def test_language_scores_against_plain_bayes(spark):
+    """The posterior of a plain multinomial naive Bayes over the same windows, in plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("lang IS NOT NULL")
+    train, test = docs.where("doc_id % 3 <> 1"), docs.where("doc_id % 3 = 1")
+    langs, matrix = op3.fit(train)
+    counts, prior = {x: collections.Counter() for x in langs}, collections.Counter()
+
+    def buckets(text):
+        raw = (text or "").encode()
+        points, at = op3.code_points(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        return [int(b) for order in op3.ORDERS for b in op3.windows(points, at, order) if b < op3.BUCKETS]
+
+    for r in train.collect():
+        counts[r["lang"]].update(buckets(r["text"]))
+        prior[r["lang"]] += 1
+    total = {x: sum(c.values()) + op3.SMOOTHING * op3.BUCKETS for x, c in counts.items()}
+    got = {r["doc_id"]: r for r in op3.predict(test, (langs, matrix)).collect()}
+    for r in test.limit(25).collect():
+        seen = collections.Counter(buckets(r["text"]))
+        logs = {x: math.log(prior[x] / sum(prior.values())) + sum(n * math.log((counts[x][b] + op3.SMOOTHING) / total[x]) for b, n in seen.items()) for x in langs}
+        best = max(logs, key=logs.get)
+        soft = min(1, op3.SOFTEN / max(1, sum(seen.values())))
+        want = 1 / sum(math.exp((v - logs[best]) * soft) for v in logs.values())
+        assert got[r["doc_id"]]["lang_pred"] == best and got[r["doc_id"]]["score"] == pytest.approx(want, rel=1e-6)
+
+
+def test_quality_statistics_against_plain_python():
+    texts = ["One two, two two. Ünd so!! 12% # x\n# \n a,b; c", "", "A", "x x x x", "ÀÉ é Zz 9 <b> <b>"]
+    raw = [t.encode() for t in texts]
+    got = op4.statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, row in zip(texts, got, strict=True):
+        b, w = t.encode(), t.encode().split()
+        n, size = len(w), max(1, sum(map(len, w)))
+        upper, lower = sum(c.isupper() for c in t), sum(c.islower() for c in t)
+        pairs = len(set(zip([None, *w], w, strict=False))) if w else 0
+        want = {
+            "log_words": math.log1p(n), "log_word_bytes": math.log(size / max(n, 1)), "upper": math.sqrt(upper / max(1, upper + lower)), "exclaim": math.sqrt((t.count("!") + t.count("?")) / size),
+            "digits": math.sqrt(sum(c in "0123456789" for c in t) / size), "distinct_words": math.log1p(len(set(w))) / math.log1p(max(n, 1)), "same_as_before": math.sqrt(sum(x == y for x, y in zip(w, w[1:], strict=False)) / max(n, 1)),
+            "distinct_pairs": math.sqrt(pairs / max(n, 1)), "symbols": math.sqrt(sum(c in b"#*$%&|<>=+~^_{}[]\\/@" for c in b) / size), "bare_symbols": math.sqrt(sum(len(x) == 1 and x in b"#*$%&|<>=+~^_{}[]\\/@" for x in w) / max(n, 1)),
+            "stops": math.sqrt(sum(x[-1:] in (b".", b",", b";", b":") for x in w) / max(n, 1)),
+        }
+        for name, v in want.items():
+            if not (name == "stops" and t.endswith(".")):
+                assert row[op4.FEATURES.index(name)] == pytest.approx(v, abs=1e-9), (t, name)
