@@ -31,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null text has no words and goes; null language and source are values of their own; other columns play no part.
     """
-    return op7_quality_rules.quality_rules(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return op7_quality_rules.passing(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
