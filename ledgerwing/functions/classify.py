@@ -1,148 +1,137 @@
-"""Classification of identifiers: namespaces, kinds, roles, types, eligibility."""
+"""Classification by tables of rules: the rules are the caller's data, this module only evaluates them.
+
+A ``Rule`` gives its label where all its tests hold; ``classify`` takes the first rule of a table that does.
+Namespaces, kinds, roles, types, method categories, risks and reasons are all such tables; the
+queries register invented ones.  Everything becomes one CASE expression.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import any_of, first_match
-from .text import words_of
+from .rules import all_of, any_of, first_match, ordinal, strongest
+from .text import matches, words_of
 
-EDITABLE = ("BOOLEAN", "INT", "LONG", "FLOAT", "DOUBLE", "STRING")
-CONFIGURABLE = ("FENOTYPE_FLAG", "PREFERENCE_KEY", "PROTOBUF_CONFIG")
+#: Strengths of evidence, weakest first.
 STRENGTHS = ("NONE", "LOW", "MEDIUM", "HIGH", "PROVEN")
-#: Types of return descriptors.
-DESCRIPTOR_TYPES = {"Z": "BOOLEAN", "B": "INT", "S": "INT", "C": "INT", "I": "INT", "J": "LONG", "F": "FLOAT", "D": "DOUBLE", "Ljava/lang/String;": "STRING", "[B": "BYTES", "V": "VOID"}
-REPRESENTATION_METHODS = ("toString", "dump", "dumpDebug")
 
 
-def namespace_of(text: Column) -> Column:
-    parts = F.transform(F.split(text, "[_.-]"), F.lower)
-    return first_match([
-        (text.contains("__"), "FENOTYPE_FLAG"),
-        (text.startswith("GH_") | text.endswith("_ENABLED"), "DECISION_GATE"),
-        (text.startswith("key_") | text.startswith("pref_") | text.contains("_settings_"), "PREFERENCE_KEY"),
-        (text.startswith("res/") | text.rlike("^(bool|string|integer|drawable|layout|dimen)/.+$"), "RESOURCE_NAME"),
-        (F.lower(text).contains("protobuf") | F.array_contains(parts, "proto"), "PROTOBUF_CONFIG"),
-    ], "STRING_LITERAL")
+def _each(values, test: Callable[[object], Column]) -> Column:
+    return any_of([test(v) for v in ((values,) if isinstance(values, str) else values)])
+
+
+#: What a test can ask of a text column; any of the given values suffices.
+TESTS: dict[str, Callable[[Column, object], Column]] = {
+    "is_": lambda c, v: c.isin(*((v,) if isinstance(v, str) else v)),
+    "starts": lambda c, v: _each(v, c.startswith),
+    "ends": lambda c, v: _each(v, c.endswith),
+    "has": lambda c, v: _each(v, c.contains),
+    "has_folded": lambda c, v: _each(v, lambda x: F.lower(c).contains(x.lower())),
+    "shape": lambda c, v: _each(v, lambda p: matches(c, p)),
+    "word": lambda c, v: F.arrays_overlap(words_of(c), F.array(*map(F.lit, (v,) if isinstance(v, str) else v))),
+    "at_most": lambda c, v: c <= F.lit(v),
+    "true": lambda c, v: c if v else ~c,
+    "null": lambda c, v: c.isNull() if v else c.isNotNull(),
+}
+
+
+@dataclass(frozen=True)
+class Test:
+    """One test of a column; of an array column some item has to pass, or with ``every`` each of at least one."""
+
+    column: str
+    ask: str
+    value: object
+    array: bool = False
+    every: bool = False
+    negated: bool = False
+
+    def holds(self) -> Column:
+        test = lambda c: F.coalesce(TESTS[self.ask](c, self.value), F.lit(False))
+        col = F.col(self.column)
+        if self.array:
+            ok = F.forall(col, test) & (F.size(col) > 0) if self.every else F.exists(col, test)
+        else:
+            ok = test(col)
+        ok = F.coalesce(ok, F.lit(False))
+        return ~ok if self.negated else ok
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A label, and the tests that all must hold for it; without tests it always holds."""
+
+    label: str | None
+    tests: tuple[Test, ...] = ()
+
+    def holds(self) -> Column:
+        return all_of([t.holds() for t in self.tests])
+
+
+def rule(label: str | None, *tests: Test, column: str = "key", **asks) -> Rule:
+    """``rule("FLAG", has="~~")``: tests of one column by keyword (``not_has=...`` negates), then any others."""
+    own = [Test(column, name.removeprefix("not_"), value, negated=name.startswith("not_")) for name, value in asks.items()]
+    return Rule(label, (*own, *tests))
+
+
+def classify(rules: Iterable[Rule], otherwise: str | Column | None = None) -> Column:
+    """The label of the first rule that holds."""
+    return first_match([(r.holds(), r.label) for r in rules], otherwise)
+
+
+def looked_up(col: Column, table: Mapping[str, str], otherwise: str | Column | None = None) -> Column:
+    """``table[col]``, or ``otherwise``."""
+    pairs = [F.lit(x) for pair in table.items() for x in pair]
+    other = otherwise if isinstance(otherwise, Column) else F.lit(otherwise)
+    return F.coalesce(F.element_at(F.create_map(*pairs), col), other) if pairs else other
+
+
+def descriptor_type(descriptor: Column, types: Mapping[str, str], reference: str = "OBJECT", unknown: str = "UNKNOWN") -> Column:
+    """The type of a class-file descriptor: by table, else ``reference`` for classes and arrays."""
+    return looked_up(descriptor, types, F.when(matches(descriptor, r"(?s)[L\[].*"), reference).otherwise(unknown))
+
+
+def registered_kind(role: Column, namespace: Column, key_role: str, kinds: Mapping[str, str], configurable: tuple[str, ...], otherwise: Column) -> Column:
+    """The kind of an occurrence: a registered key of a configurable namespace is of that kind, other
+    roles by table, and what has no entry is judged by ``otherwise``."""
+    return F.when((role == key_role) & namespace.isin(*configurable), namespace).otherwise(looked_up(role, kinds, otherwise))
+
+
+def evidence(strengths: Mapping[str, Iterable[Rule]], found: Iterable[Rule], doubts: Iterable[Rule]) -> Column:
+    """A struct of one strength a field (each by its table, NONE otherwise) and two lists: the labels of all
+    rules in ``found`` that hold, and of all in ``doubts``."""
+    listed = lambda rules: F.array_compact(F.array(*[F.when(r.holds(), F.lit(r.label)) for r in rules]).cast("array<string>"))
+    return F.struct(*[classify(rules, STRENGTHS[0]).alias(name) for name, rules in strengths.items()], listed(found).alias("evidence"), listed(doubts).alias("ambiguities"))
 
 
-def technical_literal(text: Column, static_init: Column, return_type: Column, n_params: Column) -> Column:
-    """Whether a literal may be an identifier in its method's context."""
-    shape = F.length(text).between(3, 240) & text.rlike("^[A-Za-z][A-Za-z0-9_.:/-]+$")
-    return shape & (static_init | (return_type.isin(*EDITABLE) & (n_params == 0)))
+def merged_evidence(a: Column, b: Column, fields: Iterable[str]) -> Column:
+    """The stronger of each field, and both lists without repeats, in order."""
+    return F.struct(*[strongest([a[f], b[f]], STRENGTHS).alias(f) for f in fields], *[F.array_distinct(F.concat(a[c], b[c])).alias(c) for c in ("evidence", "ambiguities")])
 
 
-def _action(key: Column) -> Column:
-    return F.lower(key).contains(".action.") | F.lower(key).endswith(".action")
+def at_least(strength: Column, least: str) -> Column:
+    return F.coalesce(ordinal(strength, STRENGTHS), F.lit(0)) >= STRENGTHS.index(least)
 
 
-def kind_of(key: Column, namespace: Column) -> Column:
-    return first_match([
-        (namespace == "RESOURCE_NAME", "RESOURCE"),
-        (namespace == "MANIFEST_COMPONENT", "MANIFEST_COMPONENT"),
-        (_action(key), "INTENT_ACTION"),
-        (key.startswith("SETTINGS_"), "TELEMETRY_EVENT"),
-        (key.endswith("_ENABLED_KEY") | key.endswith("_STATE_KEY"), "DERIVED_RUNTIME_STATE"),
-        ((namespace == "DECISION_GATE") | (key.endswith("_ENABLED") & ~key.contains("__")), "DERIVED_RUNTIME_STATE"),
-        (key.startswith("key_") | key.startswith("pref_") | (namespace == "PREFERENCE_KEY"), "PREFERENCE_KEY"),
-        (key.contains("__"), "FENOTYPE_FLAG"),
-        (namespace == "PROTOBUF_CONFIG", "PROTOBUF_CONFIG"),
-        (key.rlike("^[A-Z][A-Z0-9_]*$") & key.contains("_"), "JAVA_ENUM_LITERAL"),
-        (key.rlike("^[A-Z][A-Z0-9]*$"), "ROUTE_STATE"),
-        (namespace == "STRING_LITERAL", "STRING_LITERAL"),
-    ], "UNKNOWN")
-
-
-def occurrence_role(key: Column, namespace: Column, registered: Column) -> Column:
-    return first_match([
-        (registered, "IDENTIFIER_KEY"),
-        (namespace == "RESOURCE_NAME", "RESOURCE_NAME"),
-        (_action(key), "INTENT_ACTION"),
-        (key.startswith("SETTINGS_"), "TELEMETRY_EVENT"),
-        (key.rlike("^[A-Z][A-Z0-9_]*$") & key.contains("_"), "JAVA_ENUM_CONSTANT"),
-        (key.rlike("^[A-Z][A-Z0-9]*$"), "ROUTE_STATE"),
-    ], "UNKNOWN")
-
-
-#: Kinds that a role gives by itself.
-ROLE_KINDS = {"JAVA_ENUM_CONSTANT": "JAVA_ENUM_LITERAL", "PROTO_ENUM_CONSTANT": "PROTO_ENUM", "INTENT_ACTION": "INTENT_ACTION", "ROUTE_STATE": "ROUTE_STATE", "TELEMETRY_EVENT": "TELEMETRY_EVENT", "RESOURCE_NAME": "RESOURCE", "CAPABILITY_NAME": "CAPABILITY_NAME"}
-
-
-def occurrence_kind(key: Column, namespace: Column, role: Column) -> Column:
-    registered = (role == "IDENTIFIER_KEY") & namespace.isin(*CONFIGURABLE)
-    return first_match([(registered, namespace), *[(role == r, k) for r, k in ROLE_KINDS.items()]], kind_of(key, namespace))
-
-
-def type_of_descriptor(descriptor: Column) -> Column:
-    return first_match([*[(descriptor == d, t) for d, t in DESCRIPTOR_TYPES.items()], (descriptor.rlike("^[L\\[]"), "OBJECT")], "UNKNOWN")
-
-
-def storage_type(kind: Column) -> Column:
-    return F.when(kind.isin("STRING_SET", "ENUM"), "STRING").otherwise(kind)
-
-
-def semantic_type(key: Column, kind: Column) -> Column:
-    return F.when(key.endswith("__mode") & kind.isin("INT", "LONG"), F.concat(F.lit("ENUM_BACKED_"), kind)).otherwise(kind)
-
-
-#: How a confidence reads as a resolution, and as the strength of its getter.
-RESOLUTIONS = {"UNIQUE_GETTER": "DIRECT", "STRUCTURALLY_VALIDATED": "STRUCTURAL", "AMBIGUOUS": "AMBIGUOUS", "CATALOGUED": "CATALOG_ONLY"}
-GETTER_STRENGTHS = {"UNIQUE_GETTER": "HIGH", "STRUCTURALLY_VALIDATED": "PROVEN", "AMBIGUOUS": "LOW"}
-
-
-def resolution_of(confidence: Column) -> Column:
-    return first_match([(confidence == c, r) for c, r in RESOLUTIONS.items()], "UNSUPPORTED")
-
-
-def evidence_of(confidence: Column, default: Column, registered: Column) -> Column:
-    getter = first_match([(confidence == c, s) for c, s in GETTER_STRENGTHS.items()], "NONE")
-    return F.struct(
-        F.when(registered, "HIGH").otherwise("MEDIUM").alias("identity"),
-        F.when(getter.isin("HIGH", "PROVEN"), "PROVEN").otherwise(getter).alias("storage_type"),
-        F.lit("LOW").alias("semantic_type"),
-        F.when(default.isNotNull(), "MEDIUM").otherwise("NONE").alias("default_value"),
-        getter.alias("getter"),
-    )
-
-
-def editability_reason(kind: Column, value_type: Column, resolution: Column, editable: Column, risk: Column) -> Column:
-    """Why an identifier can't be edited; null where it can."""
-    return first_match([
-        (editable, None),
-        (risk == "BLOCKED_BY_SAFETY_POLICY", "SAFETY_POLICY"),
-        (~kind.isin(*CONFIGURABLE), "ENTITY_NOT_CONFIGURABLE"),
-        (value_type == "ENUM", "ENUM_DOMAIN_UNRESOLVED"),
-        (~value_type.isin(*EDITABLE), "TYPE_UNSUPPORTED"),
-        (~resolution.isin("DIRECT", "STRUCTURAL", "REVIEWED"), "MAPPING_NOT_PROVEN"),
-    ], "NO_SAFE_OVERRIDE_POINT")
-
-
-def suspicious_reason(key: Column, kind: Column, getter_names: Column, editable: Column, registered: Column) -> Column:
-    """A code for a discovery that can't be a setting; null for plausible ones."""
-    some = F.size(getter_names) > 0
-    return first_match([
-        ((key != F.trim(key)) | key.rlike("[=\\n\\r]"), "FORMATTING_TEXT"),
-        (some & F.forall(getter_names, lambda n: n.isin(*REPRESENTATION_METHODS)), "REPRESENTATION_ONLY"),
-        ((kind == "STRING_LITERAL") & (editable | some), "UNREGISTERED_LITERAL"),
-        ((kind == "PROTOBUF_CONFIG") & ~registered, "UNPROVEN_REGISTRY_KEY"),
-    ])
-
+def normalized(df: DataFrame, kinds: Iterable[Rule], suspicious: Iterable[Rule], blocked: Iterable[Rule], reasons: Iterable[Rule], unresolved: str = "CATALOG_ONLY") -> DataFrame:
+    """Identifiers (key, occurrence_kinds, editable, resolution, ...) in their final form.
 
-def method_category(class_name: Column, method: Column, calls: Column, n_instructions: Column, fields: Column) -> Column:
-    low = F.lower(class_name)
-    called = lambda *texts: F.exists(calls, lambda c: any_of([F.lower(c).contains(t) for t in texts]))
-    return first_match([
-        (low.contains("test") | F.lower(method).startswith("test"), "TEST"),
-        (method.isin("dump", "dumpDebug"), "DUMP"),
-        (method == "toString", "DIAGNOSTIC"),
-        (F.exists(calls, lambda c: c.contains("Landroid/util/Log;")), "LOGGING"),
-        (called("telemetry"), "TELEMETRY"),
-        (low.contains("activity"), "ACTIVITY"),
-        (any_of([low.contains(t) for t in ("view", "renderer", "template")]), "RENDERER"),
-        (called("tobytearray", "serialize"), "CONFIG_SNAPSHOT"),
-        ((n_instructions <= 8) & (F.size(calls) <= 1) & (F.size(fields) == 0), "WRAPPER_ONLY"),
-    ], "RUNTIME")
+    ``kind``: the only kind of the occurrences, else by ``kinds``.  ``suspicion``: by its table; a suspicious
+    row loses its resolution.  ``editable`` stays where no rule of ``suspicious`` or ``blocked`` holds, and
+    ``editability_reason`` says why not, by ``reasons``.
+    """
+    some = F.array_distinct(F.array_compact(F.array_remove("occurrence_kinds", "UNKNOWN")))
+    out = df.withColumn("kind", F.when(F.size(some) == 1, some[0]).otherwise(classify(kinds, "UNKNOWN")))
+    out = out.withColumn("suspicion", classify(suspicious))
+    out = out.withColumn("resolution", F.when(F.col("suspicion").isNotNull(), unresolved).otherwise(F.col("resolution")))
+    stop = any_of([r.holds() for r in blocked])
+    out = out.withColumn("editable", F.col("editable") & F.col("suspicion").isNull() & ~stop)
+    reason = first_match([(F.col("editable"), None), (F.col("suspicion").isNotNull(), "SUSPICIOUS_DISCOVERY")], classify(reasons))
+    return out.withColumn("editability_reason", reason)
 
 
 def blocked_token(name: Column, tokens: list[str], whole_words: tuple[str, ...] = ()) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import first_match
+from .text import matches
 
 #: Editable value types.
 TYPES = ("BOOLEAN", "INT", "LONG", "FLOAT", "DOUBLE", "STRING")
@@ -29,18 +30,18 @@ def value_key(name: Column, prefix: str = "override.", name_prefix: str = "name.
 
 
 def managed_key(col: Column, prefix: str = "override.") -> Column:
-    return F.startswith(col, F.lit(prefix)) & F.substr(col, F.lit(len(prefix) + 1)).rlike("^[0-9a-f]{40}$")
+    return F.startswith(col, F.lit(prefix)) & matches(F.substr(col, F.lit(len(prefix) + 1)), "[0-9a-f]{40}")
 
 
 def _whole(text: Column, bounds: tuple[int, int]) -> Column:
     """An integer within bounds, written with digits alone (a sign may lead)."""
     number = text.try_cast("decimal(38,0)")
-    return F.when(text.rlike(r"^[+-]?[0-9]{1,30}$") & number.between(*[F.lit(str(b)).cast("decimal(38,0)") for b in bounds]), number)
+    return F.when(matches(text, "[+-]?[0-9]{1,30}") & number.between(*[F.lit(str(b)).cast("decimal(38,0)") for b in bounds]), number)
 
 
 def _real(text: Column, kind: str) -> Column:
     number = text.try_cast(kind)
-    return F.when(text.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[fFdD]?\s*$") & ~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    return F.when(matches(text, r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[fFdD]?\s*") & ~F.isnan(number) & (F.abs(number) < float("inf")), number)
 
 
 def validate(kind: Column, text: Column) -> Column:
@@ -50,8 +51,8 @@ def validate(kind: Column, text: Column) -> Column:
         (kind == "BOOLEAN", F.when(text.isin("true", "false"), text)),
         (kind == "INT", _whole(text, INT_RANGE).cast("string")),
         (kind == "LONG", _whole(text, LONG_RANGE).cast("string")),
-        (kind == "FLOAT", F.when(_real(text, "float").isNotNull(), text)),
-        (kind == "DOUBLE", F.when(_real(text, "double").isNotNull(), text)),
+        (kind == "FLOAT", _real(text, "float").cast("string")),
+        (kind == "DOUBLE", _real(text, "double").cast("string")),
         (kind == "STRING", text),
     ])
 
@@ -103,3 +104,18 @@ def map_of(text: Column) -> Column:
 def pairs_of(entries: Column) -> Column:
     """A map as a JSON array of [key, value] pairs in key order."""
     return F.to_json(F.transform(F.array_sort(F.map_entries(entries)), lambda e: F.array(e["key"], e["value"])))
+
+
+def first_default(candidates: dict[str, Column]) -> Column:
+    """(value, source): the first default that is known, in the order of the sources."""
+    value = F.coalesce(*[c.cast("string") for c in candidates.values()])
+    return F.struct(value.alias("value"), first_match([(c.isNotNull(), name) for name, c in candidates.items()]).alias("source"))
+
+
+def decoded_rows(df: DataFrame, labels: dict[str, tuple[tuple[str, ...], str]], flags: tuple[str, ...], maps: tuple[str, ...], default: tuple[str, str]) -> DataFrame:
+    """Stored rows as they are read: unknown labels become their fallback, 0 and 1 booleans, JSON texts maps,
+    and the ``default`` column is normalised for its type column."""
+    value, kind = default
+    df = df.withColumns({c: F.when(F.col(c).isin(*known), F.col(c)).otherwise(other) for c, (known, other) in labels.items()})
+    df = df.withColumns({c: F.col(c).cast("int") == 1 for c in flags} | {c: map_of(F.col(c)) for c in maps})
+    return df.withColumn(value, normalized_default(F.col(value), F.col(kind)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import any_of
 
 def like_escape(text: str) -> str:
     """Escape a search text so that LIKE takes it literally."""
@@ -15,6 +16,11 @@ def contains_ignoring_case(col: Column, text: str) -> Column:
     return col.ilike(f"%{like_escape(text)}%")
 
 
+def matches(col: Column, pattern: str) -> Column:
+    """Whether the pattern fits the whole text, a line break at its end included."""
+    return col.rlike(rf"\A(?:{pattern})\z")
+
+
 def csv_field(col: Column) -> Column:
     """A field in quotes, inner quotes doubled; null is an empty field."""
     return F.concat(F.lit('"'), F.replace(F.coalesce(col.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
@@ -26,7 +32,7 @@ def csv_line(*cols: Column) -> Column:
 
 def dotted_class(col: Column) -> Column:
     """``Lcom/acme/Name;`` as ``com.acme.Name``; other names unchanged."""
-    return F.when(col.rlike("^L.*;$"), F.translate(F.regexp_extract(col, "^L(.*);$", 1), "/", ".")).otherwise(col)
+    return F.when(matches(col, "(?s)L.*;"), F.translate(F.substr(col, F.lit(2), F.length(col) - 2), "/", ".")).otherwise(col)
 
 
 def same_class(a: Column, b: Column) -> Column:
@@ -39,8 +45,19 @@ def field_shape(col: Column) -> Column:
 
 
 def call_shape(col: Column) -> Column:
-    """Parameters and result of ``owner->name(params)result``."""
-    return F.regexp_extract(col, r"(\(.*)$", 1)
+    """Parameters and result of ``owner->name(params)result``; empty without parameters."""
+    return F.when(F.instr(col, "(") > 0, F.substr(col, F.instr(col, "("))).otherwise("")
+
+
+def method_shape(returns: Column, parameters: Column, static: Column) -> Column:
+    """What a method looks like without its names: ``static (params)result``."""
+    return F.concat(F.when(static, "static ").otherwise(""), F.lit("("), F.array_join(parameters, ""), F.lit(")"), returns)
+
+
+def stable_owner(col: Column, stable: tuple[str, ...]) -> Column:
+    """The owner of a member if its package isn't renamed between builds (one of the prefixes in ``stable``), else null."""
+    name = owner(col)
+    return F.when(any_of([name.startswith(p) for p in stable]), name)
 
 
 def owner(col: Column) -> Column:
@@ -52,6 +69,10 @@ def signature(class_name: Column, method: Column, descriptor: Column) -> Column:
 
 
 def words_of(col: Column) -> Column:
-    """Lower-case words of a camel-case, acronym or separated name."""
-    parts = F.split(col, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[^A-Za-z0-9]+")
-    return F.transform(F.array_remove(parts, ""), F.lower)
+    """Lower-case words of a name, cut at separators, at changes of case and before the last letter of an acronym.
+
+    A word is, from left to right, the first that fits of: an acronym before a digit or a separator, with what
+    follows it; an acronym before a capitalised word; one capital at most with small letters and digits.
+    """
+    word = r"[A-Z]+(?![A-Za-z])[a-z0-9]*|[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+"
+    return F.transform(F.regexp_extract_all(col, F.lit(word), F.lit(0)), F.lower)

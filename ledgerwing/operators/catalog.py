@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.codecs import preference_key
 from ..functions.rules import all_of
 from ..functions.text import contains_ignoring_case
+from ..stores import saved
 from .ranking import arg_max, ordered_list, page
 
 
@@ -101,9 +104,46 @@ def baseline(builds: DataFrame, identifiers: DataFrame, getters: DataFrame, buil
     return attach(rows, getters, ["base_sha", "key"], "ordinal", [c for c in getters.columns if c not in ("base_sha", "key")], "getters")
 
 
-def run_summary(df: DataFrame, metadata: str, counts: dict[str, tuple[str, str]]) -> DataFrame:
-    """One row of counts: of rows whose metadata has the value, by output name."""
-    return df.agg(F.count("*").alias("total"), *[F.count_if(F.element_at(metadata, k) == v).alias(name) for name, (k, v) in counts.items()])
+def run_summary(df: DataFrame, metadata: str, counts: dict[str, tuple[str, str] | list[tuple[str, str]]]) -> DataFrame:
+    """One row of counts: of rows whose metadata has a value, by output name; of a list of
+    (key, value) pairs the counts are added, so a row that has two counts twice."""
+    has = lambda k, v: F.count_if(F.coalesce(F.element_at(metadata, k) == v, F.lit(False)))
+    sums = {name: pairs if isinstance(pairs, list) else [pairs] for name, pairs in counts.items()}
+    return df.agg(F.count("*").alias("total"), *[reduce(lambda a, b: a + b, [has(*p) for p in pairs]).alias(name) for name, pairs in sums.items()])
+
+
+@dataclass(frozen=True)
+class RetryRule:
+    """Names and values, in a metadata map, of what says that a key's search came to no end and is due again."""
+
+    exhausted: tuple[str, str] = ("budgetExhausted", "true")
+    attempted: str = "attempted"
+    strategy: tuple[str, str] = ("strategy", "current")
+    reason: tuple[str, tuple[str, ...]] = ("reason", ())
+    limitation: tuple[str, str] = ("limitation", "UNKNOWN")
+    metadata: str = "metadata"
+
+    def _is(self, key: str, *values: str) -> Column:
+        return F.coalesce(F.element_at(self.metadata, key).isin(*values), F.lit(False))
+
+    def inconclusive(self, editable: Column) -> Column:
+        """Editable, out of budget and not tried again."""
+        return editable & self._is(*self.exhausted) & F.element_at(self.metadata, self.attempted).isNull()
+
+    def retry(self) -> Column:
+        """Not by the present strategy, and out of budget for a reason that may pass, or of unknown limitation."""
+        again = self._is(*self.exhausted) & self._is(self.reason[0], *self.reason[1])
+        return ~self._is(*self.strategy) & (again | self._is(*self.limitation))
+
+
+def ordered_keys(df: DataFrame, condition: Column, key: str, limit: int) -> DataFrame:
+    """The first ``limit`` keys under a condition, in order."""
+    return page(df.where(condition).select(key), [key], limit)
+
+
+def actionable_count(df: DataFrame, *conditions: Column) -> DataFrame:
+    """The sum of the conditions' counts: a row under two of them counts twice."""
+    return df.agg(reduce(lambda a, b: a + b, [F.count_if(F.coalesce(c, F.lit(False))) for c in conditions]).alias("actionable"))
 
 
 def pending_keys(df: DataFrame, inconclusive: Column, retry: Column, key: str) -> DataFrame:
@@ -146,9 +186,44 @@ def union_distinct(sources: list[DataFrame], key: list[str]) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_source")
 
 
-def put(identifiers: DataFrame, path: str) -> None:
-    """Replace the builds that ``identifiers`` holds; other builds' partitions stay."""
-    identifiers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("base_sha").parquet(path)
+#: The stored tables; children have their parent's key and a place among its children.
+BUILDS = "base_sha string, generated_at long, dex_hashes map<string,string>, identifier_count int, editable_count int, error_count int, resolver_schema int, base_apk_sha string, version_code long, package_artifacts map<string,string>, origin string"
+IDENTIFIERS = "base_sha string, key string, namespace string, value_type string, compiled_default string, confidence string, reason string, editable boolean, preference_key string, occurrence_count int, kind string, resolution string, runtime_status string, semantics_reviewed boolean, editability_reason string, metadata map<string,string>, storage_type string, semantic_type string, evidence_confidence string, semantics_provenance string"
+GETTERS = "base_sha string, key string, ordinal int, dex string, class_name string, method_name string, descriptor string, return_type string, parameter_types array<string>, instruction_count int, opcode_sha string, is_clinit boolean, referenced_fields array<string>, invoked_methods array<string>"
+CONSUMERS = f"{GETTERS}, depth int, link_kind string, path array<string>, semantic_summary string"
+
+
+def put(rows: DataFrame, path: str, order: tuple[str, ...] = ("key",)) -> None:
+    """Replace the builds that ``rows`` holds; other builds' partitions stay.  Rows lie in ``order`` within
+    files, so a lookup by key skips most row groups."""
+    dealt = rows.repartitionByRange("base_sha", *order).sortWithinPartitions("base_sha", *order)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("base_sha").parquet(path)
+
+
+def children_of(parents: DataFrame, key: list[str], lists: str) -> DataFrame:
+    """(key, ordinal, fields): a row for each struct of the array column ``lists``, with its place from 0."""
+    return parents.select(*key, F.posexplode(lists).alias("ordinal", "_child")).select(*key, "ordinal", "_child.*")
+
+
+def compact(rows: DataFrame, heavy: tuple[str, ...]) -> DataFrame:
+    """The same columns with heavy ones null, so that a scan doesn't read them."""
+    return rows.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name in heavy else F.col(f.name) for f in rows.schema])
+
+
+def by_preference(rows: DataFrame, wanted: DataFrame, key: str = "key", column: str = "preference_key") -> DataFrame:
+    """Identifiers whose hashed key is wanted: the hash is made from the key, not stored."""
+    return rows.withColumn(column, preference_key(F.col(key))).join(wanted.select(column).distinct(), column, "left_semi")
+
+
+def export_pages(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """``df`` with ``page``, the number of each row's page in order; ranges of rows are numbered apart and then shifted, so
+    no task holds all."""
+    dealt = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    numbered = dealt.withColumn("_nth", nth).join(F.broadcast(starts.select("_part", "_start")), "_part")
+    return numbered.withColumn("page", F.floor((F.col("_start") + F.col("_nth")) / size)).drop("_part", "_nth", "_start")
 
 
 def pin(builds: DataFrame, build: str) -> DataFrame:

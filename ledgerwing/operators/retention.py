@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_match
+from .ranking import first_per_key
 
 
 def retained(builds: DataFrame, foreground: Column | str | None, pinned: Column | str | None, limit: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
@@ -16,7 +17,7 @@ def retained(builds: DataFrame, foreground: Column | str | None, pinned: Column
     Without: the foreground, then the latest, two at most.
     """
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
-    rows = builds.dropDuplicates([*by, "fingerprint"]).withColumns({"_pin": F.coalesce(F.col("fingerprint") == as_col(pinned), F.lit(False)), "_front": F.coalesce(F.col("fingerprint") == as_col(foreground), F.lit(False))})
+    rows = first_per_key(builds, [*by, "fingerprint"], [F.desc("generated_at"), "origin"]).withColumns({"_pin": F.coalesce(F.col("fingerprint") == as_col(pinned), F.lit(False)), "_front": F.coalesce(F.col("fingerprint") == as_col(foreground), F.lit(False))})
     group = Window.partitionBy(*by)
     rows = rows.withColumns({"_pinned": F.max("_pin").over(group), "_imported": F.col("origin") == "IMPORTED"})
     class_ = first_match([(F.col("_pin") & F.col("_pinned"), F.lit(0)), (F.col("_front"), F.lit(1)), (~F.col("_pinned"), F.lit(2)), (~F.col("_imported"), F.lit(2))], F.lit(3))

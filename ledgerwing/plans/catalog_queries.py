@@ -4,25 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.codecs import preference_key
 from ..operators import catalog, diff, ranking, retention
 from ..operators.catalog import CatalogQuery
 from ..session import table
 from ..sources import sinks
+from ..stores import shared_dir
 from .registry import registry
 
 query, QUERIES, ORACLE_SQL = registry()
 
-_SEARCH = CatalogQuery(text="STEEL", text_columns=("p_name", "p_type", "p_brand"), contains={"p_type": "t"}, flags={"large": True})
-_SEARCH_SQL = "FROM part WHERE p_size >= 10 AND p_type ILIKE '%t%' AND (p_name ILIKE '%steel%' OR p_type ILIKE '%steel%' OR p_brand ILIKE '%steel%')"
+_SEARCH = CatalogQuery(text="OL", text_columns=("p_name", "p_type", "p_brand"), contains={"p_type": "m"}, flags={"large": True})
+_SEARCH_SQL = "FROM part WHERE p_size >= 10 AND p_type ILIKE '%m%' AND (p_name ILIKE '%ol%' OR p_type ILIKE '%ol%' OR p_brand ILIKE '%ol%')"
 
 
 def _parts(spark, d):
     return table(spark, d, "part").withColumn("large", F.col("p_size") >= 10)
 
 
-@query(f"SELECT p_partkey, p_name, p_type, p_brand, p_size {_SEARCH_SQL} ORDER BY p_name, p_partkey LIMIT 50 OFFSET 5")
+@query(f"SELECT p_partkey, p_name, p_type, p_brand, p_size {_SEARCH_SQL} ORDER BY p_name, p_partkey LIMIT 50 OFFSET 3")
 def catalog_search_page(spark, d):
-    return catalog.search_page(_parts(spark, d), _SEARCH, ["p_name", "p_partkey"], 50, 5).select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    return catalog.search_page(_parts(spark, d), _SEARCH, ["p_name", "p_partkey"], 50, 3).select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
 
 
 @query(f"SELECT count(*) AS total {_SEARCH_SQL}")
@@ -161,10 +163,11 @@ def getter_compat(spark, d):
     return diff.pair_compatibility(*_snapshots(spark, d), ["o_custkey"], {"renamed": "value_type", "resized": "n"})
 
 
-@query("""SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (json_extract_string(props, '$.k') = '7') AS sevens FROM events""")
+@query("""SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (json_extract_string(props, '$.k') = '7') AS sevens,
+    count(*) FILTER (event_type = 'view') + count(*) FILTER (json_extract_string(props, '$.k') = '8') AS preserved FROM events""")
 def run_summary(spark, d):
     df = table(spark, d, "events").withColumn("metadata", F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("type"), "event_type")))
-    return catalog.run_summary(df, "metadata", {"clicks": ("type", "click"), "errors": ("type", "error"), "sevens": ("k", "7")})
+    return catalog.run_summary(df, "metadata", {"clicks": ("type", "click"), "errors": ("type", "error"), "sevens": ("k", "7"), "preserved": [("type", "view"), ("k", "8")]})
 
 
 @query("SELECT DISTINCT user_id FROM events WHERE (event_type = 'error' AND value > 50) OR (event_type = 'view' AND value < 5)")
@@ -235,3 +238,127 @@ def export_json(spark, d):
 def profile_json(spark, d):
     header = {"schemaVersion": F.lit(3), "region": F.col("n_regionkey")}
     return sinks.profile_json(table(spark, d, "nation"), header, ["n_regionkey"], ["n_nationkey", "n_name"], "n_nationkey")
+
+
+# --- retries ----------------------------------------------------------------
+
+_RETRY = catalog.RetryRule(exhausted=("k", "7"), attempted="again", strategy=("type", "click"), reason=("user", ("1", "2", "3")), limitation=("type", "error"))
+_RETRY_SQL = """WITH r AS (SELECT *, json_extract_string(props, '$.k') = '7' AS out_, CASE WHEN event_id % 2 = 0 THEN 'yes' END AS again FROM events),
+    t AS (SELECT *, value > 20 AND out_ AND again IS NULL AS inconclusive, event_type <> 'click' AND ((out_ AND user_id IN (1, 2, 3)) OR event_type = 'error') AS due FROM r)"""
+
+
+def _retries(spark, d):
+    more = F.create_map(F.lit("type"), "event_type", F.lit("user"), F.col("user_id").cast("string"))
+    again = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("again"), F.lit("yes"))).otherwise(F.create_map().cast("map<string,string>"))
+    return table(spark, d, "events").withColumns({"metadata": F.map_concat(F.from_json("props", "map<string,string>"), more, again), "editable": F.col("value") > 20})
+
+
+@query(f"{_RETRY_SQL} SELECT event_id FROM t WHERE inconclusive ORDER BY event_id LIMIT 40")
+def inconclusive_keys(spark, d):
+    return catalog.ordered_keys(_retries(spark, d), _RETRY.inconclusive(F.col("editable")), "event_id", 40)
+
+
+@query(f"{_RETRY_SQL} SELECT event_id FROM t WHERE due")
+def retry_keys(spark, d):
+    return _retries(spark, d).where(_RETRY.retry()).select("event_id")
+
+
+@query(f"{_RETRY_SQL} SELECT count(*) FILTER (inconclusive) + count(*) FILTER (due) AS actionable FROM t")
+def actionable_count(spark, d):
+    return catalog.actionable_count(_retries(spark, d), _RETRY.inconclusive(F.col("editable")), _RETRY.retry())
+
+
+@query(f"{_RETRY_SQL} SELECT DISTINCT user_id FROM t WHERE inconclusive OR due")
+def pending_users(spark, d):
+    return catalog.pending_keys(_retries(spark, d), _RETRY.inconclusive(F.col("editable")), _RETRY.retry(), "user_id")
+
+
+# --- stored tables -----------------------------------------------------------
+
+
+def _identifiers(spark, d):
+    """Orders as identifiers of the build that their status and year make."""
+    o = table(spark, d, "orders")
+    return o.select(F.concat_ws("-", "o_orderstatus", F.year("o_orderdate")).alias("base_sha"), F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("key"), "o_custkey", (F.col("o_totalprice") > 200000).alias("editable"))
+
+
+_IDS_SQL = "ids AS (SELECT o_orderstatus || '-' || year(o_orderdate) AS base_sha, 'k' || o_orderkey AS key, o_custkey, o_totalprice > 200000 AS editable, o_orderkey FROM orders)"
+
+
+@query(f"WITH {_IDS_SQL} SELECT base_sha, key, CASE WHEN base_sha LIKE 'P%' THEN 0 ELSE o_custkey END AS o_custkey FROM ids")
+def put_builds(spark, d):
+    path = shared_dir(spark)
+    rows = _identifiers(spark, d).drop("editable")
+    catalog.put(rows, path)
+    catalog.put(rows.where("base_sha LIKE 'P%'").withColumn("o_custkey", F.lit(0).cast("bigint")), path)
+    return catalog.load(spark, path).select("base_sha", "key", "o_custkey")
+
+
+@query("SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INT) AS ordinal, l_partkey FROM lineitem")
+def child_rows(spark, d):
+    parents = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    return catalog.children_of(parents, ["l_orderkey"], "lines").select("l_orderkey", "ordinal", "l_partkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'UNKNOWN' END AS kind, false AS reviewed FROM orders")
+def upgraded_rows(spark, d):
+    old = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("kind"))
+    return catalog.upgraded(old, {"kind": "UNKNOWN", "reviewed": False})
+
+
+@query(f"WITH {_BUILDS_SQL} SELECT fingerprint, CASE WHEN origin = 'IMPORTED' AND fingerprint = '1-1996-01' THEN 'INSTALLED' ELSE origin END AS origin FROM builds")
+def import_origins(spark, d):
+    return _builds(spark, d).select("fingerprint", catalog.imported_origin(F.col("origin"), F.col("fingerprint"), "1-1996-01").alias("origin"))
+
+
+@query(f"WITH {_BUILDS_SQL}, p AS (SELECT min(fingerprint) AS f FROM builds) SELECT fingerprint AS base_sha, CASE WHEN fingerprint = f THEN 'INSTALLED' ELSE origin END AS origin FROM builds, p")
+def pinned_builds(spark, d):
+    builds = _builds(spark, d).withColumnRenamed("fingerprint", "base_sha")
+    return catalog.pin(builds, builds.agg(F.min("base_sha")).first()[0]).select("base_sha", "origin")
+
+
+@query(f"WITH {_IDS_SQL}, last AS (SELECT base_sha FROM ids GROUP BY 1 ORDER BY max(o_orderkey) DESC, base_sha LIMIT 3) SELECT base_sha, key FROM ids WHERE base_sha IN (SELECT base_sha FROM last)")
+def pruned_builds(spark, d):
+    rows = _identifiers(spark, d).withColumn("n", F.substring("key", 2, 20).cast("bigint"))
+    kept = rows.groupBy("base_sha").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "base_sha").limit(3)
+    return catalog.prune(rows, kept).select("base_sha", "key")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS base_sha, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderpriority END AS base_apk_sha FROM orders WHERE o_orderkey = 7")
+def build_summary(spark, d):
+    builds = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("base_sha"), F.when(F.col("o_orderstatus") == "F", " ").otherwise(F.col("o_orderpriority")).alias("base_apk_sha"))
+    return catalog.summary(builds, "7")
+
+
+@query("""WITH b AS (SELECT o_orderstatus || '-' || year(o_orderdate) AS base_sha, max(o_orderkey) AS g FROM orders GROUP BY 1), c AS (SELECT base_sha FROM b WHERE base_sha <> 'none' ORDER BY g DESC, base_sha LIMIT 1)
+    SELECT base_sha, key, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber), '') AS getters FROM (SELECT o_orderstatus || '-' || year(o_orderdate) AS base_sha, 'k' || o_orderkey AS key, o_orderkey FROM orders WHERE o_totalprice > 200000) JOIN c USING (base_sha)
+    LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")
+def baseline_mappings(spark, d):
+    rows = _identifiers(spark, d)
+    builds = rows.groupBy("base_sha").agg(F.max(F.substring("key", 2, 20).cast("bigint")).alias("generated_at")).withColumn("origin", F.lit("INSTALLED"))
+    lines = table(spark, d, "lineitem").select(F.concat(F.lit("k"), F.col("l_orderkey").cast("string")).alias("key"), F.col("l_linenumber").alias("ordinal"))
+    getters = lines.join(rows.select("key", "base_sha"), "key")
+    found = catalog.baseline(builds, rows, getters, "none")
+    return found.select("base_sha", "key", F.array_join(F.transform("getters", lambda g: g["ordinal"].cast("string")), ",").alias("getters"))
+
+
+@query("SELECT p_partkey, p_name, NULL AS p_brand FROM part")
+def compact_rows(spark, d):
+    return catalog.compact(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), ("p_brand",))
+
+
+@query("SELECT DISTINCT p_name, 'override.' || substr(sha256(p_name), 1, 40) AS preference_key FROM part WHERE p_name LIKE 'c%'")
+def by_preference_key(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_name").alias("key")).distinct()
+    wanted = parts.where("key LIKE 'c%'").select(preference_key(F.col("key")).alias("preference_key"))
+    return catalog.by_preference(parts, wanted).select(F.col("key").alias("p_name"), "preference_key")
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) // 250 AS page FROM orders")
+def export_pages(spark, d):
+    return catalog.export_pages(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 250).select("o_orderkey", "page")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 250 OFFSET 500")
+def key_slice(spark, d):
+    return catalog.key_slice(table(spark, d, "orders"), ["o_totalprice", "o_orderkey"], 500, 250).select("o_orderkey")

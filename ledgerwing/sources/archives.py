@@ -21,8 +21,16 @@ ENTRY_SCHEMA = "archive string, ordinal int, name string, size long, sha256 stri
 
 
 def entries(spark: SparkSession, path: str, pattern: str = "", nested: str = ".apk") -> DataFrame:
-    """One row an entry whose name matches ``pattern``; entries of nested archives follow with
-    ``outer!inner`` names.  A broken archive or an entry beyond its limit is a row with ``error``."""
+    """``entries_of`` the files below a path; a file beyond ``MAX_ARCHIVE`` isn't read and is a row with ``error``."""
+    files = spark.read.format("binaryFile").load(path)
+    fits = F.col("length") <= MAX_ARCHIVE
+    large = files.where(~fits).select(F.col("path").alias("archive"), F.lit(-1).alias("ordinal"), F.lit("").alias("name"), F.col("length").alias("size"), *[F.lit(None).cast(t).alias(c) for c, t in (("sha256", "string"), ("content", "binary"))], F.lit("archive too large").alias("error"))
+    return entries_of(files.where(fits).select("path", "content"), pattern, nested).union(large)
+
+
+def entries_of(files: DataFrame, pattern: str = "", nested: str = ".apk") -> DataFrame:
+    """One row an entry, of (path, content) rows, whose name matches ``pattern``; entries of nested archives
+    follow with ``outer!inner`` names.  A broken archive, or an entry or archive beyond its limit, is a row with ``error``."""
 
     def run(batches):
         import re
@@ -30,10 +38,10 @@ def entries(spark: SparkSession, path: str, pattern: str = "", nested: str = ".a
         wanted = re.compile(pattern)
         for batch in batches:
             for path_, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = list(_walk(path_, content.as_buffer().to_pybytes(), wanted, nested))
+                data = content.as_buffer().to_pybytes() if content.is_valid else b""
+                rows = list(_walk(path_, data, wanted, nested))
                 yield pa.Table.from_pylist(rows, schema=_ARROW).combine_chunks().to_batches()[0] if rows else pa.RecordBatch.from_pylist([], schema=_ARROW)
 
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_ARCHIVE)
     return files.select("path", "content").mapInArrow(run, ENTRY_SCHEMA)
 
 
@@ -43,6 +51,9 @@ _ARROW = pa.schema([("archive", pa.string()), ("ordinal", pa.int32()), ("name",
 def _walk(archive: str, data: bytes, wanted, nested: str, prefix: str = "") -> Iterator[dict]:
     blank = {"archive": archive, "ordinal": -1, "name": prefix, "size": None, "sha256": None, "content": None, "error": None}
     try:
+        if len(data) > MAX_ARCHIVE:
+            yield blank | {"size": len(data), "error": "archive too large"}
+            return
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for k, info in enumerate(z.infolist()):
                 name = f"{prefix}{info.filename}"
@@ -67,6 +78,18 @@ def bounded(entries_: DataFrame, total: int = MAX_TOTAL, count: int = MAX_ENTRIE
     return entries_.withColumn("within", (F.sum("size").over(w) <= total) & (F.row_number().over(w) <= count))
 
 
+def accepted(entries_: DataFrame, total: int = MAX_TOTAL, count: int = MAX_ENTRIES) -> DataFrame:
+    """The entries, without those of archives that break a limit or have a broken entry: such an archive counts as one
+    row with ``error``, and none of its entries is used."""
+    marked = bounded(entries_, total, count)
+    bad = F.first_value(F.when(F.col("error").isNotNull(), F.col("error")).when(~F.col("within"), "limit"), True)
+    whole = Window.partitionBy("archive").orderBy("ordinal", "name").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = marked.withColumn("error", bad.over(whole)).withColumn("_n", F.row_number().over(Window.partitionBy("archive").orderBy("ordinal", "name")))
+    out = out.where(F.col("error").isNull() | (F.col("_n") == 1))
+    blank = {c: F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("ordinal", "name", "size", "sha256", "content")}
+    return out.select("archive", *blank.values(), "error")
+
+
 def split_names(packages: DataFrame, by: list[str], base: Column, order: str) -> DataFrame:
     """``packages`` with ``part``: ``base``, then ``split-<i>`` in the given order."""
     nth = F.row_number().over(Window.partitionBy(*by, base).orderBy(order))

@@ -92,17 +92,19 @@ def profile_json(mappings: DataFrame, header: dict[str, Column], by: list[str],
 
 def bundle(entries: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
     """(by, entries, sha256): a recovery bundle with its framed digest."""
+    entries = entries.where(F.col(key).isNotNull())
     maps = entries.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("entries"))
     return maps.join(framed_digest(entries, by, key, value, "sha256"), by)
 
 
 def bundle_errors(bundles: DataFrame, by: list[str], prefixes: tuple[str, ...]) -> DataFrame:
     """(by, error) of bundles whose checksum differs or that hold unmanaged keys."""
-    rows = bundles.select(*by, "sha256", F.explode("entries").alias("k", "v"))
-    actual = framed_digest(rows, by, "k", "v", "_sha")
-    bad = rows.groupBy(*by).agg(F.count_if(~F.greatest(*[managed_key(F.col("k"), p) for p in prefixes]) if len(prefixes) > 1 else ~managed_key(F.col("k"), prefixes[0])).alias("_bad"))
+    rows = bundles.select(*by, "sha256", F.explode("entries").alias("_k", "_v"))
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    actual = framed_digest(rows, by, "_k", "_v", "_sha")
+    bad = rows.groupBy(*by).agg(F.count_if(~F.greatest(*[managed_key(F.col("_k"), p) for p in prefixes]) if len(prefixes) > 1 else ~managed_key(F.col("_k"), prefixes[0])).alias("_bad"))
     joined = bundles.select(*by, "sha256").join(actual, by, "left").join(bad, by, "left")
-    error = F.when(~F.col("sha256").eqNullSafe(F.col("_sha")), "CHECKSUM").when(F.col("_bad") > 0, "UNMANAGED_KEY")
+    error = F.when(~F.col("sha256").eqNullSafe(F.coalesce("_sha", nothing)), "CHECKSUM").when(F.col("_bad") > 0, "UNMANAGED_KEY")
     return joined.withColumn("error", error).where("error IS NOT NULL").select(*by, "error")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_match
+from ..functions.text import matches
 
 
 def smali_flags(spark: SparkSession, path: str) -> DataFrame:
@@ -33,7 +34,12 @@ INVENTORY = f"schemaVersion int, generated_at bigint, base_sha string, methods a
 
 def inventory(spark: SparkSession, path: str, versions: tuple[int, int] = (2, 4)) -> DataFrame:
     """Identifiers of inventory documents, their getters looked up in the document's method table."""
-    docs = spark.read.schema(INVENTORY).json(path, multiLine=True).where(F.col("schemaVersion").between(*versions))
+    return inventory_rows(spark.read.schema(INVENTORY).json(path, multiLine=True), versions)
+
+
+def inventory_rows(docs: DataFrame, versions: tuple[int, int] = (2, 4)) -> DataFrame:
+    """``inventory`` of documents that are parsed already (columns of ``INVENTORY``)."""
+    docs = docs.where(F.col("schemaVersion").between(*versions))
     rows = docs.select("base_sha", "generated_at", "methods", F.explode("identifiers").alias("i"))
     getters = F.transform(F.coalesce("i.getters", F.array().cast("array<int>")), lambda k: F.get("methods", k))
     return rows.select("base_sha", "generated_at", "i.key", "i.namespace", "i.value_type", "i.compiled_default", "i.confidence", F.coalesce("i.editable", F.lit(False)).alias("editable"), F.coalesce("i.kind", F.lit("UNKNOWN")).alias("kind"), getters.alias("getters"))
@@ -64,7 +70,7 @@ def event_line(prefix: str, fields: Column) -> Column:
 
 def base64_payload(text: Column) -> Column:
     """Bytes of a plausible base64 text, standard or URL alphabet, padded or not; else null."""
-    plausible = (F.length(text) >= 4) & (F.length(text) % 4 != 1) & text.rlike(r"^[A-Za-z0-9+/_-]+={0,2}$")
+    plausible = (F.length(text) >= 4) & (F.length(text) % 4 != 1) & matches(text, "[A-Za-z0-9+/_-]+={0,2}")
     standard = F.translate(F.regexp_replace(text, "=+$", ""), "-_", "+/")
     padded = F.rpad(standard, (F.ceil(F.length(standard) / 4) * 4).cast("int"), F.lit("="))
     return F.when(plausible, F.try_to_binary(padded, F.lit("base64")))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .texts import base64_payload, config_like
+
 MAX_BYTES, MAX_FIELDS, MAX_DEPTH = 1 << 20, 4096, 8
 SCHEMA = "path string, depth int, number int, wire_type string, value string, size int"
 
@@ -73,19 +75,20 @@ def fields(data: bytes, depth: int = 0, path: str = "", left: list[int] | None =
 
 
 def decode(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, SCHEMA) rows of each payload; a payload that is no message, or beyond a limit, gives none."""
+    """(key, SCHEMA) rows of each payload.  An empty or null one gives none; one that is no message, or beyond a
+    limit, gives one row at depth -1 with wire type INVALID or TOO_LARGE and its size."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             keys, rows = [], []
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not data or len(data) > MAX_BYTES:
+                if not data:
                     continue
                 try:
-                    got = list(fields(data))
+                    got = list(fields(data)) if len(data) <= MAX_BYTES else [("", -1, None, "TOO_LARGE", None, len(data))]
                 except (ValueError, IndexError):
-                    continue
+                    got = [("", -1, None, "INVALID", None, len(data))]
                 rows += got
                 keys += [k] * len(got)
             types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
@@ -97,12 +100,25 @@ def decode(df: DataFrame, key: str, payload: str) -> DataFrame:
 
 def repeated_fields(rows: DataFrame, key: str) -> DataFrame:
     """(key, path, n) of fields that occur more than once."""
-    return rows.groupBy(key, "path").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.where("depth >= 0").groupBy(key, "path").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def schema_errors(rows: DataFrame, schema: DataFrame, key: str) -> DataFrame:
-    """(key, number, error) of top-level fields against (number, wire_type, repeated)."""
+def schema_errors(rows: DataFrame, schema: DataFrame, key: str, unknown: bool = True) -> DataFrame:
+    """(key, number, error) of top-level fields against (number, wire_type, repeated); ``unknown``: whether
+    a field outside the schema is an error."""
     top = rows.where("depth = 0").groupBy(key, "number").agg(F.count("*").alias("n"), F.collect_set("wire_type").alias("types"))
     known = schema.select("number", F.col("wire_type").alias("want"), "repeated")
-    error = F.when(F.col("want").isNull(), "UNKNOWN_FIELD").when(~F.array_contains("types", F.col("want")) | (F.size("types") > 1), "WIRE_TYPE").when(~F.col("repeated") & (F.col("n") > 1), "REPEATED")
+    error = F.when(F.col("want").isNull() & F.lit(unknown), "UNKNOWN_FIELD").when(F.col("want").isNull(), None).when(~F.array_contains("types", F.col("want")) | (F.size("types") > 1), "WIRE_TYPE").when(~F.col("repeated") & (F.col("n") > 1), "REPEATED")
     return top.join(known, "number", "left").withColumn("error", error).where("error IS NOT NULL").select(key, "number", "error")
+
+
+def enriched(df: DataFrame, key: str, name: str, kind: str, value: str, words: tuple[str, ...]) -> DataFrame:
+    """``df`` with ``n_fields`` of values that are messages; those can't be edited as text.
+
+    Only STRING and BYTES values are looked into, and only under names with one of ``words``.
+    """
+    maybe = F.col(kind).isin("STRING", "BYTES") & config_like(F.col(name), words)
+    payloads = df.where(maybe).select(key, base64_payload(F.col(value)).alias("_payload")).where("_payload IS NOT NULL")
+    found = decode(payloads, key, "_payload").groupBy(key).agg(F.count_if(F.col("depth") >= 0).cast("int").alias("n_fields"))
+    out = df.join(found.where("n_fields > 0"), key, "left")
+    return out.withColumn("editable", F.col("editable") & F.col("n_fields").isNull())

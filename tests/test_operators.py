@@ -24,6 +24,7 @@ def one(spark, column, **values):
 @pytest.mark.parametrize(("kind", "raw", "want"), [
     ("BOOLEAN", "true", "true"), ("BOOLEAN", "TRUE", None), ("INT", "2147483647", "2147483647"), ("INT", "2147483648", None), ("INT", " 5", None), ("INT", "+7", "7"), ("LONG", "-9223372036854775808", "-9223372036854775808"),
     ("LONG", "9223372036854775808", None), ("DOUBLE", "NaN", None), ("DOUBLE", "1e400", None), ("DOUBLE", "1.5", "1.5"), ("FLOAT", "1e39", None), ("STRING", "", ""), ("BYTES", "x", None),
+    ("INT", "12\n", None), ("LONG", "12\n", None), ("DOUBLE", " 1.5 ", "1.5"), ("FLOAT", "2", "2.0"), ("DOUBLE", "1e3d", "1000.0"), ("BOOLEAN", "true\n", None), ("STRING", "a\n", "a\n"),
 ])
 def test_values(spark, kind, raw, want):
     assert one(spark, codecs.validate(F.lit(kind), F.col("v")), v=raw) == want
@@ -47,7 +48,7 @@ def test_blocked_tokens(spark, name, want):
 
 def test_name_words(spark):
     assert one(spark, F.array_join(text.words_of(F.col("v")), " "), v="HTTPServer__maxIO_42Times") == "http server max io 42 times"
-    assert one(spark, text.dotted_class(F.col("v")), v="La/b/C;") == "a.b.C"
+    assert one(spark, text.dotted_class(F.col("v")), v="La/b/C;") == "a.b.C" and one(spark, text.dotted_class(F.col("v")), v="La/b/C;\n") == "La/b/C;\n"
     assert one(spark, text.csv_field(F.col("v")), v='a"b') == '"a""b"'
 
 
@@ -57,11 +58,51 @@ def test_search_takes_text_literally(spark):
     assert [r["key"] for r in catalog.search(df, q).orderBy("key").collect()] == ["a_b", "c%"]
 
 
-def test_kinds(spark):
-    rows = [("x.ACTION.y", "STRING_LITERAL", "INTENT_ACTION"), ("A_ENABLED", "DECISION_GATE", "DERIVED_RUNTIME_STATE"), ("A__b", "FENOTYPE_FLAG", "FENOTYPE_FLAG"), ("HOME", "STRING_LITERAL", "ROUTE_STATE"), ("A_B", "STRING_LITERAL", "JAVA_ENUM_LITERAL"), ("zz", None, "UNKNOWN")]
-    df = spark.createDataFrame(rows, "k string, n string, want string")
-    assert all(r["got"] == r["want"] for r in df.select("want", classify.kind_of(F.col("k"), F.col("n")).alias("got")).collect())
+def test_rule_tables(spark):
+    rows = [("x.GO.y", "T", "VERB"), ("ab\n", "T", "OTHER"), ("AB", "T", "NAME"), ("cfg/a", "C", "SET"), ("zz", None, "OTHER"), ("useHTTPNow", "T", "WEB"), (None, None, "OTHER")]
+    df = spark.createDataFrame(rows, "key string, n string, want string")
+    table = [classify.rule("SET", column="n", is_="C"), classify.rule("VERB", has_folded=".go."), classify.rule("NAME", shape="[A-Z]+"), classify.rule("WEB", classify.Test("n", "is_", "T"), word="http"), classify.rule("NEVER", shape="[a-z]+", not_has="z")]
+    assert all(r["got"] == r["want"] for r in df.select("want", classify.classify(table, "OTHER").alias("got")).collect())
     assert one(spark, rules.strongest([F.col("a"), F.col("b")], classify.STRENGTHS), a="LOW", b="PROVEN") == "PROVEN"
+    lists = spark.createDataFrame([(["dump", "get"],), (["dump"],), ([],), (None,)], "g array<string>")
+    every = lists.select(classify.Test("g", "is_", "dump", array=True, every=True).holds().alias("h"), classify.Test("g", "is_", "dump", array=True).holds().alias("s"))
+    assert [tuple(r) for r in every.collect()] == [(False, True), (True, True), (False, False), (False, False)]
+
+
+@pytest.mark.parametrize(("name", "want"), [("HTTP2Server", "http2 server"), ("HTTP2x", "http2x"), ("aB", "a b"), ("ABc", "a bc"), ("abc42Def", "abc42 def"), ("IO", "io"), ("", ""), ("--", ""), ("ÉaB", "a b"), ("A1B2", "a1 b2")])
+def test_words(spark, name, want):
+    assert one(spark, F.array_join(text.words_of(F.col("v")), " "), v=name) == want
+
+
+def test_whole_texts_end_where_they_end(spark):
+    """A line break at the end is part of a text."""
+    uuid = "01234567-89ab-cdef-0123-456789abcdef"
+    for tail, ok in (("", True), ("\n", False)):
+        assert (one(spark, requests.request_millis(F.col("v")), v=f"v1|5|{uuid}{tail}") is not None) == ok
+        assert (one(spark, requests.request_route(F.col("v"), ("A",)), v=f"v1|5|{uuid}|A{tail}") is not None) == ok
+        assert one(spark, codecs.managed_key(F.col("v")), v="override." + "a" * 40 + tail) == ok
+        assert (one(spark, texts.base64_payload(F.col("v")), v="YWJj" + tail) is not None) == ok
+
+
+def test_empty_bundles_have_no_error(spark):
+    rows = spark.createDataFrame([("a", {}, "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"), ("b", {}, "x")], "k string, entries map<string,string>, sha256 string")
+    assert [tuple(r) for r in sinks.bundle_errors(rows, ["k"], ("override.",)).collect()] == [("b", "CHECKSUM")]
+
+
+def test_large_inputs_are_rows(spark, monkeypatch):
+    monkeypatch.setattr(wire, "MAX_BYTES", 3)
+    df = spark.createDataFrame([(1, bytes([8, 1])), (2, bytes([8, 1, 16, 1])), (3, bytes([255])), (4, None)], "k int, p binary")
+    got = {r["k"]: (r["wire_type"], r["size"]) for r in wire.decode(df, "k", "p").collect()}
+    assert got[1] == ("VARINT", None) and got[3] == ("INVALID", 1) and 4 not in got and len(got) == 3
+
+
+def test_hubs_are_dealt(spark, monkeypatch):
+    from ledgerwing import stores
+
+    monkeypatch.setattr(stores, "LIGHT", 5)
+    edges = spark.createDataFrame([(0, k) for k in range(1, 60)] + [(200 + k, 201 + k) for k in range(30)] + [(59, 300)], "a long, b long")
+    want = {k: 0 for k in [*range(60), 300]} | {200 + k: 200 for k in range(31)}
+    assert {r["node"]: r["root"] for r in graph.components(edges).collect()} == want
 
 
 def test_retention(spark):
@@ -220,8 +261,9 @@ def test_wire(spark):
     nested = b"\x08\x96\x01"
     rows = [(1, b"\x08\x05\x12\x02hi" + b"\x1a" + bytes([len(nested)]) + nested + b"\x08\x06"), (2, b"\x0b"), (3, b"\x12\x05hi"), (4, None), (5, b"\x09" + b"\x01" + b"\0" * 7)]
     df = wire.decode(spark.createDataFrame(rows, "k int, b binary"), "k", "b")
-    got = [(r["k"], r["path"], r["wire_type"], r["value"]) for r in df.collect()]
+    got = [(r["k"], r["path"], r["wire_type"], r["value"]) for r in df.where("depth >= 0").collect()]
     assert got == [(1, "1", "VARINT", "5"), (1, "2", "LENGTH_DELIMITED", "hi"), (1, "3", "LENGTH_DELIMITED", None), (1, "3/1", "VARINT", "150"), (1, "1", "VARINT", "6"), (5, "1", "FIXED64", "1")]
+    assert sorted((r["k"], r["wire_type"]) for r in df.where("depth < 0").collect()) == [(2, "INVALID"), (3, "INVALID")]
     assert [tuple(r) for r in wire.repeated_fields(df, "k").collect()] == [(1, "1", 2)]
     schema = spark.createDataFrame([(1, "VARINT", False), (2, "VARINT", False), (3, "LENGTH_DELIMITED", True)], "number int, wire_type string, repeated boolean")
     assert sorted(tuple(r) for r in wire.schema_errors(df.where("k = 1"), schema, "k").collect()) == [(1, 1, "REPEATED"), (1, 2, "WIRE_TYPE")]
