@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import single_or_null
+from ..stores import saved
 
 
 def successors(instructions: DataFrame, by: list[str]) -> DataFrame:
@@ -154,3 +155,118 @@ def field_moves(instructions: DataFrame, by: list[str]) -> DataFrame:
     """(by, source, target): fields that store another field's value."""
     rows = reaching(instructions, by).where("op IN ('SPUT', 'IPUT') AND src_op = 'GET'")
     return rows.select(*by, F.col("src_ref").alias("source"), F.col("ref").alias("target")).distinct()
+
+
+# --- control flow -----------------------------------------------------------
+# A register's value at an instruction may come from several writes: the fixpoint is a loop of joins
+# over (method, instruction, register, write) rows, each new row once.
+
+
+def reaching_writes(instructions: DataFrame, edges: DataFrame, by: list[str], rounds: int = 10_000) -> DataFrame:
+    """(by, idx, register, write): the writes whose value a register may hold before an instruction.
+
+    instructions: (idx, writes), the register that it writes or null; edges: (idx, next) as of ``successors``.
+    """
+    steps = saved(edges.join(instructions.select(*by, "idx", "writes"), [*by, "idx"]).select(*by, "idx", "next", "writes"))
+    front = saved(steps.where("writes IS NOT NULL").select(*by, F.col("next").alias("idx"), F.col("writes").alias("register"), F.col("idx").alias("write")).distinct())
+    seen = front
+    for _ in range(rounds):
+        moved = front.join(steps, [*by, "idx"]).where("NOT (writes <=> register)").select(*by, F.col("next").alias("idx"), "register", "write").distinct()
+        front = saved(moved.join(seen, moved.columns, "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = seen.union(front)
+    raise RuntimeError("writes did not settle")
+
+
+def value_origins(instructions: DataFrame, edges: DataFrame, by: list[str], trail: int = 8, rounds: int = 64) -> DataFrame:
+    """(by, idx, register, origin, trail): for every read, the instructions that its value may come from.
+
+    instructions: (idx, op, opcode, reads, writes).  A MOVE or TRANSFORM is followed to what it reads, and the last ``trail``
+    opcodes of TRANSFORMs on the way are kept; a read that no write reaches gives nothing.
+    """
+    ops = instructions.select(*by, F.col("idx").alias("write"), F.col("op").alias("_op"), "opcode", "reads")
+    reach = saved(reaching_writes(instructions, edges, by))
+    wanted = instructions.where("reads IS NOT NULL").select(*by, "idx", F.explode("reads").alias("register"))
+    front = saved(wanted.join(reach, [*by, "idx", "register"]).select(*by, "idx", "register", F.col("write").alias("at"), F.array().cast("array<string>").alias("trail")))
+    seen, done = front.select(*by, "idx", "register", "at"), None
+    for _ in range(rounds):
+        here = front.join(ops.withColumnRenamed("write", "at"), [*by, "at"])
+        ends = here.where("_op NOT IN ('MOVE', 'TRANSFORM')").select(*by, "idx", "register", F.col("at").alias("origin"), "trail")
+        done = ends if done is None else done.union(ends)
+        longer = F.when(F.col("_op") == "TRANSFORM", F.slice(F.concat(F.array("opcode"), "trail"), 1, trail)).otherwise(F.col("trail"))
+        back = here.where("_op IN ('MOVE', 'TRANSFORM')").select(*by, "idx", "register", F.col("at").alias("_via"), F.explode("reads").alias("_reg"), longer.alias("trail"))
+        before = reach.select(*by, F.col("idx").alias("_via"), F.col("register").alias("_reg"), F.col("write").alias("at"))
+        nxt = back.join(before, [*by, "_via", "_reg"]).groupBy(*by, "idx", "register", "at").agg(F.min("trail").alias("trail"))
+        front = saved(nxt.join(seen, [*by, "idx", "register", "at"], "left_anti"))
+        if front.isEmpty():
+            return done.groupBy(*by, "idx", "register", "origin").agg(F.min("trail").alias("trail"))
+        seen = seen.union(front.select(seen.columns))
+    raise RuntimeError("origins did not settle")
+
+
+def proven_returns(instructions: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, field): the only field that all returns of a method give back, whichever way they are reached."""
+    origins = value_origins(instructions, edges, by)
+    ops = instructions.select(*by, F.col("idx").alias("origin"), F.col("op").alias("_from"), F.col("ref").alias("_ref"))
+    at = instructions.where("op = 'RETURN'").select(*by, "idx")
+    found = at.join(origins, [*by, "idx"], "left").join(ops, [*by, "origin"], "left")
+    out = found.groupBy(*by).agg(single_or_null(F.when(F.col("_from") == "GET", F.col("_ref"))).alias("field"), F.count_if(~F.coalesce((F.col("_from") == "GET") & (F.size("trail") == 0), F.lit(False))).alias("_other"))
+    return out.where("_other = 0 AND field IS NOT NULL").select(*by, "field")
+
+
+def stored_values(instructions: DataFrame, edges: DataFrame, by: list[str], origin_op: str) -> DataFrame:
+    """(by, target, source, trail, certain): fields that store what came from an ``origin_op`` (INVOKE: a call's result,
+    GET: another field), and whether it can come from nowhere else."""
+    origins = value_origins(instructions, edges, by)
+    ops = instructions.select(*by, F.col("idx").alias("origin"), F.col("op").alias("_from"), F.col("ref").alias("source"))
+    puts = instructions.where("op = 'PUT'").select(*by, "idx", F.col("ref").alias("target"))
+    found = puts.join(origins, [*by, "idx"]).join(ops, [*by, "origin"])
+    every = found.withColumn("certain", F.count("*").over(Window.partitionBy(*by, "idx")) == 1)
+    return every.where(F.col("_from") == origin_op).groupBy(*by, "target", "source").agg(F.min("trail").alias("trail"), F.max("certain").alias("certain"))
+
+
+def registrations(instructions: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, field, key, value, status): what the calls whose results fields store were given, over all ways through a method.
+
+    A call's only string constant is the key and its only number the default; RESOLVED if the stored call and its key are the
+    only ones possible, else AMBIGUOUS.
+    """
+    origins = saved(value_origins(instructions, edges, by))
+    ops = instructions.select(*by, F.col("idx").alias("origin"), F.col("op").alias("_from"), F.col("literal").alias("_literal"))
+    given = instructions.where("op = 'INVOKE'").select(*by, F.col("idx").alias("idx")).join(origins, [*by, "idx"]).join(ops, [*by, "origin"])
+    calls = given.groupBy(*by, "idx").agg(
+        F.count_distinct(F.when(F.col("_from") == "STRING", F.col("_literal"))).alias("n_keys"), F.min(F.when(F.col("_from") == "STRING", F.col("_literal"))).alias("key"),
+        single_or_null(F.when(F.col("_from") == "NUMERIC", F.col("_literal"))).alias("value")).withColumnRenamed("idx", "origin")
+    puts = instructions.where("op = 'PUT'").select(*by, "idx", F.col("ref").alias("field"))
+    stored = puts.join(origins.select(*by, "idx", "origin"), [*by, "idx"]).withColumn("n_ways", F.count("*").over(Window.partitionBy(*by, "idx"))).join(calls, [*by, "origin"])
+    out = stored.where("n_keys > 0").groupBy(*by, "field").agg(F.count_distinct("key").alias("_k"), F.max("n_keys").alias("_n"), F.max("n_ways").alias("_w"), F.min("key").alias("key"), single_or_null("value").alias("value"))
+    sure = (F.col("_k") == 1) & (F.col("_n") == 1) & (F.col("_w") == 1)
+    return out.select(*by, "field", F.when(sure, F.col("key")).alias("key"), F.when(sure, F.col("value")).alias("value"), F.when(sure, "RESOLVED").otherwise("AMBIGUOUS").alias("status"))
+
+
+def argument_places(calls: DataFrame, by: list[str], wide: tuple[str, ...] = ("J", "D")) -> DataFrame:
+    """(by, place, word, kind): where each argument of a call lies among its registers; LONG and DOUBLE ones take two words.
+
+    calls: (kinds), the argument types in order.
+    """
+    rows = calls.select(*by, F.posexplode("kinds").alias("place", "kind"))
+    size = F.when(F.col("kind").isin(*wide), 2).otherwise(1)
+    return rows.withColumn("word", (F.sum(size).over(Window.partitionBy(*by).orderBy("place")) - size).cast("int")).select(*by, "place", "word", "kind")
+
+
+def positional_registration(calls: DataFrame, by: list[str], after: int = 1, wide: tuple[str, ...] = ("J", "D")) -> DataFrame:
+    """(by, key, value): the constant ``after`` places behind (or before) a call's only string argument.
+
+    calls: (kinds, words): argument types, and the constant in each register word (null: not constant).
+    """
+    places = argument_places(calls, by, wide).join(calls.select(*by, "words"), by).withColumn("held", F.get("words", F.col("word")))
+    keys = places.where("kind = 'Ljava/lang/String;' AND held IS NOT NULL")
+    single = keys.groupBy(*by).agg(F.count("*").alias("_n"), F.min("held").alias("key"), F.min("place").alias("_at")).where("_n = 1")
+    beside = places.select(*by, (F.col("place") - after).alias("_at"), F.col("held").alias("value"))
+    return single.join(beside, [*by, "_at"]).where("value IS NOT NULL").select(*by, "key", "value")
+
+
+def referencing(methods: DataFrame, fields: DataFrame, by: list[str], lists: str = "fields") -> DataFrame:
+    """Methods (by) that refer to any of ``fields`` (field)."""
+    return methods.select(*by, F.explode(lists).alias("field")).join(fields.select("field"), "field", "left_semi").select(*by).distinct()

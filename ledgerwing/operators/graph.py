@@ -22,20 +22,39 @@ def distances(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
-def budgeted_search(starts: DataFrame, edges: DataFrame, budget: int, max_depth: int) -> DataFrame:
+def caller_edges(calls: DataFrame, implements: DataFrame, extends: DataFrame, methods: DataFrame) -> DataFrame:
+    """(src, dst, via, ordinal): from each method to those that may call it.
+
+    calls: (caller, callee, ordinal); implements: (class_name, interface); extends: (class_name, superclass);
+    methods: (class_name, member), a signature being ``class->member``.  A call of an interface's or a superclass's
+    member also reaches the class's own; ``via`` then names it, marked ``#dispatch`` or ``#super``.
+    """
+    direct = calls.select(F.col("callee").alias("src"), F.col("caller").alias("dst"), F.lit(None).cast("string").alias("via"), "ordinal")
+    kinds = [implements.select("class_name", F.col("interface").alias("base"), F.lit("#dispatch").alias("mark")), extends.select("class_name", F.col("superclass").alias("base"), F.lit("#super").alias("mark"))]
+    own = methods.join(kinds[0].union(kinds[1]), "class_name").select(F.concat("class_name", F.lit("->"), "member").alias("src"), F.concat("base", F.lit("->"), "member").alias("callee"), "mark")
+    through = own.join(calls, "callee").select("src", F.col("caller").alias("dst"), F.concat("callee", "mark").alias("via"), "ordinal")
+    return direct.union(through)
+
+
+def budgeted_search(starts: DataFrame, edges: DataFrame, budget: int, max_depth: int, hops: int = 0) -> DataFrame:
     """(root, node, depth, place, exhausted): breadth-first from each root, ``budget`` nodes scheduled at most.
 
     starts: (root, node); edges: (src, dst, ordinal).  A node is scheduled once, in the order its
     callers were and then by ordinal; a search that schedules its whole budget counts as exhausted.
+    With ``hops`` there is also ``path``: how the node was reached, the edges' ``via`` included, the last ``hops`` steps.
     """
-    seen = saved(starts.select("root", "node", F.lit(0).alias("depth"), F.lit(1).alias("place")))
+    keep = ["path"] if hops else []
+    first = [F.array(F.col("node").cast("string")).alias("path")] if hops else []
+    seen = saved(starts.select("root", "node", F.lit(0).alias("depth"), F.lit(1).alias("place"), *first))
     front = seen
     for depth in range(1, max_depth + 1):
-        step = front.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.col("place").alias("_from"), "ordinal")
-        new = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min(F.struct("_from", "ordinal")).alias("_o"))
+        way = F.concat("path", F.array_compact(F.array("via", F.col("dst").cast("string")))) if hops else None
+        longer = [F.slice(way, F.greatest(F.size(way) - hops + 1, F.lit(1)), hops).alias("path")] if hops else []
+        step = front.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.col("place").alias("_from"), "ordinal", *longer)
+        new = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min(F.struct("_from", "ordinal", *keep)).alias("_o"))
         used = seen.groupBy("root").agg(F.max("place").alias("_used"))
         placed = new.join(used, "root").withColumn("place", (F.col("_used") + F.row_number().over(Window.partitionBy("root").orderBy("_o", "node"))).cast("int"))
-        front = saved(placed.where(F.col("place") <= budget).select("root", "node", F.lit(depth).alias("depth"), "place"))
+        front = saved(placed.where(F.col("place") <= budget).select("root", "node", F.lit(depth).alias("depth"), "place", *[F.col(f"_o.{c}").alias(c) for c in keep]))
         if front.isEmpty():
             break
         seen = seen.union(front)
@@ -96,6 +115,17 @@ def link_kind(depth: Column, path: Column) -> Column:
     return first_match([(F.exists(path, lambda p: p.contains("#dispatch")), "DISPATCHED"), (depth <= 1, "DIRECT")], "CHAINED")
 
 
+#: What a directed search comes to, in the order in which it is tested.
+OUTCOMES = ("SEMANTIC_CORRIDOR_EXHAUSTED", "MULTIPLE_SEMANTIC_ENDPOINTS", "SEMANTIC_ENDPOINT_FOUND", "FALLBACK_BUDGET_EXHAUSTED", "VALUE_FLOW_NOT_PROVEN", "SHARED_INFRASTRUCTURE_FANOUT", "ONLY_TECHNICAL_CONSUMERS", "NO_CONSUMER_FOUND", "GENERIC_RUNTIME_PATH_ONLY")
+
+
+def resolution_reason(exhausted: Column, n_endpoint_kinds: Column, fallback_exhausted: Column, n_unproven: Column, n_runtime: Column, n_fanout: Column, n_technical: Column, n_consumers: Column) -> Column:
+    """The outcome of a search: a used-up budget tells nothing, then kinds of endpoints found, then what stood in the way."""
+    none = n_runtime == 0
+    tests = [exhausted, n_endpoint_kinds > 1, n_endpoint_kinds == 1, fallback_exhausted, (n_unproven > 0) & none, n_fanout > 0, none & (n_technical > 0), n_consumers == 0]
+    return first_match(zip(tests, OUTCOMES, strict=False), OUTCOMES[-1])
+
+
 def dependencies(reached: DataFrame, nodes: DataFrame, roles: dict[str, Column], root: str = "root") -> DataFrame:
     """(root, one sorted array a role, status): names of reached nodes by role; a search that used up
     its budget is SUSPENDED and names nothing.
@@ -111,13 +141,19 @@ def dependencies(reached: DataFrame, nodes: DataFrame, roles: dict[str, Column],
     return out.select(root, *named, first_match([(F.col("_full"), "SUSPENDED"), (some, "FOUND")], "NONE").alias("status"))
 
 
+def relevant(records: DataFrame, consumers: DataFrame, key: str, max_depth: int = 2) -> DataFrame:
+    """Records that have a consumer at most ``max_depth`` calls away."""
+    return records.join(consumers.where(F.col("depth") <= max_depth).select(key), key, "left_semi")
+
+
 def targeted_search(starts: DataFrame, edges: DataFrame, kinds: DataFrame, budgets: dict[str, int], max_depth: int) -> DataFrame:
     """(root, node, depth): a search that goes on from a node only while its kind's budget lasts.
 
-    kinds: (node, kind).  In every layer each root's new nodes of a kind take
-    that kind's places in order of the node; kinds without a budget end the path
-    (they are reached, not passed).
+    kinds: (node, kind) and maybe ``distance``, to the nearest endpoint.  In every layer each root's new nodes
+    of a kind take that kind's places in order of their distance (unknown ones last) and of the node; kinds without
+    a budget end the path (they are reached, not passed).
     """
+    order = [F.asc_nulls_last("distance"), "node"] if "distance" in kinds.columns else ["node"]
     seen = saved(starts.select("root", "node", F.lit(0).alias("depth")))
     front, used = seen.select("root", "node"), None
     for depth in range(1, max_depth + 1):
@@ -126,7 +162,7 @@ def targeted_search(starts: DataFrame, edges: DataFrame, kinds: DataFrame, budge
         if new.isEmpty():
             break
         seen = seen.union(new)
-        kind = new.join(kinds, "node", "left").withColumn("_n", F.row_number().over(Window.partitionBy("root", "kind").orderBy("node")))
+        kind = new.join(kinds, "node", "left").withColumn("_n", F.row_number().over(Window.partitionBy("root", "kind").orderBy(*order)))
         if used is not None:
             kind = kind.join(used, ["root", "kind"], "left")
         place = F.col("_n") + (F.coalesce("used", F.lit(0)) if used is not None else F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import ranking
 from ..session import table
 from ..streaming import gates
@@ -53,7 +54,7 @@ def session_gate(spark, d):
     return gates.gate_batch(_gate_events(spark, d), "user_id")
 
 
-@query("""WITH t AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'click' THEN value ELSE NULL END AS token FROM events WHERE event_type <> 'view'),
+@query("""WITH t AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'click' THEN value ELSE NULL END AS token FROM events),
     p AS (SELECT *, last_value(token IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t),
     f AS (SELECT *, CASE WHEN token IS NULL THEN NULL WHEN token = before THEN 'NO_CHANGE' WHEN CAST(event_id % 30 AS INT) * 1000 > 12000 THEN 'EXPIRED' ELSE 'FIT' END AS fit FROM p),
     n AS (SELECT *, sum(CASE WHEN fit = 'FIT' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM f)
@@ -62,7 +63,7 @@ def request_ttl(spark, d):
     millis = F.lit(10**9) - (F.col("event_id") % 30) * 1000
     body = F.concat(F.lit("v1|"), millis.cast("string"), F.lit("|"), F.lpad(F.hex(F.xxhash64("value")), 36, "0"))
     token = F.when(F.col("event_type") == "click", body)
-    df = table(spark, d, "events").where("event_type <> 'view'").withColumns({"token": token, "now": F.lit(10**9)})
+    df = table(spark, d, "events").withColumns({"token": token, "now": F.lit(10**9)})
     return gates.request_decisions(df, ["user_id"], _ORDER, "now", "token", F.lit(True), F.lit(True)).select("event_id", "decision")
 
 
@@ -70,3 +71,16 @@ def request_ttl(spark, d):
 def latest_requests(spark, d):
     events = table(spark, d, "events").withColumn("day", F.to_date("ts"))
     return gates.latest_requests(events, events, ["user_id"], "day").select("event_id")
+
+
+@query("""WITH t AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'click' THEN 'A' WHEN 'purchase' THEN 'C' END AS route, event_id % 20 AS age FROM events),
+    f AS (SELECT *, CASE WHEN route IS NULL THEN NULL WHEN route = 'C' THEN 'INVALID' WHEN age > 12 OR age > event_id % 11 THEN 'EXPIRED' ELSE 'FIT' END AS fit FROM t),
+    n AS (SELECT *, sum(CASE WHEN fit = 'FIT' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM f)
+    SELECT event_id, CASE WHEN fit = 'FIT' THEN CASE WHEN k = 1 THEN 'ACCEPTED' ELSE 'ALREADY_ATTEMPTED' END ELSE fit END AS decision FROM n""")
+def build_scoped_requests(spark, d):
+    """Requests with a route; one made before its session began is as good as expired."""
+    route = rules.first_match([(F.col("event_type") == "click", "|A"), (F.col("event_type") == "purchase", "|C")])
+    millis = F.lit(10**9) - (F.col("event_id") % 20) * 1000
+    token = F.concat(F.lit("v1|"), millis.cast("string"), F.lit("|"), F.lpad(F.hex("event_id"), 36, "0"), route)
+    df = table(spark, d, "events").withColumns({"token": token, "now": F.lit(10**9), "begun": F.lit(10**9) - (F.col("event_id") % 11) * 1000})
+    return gates.request_decisions(df, ["user_id"], _ORDER, "now", "token", F.lit(True), F.lit(True), ("A", "B"), "begun").select("event_id", "decision")

@@ -404,12 +404,13 @@ def smali_profile(spark, d):
     return texts.flags_of(table(spark, d, "part").select(F.col("p_partkey").alias("file"), body.alias("value")), "value", "file")
 
 
-@query("SELECT s_suppkey, '1' AS path, 'VARINT' AS wire_type, CAST(s_suppkey AS VARCHAR) AS value FROM supplier WHERE s_suppkey < 128 UNION ALL SELECT s_suppkey, '2', 'LENGTH_DELIMITED', s_name FROM supplier WHERE s_suppkey < 128")
+@query("SELECT s_suppkey, '1' AS path, 'VARINT' AS wire_type, CAST(s_suppkey AS VARCHAR) AS value FROM supplier UNION ALL SELECT s_suppkey, '2', 'LENGTH_DELIMITED', s_name FROM supplier")
 def protobuf_wire(spark, d):
     name = F.col("s_name").cast("binary")
     size = F.unhex(F.lpad(F.hex(F.octet_length("s_name")), 2, "0"))
-    payload = F.concat(F.unhex(F.lit("08")), F.unhex(F.lpad(F.hex("s_suppkey"), 2, "0")), F.unhex(F.lit("12")), size, name)
-    return wire.decode(table(spark, d, "supplier").where("s_suppkey < 128").withColumn("payload", payload), "s_suppkey", "payload").select("s_suppkey", "path", "wire_type", "value")
+    septet = lambda k, more: F.unhex(F.lpad(F.hex(F.shiftright("s_suppkey", 7 * k).bitwiseAND(127) + 128 * more), 2, "0"))
+    payload = F.concat(F.unhex(F.lit("08")), *[septet(k, int(k < 4)) for k in range(5)], F.unhex(F.lit("12")), size, name)
+    return wire.decode(table(spark, d, "supplier").withColumn("payload", payload), "s_suppkey", "payload").select("s_suppkey", "path", "wire_type", "value")
 
 
 @query("SELECT event_id, event_type AS name FROM events WHERE event_type <> 'error'")

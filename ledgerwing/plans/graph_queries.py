@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import dataflow, graph, matching
@@ -11,35 +12,70 @@ from .registry import registry
 query, QUERIES, ORACLE_SQL = registry()
 
 
-def _edges(spark, d):
-    """Suppliers and parts that a line item joins, as one numbered graph: parts negative."""
-    lines = table(spark, d, "lineitem").where("l_quantity >= 49")
-    return lines.select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey")).alias("dst")).distinct()
-
-
 def _all_edges(spark, d):
     """Every supplier and part that any line item joins, in both directions: part p is -1 - p, as keys start at 0."""
     edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst")).distinct()
     return edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, -l_partkey AS dst FROM lineitem WHERE l_quantity >= 49), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, -1 - l_partkey AS dst FROM lineitem), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, w(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT b.dst, depth + 1 FROM w JOIN b ON b.src = w.node WHERE depth < 4) SELECT node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY node""")
+@query(f"""WITH RECURSIVE {_EDGES}, w(node, depth) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_acctbal < 2000 UNION SELECT b.dst, depth + 1 FROM w JOIN b ON b.src = w.node WHERE depth < 3) SELECT node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY node""")
 def semantic_distance(spark, d):
-    edges = _edges(spark, d)
-    both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return graph.distances(spark.range(1, 2).select(F.col("id").alias("node")), both, 4)
+    return graph.distances(table(spark, d, "supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").alias("node")), _all_edges(spark, d), 3)
+
+
+def _nation_moves(spark, d):
+    """Nations that order from nations, over all line items."""
+    pairs = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    moves = pairs.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return moves.select(F.col("c_nationkey").alias("source"), F.col("s_nationkey").alias("target")).distinct()
+
 
+_MOVES = "(SELECT DISTINCT c_nationkey AS source, s_nationkey AS target FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey)"
 
-@query(f"""WITH RECURSIVE {_EDGES}, w(root, node, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey <= 5 UNION SELECT root, b.dst, depth + 1 FROM w JOIN b ON b.src = w.node WHERE depth < 2)
+
+@query(f"""WITH RECURSIVE e AS {_MOVES}, w(root, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT root, e.source, depth + 1 FROM w JOIN e ON e.target = w.node WHERE depth < 2)
     SELECT root, node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY ALL""")
 def reverse_bfs(spark, d):
-    edges = _edges(spark, d)
-    both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("ordinal", F.col("dst"))
-    starts = table(spark, d, "supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
-    return graph.budgeted_search(starts, both, 1_000_000, 2).select("root", "node", "depth")
+    callers = _nation_moves(spark, d).select(F.col("target").alias("src"), F.col("source").alias("dst"), F.col("source").alias("ordinal"))
+    starts = table(spark, d, "nation").select(F.col("n_nationkey").alias("root"), F.col("n_nationkey").alias("node"))
+    return graph.budgeted_search(starts, callers, 1_000_000, 2).select("root", "node", "depth")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS root, -1 - l_partkey AS node FROM lineitem), r AS (SELECT root, node, 1 + row_number() OVER (PARTITION BY root ORDER BY node) AS place FROM e),
+    a AS (SELECT s_suppkey AS root, s_suppkey AS node, 1 AS place FROM supplier UNION ALL SELECT * FROM r WHERE place <= 12) SELECT root, node, CAST(place AS INT) AS place, max(place) OVER (PARTITION BY root) >= 12 AS exhausted FROM a""")
+def exhaustion_preflight(spark, d):
+    starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
+    return graph.budgeted_search(starts, _all_edges(spark, d).withColumn("ordinal", F.col("dst")), 12, 1).select("root", "node", "place", "exhausted")
+
+
+@query("""SELECT 'S' || s_suppkey || '->get' AS root, 'N' || n.n_nationkey || '->run' AS node, 'S' || s_suppkey || '->get|I' || n.n_regionkey || '->get#dispatch|N' || n.n_nationkey || '->run' AS path, 'DISPATCHED' AS kind
+    FROM supplier JOIN nation h ON s_nationkey = h.n_nationkey JOIN nation n ON n.n_regionkey = h.n_regionkey
+    UNION ALL SELECT 'S' || s_suppkey || '->get', 'P' || s_suppkey || '->main', 'S' || s_suppkey || '->get|P' || s_suppkey || '->main', 'DIRECT' FROM supplier""")
+def caller_paths(spark, d):
+    """Suppliers implement their region's interface, which each nation of the region calls; each has a caller of its own."""
+    nation = table(spark, d, "nation")
+    homes = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("S"), "s_suppkey").alias("class_name"), F.concat(F.lit("I"), "n_regionkey").alias("interface"), "s_suppkey")
+    methods = homes.select("class_name", F.lit("get").alias("member"))
+    calls = nation.select(F.concat(F.lit("N"), "n_nationkey", F.lit("->run")).alias("caller"), F.concat(F.lit("I"), "n_regionkey", F.lit("->get")).alias("callee"), F.col("n_nationkey").cast("long").alias("ordinal"))
+    calls = calls.union(homes.select(F.concat(F.lit("P"), "s_suppkey", F.lit("->main")), F.concat("class_name", F.lit("->get")), F.lit(-1).cast("long")))
+    none = spark.createDataFrame([], "class_name string, superclass string")
+    edges = graph.caller_edges(calls, homes.select("class_name", "interface"), none, methods)
+    starts = methods.select(F.concat("class_name", F.lit("->get")).alias("root"), F.concat("class_name", F.lit("->get")).alias("node"))
+    found = graph.budgeted_search(starts, edges, 100_000, 2, hops=16).where("depth > 0")
+    return found.select("root", "node", F.array_join("path", "|").alias("path"), graph.link_kind(F.col("depth"), F.col("path")).alias("kind"))
+
+
+@query("""SELECT l_orderkey, CASE WHEN n > 6 THEN 'SEMANTIC_CORRIDOR_EXHAUSTED' WHEN f > 2 THEN 'MULTIPLE_SEMANTIC_ENDPOINTS' WHEN f > 1 THEN 'SEMANTIC_ENDPOINT_FOUND' WHEN n = 6 THEN 'FALLBACK_BUDGET_EXHAUSTED' WHEN r > 0 AND o = 0 THEN 'VALUE_FLOW_NOT_PROVEN'
+    WHEN n = 3 THEN 'SHARED_INFRASTRUCTURE_FANOUT' WHEN o = 0 AND n = 2 THEN 'ONLY_TECHNICAL_CONSUMERS' WHEN o = 0 THEN 'NO_CONSUMER_FOUND' ELSE 'GENERIC_RUNTIME_PATH_ONLY' END AS reason
+    FROM (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_returnflag) AS f, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY 1)""")
+def resolution_reason(spark, d):
+    c = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_returnflag").alias("f"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_linestatus") == "O").alias("o"))
+    n, f, r, o = (F.col(x) for x in "nfro")
+    reason = graph.resolution_reason(n > 6, f - 1, n == 6, r, o, F.when(n == 3, 1).otherwise(0), F.when(n == 2, 1).otherwise(0), o)
+    return c.select("l_orderkey", reason.alias("reason"))
 
 
 @query()
@@ -49,22 +85,21 @@ def budgeted_bfs(spark, d):
     return graph.budgeted_search(starts, both, 64, 3)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS a, 100 + n_regionkey AS b FROM nation WHERE n_nationkey % 4 > 0), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    w(node, root) AS (SELECT a, a FROM g UNION SELECT g.b, w.root FROM w JOIN g ON g.a = w.node) SELECT CAST(node AS BIGINT) AS node, CAST(min(root) AS BIGINT) AS root FROM w GROUP BY node""")
+@query("SELECT o_custkey AS node, o_custkey AS root FROM orders GROUP BY 1 UNION ALL SELECT 1000000000 + o_orderkey, o_custkey FROM orders")
 def components(spark, d):
-    edges = table(spark, d, "nation").where("n_nationkey % 4 > 0").select(F.col("n_nationkey").cast("long").alias("a"), (F.col("n_regionkey") + 100).cast("long").alias("b"))
-    return graph.components(edges)
+    return graph.components(table(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1_000_000_000).alias("b")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS source, 1000 + s_nationkey AS target FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity = 50) JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
-    w(root, field, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT root, e.target, depth + 1 FROM w JOIN e ON e.source = w.field WHERE depth < 3) SELECT root, field, CAST(min(depth) AS INT) AS depth FROM w GROUP BY ALL""")
+@query(f"""WITH RECURSIVE e AS {_MOVES}, w(root, field, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT root, e.target, depth + 1 FROM w JOIN e ON e.source = w.field WHERE depth < 3) SELECT root, field, CAST(min(depth) AS INT) AS depth FROM w GROUP BY ALL""")
 def field_lineage(spark, d):
-    lines = table(spark, d, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_suppkey")
-    pairs = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct()
-    moves = pairs.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = moves.select(F.col("c_nationkey").alias("source"), (F.col("s_nationkey") + 1000).alias("target")).distinct()
     starts = table(spark, d, "nation").select(F.col("n_nationkey").alias("root"), F.col("n_nationkey").alias("field"))
-    return graph.lineage(starts, edges, 1_000_000, 3)
+    return graph.lineage(starts, _nation_moves(spark, d), 1_000_000, 3)
+
+
+@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber <= 2")
+def relevant_records(spark, d):
+    reached = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("depth"))
+    return graph.relevant(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), reached, "l_orderkey", 2)
 
 
 @query("""SELECT l_partkey, CAST(CASE WHEN min(l_linenumber) FILTER (l_linenumber IN (2, 3)) IS NOT NULL THEN min(l_linenumber) FILTER (l_linenumber IN (2, 3)) WHEN bool_or(l_linenumber = 5) THEN 5 ELSE max(l_linenumber) END AS INT) AS code,
@@ -120,14 +155,14 @@ def registration_flow(spark, d):
 
 
 _OPS = "CASE l_linenumber % 4 WHEN 0 THEN 'CONST' WHEN 1 THEN 'GET' WHEN 2 THEN 'SPUT' ELSE 'RETURN' END"
-_INSTR_SQL = f"""i AS (SELECT l_orderkey, l_linenumber * 100000 + min(l_partkey) AS idx, l_linenumber % 2 AS register, {_OPS} AS op, 'f' || min(l_suppkey) AS ref FROM lineitem GROUP BY l_orderkey, l_linenumber),
+_INSTR_SQL = f"""i AS (SELECT l_orderkey, l_linenumber * 100000 + min(l_partkey) AS idx, min(l_suppkey) % 2 AS register, {_OPS} AS op, 'f' || min(l_suppkey) AS ref FROM lineitem GROUP BY l_orderkey, l_linenumber),
     w AS (SELECT *, CASE WHEN op IN ('CONST', 'GET') THEN op || ':' || ref END AS mark FROM i),
     r AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY l_orderkey, register ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM w)"""
 
 
 def _instructions(spark, d):
     lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
-    return lines.select("l_orderkey", (F.col("l_linenumber") * 100000 + F.col("p")).alias("idx"), (F.col("l_linenumber") % 2).alias("register"), F.expr(_OPS).alias("op"), F.concat(F.lit("f"), F.col("s").cast("string")).alias("ref"))
+    return lines.select("l_orderkey", (F.col("l_linenumber") * 100000 + F.col("p")).alias("idx"), (F.col("s") % 2).alias("register"), F.expr(_OPS).alias("op"), F.concat(F.lit("f"), F.col("s").cast("string")).alias("ref"))
 
 
 @query(f"WITH {_INSTR_SQL} SELECT DISTINCT l_orderkey, substr(src, 5) AS source, ref AS target FROM r WHERE op = 'SPUT' AND src LIKE 'GET:%'")
@@ -140,13 +175,12 @@ def returned_field(spark, d):
     return dataflow.returned_field(_instructions(spark, d), ["l_orderkey"])
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, -l_partkey AS dst FROM lineitem WHERE l_quantity >= 49), w AS (SELECT s_suppkey AS root, e.dst AS node FROM supplier JOIN e ON e.src = s_suppkey WHERE s_suppkey <= 20),
-    n AS (SELECT w.root, p_name, p_size FROM w JOIN part ON -p_partkey = w.node) SELECT s_suppkey AS root, coalesce((SELECT string_agg(DISTINCT p_name, '|' ORDER BY p_name) FROM n WHERE n.root = s_suppkey AND p_size < 10), '') AS small,
-    CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.root = s_suppkey AND (p_size < 10 OR p_size > 40)) THEN 'FOUND' ELSE 'NONE' END AS status FROM supplier WHERE s_suppkey <= 20""")
+@query("""WITH n AS (SELECT DISTINCT l_suppkey AS root, p_name, p_size FROM lineitem JOIN part ON p_partkey = l_partkey), g AS (SELECT root, string_agg(DISTINCT p_name, '|' ORDER BY p_name) FILTER (p_size < 10) AS small, bool_or(p_size < 10 OR p_size > 40) AS hit FROM n GROUP BY root)
+    SELECT s_suppkey AS root, coalesce(small, '') AS small, CASE WHEN hit THEN 'FOUND' ELSE 'NONE' END AS status FROM supplier LEFT JOIN g ON root = s_suppkey""")
 def semantic_dependencies(spark, d):
-    starts = table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
-    found = graph.budgeted_search(starts, _edges(spark, d).withColumn("ordinal", F.col("dst")), 1_000_000, 1)
-    nodes = table(spark, d, "part").select((-F.col("p_partkey")).alias("node"), F.col("p_name").alias("name"), "p_size")
+    starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
+    found = graph.budgeted_search(starts, _all_edges(spark, d).withColumn("ordinal", F.col("dst")), 1_000_000, 1)
+    nodes = table(spark, d, "part").select((-1 - F.col("p_partkey")).alias("node"), F.col("p_name").alias("name"), "p_size")
     got = graph.dependencies(found, nodes, {"small": F.col("p_size") < 10, "large": F.col("p_size") > 40})
     return got.select("root", F.array_join("small", "|").alias("small"), "status")
 
@@ -156,3 +190,98 @@ def targeted_search(spark, d):
     kinds = table(spark, d, "part").select((-1 - F.col("p_partkey")).alias("node"), F.when(F.col("p_size") < 25, "generic").otherwise("wrapper").alias("kind"))
     starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
     return graph.targeted_search(starts, _all_edges(spark, d), kinds, {"generic": 32, "wrapper": 24}, 3)
+
+
+# --- control flow with loops --------------------------------------------------
+
+_PROG_SQL = """p0 AS (SELECT l_orderkey, l_linenumber AS idx, min(l_partkey) % 5 AS k, min(l_suppkey) % 2 AS x, min(l_suppkey) AS s, max(l_quantity) > 30 AS jump FROM lineitem GROUP BY 1, 2),
+    p AS (SELECT l_orderkey, idx, ['GET', 'INVOKE', 'MOVE', 'PUT', 'RETURN'][k + 1] AS op, CASE WHEN k <= 2 THEN x END AS wr, CASE WHEN k = 2 THEN 1 - x WHEN k >= 3 THEN x END AS rd, 'f' || s AS ref, jump FROM p0),
+    e AS (SELECT l_orderkey, idx, lead(idx) OVER (PARTITION BY l_orderkey ORDER BY idx) AS next FROM p UNION SELECT p.l_orderkey, p.idx, q.idx FROM p JOIN (SELECT l_orderkey, min(idx) AS idx FROM p GROUP BY 1) q USING (l_orderkey) WHERE jump),
+    r(l_orderkey, idx, register, write) AS (SELECT e.l_orderkey, e.next, p.wr, p.idx FROM e JOIN p USING (l_orderkey, idx) WHERE e.next IS NOT NULL AND p.wr IS NOT NULL
+        UNION SELECT e.l_orderkey, e.next, r.register, r.write FROM r JOIN p ON p.l_orderkey = r.l_orderkey AND p.idx = r.idx AND p.wr IS DISTINCT FROM r.register JOIN e ON e.l_orderkey = r.l_orderkey AND e.idx = r.idx WHERE e.next IS NOT NULL),
+    o(l_orderkey, idx, src) AS (SELECT p.l_orderkey, p.idx, r.write FROM p JOIN r ON r.l_orderkey = p.l_orderkey AND r.idx = p.idx AND r.register = p.rd
+        UNION SELECT o.l_orderkey, o.idx, r.write FROM o JOIN p ON p.l_orderkey = o.l_orderkey AND p.idx = o.src AND p.op = 'MOVE' JOIN r ON r.l_orderkey = o.l_orderkey AND r.idx = o.src AND r.register = p.rd),
+    f AS (SELECT o.l_orderkey, o.idx, q.op AS src_op, q.ref AS source, p.op, p.ref AS target, count(*) OVER (PARTITION BY o.l_orderkey, o.idx) AS n FROM o JOIN p USING (l_orderkey, idx) JOIN p q ON q.l_orderkey = o.l_orderkey AND q.idx = o.src WHERE q.op <> 'MOVE')"""
+
+
+def _program(spark, d):
+    """Orders as methods: reads and writes of two registers, and jumps back to the start."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("idx")).agg((F.min("l_partkey") % 5).alias("k"), (F.min("l_suppkey") % 2).alias("x"), F.min("l_suppkey").alias("s"), (F.max("l_quantity") > 30).alias("jump"))
+    op = F.element_at(F.array(*map(F.lit, ("GET", "INVOKE", "MOVE", "PUT", "RETURN"))), (F.col("k") + 1).cast("int"))
+    k, x = F.col("k"), F.col("x")
+    code = lines.select("l_orderkey", "idx", op.alias("op"), op.alias("opcode"), F.when(k <= 2, x).alias("writes"), F.when(k == 2, F.array(1 - x)).when(k >= 3, F.array(x)).alias("reads"), F.concat(F.lit("f"), F.col("s").cast("string")).alias("ref"), F.lit(None).cast("string").alias("literal"), "jump")
+    starts = lines.groupBy("l_orderkey").agg(F.min("idx").alias("next"))
+    steps = code.select("l_orderkey", "idx", F.lead("idx").over(Window.partitionBy("l_orderkey").orderBy("idx")).alias("next")).where("next IS NOT NULL")
+    return code.drop("jump"), steps.union(code.where("jump").join(starts, "l_orderkey").select("l_orderkey", "idx", "next")).distinct()
+
+
+@query(f"WITH RECURSIVE {_PROG_SQL} SELECT * FROM r")
+def reaching_writes(spark, d):
+    return dataflow.reaching_writes(*_program(spark, d), ["l_orderkey"])
+
+
+@query(f"WITH RECURSIVE {_PROG_SQL} SELECT DISTINCT l_orderkey, idx, source AS origin FROM f")
+def value_origins(spark, d):
+    code, steps = _program(spark, d)
+    origins = dataflow.value_origins(code, steps, ["l_orderkey"])
+    return origins.join(code.select("l_orderkey", F.col("idx").alias("origin"), "ref"), ["l_orderkey", "origin"]).select("l_orderkey", "idx", F.col("ref").alias("origin")).distinct()
+
+
+@query(f"WITH RECURSIVE {_PROG_SQL} SELECT l_orderkey, target, source, max(CAST(n = 1 AS INT)) = 1 AS certain FROM f WHERE op = 'PUT' AND src_op = 'GET' GROUP BY ALL")
+def field_writes(spark, d):
+    return dataflow.stored_values(*_program(spark, d), ["l_orderkey"], "GET").drop("trail")
+
+
+@query(f"WITH RECURSIVE {_PROG_SQL} SELECT l_orderkey, target, source, max(CAST(n = 1 AS INT)) = 1 AS certain FROM f WHERE op = 'PUT' AND src_op = 'INVOKE' GROUP BY ALL")
+def result_writes(spark, d):
+    return dataflow.stored_values(*_program(spark, d), ["l_orderkey"], "INVOKE").drop("trail")
+
+
+@query(f"""WITH RECURSIVE {_PROG_SQL}, g AS (SELECT p.l_orderkey, f.src_op, f.source FROM p LEFT JOIN f ON f.l_orderkey = p.l_orderkey AND f.idx = p.idx WHERE p.op = 'RETURN')
+    SELECT l_orderkey, min(source) AS field FROM g GROUP BY 1 HAVING bool_and(coalesce(src_op = 'GET', false)) AND count(DISTINCT source) = 1""")
+def proven_returns(spark, d):
+    return dataflow.proven_returns(*_program(spark, d), ["l_orderkey"])
+
+
+@query("SELECT p_partkey, 'f' AS field, CASE WHEN p_size % 2 = 0 THEN 'other' END AS key, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS value, CASE WHEN p_size % 2 = 0 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status FROM part")
+def cfg_registration(spark, d):
+    """A key is overwritten on one way through a method; parts of odd size have another way around that."""
+    none = F.lit(None)
+    rows = [("STRING", none, 0, F.col("p_name"), none), ("NUMERIC", none, 1, F.col("p_size").cast("string"), none), ("IF", none, none, none, none), ("STRING", none, 0, F.lit("other"), none), ("INVOKE", F.array(F.lit(0), F.lit(1)), 2, none, none), ("PUT", F.array(F.lit(2)), none, none, F.lit("f"))]
+    cell = lambda v, t: (v if isinstance(v, type(none)) else F.lit(v)).cast(t)
+    body = F.explode(F.array(*[F.struct(F.lit(k).alias("idx"), F.lit(op).alias("op"), F.lit(op).alias("opcode"), cell(r, "array<int>").alias("reads"), cell(w, "int").alias("writes"), cell(x, "string").alias("literal"), cell(f, "string").alias("ref")) for k, (op, r, w, x, f) in enumerate(rows)])).alias("i")
+    code = table(spark, d, "part").select("p_partkey", "p_size", body).select("p_partkey", "p_size", "i.*")
+    steps = code.where("idx < 5").select("p_partkey", "idx", (F.col("idx") + 1).alias("next")).union(code.where("idx = 2 AND p_size % 2 = 1").select("p_partkey", "idx", F.lit(4)))
+    return dataflow.registrations(code, steps, ["p_partkey"])
+
+
+@query("SELECT p_partkey, p_name AS key, CAST(p_size AS VARCHAR) AS value FROM part")
+def positional_registration(spark, d):
+    calls = table(spark, d, "part").select("p_partkey", F.array(F.lit("J"), F.lit("Ljava/lang/String;"), F.lit("I")).alias("kinds"), F.array(F.lit("9"), F.lit(None).cast("string"), F.col("p_name"), F.col("p_size").cast("string")).alias("words"))
+    return dataflow.positional_registration(calls, ["p_partkey"])
+
+
+_GETTERS_SQL = "i AS (SELECT l_orderkey, l_linenumber AS idx, max(l_quantity) AS q, max(l_partkey) AS p FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_GETTERS_SQL}, h AS (SELECT *, last_value(CASE WHEN q <= 40 THEN p END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM i)
+    SELECT l_orderkey, CAST(min(held) AS VARCHAR) AS value FROM h WHERE q > 40 GROUP BY 1 HAVING count(*) = count(held) AND min(held) = max(held)""")
+def returned_constant(spark, d):
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("idx")).agg(F.max("l_quantity").alias("q"), F.max("l_partkey").alias("p"))
+    code = lines.select("l_orderkey", "idx", F.when(F.col("q") > 40, "RETURN").otherwise("CONST").alias("op"), F.lit(0).alias("register"), F.col("p").cast("string").alias("literal"))
+    return dataflow.returned_constant(code, ["l_orderkey"])
+
+
+@query(f"""WITH {_GETTERS_SQL}, x AS (SELECT *, lag(q) OVER w AS q1, lag(q, 2) OVER w AS q2, lag(p, 2) OVER w AS p2 FROM i WINDOW w AS (PARTITION BY l_orderkey ORDER BY idx))
+    SELECT l_orderkey, idx, CAST(p2 AS VARCHAR) AS invoked FROM x WHERE q > 20 AND q1 > 10 AND q1 <= 20 AND q2 <= 10""")
+def branch_decisions(spark, d):
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("idx")).agg(F.max("l_quantity").alias("q"), F.max("l_partkey").alias("p"))
+    op = F.when(F.col("q") > 20, "IF").when(F.col("q") > 10, "MOVE_RESULT").otherwise("INVOKE")
+    code = lines.select("l_orderkey", "idx", op.alias("op"), F.lit("if-eqz").alias("opcode"), F.lit(0).alias("register"), F.col("p").cast("string").alias("ref"))
+    return dataflow.branch_decisions(code, ["l_orderkey"]).select("l_orderkey", "idx", "invoked")
+
+
+@query("SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 45 GROUP BY 1")
+def registered_references(spark, d):
+    methods = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("fields"))
+    return dataflow.referencing(methods, table(spark, d, "part").where("p_size > 45").select(F.col("p_partkey").alias("field")), ["l_orderkey"])

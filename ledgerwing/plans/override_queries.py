@@ -69,10 +69,60 @@ def reserved_targets(spark, d):
     return overrides.reserved(claims.where("source = 'advanced'"), claims.where("source = 'normal'"), ["token"]).select("id")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size < 5 THEN 'NO_BUILD' WHEN p_size < 20 THEN 'OUTDATED' WHEN p_retailprice > 1500 THEN 'BLOCKED' ELSE 'READY' END AS state FROM part")
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'NO_TARGET' WHEN c_nationkey % 5 = 0 THEN 'DISCONNECTED' WHEN c_nationkey % 5 = 1 THEN 'API_UNSUPPORTED' WHEN c_mktsegment = 'MACHINERY' THEN 'OUT_OF_SCOPE'
+    WHEN c_custkey % 3 = 0 THEN 'NO_OVERRIDES' WHEN c_custkey % 3 = 1 THEN 'PROFILE_UNPUBLISHED' ELSE 'READY_AWAITING_PROCESS' END AS state FROM customer""")
 def readiness_ladder(spark, d):
-    ladder = [(F.col("p_size") < 5, "NO_BUILD"), (F.col("p_size") < 20, "OUTDATED"), (F.col("p_retailprice") > 1500, "BLOCKED")]
-    return table(spark, d, "part").select("p_partkey", overrides.readiness(ladder, "READY").alias("state"))
+    m = F.col("c_nationkey") % 5
+    state = overrides.readiness(F.col("c_acctbal") >= 0, m != 0, F.when(m == 1, 100).otherwise(101), F.array(F.lit("x"), F.when(F.col("c_mktsegment") == "MACHINERY", "other").otherwise("com.acme")), F.when(F.col("c_custkey") % 3 == 0, 0).otherwise(2), F.col("c_custkey") % 3 == 2, "com.acme", 101)
+    return table(spark, d, "customer").select("c_custkey", state.alias("state"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'NOT_CONFIGURABLE' WHEN p_name LIKE '%old%' THEN 'BLOCKED' WHEN p_size % 9 = 0 THEN 'TYPE_UNSUPPORTED' WHEN p_size % 9 = 1 THEN 'UNRESOLVED' WHEN p_size % 9 = 2 THEN 'GETTER_NOT_UNIQUE'
+    WHEN p_size % 9 IN (3, 4) THEN 'SIGNATURE' WHEN p_size % 9 = 5 THEN 'NO_FINGERPRINT' WHEN p_partkey % 2 = 0 THEN 'IN_NORMAL_EDITOR' END AS reason FROM part""")
+def advanced_reasons(spark, d):
+    m = F.col("p_size") % 9
+    df = table(spark, d, "part").withColumns({
+        "kind": F.when(F.col("p_type") == "PROMO", "TEXT").otherwise("FLAG"), "value_type": F.when(m == 0, "OBJECT").otherwise("LONG"), "resolution": F.when(m != 1, "DIRECT"), "n_getters": F.when(m == 2, 2).otherwise(1),
+        "descriptor": F.when(m == 3, "()Z").otherwise("()J"), "n_parameters": F.when(m == 4, 1).otherwise(0), "static_init": F.lit(False), "opcode_sha": F.when(m == 5, " ").otherwise("ab"), "instruction_count": F.lit(3), "editable": F.col("p_partkey") % 2 == 0,
+    })
+    return df.select("p_partkey", overrides.advanced_reason(("FLAG",), ("DIRECT",), F.col("p_name").contains("old")).alias("reason"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'NOT_A_TARGET' WHEN p_size % 4 = 1 THEN 'BUILD' WHEN p_size % 4 = 2 AND p_type = 'PROMO' THEN 'GETTER' END AS reason FROM part""")
+def target_reasons(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", F.lit("b1").alias("build"), F.col("p_type").alias("method"), F.col("p_size") % 4)
+    m = F.col("p_size") % 4
+    targets = table(spark, d, "part").where(m != 0).select("p_partkey", F.when(m == 1, "b0").otherwise("b1").alias("build"), F.when((m == 2) & (F.col("p_type") == "PROMO"), "gone").when(m == 2, F.col("p_type")).alias("method"))
+    return overrides.target_reason(parts, targets, ["p_partkey"], {"build": "BUILD", "method": "GETTER"}).select("p_partkey", "reason")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 > 0 AND (o_orderkey % 3 = 1 OR o_orderkey % 2 = 0)")
+def consents(spark, d):
+    m = F.col("o_orderkey") % 3
+    roles_ = F.create_map(F.lit("first"), F.when(m == 0, " ").otherwise("a"), F.lit("start"), F.when(m == 1, "b").otherwise(""), F.lit("aux"), F.when(F.col("o_orderkey") % 2 == 0, "c").otherwise(""))
+    return table(spark, d, "orders").where(overrides.consent_allowed(F.col("o_orderstatus"), roles_, "O", [("first",), ("start", "aux")])).select("o_orderkey")
+
+
+@query("SELECT p_partkey, p_size % 6 <> 0 OR p_partkey % 2 = 1 AS mapped, p_size % 6 = 0 AND p_partkey % 2 = 0 AS taken FROM part")
+def handed_over(spark, d):
+    parts = table(spark, d, "part")
+    records = parts.where("p_size % 3 = 0").select("p_partkey", F.lit("b").alias("build"), (F.col("p_size") % 6 == 0).alias("active"), F.lit("m").alias("mode"), F.lit("LONG:3").alias("previous_raw"), F.col("p_name").alias("previous_name"))
+    stored = parts.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "LONG:3").otherwise("LONG:4").alias("raw"), F.col("p_name").alias("name"))
+    mappings, taken = overrides.handed_over(parts.select("p_partkey"), records, stored, "p_partkey", "b")
+    marks = mappings.withColumn("m", F.lit(True)).join(taken.select("p_partkey", F.lit(True).alias("t")), "p_partkey", "full")
+    return marks.select("p_partkey", F.coalesce("m", F.lit(False)).alias("mapped"), F.coalesce("t", F.lit(False)).alias("taken"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l WHERE l_returnflag = 'A' AND NOT EXISTS (SELECT 1 FROM lineitem n WHERE n.l_returnflag = 'R' AND n.l_partkey = l.l_partkey AND n.l_suppkey = l.l_suppkey AND n.l_linestatus = l.l_linestatus)")
+def token_conflicts(spark, d):
+    lines = table(spark, d, "lineitem")
+    return overrides.reserved(lines.where("l_returnflag = 'A'"), lines.where("l_returnflag = 'R'"), ["l_partkey", "l_suppkey", "l_linestatus"]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey % 2 = 1")
+def hidden_keys(spark, d):
+    hidden = table(spark, d, "customer").select("c_custkey", F.lit("1").alias("build"))
+    return overrides.hidden_keys(hidden, table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % 2).cast("string").alias("build")), "c_custkey").select("c_custkey")
 
 
 def _members(df, name, *keep):
@@ -85,14 +135,14 @@ def _members(df, name, *keep):
 
 def _scored(spark, d):
     parts = table(spark, d, "part")
-    old, new = _members(parts.where("p_partkey % 20 = 0"), "old"), _members(parts.where("p_partkey % 20 = 1"), "new")
-    return old.join(new, "p_brand").select("old_id", "new_id", matching.structural_score("old", "new").alias("score"))
+    old, new = _members(parts, "old", "p_size"), _members(parts, "new", "p_size").drop("p_brand", "p_size").join(parts.select(F.col("p_partkey").alias("new_id"), "p_brand", "p_size"), "new_id")
+    return old.join(new, ["p_brand", "p_size"]).where("old_id <> new_id").select("old_id", "new_id", matching.structural_score("old", "new").alias("score"))
 
 
 _SCORED_SQL = """m AS (SELECT p_partkey, p_brand, p_type, p_size, string_split(p_type, ' ')[-1] AS rt, string_split(p_type, ' ')[1] AS ft, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: x <> '')) AS w FROM part),
     j AS (SELECT o.p_partkey AS old_id, n.p_partkey AS new_id, CASE WHEN o.rt = n.rt THEN 25 ELSE 0 END + 20 + CASE WHEN o.p_type = n.p_type THEN 35 WHEN o.p_size = n.p_size THEN 20 WHEN abs(o.p_size - n.p_size) <= 2 THEN 12 WHEN abs(o.p_size - n.p_size) <= 8 THEN 5 ELSE 0 END
         + CASE WHEN o.ft = n.ft THEN 10 ELSE 0 END AS base, len(list_intersect(o.w, n.w)) AS i, len(list_distinct(list_concat(o.w, n.w))) AS u, len(o.w) AS lo, len(n.w) AS ln
-        FROM m o JOIN m n ON n.p_brand = o.p_brand WHERE o.p_partkey % 20 = 0 AND n.p_partkey % 20 = 1),
+        FROM m o JOIN m n ON n.p_brand = o.p_brand AND n.p_size = o.p_size WHERE o.p_partkey <> n.p_partkey),
     s AS (SELECT old_id, new_id, CAST(least(100, base + CASE WHEN lo > 0 AND i = u THEN 10 WHEN lo > 0 AND ln > 0 AND i / u >= 0.5 THEN floor(i / u * 8) ELSE 0 END) AS INT) AS score FROM j)"""
 
 
@@ -115,20 +165,42 @@ def batch_one_to_one(spark, d):
     return matching.one_to_one(matching.accept(_scored(spark, d), ["old_id"], ["new_id"]), ["new_id"]).select("old_id", "new_id", "contested", "accepted")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN CASE WHEN p_size > 20 THEN 'NEW_KEY' END WHEN p_size % 3 = 1 AND p_brand < 'Brand#3' THEN 'PRESERVED' WHEN p_size % 3 = 1 THEN 'REDISCOVERED_BY_LITERAL'
-    WHEN p_retailprice > 1200 THEN 'REDISCOVERED_STRUCTURAL' ELSE 'SUSPENDED_AMBIGUOUS' END AS status FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN CASE WHEN p_retailprice > 950 THEN 'NEW_KEY' END WHEN p_size % 3 = 0 THEN 'PRESERVED' WHEN p_size % 3 = 1 THEN 'REDISCOVERED_BY_LITERAL' WHEN p_size > 20 AND p_type <> 'PROMO' THEN 'REDISCOVERED_STRUCTURAL' ELSE 'SUSPENDED_AMBIGUOUS' END AS status,
+    CASE WHEN p_size % 3 < 2 THEN 'n' || p_partkey WHEN p_partkey % 10 > 0 AND p_size > 20 AND p_type <> 'PROMO' THEN 'n' || p_partkey END AS selected FROM part""")
 def rediscovery(spark, d):
-    size = F.col("p_size")
-    status = matching.rediscovery_status(size % 5 != 0, size > 20, F.when(size % 5 == 0, 1).otherwise(size % 3), F.col("p_brand") < "Brand#3", F.col("p_retailprice") > 1200)
-    return table(spark, d, "part").select("p_partkey", status.alias("status"))
+    """Parts with one getter as it was, with a changed one, or with two of which one looks like the old."""
+    def getter(name, opcode, size):
+        return F.struct(name.alias("signature"), F.lit("INT").alias("return_type"), F.array(F.lit("I")).alias("parameter_types"), opcode.alias("opcode_sha"), size.alias("instruction_count"), F.array(F.lit("a->b:I")).alias("fields"), F.array(F.lit("a->c()V")).alias("calls"))
+
+    parts = table(spark, d, "part")
+    name, op, size = F.concat(F.lit("n"), F.col("p_partkey").cast("string")), F.col("p_name"), F.col("p_size")
+    poor = F.struct(F.concat(F.lit("x"), name).alias("signature"), F.lit("LONG").alias("return_type"), F.array(F.lit("J")).alias("parameter_types"), F.lit("?").alias("opcode_sha"), (size + 90).alias("instruction_count"), F.array().cast("array<string>").alias("fields"), F.array().cast("array<string>").alias("calls"))
+    old = parts.where("p_partkey % 10 > 0").select(F.col("p_partkey").alias("key"), F.array(getter(F.lit("old"), op, size)).alias("getters"), (size > 20).alias("editable"), F.lit("INT").alias("value_type"))
+    new = parts.select(F.col("p_partkey").alias("key"), F.when(size % 3 == 0, F.array(getter(name, op, size))).when(size % 3 == 1, F.array(getter(name, F.lit("changed"), size))).otherwise(F.array(getter(name, op, size), poor)).alias("getters"), (F.col("p_retailprice") > 950).alias("configurable"), (F.col("p_type") == "PROMO").alias("blocked"))
+    return matching.rediscover(old, new).select(F.col("key").alias("p_partkey"), "status", "selected")
 
 
-@query("""WITH w AS (SELECT p_brand, list_distinct(flatten(list(string_split(lower(p_type), ' ')))) AS t FROM part GROUP BY p_brand)
-    SELECT a.p_brand AS l, b.p_brand AS r, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS score FROM w a JOIN w b ON a.p_brand < b.p_brand""")
+@query("""WITH t AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 500 AS p FROM lineitem), n AS (SELECT o, count(*) AS n FROM t GROUP BY o),
+    i AS (SELECT a.o AS l, b.o AS r, count(*) AS k FROM t a JOIN t b ON a.p = b.p AND a.o < b.o GROUP BY 1, 2)
+    SELECT l, r, round(k / (x.n + y.n - k), 6) AS score FROM i JOIN n x ON x.o = l JOIN n y ON y.o = r WHERE 10 * k >= 5 * (x.n + y.n - k)""")
 def jaccard_profile(spark, d):
-    sets = table(spark, d, "part").groupBy("p_brand").agg(F.array_distinct(F.flatten(F.collect_list(F.split(F.lower("p_type"), " ")))).alias("t"))
-    a, b = sets.alias("a"), sets.alias("b")
-    return a.join(b, F.col("a.p_brand") < F.col("b.p_brand")).select(F.col("a.p_brand").alias("l"), F.col("b.p_brand").alias("r"), F.round(matching.jaccard(F.col("a.t"), F.col("b.t")), 6).alias("score"))
+    sets = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("owner")).agg(F.collect_set(F.col("l_partkey") % 500).alias("tokens"))
+    return matching.similar_sets(sets, 5, 10).select("l", "r", F.round("score", 6).alias("score"))
+
+
+def _families(df):
+    """Nations as classes, regions as families; who orders what stands for what calls what."""
+    per = lambda c, name: df.groupBy("family", "owner", F.col(c).alias("k")).agg(F.count("*").cast("int").alias("n")).groupBy("family", "owner").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+    base = df.groupBy("family", "owner").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("tokens"), F.count_distinct("o_custkey").cast("int").alias("n_methods"))
+    return base.join(per("o_orderstatus", "incoming"), ["family", "owner"]).join(per("o_orderpriority", "outgoing"), ["family", "owner"])
+
+
+@query()
+def family_assignment(spark, d):
+    customers = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("family"), F.col("n_nationkey").alias("owner"))
+    rows = table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    cut = F.lit("1998-01-01").cast("timestamp_ntz")
+    return matching.assign_families(_families(rows.where(F.col("o_orderdate") < cut)), _families(rows.where(F.col("o_orderdate") >= cut)))
 
 
 @query("""WITH t AS (SELECT s_nationkey AS owner, l_partkey % 50 AS token, sum(CASE l_linenumber WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END) AS weight FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
