@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.codecs import preference_key
+from ..functions.codecs import preference_key, stored_value
 from ..operators import catalog, diff, ranking, retention
 from ..operators.catalog import CatalogQuery
 from ..session import table
@@ -362,3 +362,65 @@ def export_pages(spark, d):
 @query("SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 250 OFFSET 500")
 def key_slice(spark, d):
     return catalog.key_slice(table(spark, d, "orders"), ["o_totalprice", "o_orderkey"], 500, 250).select("o_orderkey")
+
+
+# --- documents ---------------------------------------------------------------
+
+_BACKUP_SQL = """b AS (SELECT s_nationkey, s_name, 'override.' || substr(sha256(s_name), 1, 40) AS pref, CASE s_suppkey % 4 WHEN 0 THEN 'INT:' || s_suppkey WHEN 1 THEN 'STRING:a:b' WHEN 2 THEN 'INT:x' ELSE 'LONG:5' END AS raw, s_suppkey % 3 = 0 AS held, s_suppkey FROM supplier)"""
+
+
+def _backups(spark, d):
+    m = F.col("s_suppkey") % 4
+    raw = F.when(m == 0, F.concat(F.lit("INT:"), F.col("s_suppkey").cast("string"))).when(m == 1, "STRING:a:b").when(m == 2, "INT:x").otherwise("LONG:5")
+    rows = table(spark, d, "supplier").select("s_nationkey", F.concat(F.lit("B"), "s_nationkey").alias("build"), F.col("s_name").alias("key"), preference_key(F.col("s_name")).alias("preference_key"), raw.alias("raw"), F.when(F.col("s_suppkey") % 3 == 0, "OLD").alias("reason"))
+    return sinks.backup_documents(rows, ["s_nationkey"], "build")
+
+
+@query(f"""WITH {_BACKUP_SQL} SELECT s_nationkey, '{{"schemaVersion":3,"buildFingerprintSha256":"B' || s_nationkey || '","overrides":{{' || coalesce(string_agg('"' || s_name || '":"' || raw || '"', ',' ORDER BY s_name) FILTER (NOT held), '')
+    || '}},"suspended":{{' || coalesce(string_agg('"' || pref || '":{{"raw":"' || raw || '","identifier":"' || s_name || '"}}', ',' ORDER BY pref) FILTER (held), '') || '}}}}' AS document FROM b GROUP BY s_nationkey""")
+def backup_documents(spark, d):
+    return _backups(spark, d)
+
+
+@query(f"""WITH {_BACKUP_SQL} SELECT s_nationkey, NULL AS preference_key, NULL AS name, NULL AS raw, 'WRONG_DOCUMENT' AS verdict FROM b WHERE s_nationkey % 5 = 0 GROUP BY 1
+    UNION ALL SELECT s_nationkey, pref, s_name, raw, CASE WHEN held THEN 'RESTORED' WHEN raw = 'INT:x' THEN 'REJECTED' ELSE 'ACCEPTED' END FROM b WHERE s_nationkey % 5 > 0 AND NOT (held AND raw = 'INT:x')""")
+def backup_import(spark, d):
+    build = F.when(F.col("s_nationkey") % 5 == 0, "other").otherwise(F.concat(F.lit("b"), F.col("s_nationkey").cast("string")))
+    return sinks.import_backup(_backups(spark, d), ["s_nationkey"], build, lambda rows: rows.withColumn("reason", F.when(stored_value(F.col("raw")).isNull(), "INVALID")))
+
+
+_INVENTORY_SQL = """g AS (SELECT o_custkey, o_orderkey, 'm' || o_orderpriority[1] AS method FROM orders), f AS (SELECT o_custkey, method, min(o_orderkey) AS first FROM g GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY first, method) - 1 AS n FROM f)"""
+
+
+def _inventories(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 2 == 0).alias("editable"), F.array(F.struct(F.concat(F.lit("m"), F.left("o_orderpriority", F.lit(1))).alias("name"))).alias("getters"))
+    return sinks.inventory_documents(rows, ["o_custkey"], ["editable"], {"schemaVersion": F.lit(4)}, "name")
+
+
+@query(f"""WITH {_INVENTORY_SQL}, m AS (SELECT o_custkey, string_agg('{{"name":"' || method || '"}}', ',' ORDER BY n) AS methods FROM n GROUP BY 1),
+    i AS (SELECT o_custkey, string_agg('{{"key":' || o_orderkey || ',"editable":' || (o_orderkey % 2 = 0) || ',"getters":[' || n || ']}}', ',' ORDER BY o_orderkey) AS ids FROM g JOIN n USING (o_custkey, method) GROUP BY 1)
+    SELECT o_custkey, '{{"schemaVersion":4,"methods":[' || methods || '],"identifiers":[' || ids || ']}}' AS document FROM m JOIN i USING (o_custkey)""")
+def inventory_documents(spark, d):
+    return _inventories(spark, d)
+
+
+@query("SELECT o_custkey, '{\"key\":\"' || o_orderkey || '\",\"getters\":[{\"name\":\"m' || o_orderpriority[1] || '\"}]}' AS line FROM orders WHERE o_orderkey % 2 = 0")
+def compact_fixture(spark, d):
+    ids = "array<struct<key:string,namespace:string,value_type:string,compiled_default:string,confidence:string,editable:boolean,getters:array<int>>>"
+    read = _inventories(spark, d).select("o_custkey", F.from_json("document", f"struct<methods:array<struct<name:string>>,identifiers:{ids}>").alias("d")).select("o_custkey", "d.methods", "d.identifiers")
+    return sinks.compact_rows(read, ["o_custkey"])
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size > 30")
+def export_scope(spark, d):
+    parts = table(spark, d, "part").withColumn("editable", F.col("p_size") > 30)
+    return sinks.scoped(parts, "EDITABLE").select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def published_slot(spark, d):
+    root = shared_dir(spark)
+    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    sinks.publish(rows.limit(0), root, lambda r: True)
+    sinks.publish(rows, root, lambda r: not r.isEmpty())
+    return sinks.published(spark, root)

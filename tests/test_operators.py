@@ -362,3 +362,106 @@ def test_searches_start_from_all_suppliers_over_all_lines(spark):
         near.setdefault(r["root"], set()).add(-1 - r["node"])
     for s in suppliers:  # the first is the start, and parts come in order of -p_partkey
         assert near.get(s, set()) == set(sorted((p for q, p in lines if q == s), reverse=True)[:63])
+
+
+def test_families_by_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(7)
+    schema = "family string, owner string, tokens array<string>, incoming map<string,int>, outgoing map<string,int>, n_methods int"
+    make = lambda f, side: [(f, f"{side}{k}", rng.sample("abcdef", 3), {x: rng.randint(1, 3) for x in rng.sample("uvw", 2)}, {x: rng.randint(1, 3) for x in rng.sample("xyz", 2)}, rng.randint(1, 4)) for k in range(4)]
+    old, new = [r for f in "pq" for r in make(f, "o")], [r for f in "pq" for r in make(f, "n")]
+    old += [("odd", "o1", ["a"], {}, {}, 1)]
+    got = {(r["family"], r["l_owner"]): r for r in matching.assign_families(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)).collect()}
+    assert got["odd", "o1"]["r_owner"] is None and len(got) == 9
+
+    def like(a, b):
+        total = lambda x, y: sum(min(x.get(k, 0), y.get(k, 0)) for k in {*x, *y}) / max(1e-12, sum(max(x.get(k, 0), y.get(k, 0)) for k in {*x, *y}))
+        tokens = len({*a[2]} & {*b[2]}) / len({*a[2]} | {*b[2]})
+        return int(tokens * 35 + total(a[3], b[3]) * 40 + total(a[4], b[4]) * 25 + 1e-9) + (15 if abs(a[5] - b[5]) <= 1 else 0)
+
+    for f in "pq":
+        left, right = ([r for r in rows if r[0] == f] for rows in (old, new))
+        orders = {p: sum(like(left[i], right[p[i]]) for i in range(4)) for p in itertools.permutations(range(4))}
+        top = max(orders.values())
+        picked = tuple(int(got[f, x[1]]["r_owner"][1:]) for x in left)
+        assert orders[picked] == top
+        for i, x in enumerate(left):
+            rest = max(v for p, v in orders.items() if p[i] != picked[i])
+            assert got[f, x[1]]["score"] == like(x, right[picked[i]]) and got[f, x[1]]["accepted"] == (top - rest >= matching.FAMILY_MARGIN)
+
+
+def test_similar_sets_by_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    sets = {k: set(rng.sample(range(25), rng.randint(1, 8))) for k in range(80)} | {100: set()}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "owner int, tokens array<int>")
+    for num, den in ((1, 2), (8, 10)):
+        want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
+        assert want and {(r["l"], r["r"]) for r in matching.similar_sets(df, num, den).collect()} == want
+
+
+def test_control_flow(spark):
+    """A loop, a merge of two keys, a move and a transformation on the way to a field."""
+    schema = "m int, idx int, op string, opcode string, reads array<int>, writes int, ref string, literal string"
+    rows = [
+        (1, 0, "GET", "sget", None, 0, "A.x", None), (1, 1, "TRANSFORM", "int-to-long", [0], 1, None, None), (1, 2, "MOVE", "move", [1], 2, None, None), (1, 3, "PUT", "sput", [2], None, "B.y", None), (1, 4, "RETURN", "return", [2], None, None, None),
+        (2, 0, "GET", "sget", None, 0, "A.x", None), (2, 1, "IF", "if-eqz", None, None, None, None), (2, 2, "GET", "sget", None, 0, "A.z", None), (2, 3, "RETURN", "return", [0], None, None, None), (2, 4, "PUT", "sput", [0], None, "B.y", None),
+        (3, 0, "GET", "sget", None, 0, "A.x", None), (3, 1, "MOVE", "move", [0], 0, None, None), (3, 2, "IF", "goto", None, None, None, None), (3, 3, "RETURN", "return", [0], None, None, None),
+    ]
+    code = spark.createDataFrame(rows, schema)
+    edges = spark.createDataFrame([(1, k, k + 1) for k in range(4)] + [(2, 0, 1), (2, 1, 2), (2, 1, 3), (2, 2, 3), (2, 0, 4)] + [(3, 0, 1), (3, 1, 2), (3, 2, 1), (3, 2, 3)], "m int, idx int, next int")
+    assert {tuple(r) for r in dataflow.proven_returns(code, edges, ["m"]).collect()} == {(3, "A.x")}
+    stored = {(r["m"], r["target"], r["source"]): (r["trail"], r["certain"]) for r in dataflow.stored_values(code, edges, ["m"], "GET").collect()}
+    assert stored == {(1, "B.y", "A.x"): (["int-to-long"], True), (2, "B.y", "A.x"): ([], True)}
+
+
+def test_exports_need_an_unchanged_build(spark):
+    root = tempfile.mkdtemp()
+    seen = iter(["a", "b"])
+    with pytest.raises(RuntimeError):
+        sinks.export_unchanged(spark, f"{root}/x", lambda: next(seen), lambda p: spark.range(3).write.parquet(p))
+    import os
+
+    assert os.listdir(root) == []
+    sinks.export_unchanged(spark, f"{root}/x", lambda: "a", lambda p: spark.range(3).write.parquet(p))
+    assert os.listdir(root) == ["x"] and spark.read.parquet(f"{root}/x").count() == 3
+
+
+def test_bits_against_the_standard_library(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [rng.uniform(-1e9, 1e9) for _ in range(50)]
+    df = spark.createDataFrame([(str(struct.unpack("<q", struct.pack("<d", v))[0]), v) for v in values], "bits string, want double")
+    got = df.select("want", codecs.default_from_bits(F.col("bits"), F.lit("DOUBLE"), F.lit("BITS"), ("BITS",)).cast("double").alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_layers_by_brute_force(spark):
+    import hashlib
+
+    edges = [(1, 2), (2, 3), (3, 4), (4, 1), (4, 5), (6, 7)]
+    nodes = {k: f"t{k % 3}" for k in range(1, 8)}
+    near = {k: {b for a, b in [*edges, *[(b, a) for a, b in edges]] if a == k} for k in nodes}
+    got = {(r["node"], r["depth"]): r for r in matching.neighbourhood(spark.createDataFrame(list(nodes.items()), "node int, token string"), spark.createDataFrame(edges, "src int, dst int")).collect()}
+    want = {}
+    for k in nodes:
+        seen, layer = {k}, {k}
+        for depth in range(3):
+            if layer:
+                tokens = sorted({nodes[x] for x in layer})
+                want[k, depth] = (len(layer), sum(len(near[x]) for x in layer), hashlib.sha256("\n".join(tokens).encode()).hexdigest(), set(tokens))
+            layer = {y for x in layer for y in near[x]} - seen
+            seen |= layer
+    assert {k: (r["n_nodes"], r["n_edges"], r["digest"], set(r["tokens"])) for k, r in got.items()} == want
+    layers = spark.createDataFrame([tuple(got[k]) for k in got], next(iter(got.values())).__fields__)
+    for r in matching.layer_scores(layers, layers).collect():
+        total = 0
+        for depth, weight in matching.LAYER_WEIGHTS.items():
+            a, b = want.get((r["l_node"], depth)), want.get((r["r_node"], depth))
+            if a and b and a[3] & b[3]:
+                total += int(weight * len(a[3] & b[3]) / len(a[3] | b[3])) + (3 if a[0] == b[0] else 0) + (2 if a[1] == b[1] else 0)
+        assert r["score"] == min(200, total)
