@@ -45,11 +45,20 @@ _NAMES = {"signup": "READY", "error": "END", "view": "ACTIVITY", "click": "NAVIG
 
 def _gate_events(spark, d):
     kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in _NAMES.items()])
-    millis = (F.unix_micros(F.col("ts").cast("timestamp")) / 100_000_000).cast("long")  # a hundred seconds are a millisecond
+    millis = (F.unix_micros(F.col("ts").cast("timestamp")) / 100_000_000).cast("long")  # a hundred seconds count as a millisecond
     return table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), millis.alias("ts_ms"), kind.alias("event"), F.lit(True).alias("enabled"), F.lit(True).alias("eligible"), F.lit(None).cast("int").alias("session"), F.lit(True).alias("live_enabled"))
 
 
-@query()
+_GATE_SQL = """g AS (SELECT user_id, event_id AS seq, epoch_us(ts) // 100000000 AS ts_ms, event_type AS e, CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN 0 END AS mark FROM events),
+    h AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING), 0) AS now FROM g),
+    i AS (SELECT *, sum(CASE WHEN mark = 0 OR (mark = 1 AND before = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS sid FROM h),
+    j AS (SELECT *, coalesce(sum(CASE WHEN e = 'view' THEN 1 ELSE 0 END) OVER w, 0) > 0 AS active, min(CASE WHEN e = 'view' THEN ts_ms END) OVER w AS first_at, min(ts_ms) OVER (PARTITION BY user_id, sid) AS ready_at FROM i WINDOW w AS (PARTITION BY user_id, sid ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    k AS (SELECT *, coalesce(sum(CASE WHEN e IN ('view', 'click') AND active THEN 1 ELSE 0 END) OVER w, 0) > 0 AS gone FROM j WINDOW w AS (PARTITION BY user_id, sid ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT *, CASE WHEN e <> 'purchase' THEN NULL WHEN now = 0 THEN 'NO_SESSION' WHEN NOT active THEN 'NO_ACTIVITY' WHEN ts_ms - first_at < 2800 THEN 'WAIT' WHEN ts_ms - ready_at > 12000 THEN 'STALE' WHEN gone THEN 'NAVIGATION_OBSERVED' ELSE 'NO_ELIGIBLE_MEDIA' END AS raw FROM k),
+    n AS (SELECT *, coalesce(sum(CASE WHEN raw IN ('STALE', 'NAVIGATION_OBSERVED', 'NO_ELIGIBLE_MEDIA') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, sid ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS spent FROM l)"""
+
+
+@query(f"WITH {_GATE_SQL} SELECT user_id, seq, ts_ms, CAST(sid AS INT) AS session, CASE WHEN spent AND raw NOT IN ('NO_SESSION', 'NO_ACTIVITY') THEN 'ALREADY_ATTEMPTED' ELSE raw END AS decision FROM n WHERE raw IS NOT NULL")
 def session_gate(spark, d):
     return gates.gate_batch(_gate_events(spark, d), "user_id")
 

@@ -398,7 +398,7 @@ def html_flags(spark, d):
     return found.groupBy("flag").agg(F.count("*").alias("n"), F.when(F.count("*") == 1, "UNIQUE").otherwise("AMBIGUOUS").alias("status"))
 
 
-@query()
+@query("""SELECT 'Flag' || p_size || '__on' AS flag, min('Lp/C' || p_partkey || ';') AS class_name, 'get' || p_size AS method, CASE WHEN count(*) = 1 THEN 'UNIQUE' ELSE 'AMBIGUOUS' END AS status FROM part GROUP BY p_size""")
 def smali_profile(spark, d):
     body = F.concat(F.lit(".class public Lp/C"), "p_partkey", F.lit(";\n.method public get"), "p_size", F.lit('()Z\n const-string v0, "Flag'), "p_size", F.lit('__on"\n.end method\n'))
     return texts.flags_of(table(spark, d, "part").select(F.col("p_partkey").alias("file"), body.alias("value")), "value", "file")

@@ -145,7 +145,7 @@ def cfg_successors(spark, d):
     return dataflow.successors(lines.withColumns({"offset": F.col("idx"), "targets": F.array(F.lit(1))}), ["l_orderkey"])
 
 
-@query()
+@query("SELECT p_partkey, 'f' AS field, p_name AS key, CAST(p_size AS VARCHAR) AS value FROM part")
 def registration_flow(spark, d):
     one = table(spark, d, "part").select("p_partkey", F.explode(F.array(*[
         F.struct(F.lit(k).alias("idx"), F.lit(op).alias("op"), F.lit(t).alias("target"), F.lit(s).alias("source"), (F.array(*map(F.lit, r)) if r else F.lit(None).cast("array<int>")).alias("registers"), (v if v is not None else F.lit(None).cast("string")).alias("value"), F.lit(f).cast("string").alias("field"))

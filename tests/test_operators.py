@@ -180,6 +180,21 @@ def test_gate_in_batch(spark, rows, want):
     assert [r["decision"] for r in got] == want
 
 
+def test_gate_windows_against_the_state_machine(spark):
+    import random
+
+    rng = random.Random(5)
+    names = ["READY", "END", "ACTIVITY", "MEDIA", "NAVIGATION", "MANUAL", "CONSUME", "CONSUME", "ACTIVITY", "READY"]
+    rows = [(f"p{rng.randint(0, 9)}", k, k * rng.choice([700, 900]), rng.choice(names), rng.random() < 0.8, rng.random() < 0.7, rng.choice([None, None, 1, 2]), rng.random() < 0.9) for k in range(900)]
+    df = spark.createDataFrame(rows, EVENTS)
+    want = []
+    for p in sorted({r[0] for r in rows}):
+        own = pd.DataFrame([r[1:] for r in rows if r[0] == p], columns=list(gates.EVENT_COLUMNS))
+        want += [(p, *x) for x in gates._decisions(gates.Gate(), own)]
+    got = [tuple(r) for r in gates.gate_batch(df, "p").collect()]
+    assert sorted(got) == sorted(want) and len({w[-1] for w in want}) >= 8
+
+
 def test_gate_on_a_stream(spark):
     rows, want = GATE_CASES[0]
     source = tempfile.mkdtemp(prefix="spark-")
