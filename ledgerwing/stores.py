@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: A key counts as heavy beyond this share of all rows (and beyond ``LIGHT`` rows), so
 #: fewer than ``SHARE`` keys can be heavy, whatever the data.
 SHARE, LIGHT = 10_000, 500
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _root(spark: SparkSession) -> str:
@@ -31,10 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder and read back: the work is done once, lineage ends
-    there, and a lost executor costs only its running tasks."""
+    there, and a lost executor costs only its running tasks.  Once all is written, nothing needs the shuffle
+    files that led to it; they are deleted.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
+    path, before = shared_dir(spark), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
