@@ -122,8 +122,11 @@ BIN, LOG_BIN = 1 / 512, 1 / 64
 
 
 def _quantiles(rows: DataFrame, by: list[str], value: str, width: float, shares: tuple[float, ...], name: str) -> DataFrame:
-    """(by, n, name): an array with the middle of the bin at each share of a group's values, in order."""
-    bins = rows.groupBy(*by, F.floor(F.col(value) / F.lit(width)).alias("_bin")).agg(F.count("*").alias("_c"))
+    """(by, n, name): an array with the middle of the bin at each share of a group's values, in order.
+
+    The counts are dealt by group and bin, and saved, before the bins of a group (a bounded number) come together.
+    """
+    bins = saved(rows.groupBy(*by, F.floor(F.col(value) / F.lit(width)).alias("_bin")).agg(F.count("*").alias("_c")))
     upto = Window.partitionBy(*by).orderBy("_bin")
     sums = bins.withColumns({"_upto": F.sum("_c").over(upto), "_all": F.sum("_c").over(Window.partitionBy(*by))})
     at = [((F.min(F.when(F.col("_upto") >= F.col("_all") * s, F.col("_bin"))) + 0.5) * width) for s in shares]
