@@ -461,17 +461,6 @@ def weights(rows: DataFrame, below: float) -> DataFrame:
     return rows.mapInArrow(tidy(run), "block long, dest long, size long, nums binary")
 
 
-def _staged_alone(df: DataFrame) -> DataFrame:
-    """``staged``, with the shuffle files that led to it deleted at its end."""
-    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        return staged(df)
-    finally:
-        spark.conf.set(name, before)
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_col: str = "held_out") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): rows with
     ``flag_col`` are scored but not learned from."""
@@ -482,13 +471,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_
     n_blocks = len(bounds) + 1
     n_dest = 4 * n_blocks
     requests = asked(rows.select("block", "held_out", "text"), n_dest)
-    known = _staged_alone(totals(requests.repartitionById(n_dest, F.col("dest").cast("int")).sortWithinPartitions("dest", "block")))
+    known = staged(totals(requests.repartitionById(n_dest, F.col("dest").cast("int")).sortWithinPartitions("dest", "block")))
     tokens, distinct = known.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     below = float(tokens + distinct + 1)
 
     texts = packed(rows.select("block", "id", "held_out", F.coalesce("text", F.lit("")).alias("text")))
     found = known.where("size > 0").select("block", F.lit(0).alias("kind"), "size", "keys", "nums")
-    half = _staged_alone(half_scored(found.union(texts).repartitionById(n_blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind"), below, n_dest))
+    half = staged(half_scored(found.union(texts).repartitionById(n_blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind"), below, n_dest))
 
     contexts = half.where("kind = 0").select("dest", "block", "size", "keys", "nums")
     back = weights(contexts.repartitionById(n_dest, F.col("dest").cast("int")).sortWithinPartitions("dest", "block"), below)

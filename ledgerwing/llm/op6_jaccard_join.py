@@ -15,16 +15,17 @@ it there, so two sketches differ in at most as many places as the sets do.
    every class that fills more segments than D and its hot keys together: a linked
    class still meets it in another key.  Classes that can't spare their hot
    keys, such as those of large groups of near copies, keep them.
-4. Each class is compared with one other, of the least classes of its keys the one it shares
-   most keys with: by bit sketches, whose Hamming distance is a lower bound of the symmetric
-   difference, and if that allows a link, on the texts' sets.  That connects nearly all copies.
+4. Each class is compared with one other of another component, of the outermost classes of its keys the
+   one it shares most keys with: by bit sketches, whose Hamming distance is a lower bound of the
+   symmetric difference, and if that allows a link, on the texts' sets.  ``ROUNDS`` such rounds
+   connect nearly all copies.
 5. Keys whose classes are still in several components are compared by bit sketches: a small
    key in one unit, a larger one in blocks of ``BLOCK``, where only what lies outside the
    key's largest component meets all blocks.  Pairs that may be
    linked are verified best first, and those that turn out connected meanwhile are left out, until none is left.
 
 No pairs of a group are listed: only pairs that no verified link connects and that
-the sketches can't refute.  All steps are exact, whatever ``HOT`` and ``BLOCK`` are.
+the sketches can't refute.  All steps are exact, whatever ``HOT``, ``ROUNDS`` and ``BLOCK`` are.
 
 Nulls: a null or empty text has no shingles and links with nothing; a null id
 gets no component and takes no part.  Equal rows share a class; an empty table
@@ -48,7 +49,10 @@ from ..stores import heavy, saved
 from .common import maybe_in, mix, shingles, text_buffer, tidy, word_hashes
 
 HOT = 64
-BLOCK = 4096
+BLOCK = 1024
+ROUNDS = 4
+#: Pairs that are compared at a time.
+PAIRS = 500_000
 
 
 class Bands:
@@ -198,15 +202,14 @@ def class_keys(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame, classes: DataFrame, hot: int) -> DataFrame:
-    """(key, node, hub): keys that several classes have, with the least of them, without the hot keys
-    that classes (node, spare) can do without."""
+    """(key, node): keys that several classes have, without the hot keys that classes (node, spare) can do without."""
     own = Window.partitionBy("key")
-    many = keys.withColumns({"hub": F.min("node").over(own), "_top": F.max("node").over(own), "_n": F.count("*").over(own)})
-    many = saved(many.where("hub <> _top").drop("_top").distinct())
+    many = keys.withColumns({"_low": F.min("node").over(own), "_top": F.max("node").over(own), "_n": F.count("*").over(own)})
+    many = saved(many.where("_low <> _top").drop("_low", "_top").distinct())
     own_hot = many.where(F.col("_n") > hot).groupBy("node").agg(F.count("*").alias("_h"))
     spared = own_hot.join(classes.select("node", "spare"), "node").where("_h < spare").select("node")
     kept = many.where(F.col("_n") > hot).join(spared, "node", "left_anti")
-    return many.where(F.col("_n") <= hot).select("key", "node", "hub").union(kept.select("key", "node", "hub"))
+    return many.where(F.col("_n") <= hot).select("key", "node").union(kept.select("key", "node"))
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
@@ -285,27 +288,54 @@ def comparisons(shared: DataFrame, labels: DataFrame, sketches: DataFrame, block
 
 def close_pairs(units: DataFrame, now: DataFrame, rank: tuple[int, int], bands: Bands) -> DataFrame:
     """(a, b, more): of each unit the pairs that sketches allow to be linked and that ``now`` (node, root) doesn't
-    connect, for each two labels those with ranks in [from, to); in ``more`` keys that have others behind."""
+    connect, for each two labels those with ranks in [from, to); in ``more`` keys that have others behind.
+    A task gives each pair once for about every million it finds."""
 
-    def run(batches):
+    def pieces(batches):
+        """Whole units, as many as have ``PAIRS`` pairs together, or one."""
         rest = None
         for batch in batches:
             got = pa.Table.from_batches([batch])
             got = got if rest is None else pa.concat_tables([rest, got])
             key, x, y = (got.column(c).to_numpy() for c in range(3))
-            unit = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))])
-            last = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0
-            if last:
-                yield from _pairs(got.slice(0, last), unit[:last], rank, bands)
-            rest = got.slice(last)
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+            size = np.diff(np.append(starts, len(key)))[:-1]
+            load, first = 0, 0
+            for k, n in enumerate(size.tolist()):
+                if load and load + n * n // 2 > PAIRS:
+                    yield got.slice(starts[first], starts[k] - starts[first])
+                    load, first = 0, k
+                load += n * n // 2
+            if load:
+                yield got.slice(starts[first], starts[len(size)] - starts[first])
+            rest = got.slice(starts[-1])
         if rest is not None and rest.num_rows:
-            yield from _pairs(rest, np.zeros(rest.num_rows, np.int64), rank, bands)
+            yield rest
+
+    def run(batches):
+        held, size = [], 0
+        for piece in pieces(batches):
+            for got in _pairs(piece, rank, bands):
+                held.append(got)
+                size += got.shape[1]
+            if size > 1_000_000:
+                yield _batch(held)
+                held, size = [], 0
+        if held:
+            yield _batch(held)
 
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = units.join(now, "node").select("key", "x", "y", "z", "node", "label", "size", "root", "bits")
     return rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(tidy(run), "a long, b long, more long")
 
 
+def _batch(held: list[np.ndarray]) -> pa.RecordBatch:
+    a, b, more = np.unique(np.concatenate(held, 1), axis=1)
+    key = more != 0
+    mask = lambda x, none: pa.array(x, pa.int64(), mask=none)
+    return pa.record_batch([mask(np.where(key, 0, a), key), mask(np.where(key, 0, b), key), mask(a, ~key)], names=["a", "b", "more"])
+
+
 def _sketches(column: pa.ChunkedArray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All sketches, each folded to its number of words, and where each starts."""
     flat, at = text_buffer(column.cast(pa.large_binary()))
@@ -319,12 +349,14 @@ def _sketches(column: pa.ChunkedArray, words: np.ndarray) -> tuple[np.ndarray, n
     return out, start
 
 
-def _pairs(rows: pa.Table, unit: np.ndarray, rank: tuple[int, int], bands: Bands):
-    """The pairs of whole units: rows of (key, x, y, z, node, label, size, root, bits)."""
+def _pairs(rows: pa.Table, rank: tuple[int, int], bands: Bands):
+    """The pairs of whole units, rows of (key, x, y, z, node, label, size, root, bits): columns of (a, b, 0), and of
+    (key, 0, 1) for keys with more."""
     key, x, y, z, node, label, size, root = (rows.column(c).to_numpy() for c in range(8))
+    unit = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))])
     across = x != y
     length = np.diff(text_buffer(rows.column(8).cast(pa.large_binary()))[1]) // 8
-    words = np.minimum.reduceat(length, np.flatnonzero(np.diff(unit, prepend=-1)))[unit - unit[0]]
+    words = np.minimum.reduceat(length, np.flatnonzero(np.diff(unit, prepend=-1)))[unit]
     bits, start = _sketches(rows.column(8), words)
     found = []
     for step in range(1, len(unit)):  # rows that lie ``step`` apart in one unit
@@ -342,7 +374,8 @@ def _pairs(rows: pa.Table, unit: np.ndarray, rank: tuple[int, int], bands: Bands
         both = size[i] + size[j]
         spare = (bands.den - bands.num) * both - apart * (bands.den + bands.num)
         ok = spare >= 0
-        found.append(np.stack([i[ok], j[ok], spare[ok] * 1000 // both[ok]]))
+        if ok.any():
+            found.append(np.stack([i[ok], j[ok], spare[ok] * 1000 // both[ok]]))
     if not found:
         return
     i, j, spare = np.concatenate(found, 1)
@@ -354,10 +387,23 @@ def _pairs(rows: pa.Table, unit: np.ndarray, rank: tuple[int, int], bands: Bands
     place = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1]
     apart = root[i] != root[j]
     chosen = apart & (place >= rank[0]) & (place < rank[1])
-    pairs = np.unique(np.stack([np.minimum(node[i], node[j])[chosen], np.maximum(node[i], node[j])[chosen]]), axis=1)
+    a, b = np.minimum(node[i], node[j])[chosen], np.maximum(node[i], node[j])[chosen]
+    yield np.stack([a, b, np.zeros(len(a), np.int64)])
     behind = np.unique(key[i][apart & (place >= rank[1])])
-    yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], names=["a", "b", "more"])
-    yield pa.record_batch([pa.nulls(len(behind), pa.int64()), pa.nulls(len(behind), pa.int64()), pa.array(behind)], names=["a", "b", "more"])
+    yield np.stack([behind, np.zeros(len(behind), np.int64), np.ones(len(behind), np.int64)])
+
+
+def partners(named: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """(a, b): for each class of (key, node, label) the class under another label that it shares most keys with, of the outermost
+    two labels of each key; not in ``tested`` (a, b)."""
+    end = F.struct("label", "node")
+    ends = named.groupBy("key").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).where("lo.label <> hi.label")
+    other = F.when(F.col("label") != F.col("lo.label"), F.col("lo.node")).otherwise(F.col("hi.node"))
+    counted = named.join(ends, "key").groupBy("node", other.alias("other")).agg(F.count("*").alias("n"))
+    counted = counted.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "node", "n")
+    if tested is not None:
+        counted = counted.join(tested, ["a", "b"], "left_anti")
+    return counted.groupBy("node").agg(F.max(F.struct("n", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -376,11 +422,14 @@ def linked_classes(rows: DataFrame, n: int, bands: Bands, hot: int = HOT, block:
     ids, sketches = classes.select("node", F.col("rep").alias("doc_id")), classes.select("node", "size", "bits")
 
     shared = saved(shared_keys(class_keys(rows.where("doc_id IS NOT NULL").select("text"), n, bands), classes, hot))
-    star = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", -F.col("hub"), "hub"))["hub"].alias("hub"))
-    star = plausible(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), sketches, bands)
-    found = verified(star, ids, rows, n, bands)
-    labels = saved(shared.select("node", F.col("node").alias("label")).distinct())
-    labels = relabelled(labels, found)
+    labels, tested = saved(shared.select("node", F.col("node").alias("label")).distinct()), None
+    for _ in range(ROUNDS):  # each class with its likeliest partner
+        pairs = saved(partners(saved(shared.join(labels, "node").select("key", "node", "label")), tested))
+        found = verified(plausible(pairs, sketches, bands), ids, rows, n, bands)
+        if found.isEmpty():
+            break
+        labels = relabelled(labels, found)
+        tested = saved(pairs if tested is None else tested.union(pairs))
     units = saved(comparisons(shared, labels, sketches, block))
     rank = (0, 1)
     while not units.isEmpty():
