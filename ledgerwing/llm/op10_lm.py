@@ -13,9 +13,9 @@ Documents form blocks (ranges of ids, of about ``BLOCK_TEXT`` bytes).  Each bloc
 distinct words and grams, and one shuffle by key brings them back.  A block then
 knows every arc its texts can use.  The first block that asks for a gram adds it to its
 context's sums, and a second shuffle by context brings back the backoff weights.
-Keys travel as sorted arrays, a row for each block and range of keys.
+Keys travel as sorted, compressed arrays, a row for each block and range of keys.
 
-Words and grams are told apart by 64-bit hashes.  Nulls: a null text is an empty one (its end token is
+Words are told apart by 64-bit hashes, grams by as many bits as ``GUARD_BITS`` asks for.  Nulls: a null text is an empty one (its end token is
 scored); a null id is in the first block and counts as the empty string in the hold-out
 rule.  Without training rows N is 0, and every token has the base probability 1
 of V = 0 words.  Repeated rows are all counted and scored; an empty table gives an empty
@@ -24,6 +24,8 @@ result.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,9 @@ DISCOUNT = 0.5
 END = np.uint64(0x5F3759DF5F3759DF)
 BLOCK_TEXT, LEAST_BLOCKS = 8 << 20, 8
 FLUSH = 8_000_000
+#: Bits of a gram's key beyond those of the number of bytes of all texts: a gram shares its key with another
+#: of the corpus with a chance under 1 to 2 ** GUARD_BITS, whatever its size.
+GUARD_BITS = 18
 PACK_BYTES = 16 << 20
 
 
@@ -48,13 +53,14 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, at[1:], END), at + np.arange(len(at))
 
 
-def _grams(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the 2- and 3-gram that end at each token, and whether the document has them."""
+def _grams(h: np.ndarray, at: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, but for their ``drop`` last bits, of the 2- and 3-gram that end at each token, and whether the document has them."""
     two, three = np.zeros_like(h), np.zeros_like(h)
     two[1:] = mix(mix(h[:-1]) + h[1:])
     three[2:] = mix(mix(two[1:-1]) + h[2:] * np.uint64(0x9E3779B97F4A7C15))
     place = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
-    return two, three, place >= 1, place >= 2
+    cut = np.uint64(drop)
+    return two >> cut << cut, three >> cut << cut, place >= 1, place >= 2
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -69,14 +75,47 @@ def _unplanes(raw: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences."""
-    return _planes(np.diff(keys, prepend=keys[:1] * np.uint64(0))[1:]) + keys[:1].tobytes()
+def _diffs(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, after the first."""
+    return keys[:1].tobytes() + _planes(np.diff(keys)) if len(keys) else b""
+
+
+def _undiffs(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(raw, "<u8", 1), _unplanes(raw[8:], n - 1)]), dtype=np.uint64)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return struct.pack("<I", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _loose(raw: bytes) -> bytes:
+    return pa.decompress(raw[4:], struct.unpack("<I", raw[:4])[0], codec="zstd", asbytes=True)
+
+
+def _words_first(gram: np.ndarray) -> np.ndarray:
+    """The order of packed keys: words, then grams, each ascending."""
+    return np.argsort(gram, kind="stable")
+
+
+def _packed(keys: np.ndarray, gram: np.ndarray, drop: int) -> bytes:
+    """Sorted keys, words before grams; of grams without the ``drop`` bits that are 0."""
+    words = _diffs(keys[~gram])
+    return _squeezed(struct.pack("<II", int((~gram).sum()), len(words)) + words + _diffs(keys[gram] >> np.uint64(drop)))
+
+
+def _unpacked(raw: bytes, n: int, drop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and which are grams."""
+    raw = _loose(raw)
+    words, cut = struct.unpack("<II", raw[:8])
+    gram = np.zeros(n, bool)
+    gram[words:] = True
+    return np.concatenate([_undiffs(raw[8 : 8 + cut], words), _undiffs(raw[8 + cut :], n - words) << np.uint64(drop)]), gram
 
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    first = np.frombuffer(raw, "<u8", offset=len(raw) - 8)
-    return np.cumsum(np.concatenate([first, _unplanes(raw[:-8], n - 1)]), dtype=np.uint64)
+def _numbers(x: np.ndarray) -> bytes:
+    return _squeezed(_planes(x))
 
 
 def _dealt(keys: np.ndarray, n_dest: int):
@@ -122,9 +161,9 @@ def _groups(batches, column: int):
 ASKED = "dest long, block long, size long, keys binary, nums binary"
 
 
-def asked(docs: DataFrame, n_dest: int) -> DataFrame:
+def asked(docs: DataFrame, n_dest: int, drop: int) -> DataFrame:
     """``ASKED`` of ``docs`` (block, held_out, text): the distinct words and grams of each block as
-    a task saw them; nums has twice the count in training rows, and 1 more for grams."""
+    a task saw them; nums has the count in training rows."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -134,13 +173,13 @@ def asked(docs: DataFrame, n_dest: int) -> DataFrame:
             for block, parts in held.items():
                 keys, n, gram = (np.concatenate(x) for x in zip(*parts, strict=True))
                 keys, n, gram = _summed(keys, n, gram)
-                nums = 2 * n.astype(np.int64) + (gram > 0)
+                n, gram = n.astype(np.int64), gram > 0
                 cut = [(d, s) for d, s in _dealt(keys, n_dest)]
                 for k in range(0, len(cut), 64):
                     own = cut[k : k + 64]
                     yield pa.record_batch([
                         pa.array([d for d, _ in own], pa.int64()), pa.array([block] * len(own), pa.int64()), pa.array([s.stop - s.start for _, s in own], pa.int64()),
-                        pa.array([_packed(keys[s]) for _, s in own], pa.binary()), pa.array([_planes(nums[s]) for _, s in own], pa.binary()),
+                        pa.array([_packed(keys[s], gram[s], drop) for _, s in own], pa.binary()), pa.array([_numbers(n[s][_words_first(gram[s])]) for _, s in own], pa.binary()),
                     ], names=["dest", "block", "size", "keys", "nums"])
             held.clear()
 
@@ -148,7 +187,7 @@ def asked(docs: DataFrame, n_dest: int) -> DataFrame:
             for k in range(0, batch.num_rows, 1000):
                 for block, piece in _runs([batch.slice(k, 1000)], 0):
                     h, at = _tokens(piece.column(2))
-                    two, three, has_two, has_three = _grams(h, at)
+                    two, three, has_two, has_three = _grams(h, at, drop)
                     train = np.repeat(~np.asarray(piece.column(1).to_pylist(), bool), np.diff(at)).astype(np.int32)
                     for keys, n, gram in ((h, train, 0), (two[has_two], train[has_two], 1), (three[has_three], train[has_three], 1)):
                         keys, n = _summed(keys, n)
@@ -162,7 +201,7 @@ def asked(docs: DataFrame, n_dest: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), ASKED)
 
 
-def totals(rows: DataFrame) -> DataFrame:
+def totals(rows: DataFrame, drop: int) -> DataFrame:
     """``ASKED`` with n_tokens and n_words: what is known of each block's keys, without grams
     under ``MIN_COUNT`` and unknown words.  nums has twice the total, and 1 more where
     the block is the first that asks for a gram; each range's tokens and words are on one row."""
@@ -170,20 +209,22 @@ def totals(rows: DataFrame) -> DataFrame:
     def run(batches):
         for dest, pieces in _groups(batches, 0):
             blocks, sizes = [], []
-            keys, nums = [], []
+            keys, nums, grams = [], [], []
             for p in pieces:
                 for block, n, raw, num in zip(*(p.column(k).to_pylist() for k in range(1, 5)), strict=True):
                     blocks.append(block)
                     sizes.append(n)
-                    keys.append(_unpacked(raw, n))
-                    nums.append(_unplanes(num, n).astype(np.int64))
-            flat, num = np.concatenate(keys), np.concatenate(nums)
+                    own, gram = _unpacked(raw, n, drop)
+                    keys.append(own)
+                    grams.append(gram)
+                    nums.append(_unplanes(_loose(num), n).astype(np.int64))
+            flat, num, grams = np.concatenate(keys), np.concatenate(nums), np.concatenate(grams)
             del keys, nums
             order = np.argsort(flat, kind="stable")
             new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
             first = np.flatnonzero(new)
-            total = np.add.reduceat(num[order] >> 1, first)
-            gram = (num[order[first]] & 1).astype(bool)
+            total = np.add.reduceat(num[order], first)
+            gram = grams[order[first]]
             of = np.empty(len(flat), np.int64)
             of[order] = np.cumsum(new) - 1
             owner = np.zeros(len(flat), np.int64)
@@ -196,10 +237,10 @@ def totals(rows: DataFrame) -> DataFrame:
                 at += n
                 some = kept[of[s]]
                 if some.any() or sums[0]:
-                    own = flat[s][some]
+                    own, is_gram = flat[s][some], grams[s][some]
                     yield pa.record_batch([
-                        pa.array([dest], pa.int64()), pa.array([block], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([_packed(own) if len(own) else b""], pa.binary()),
-                        pa.array([_planes(2 * total[of[s]][some] + owner[s][some])], pa.binary()), pa.array(sums[:1], pa.int64()), pa.array(sums[1:], pa.int64()),
+                        pa.array([dest], pa.int64()), pa.array([block], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([_packed(own, is_gram, drop)], pa.binary()),
+                        pa.array([_numbers(2 * total[of[s]][some] + owner[s][some])], pa.binary()), pa.array(sums[:1], pa.int64()), pa.array(sums[1:], pa.int64()),
                     ], names=["dest", "block", "size", "keys", "nums", "n_tokens", "n_words"])
                     sums = [0, 0]
 
@@ -329,11 +370,11 @@ HALF_NAMES = [c.split()[0] for c in HALF.split(", ")]
 class Block:
     """One block's known keys and what its documents leave to the contexts' weights."""
 
-    def __init__(self, rows: list[tuple[int, bytes, bytes]], below: float):
-        parts = [(_unpacked(k, n), _unplanes(v, n).astype(np.int64)) for n, k, v in rows if n]
-        keys, nums = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    def __init__(self, rows: list[tuple[int, bytes, bytes]], below: float, drop: int):
+        parts = [(*_unpacked(k, n, drop), _unplanes(_loose(v), n).astype(np.int64)) for n, k, v in rows if n]
+        keys, gram, nums = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64))
         self.known, first = np.unique(keys, return_index=True)
-        self.n = nums[first] >> 1
+        self.n, self.gram, self.drop = nums[first] >> 1, gram[first], drop
         self.owed = np.zeros(len(self.known), bool)
         self.owed[np.searchsorted(self.known, keys[nums & 1 == 1])] = True
         self.below, self.docs = below, []
@@ -352,7 +393,7 @@ class Block:
 
     def add(self, ids: pa.Array, flags: pa.Array, texts: pa.Array):
         h, at = _tokens(texts)
-        two, three, has_two, has_three = _grams(h, at)
+        two, three, has_two, has_three = _grams(h, at, self.drop)
         all_places = places(np.concatenate([h, two, three]), self.known)
         w, two, three = (x.copy() for x in np.split(all_places, 3))
         two[~has_two] = -1
@@ -386,13 +427,18 @@ class Block:
         need[at] = True
         values = np.zeros((4, len(need)), np.int64)
         values[:, at] = held, low, sums[2][first], sums[3][first]
-        keys, want, values = self.known[need], self.used[need], values[:, need]
+        dest = ((self.known >> np.uint64(32)) * np.uint64(n_dest) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((self.known, self.gram, dest))  # the order in which weights come back
+        own = np.flatnonzero(need)
+        keys, gram, want, values = self.known[own], self.gram[own], self.used[own], values[:, own]
         for d, s in _dealt(keys, n_dest):
-            nums = b"".join(_planes(x) for x in (2 * values[0, s] + want[s], values[1, s], values[2, s], values[3, s]))
+            first = _words_first(gram[s])
+            nums = _squeezed(b"".join(_planes(x[first]) for x in (2 * values[0, s] + want[s], values[1, s], values[2, s], values[3, s])))
             one = [pa.array([x], pa.int64()) for x in (d, block, s.stop - s.start)]
             yield pa.record_batch([pa.array([0], pa.int32()), *one, none(1, pa.int64()), none(1, pa.bool_()), none(1, pa.int64()), none(1, pa.int64()), none(1, pa.float64()), none(1, pa.float64()),
-                                   pa.array([_packed(keys[s])], pa.binary()), pa.array([nums], pa.binary())], names=HALF_NAMES)
-        rank = np.cumsum(self.used) - 1
+                                   pa.array([_packed(keys[s], gram[s], self.drop)], pa.binary()), pa.array([nums], pa.binary())], names=HALF_NAMES)
+        rank = np.zeros(len(self.known), np.int64)
+        rank[order[self.used[order]]] = np.arange(int(self.used.sum()))
         for ids, flags, n, seen, base, part, per in self.docs:
             k = len(n)
             uses = pa.array([_planes(np.diff(np.sort(rank[u]), prepend=0)) for u in per], pa.binary())
@@ -400,7 +446,7 @@ class Block:
                                    pa.array(n), pa.array(seen), pa.array(base), pa.array(part), none(k, pa.binary()), uses], names=HALF_NAMES)
 
 
-def half_scored(rows: DataFrame, below: float, n_dest: int) -> DataFrame:
+def half_scored(rows: DataFrame, below: float, n_dest: int, drop: int) -> DataFrame:
     """``HALF`` of (block, kind, size, keys, nums) sorted by block and kind: totals, then ``packed`` texts."""
 
     def run(batches):
@@ -416,7 +462,7 @@ def half_scored(rows: DataFrame, below: float, n_dest: int) -> DataFrame:
                         got.extend(zip(*(piece.column(k).to_pylist() for k in (2, 3, 4)), strict=True))
                         continue
                     if made is None:
-                        made, got = Block(got, below), []
+                        made, got = Block(got, below, drop), []
                     for raw in piece.column(3):
                         rows = pa.ipc.open_stream(raw.as_buffer()).read_all()
                         for some in rows.to_batches(max_chunksize=500):
@@ -427,21 +473,21 @@ def half_scored(rows: DataFrame, below: float, n_dest: int) -> DataFrame:
     return rows.mapInArrow(tidy(run), HALF)
 
 
-def weights(rows: DataFrame, below: float) -> DataFrame:
-    """(block, dest, size, nums): the log10 backoff weights of the contexts each block wants, in order of their
-    keys (0 without arcs); of (dest, block, size, keys, nums)."""
+def weights(rows: DataFrame, below: float, drop: int) -> DataFrame:
+    """(block, dest, size, nums): the log10 backoff weights of the contexts each block wants, in packed
+    order (0 without arcs); of (dest, block, size, keys, nums)."""
 
     def run(batches):
         for dest, pieces in _groups(batches, 0):
             parts = []
             for p in pieces:
                 for block, n, raw, num in zip(*(p.column(k).to_pylist() for k in range(1, 5)), strict=True):
-                    values, at = [], 0
+                    values, at, num = [], 0, _loose(num)
                     for _ in range(4):
                         end = at + 1 + num[at] * n
                         values.append(_unplanes(num[at:end], n).astype(np.int64))
                         at = end
-                    parts.append((block, _unpacked(raw, n), values))
+                    parts.append((block, _unpacked(raw, n, drop)[0], values))
             flat = np.concatenate([k for _, k, _ in parts])
             held, low, whole, base = (np.concatenate([v[k] for _, _, v in parts]) for k in range(4))
             keys, of = np.unique(flat, return_inverse=True)
@@ -470,17 +516,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_
     rows = rows.withColumn("block", in_range(F.col("id"), bounds))
     n_blocks = len(bounds) + 1
     n_dest = 4 * n_blocks
-    requests = asked(rows.select("block", "held_out", "text"), n_dest)
-    known = staged(totals(requests.repartitionById(n_dest, F.col("dest").cast("int")).sortWithinPartitions("dest", "block")))
+    drop = max(0, 64 - GUARD_BITS - (n_blocks * BLOCK_TEXT - 1).bit_length())
+    requests = asked(rows.select("block", "held_out", "text"), n_dest, drop)
+    known = staged(totals(requests.repartitionById(n_dest, F.col("dest").cast("int")).sortWithinPartitions("dest", "block"), drop))
     tokens, distinct = known.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     below = float(tokens + distinct + 1)
 
     texts = packed(rows.select("block", "id", "held_out", F.coalesce("text", F.lit("")).alias("text")))
     found = known.where("size > 0").select("block", F.lit(0).alias("kind"), "size", "keys", "nums")
-    half = staged(half_scored(found.union(texts).repartitionById(n_blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind"), below, n_dest))
+    half = staged(half_scored(found.union(texts).repartitionById(n_blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind"), below, n_dest, drop))
 
     contexts = half.where("kind = 0").select("dest", "block", "size", "keys", "nums")
-    back = weights(contexts.repartitionById(n_dest, F.col("dest").cast("int")).sortWithinPartitions("dest", "block"), below)
+    back = weights(contexts.repartitionById(n_dest, F.col("dest").cast("int")).sortWithinPartitions("dest", "block"), below, drop)
     nulls = [F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("part", "double"))]
     parts = half.where("kind = 1").select("block", "kind", "dest", "size", "nums", "id", "held_out", "n_tokens", "n_known", "base", "part")
     dealt = back.select("block", F.lit(0).alias("kind"), "dest", "size", "nums", *nulls).union(parts).repartitionById(n_blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind", "dest")
