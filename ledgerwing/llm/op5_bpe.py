@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_blocks, text_buffer, tidy
-from .tokens import byte_alphabet, distinct_pieces, spread
+from .tokens import byte_alphabet, check_cuts, distinct_pieces, spread
 
 #: Pieces, and pre-tokens, that each of two generations of a worker's caches holds.
 CACHE_ENTRIES = 120_000
@@ -68,6 +68,9 @@ class Vocabulary:
         self.by_rank = [(k >> 32, k & 0xFFFFFFFF, t) for k, (_, t) in self.merges.items()]
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.heads = {t[0] for t in self.added if t}
+        own = set(self.added.values())
+        check_cuts([t for i, t in enumerate(self.token_bytes) if i not in own])
         self.decimal = [str(i) for i in range(len(self.token_bytes))]
 
 
@@ -202,7 +205,7 @@ class Bpe:
             if c in self.old_chunks:
                 self.chunks[c] = self.old_chunks[c]
             elif c not in self.chunks:
-                parts = vocab.special.split(c) if vocab.special and "<" in c else [c]
+                parts = vocab.special.split(c) if vocab.special and not vocab.heads.isdisjoint(c) else [c]
                 cut[c] = [x for part in parts if part for x in ([vocab.added[part]] if part in vocab.added else vocab.split.findall(part))]
         new = list(dict.fromkeys(x for parts in cut.values() for x in parts if isinstance(x, str) and x not in words and x not in old))
         words.update((x, old[x]) for parts in cut.values() for x in parts if isinstance(x, str) and x in old)

@@ -1,11 +1,12 @@
 """Encoding whole texts with a public tokenizer file, distinct pieces once.
 
-The two vocabularies used here never form a token across a single white-space
+The vocabularies served here never form a token across a single white-space
 character between two other characters, nor from a letter to following
 punctuation.  So a text may be cut there without changing its ids: the cuts are
 found with numpy on the raw buffer, Arrow dictionary-encodes the pieces, and the
 tokenizers library encodes each distinct piece once per worker.  Where a
-neighbour might be a multi-byte white-space character no cut is made.
+neighbour might be a multi-byte white-space character no cut is made.  A vocabulary with
+a token that spans a cut is refused when it is loaded.
 """
 
 from __future__ import annotations
@@ -90,12 +91,32 @@ def pieces(data: np.ndarray, offsets: np.ndarray, whole: tuple[bytes, ...] = ())
     return np.append(np.flatnonzero(gap), n)
 
 
+def check_cuts(tokens: list[bytes]) -> None:
+    """An error if there is a place in some token where ``pieces`` cuts: then pieces wouldn't give the ids of whole texts."""
+    docs = [b"a" + t + b"a" for t in tokens]
+    at = np.cumsum([0, *map(len, docs)])
+    cuts = pieces(np.frombuffer(b"".join(docs), np.uint8), at)[:-1]
+    doc = np.searchsorted(at, cuts, "right") - 1
+    inside = (cuts - at[doc] > 1) & (at[doc + 1] - cuts > 1)
+    if inside.any():
+        raise ValueError(f"texts can't be cut for this vocabulary: it has the token {tokens[doc[inside][0]]!r}")
+
+
+def token_texts(tok) -> list[bytes]:
+    """The bytes of a vocabulary's own tokens, without what marks the end of a word."""
+    suffix, alphabet = getattr(tok.model, "end_of_word_suffix", None) or "", byte_alphabet()
+    added = {t.content for t in tok.get_added_tokens_decoder().values()}
+    words = [w.removesuffix(suffix) for w in tok.get_vocab(with_added_tokens=False) if w not in added]
+    return [bytes(alphabet[c] for c in w) if all(c in alphabet for c in w) else w.encode() for w in words]
+
+
 class Encoder:
     """Ids of whole documents; one per Python worker, with a bounded cache of pieces."""
 
     def __init__(self, path: str, fold: bool = False, most: int = CACHE_PIECES):
         """fold: the vocabulary lower-cases and drops white space; most: pieces that are kept."""
         self.tok, self.fold, self.most = tokenizer(path), fold, most
+        check_cuts(token_texts(self.tok))
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.model = self.tok.model

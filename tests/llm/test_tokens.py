@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from ledgerwing.llm import op1_token_binary as op1
 from ledgerwing.llm import op5_bpe as op5
 from ledgerwing.llm import op8_packing as op8
+from ledgerwing.llm import tokens
 from ledgerwing.llm.tokens import Encoder, tokenizer
 
 P = pytest.importorskip("public_tokenizers")
@@ -138,3 +139,11 @@ def test_packing_keeps_every_id(spark, odd):
         got += [(doc, n, zlib.crc32(body))] * copies
     assert sorted(got) == want
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+
+
+def test_vocabularies_that_span_cuts_are_refused():
+    from tokenizers import Tokenizer, models
+
+    tokens.check_cuts(tokens.token_texts(Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2}, [("a", "b")]))))
+    with pytest.raises(ValueError):
+        tokens.check_cuts(tokens.token_texts(Tokenizer(models.BPE({"a": 0, ".": 1, "b": 2, "a.": 3, "a.b": 4}, [("a", "."), ("a.", "b")]))))
