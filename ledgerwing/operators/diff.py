@@ -27,6 +27,12 @@ def delta(before: DataFrame, after: DataFrame, key: list[str], cols: list[str])
     return both.withColumn("kind", kind).where("kind IS NOT NULL").select(*key, "kind", "before", "after")
 
 
+def delta_filter(changes: DataFrame, text: str, cols: list[str]) -> DataFrame:
+    """Changes with the text, in any case, in any of the columns of the new side, or of the old where there is no new one."""
+    side = [F.coalesce(F.when(F.col("after").isNotNull(), F.col(f"after.{c}")).otherwise(F.col(f"before.{c}")).cast("string"), F.lit("")) for c in cols]
+    return changes.where(F.exists(F.array(*side), lambda c: F.lower(c).contains(text.lower())))
+
+
 def catalog_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     """(key, kind) of every key of either version.
 

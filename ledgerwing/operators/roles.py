@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import first_match, single_or_null
+from ..functions.rules import all_of, first_match, single_or_null
 
 
 def resolve_roles(members: DataFrame, anchors: dict[str, Column], by: list[str], owner: str) -> DataFrame:
@@ -23,3 +23,27 @@ def resolve_roles(members: DataFrame, anchors: dict[str, Column], by: list[str],
         (F.size(known) < len(anchors), "PARTIAL"),
     ], "RESOLVED")
     return found.withColumn("status", status)
+
+
+def delegates(members: DataFrame, by: list[str]) -> DataFrame:
+    """(by, owner, name, delegate): members of one owner that a member calls, itself left out.
+
+    members: (by, owner, name, calls), calls an array of ``owner->name``.
+    """
+    asked = members.select(*by, "owner", "name", F.explode("calls").alias("call"))
+    targets = members.select(*by, "owner", F.col("name").alias("delegate"), F.concat("owner", F.lit("->"), "name").alias("call"))
+    return asked.join(targets, [*by, "owner", "call"]).where("name <> delegate").select(*by, "owner", "name", "delegate").distinct()
+
+
+def route_status(candidates: DataFrame, by: list[str], routes: dict[str, tuple[str, ...]], needed: tuple[str, ...] = ()) -> DataFrame:
+    """(by, open_routes, status): which of several independent routes a build offers.
+
+    candidates: (by, role, member).  A role counts with one member only.  READY: a route whose roles all count, and all
+    ``needed`` ones; AMBIGUOUS: not so, but some role of a route has several members; else MISSING.
+    """
+    roles = candidates.groupBy(*by, "role").agg(F.count_distinct("member").alias("n"))
+    held = roles.groupBy(*by).agg(F.collect_set(F.when(F.col("n") == 1, F.col("role"))).alias("one"), F.collect_set(F.when(F.col("n") > 1, F.col("role"))).alias("many"))
+    whole = lambda names: all_of([F.array_contains("one", r) for r in names])
+    out = held.withColumn("open_routes", F.array_compact(F.array(*[F.when(whole(names), F.lit(r)) for r, names in routes.items()])))
+    unclear = F.arrays_overlap("many", F.array(*[F.lit(r) for names in (*routes.values(), needed) for r in names]))
+    return out.select(*by, "open_routes", first_match([((F.size("open_routes") > 0) & whole(needed), "READY"), (unclear, "AMBIGUOUS")], "MISSING").alias("status"))

@@ -137,6 +137,13 @@ def change_summary(spark, d):
     return diff.change_summary(diff.delta(*_snapshots(spark, d), ["o_custkey"], ["value_type", "compiled_default"]))
 
 
+@query(f"""{_CHANGES_SQL}, y AS (SELECT x.*, CASE WHEN a.o_custkey IS NOT NULL THEN a.value_type || '|' || a.compiled_default ELSE b.value_type || '|' || b.compiled_default END AS t FROM x LEFT JOIN a USING (o_custkey) LEFT JOIN b USING (o_custkey))
+    SELECT o_custkey, kind FROM y WHERE kind IS NOT NULL AND contains(lower(t), 'urg')""")
+def delta_filter(spark, d):
+    changes = diff.delta(*_snapshots(spark, d), ["o_custkey"], ["value_type", "compiled_default"])
+    return diff.delta_filter(changes, "URG", ["value_type", "compiled_default"]).select("o_custkey", "kind")
+
+
 def _catalog(df):
     """A snapshot in the shape of a catalog."""
     ready = df.withColumns({"confidence": F.when(F.col("n") >= 6, "AMBIGUOUS").otherwise("UNIQUE_GETTER"), "signatures": F.when(F.col("n") % 3 > 0, F.array((F.col("n") % 3).cast("string"))).otherwise(F.array().cast("array<string>")), "static_site": F.col("n") % 2 == 1})

@@ -248,3 +248,17 @@ def recovery_bundle(spark, d):
     made = sinks.bundle(rows, ["s_nationkey"], "k", "s_name")
     good = made.join(sinks.bundle_errors(made, ["s_nationkey"], ("override.", "name.")), "s_nationkey", "left_anti")
     return good.select("s_nationkey", F.size("entries").cast("long").alias("n"))
+
+
+@query("""WITH m AS (SELECT l_orderkey, l_returnflag AS owner, l_linenumber AS name, l_linenumber % 3 + 1 AS target FROM lineitem) SELECT DISTINCT a.l_orderkey, a.owner, a.name, b.name AS delegate FROM m a JOIN m b ON b.l_orderkey = a.l_orderkey AND b.owner = a.owner AND b.name = a.target AND b.name <> a.name""")
+def role_delegates(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("owner"), F.col("l_linenumber").alias("name"), F.array(F.concat("l_returnflag", F.lit("->"), (F.col("l_linenumber") % 3 + 1).cast("string"))).alias("calls"))
+    return roles.delegates(lines, ["l_orderkey"])
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_returnflag || l_linestatus AS role, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1, 2), h AS (SELECT l_orderkey, list(role) FILTER (n = 1) AS one, list(role) FILTER (n > 1) AS many FROM r GROUP BY 1),
+    o AS (SELECT *, list_has_all(coalesce(one, []), ['AF', 'RF']) AS x, list_contains(coalesce(one, []), 'NO') AS y FROM h)
+    SELECT l_orderkey, concat_ws(',', CASE WHEN x THEN 'first' END, CASE WHEN y THEN 'second' END) AS open_routes, CASE WHEN x OR y THEN 'READY' WHEN list_has_any(coalesce(many, []), ['AF', 'RF', 'NO']) THEN 'AMBIGUOUS' ELSE 'MISSING' END AS status FROM o""")
+def role_routes(spark, d):
+    found = table(spark, d, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("role"), F.col("l_suppkey").alias("member"))
+    return roles.route_status(found, ["l_orderkey"], {"first": ("AF", "RF"), "second": ("NO",)}).select("l_orderkey", F.array_join("open_routes", ",").alias("open_routes"), "status")
