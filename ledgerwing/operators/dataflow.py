@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import single_or_null
+from ..functions.rules import first_match, single_or_null
 from ..stores import saved
 
 
@@ -270,3 +270,32 @@ def positional_registration(calls: DataFrame, by: list[str], after: int = 1, wid
 def referencing(methods: DataFrame, fields: DataFrame, by: list[str], lists: str = "fields") -> DataFrame:
     """Methods (by) that refer to any of ``fields`` (field)."""
     return methods.select(*by, F.explode(lists).alias("field")).join(fields.select("field"), "field", "left_semi").select(*by).distinct()
+
+
+#: What becomes of a call's result: proven uses, strongest first, by the operation that reads it; then the rest, strongest first.
+USES = {"RETURN": "RETURNED", "IF": "BRANCHED", "PUT": "STORED_FIELD", "INVOKE": "FORWARDED_ARGUMENT", "APUT": "STORED_ARRAY_OR_COLLECTION", "TRANSFORM": "TRANSFORMED"}
+LOST = ("UNSUPPORTED_OPCODE", "CAPTURED_THEN_OVERWRITTEN", "CAPTURED_BUT_UNUSED", "RESULT_NOT_CAPTURED")
+
+
+def invoke_outcomes(instructions: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, idx, outcome): what becomes of each call's result, over all ways through a method.
+
+    instructions: (idx, op, opcode, reads, writes, receiver); an INVOKE without ``writes`` drops its result.  Where a use may also see
+    another value, the origin is ambiguous, which outweighs all; else the strongest use counts.  A result that
+    calls only take as their ``receiver`` is USED_AS_RECEIVER, one that operations outside of ``USES`` read UNSUPPORTED_OPCODE.
+    """
+    origins = saved(value_origins(instructions, edges, by))
+    ways = origins.withColumn("_n", F.count("*").over(Window.partitionBy(*by, "idx", "register")))
+    ops = instructions.select(*by, "idx", F.col("op").alias("_op"), "receiver")
+    uses = ways.join(ops, [*by, "idx"]).where("_op <> 'MOVE'")
+    named = first_match([((F.col("_op") == "INVOKE") & F.col("receiver").eqNullSafe(F.col("register")), "USED_AS_RECEIVER"), *[(F.col("_op") == op, name) for op, name in USES.items()]], LOST[0])
+    order = [*list(USES.values())[:4], "USED_AS_RECEIVER", *list(USES.values())[4:], *LOST]
+    use = F.when((F.col("_n") > 1) & (named != LOST[0]), "CFG_ORIGIN_AMBIGUOUS").otherwise(named)
+    best = uses.select(*by, F.col("origin").alias("idx"), use.alias("use")).groupBy(*by, "idx").agg(F.max(F.col("use") == "CFG_ORIGIN_AMBIGUOUS").alias("_open"), F.min(F.array_position(F.array(*map(F.lit, order)), F.col("use"))).alias("_place"))
+    writers = instructions.where("writes IS NOT NULL").select(*by, F.col("idx").alias("at"), "writes")
+    gone = reaching_writes(instructions, edges, by).withColumnRenamed("idx", "at").join(writers, [*by, "at"]).where("writes = register").select(*by, F.col("write").alias("idx")).distinct().withColumn("_gone", F.lit(True))
+    sites = instructions.where("op = 'INVOKE'").select(*by, "idx", "writes").join(best, [*by, "idx"], "left").join(gone, [*by, "idx"], "left")
+    outcome = first_match([
+        (F.col("writes").isNull(), LOST[3]), (F.col("_open"), "CFG_ORIGIN_AMBIGUOUS"), (F.col("_place") > 0, F.element_at(F.array(*map(F.lit, order)), F.coalesce(F.nullif("_place", F.lit(0)), F.lit(1)).cast("int"))), (F.col("_gone"), LOST[1]),
+    ], LOST[2])
+    return sites.select(*by, "idx", outcome.alias("outcome"))

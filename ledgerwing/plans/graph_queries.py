@@ -243,6 +243,16 @@ def proven_returns(spark, d):
     return dataflow.proven_returns(*_program(spark, d), ["l_orderkey"])
 
 
+@query(f"""WITH RECURSIVE {_PROG_SQL}, u AS (SELECT * FROM (SELECT o.l_orderkey, o.src AS site, p.op, q.op AS src_op, count(*) OVER (PARTITION BY o.l_orderkey, o.idx) AS n FROM o JOIN p ON p.l_orderkey = o.l_orderkey AND p.idx = o.idx JOIN p q ON q.l_orderkey = o.l_orderkey AND q.idx = o.src WHERE q.op <> 'MOVE') WHERE src_op = 'INVOKE' AND op <> 'MOVE'),
+    g AS (SELECT DISTINCT r.l_orderkey, r.write AS site FROM r JOIN p ON p.l_orderkey = r.l_orderkey AND p.idx = r.idx AND p.wr = r.register),
+    b AS (SELECT l_orderkey, site, bool_or(n > 1) AS unclear, bool_or(op = 'RETURN') AS back, bool_or(op = 'PUT') AS put FROM u GROUP BY 1, 2)
+    SELECT p.l_orderkey, p.idx, CASE WHEN unclear THEN 'CFG_ORIGIN_AMBIGUOUS' WHEN back THEN 'RETURNED' WHEN put THEN 'STORED_FIELD' WHEN g.site IS NOT NULL THEN 'CAPTURED_THEN_OVERWRITTEN' ELSE 'CAPTURED_BUT_UNUSED' END AS outcome
+    FROM p LEFT JOIN b ON b.l_orderkey = p.l_orderkey AND b.site = p.idx LEFT JOIN g ON g.l_orderkey = p.l_orderkey AND g.site = p.idx WHERE p.op = 'INVOKE'""")
+def invoke_outcomes(spark, d):
+    code, steps = _program(spark, d)
+    return dataflow.invoke_outcomes(code.withColumn("receiver", F.lit(None).cast("long")), steps, ["l_orderkey"])
+
+
 @query("SELECT p_partkey, 'f' AS field, CASE WHEN p_size % 2 = 0 THEN 'other' END AS key, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS value, CASE WHEN p_size % 2 = 0 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status FROM part")
 def cfg_registration(spark, d):
     """A key is overwritten on one way through a method; parts of odd size have another way around that."""

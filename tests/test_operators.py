@@ -433,6 +433,18 @@ def test_control_flow(spark):
     assert stored == {(1, "B.y", "A.x"): (["int-to-long"], True), (2, "B.y", "A.x"): ([], True)}
 
 
+def test_invoke_outcomes(spark):
+    schema = "m int, idx int, op string, opcode string, reads array<int>, writes int, ref string, literal string, receiver int"
+    cases = [("IF", None, "BRANCHED"), ("APUT", None, "STORED_ARRAY_OR_COLLECTION"), ("INVOKE", 0, "USED_AS_RECEIVER"), ("INVOKE", None, "FORWARDED_ARGUMENT"), ("ODD", None, "UNSUPPORTED_OPCODE"), ("TRANSFORM", None, "TRANSFORMED")]
+    rows = [r for m, (op, receiver, _) in enumerate(cases) for r in ((m, 0, "INVOKE", "i", None, 0, None, None, None), (m, 1, op, "o", [0], 1 if op == "TRANSFORM" else None, None, None, receiver))]
+    rows += [(50, 0, "INVOKE", "i", None, None, None, None, None), (50, 1, "RETURN", "r", None, None, None, None, None), (51, 0, "INVOKE", "i", None, 0, None, None, None), (51, 1, "GET", "g", None, 0, None, None, None), (52, 0, "INVOKE", "i", None, 0, None, None, None), (52, 1, "NOP", "n", None, None, None, None, None)]
+    code = spark.createDataFrame(rows, schema)
+    edges = code.where("idx = 0").selectExpr("m", "idx", "1 AS next")
+    got = {(r["m"], r["idx"]): r["outcome"] for r in dataflow.invoke_outcomes(code, edges, ["m"]).collect()}
+    assert all(got[m, 0] == want for m, (_, _, want) in enumerate(cases)), got
+    assert got[50, 0] == "RESULT_NOT_CAPTURED" and got[51, 0] == "CAPTURED_THEN_OVERWRITTEN" and got[52, 0] == "CAPTURED_BUT_UNUSED"
+
+
 def test_exports_need_an_unchanged_build(spark):
     root = tempfile.mkdtemp()
     seen = iter(["a", "b"])
