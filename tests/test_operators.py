@@ -125,7 +125,6 @@ def test_assignment_needs_a_margin(spark):
     df = spark.createDataFrame(rows, "component int, l_node string, r_node string, score int")
     got = {(r["l_node"], r["r_node"]): r["accepted"] for r in matching.assign(df).collect()}
     assert got == {("a", "y"): True, ("b", "x"): True, ("c", "z"): False, ("d", "u"): False}
-    assert matching.family_order([[1, 9], [9, 2]]) == (1, 0)
 
 
 def test_budgeted_search_counts_scheduled_nodes(spark):
