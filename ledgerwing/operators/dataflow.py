@@ -1,17 +1,19 @@
-"""Folds over ordered instructions: each method is one group, its program one ordered walk.
+"""What methods do with fields, constants and calls.
 
-Methods are small and bounded by their class files; Spark deals them by method
-key.  What windows can say is said with windows.
+What windows over a method's ordered instructions can say is said with windows; what depends on the ways through it comes
+from the kernels of ``flow``, one shuffle whatever the length of the ways.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_match, single_or_null
 from ..stores import saved
+from . import flow
 
 
 def successors(instructions: DataFrame, by: list[str]) -> DataFrame:
@@ -57,45 +59,6 @@ def nearby_literal(instructions: DataFrame, by: list[str], back: int = 8, ahead:
     return best.select(*by, F.col("k").alias("idx"), "literal")
 
 
-def registration_flow(ops: DataFrame, by: list[str]) -> DataFrame:
-    """(by, field, key, value): which key and default a registration stores in a field.
-
-    ops: (idx, op, target, source, registers, value, field) with op one of
-    STRING, NUMERIC, MOVE, INVOKE, MOVE_RESULT, SPUT, CLOBBER.  A register holds a string, a number or
-    the result of a call on them; a call's result keeps its only string as key
-    and its only number as default.  Anything else clobbers.
-    """
-    cols = [*by, "idx", "op", "target", "source", "registers", "value", "field"]
-
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        held: dict[int, tuple[str, str | None, str | None]] = {}
-        result, out = None, []
-        for row in df.sort_values("idx").itertuples(index=False):
-            target = None if pd.isna(row.target) else int(row.target)
-            source = None if pd.isna(row.source) else int(row.source)
-            fresh, result = result, None
-            if row.op == "STRING":
-                held[target] = ("string", row.value, None)
-            elif row.op == "NUMERIC":
-                held[target] = ("number", None, row.value)
-            elif row.op == "MOVE" and source in held:
-                held[target] = held[source]
-            elif row.op == "INVOKE":
-                given = [held[r] for r in (row.registers if row.registers is not None else []) if r in held]
-                keys, values = {g[1] for g in given if g[1] is not None}, {g[2] for g in given if g[2] is not None}
-                result = ("result", keys.pop() if len(keys) == 1 else None, values.pop() if len(values) == 1 else None)
-            elif row.op == "MOVE_RESULT" and fresh and fresh[1] is not None:
-                held[target] = fresh
-            elif row.op == "SPUT" and source in held and held[source][0] == "result":
-                out.append((*[getattr(row, c) for c in by], row.field, held[source][1], held[source][2]))
-            elif target is not None:
-                held.pop(target, None)
-        return pd.DataFrame(out, columns=[*by, "field", "key", "value"])
-
-    kinds = ", ".join(f"{c} {ops.schema[c].dataType.simpleString()}" for c in by)
-    return ops.select(*cols).groupBy(*by).applyInPandas(fold, f"{kinds}, field string, key string, value string")
-
-
 def branch_decisions(instructions: DataFrame, by: list[str]) -> DataFrame:
     """(by, idx, invoked, opcode, polarity): branches on the result of the call just before them."""
     w = Window.partitionBy(*by).orderBy("idx")
@@ -104,23 +67,6 @@ def branch_decisions(instructions: DataFrame, by: list[str]) -> DataFrame:
     return hit.select(*by, "idx", F.col("_call").alias("invoked"), "opcode", F.when(F.col("opcode") == "if-eqz", "TRUE_FALLS_THROUGH").when(F.col("opcode") == "if-nez", "FALSE_FALLS_THROUGH").otherwise("OTHER").alias("polarity"))
 
 
-#: Outcomes of a call's result, strongest first: what its next use is.
-OUTCOMES = (("IF", "BRANCH"), ("RETURN", "RETURNED"), ("SPUT", "STORED"), ("IPUT", "STORED"), ("INVOKE", "PASSED_ON"), ("MOVE", "COPIED"))
-
-
-def call_outcomes(instructions: DataFrame, by: list[str]) -> DataFrame:
-    """(by, ref, outcome): for each called method the strongest use of its result in the
-    method, UNUSED where nothing reads it before it is overwritten."""
-    w = Window.partitionBy(*by).orderBy("idx")
-    sites = instructions.withColumns({"_next": F.lead("op").over(w), "_to": F.lead("register").over(w)}).where("op = 'INVOKE' AND _next = 'MOVE_RESULT'").select(*by, F.col("idx").alias("site"), "ref", F.col("_to").alias("register"))
-    later = sites.join(instructions.drop("ref"), [*by, "register"]).where("idx > site + 1")
-    first = later.groupBy(*by, "site", "ref").agg(F.min_by("op", "idx").alias("use"))
-    every = sites.join(first.select(*by, "site", "use"), [*by, "site"], "left")
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(u) for u, _ in OUTCOMES]), F.col("use")), F.lit(0))
-    name = F.coalesce(*[F.when(F.col("use") == u, F.lit(n)) for u, n in OUTCOMES], F.lit("UNUSED"))
-    return every.groupBy(*by, "ref").agg(F.min_by(name, F.when(rank > 0, rank).otherwise(99)).alias("outcome"))
-
-
 #: Operations that write their register, and those that read it.
 WRITES, READS = ("CONST", "GET", "MOVE_RESULT"), ("RETURN", "SPUT", "IPUT", "IF")
 
@@ -145,85 +91,43 @@ def returned_field(instructions: DataFrame, by: list[str]) -> DataFrame:
     return proven.where("_other = 0 AND field IS NOT NULL").select(*by, "field")
 
 
-def result_writes(instructions: DataFrame, by: list[str]) -> DataFrame:
-    """(by, call, field): fields that store a call's result."""
-    rows = reaching(instructions, by).where("op IN ('SPUT', 'IPUT') AND src_op = 'MOVE_RESULT'")
-    return rows.select(*by, F.col("src_ref").alias("call"), F.col("ref").alias("field")).distinct()
-
-
 def field_moves(instructions: DataFrame, by: list[str]) -> DataFrame:
     """(by, source, target): fields that store another field's value."""
     rows = reaching(instructions, by).where("op IN ('SPUT', 'IPUT') AND src_op = 'GET'")
     return rows.select(*by, F.col("src_ref").alias("source"), F.col("ref").alias("target")).distinct()
 
 
-# --- control flow -----------------------------------------------------------
-# A register's value at an instruction may come from several writes: the fixpoint is a loop of joins
-# over (method, instruction, register, write) rows, each new row once.
-
+# --- over all ways through a method -------------------------------------------
 
-def reaching_writes(instructions: DataFrame, edges: DataFrame, by: list[str], rounds: int = 10_000) -> DataFrame:
-    """(by, idx, register, write): the writes whose value a register may hold before an instruction.
 
-    instructions: (idx, writes), the register that it writes or null; edges: (idx, next) as of ``successors``.
-    """
-    steps = saved(edges.join(instructions.select(*by, "idx", "writes"), [*by, "idx"]).select(*by, "idx", "next", "writes"))
-    front = saved(steps.where("writes IS NOT NULL").select(*by, F.col("next").alias("idx"), F.col("writes").alias("register"), F.col("idx").alias("write")).distinct())
-    seen = front
-    for _ in range(rounds):
-        moved = front.join(steps, [*by, "idx"]).where("NOT (writes <=> register)").select(*by, F.col("next").alias("idx"), "register", "write").distinct()
-        front = saved(moved.join(seen, moved.columns, "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = seen.union(front)
-    raise RuntimeError("writes did not settle")
-
-
-def value_origins(instructions: DataFrame, edges: DataFrame, by: list[str], trail: int = 8, rounds: int = 64) -> DataFrame:
+def value_origins(instructions: DataFrame, edges: DataFrame, by: list[str], trail: int = 8) -> DataFrame:
     """(by, idx, register, origin, trail): for every read, the instructions that its value may come from.
 
-    instructions: (idx, op, opcode, reads, writes).  A MOVE or TRANSFORM is followed to what it reads, and the last ``trail``
-    opcodes of TRANSFORMs on the way are kept; a read that no write reaches gives nothing.
+    A MOVE or TRANSFORM is followed to what it reads; a read that no write reaches gives nothing.
     """
-    ops = instructions.select(*by, F.col("idx").alias("write"), F.col("op").alias("_op"), "opcode", "reads")
-    reach = saved(reaching_writes(instructions, edges, by))
-    wanted = instructions.where("reads IS NOT NULL").select(*by, "idx", F.explode("reads").alias("register"))
-    front = saved(wanted.join(reach, [*by, "idx", "register"]).select(*by, "idx", "register", F.col("write").alias("at"), F.array().cast("array<string>").alias("trail")))
-    seen, done = front.select(*by, "idx", "register", "at"), None
-    for _ in range(rounds):
-        here = front.join(ops.withColumnRenamed("write", "at"), [*by, "at"])
-        ends = here.where("_op NOT IN ('MOVE', 'TRANSFORM')").select(*by, "idx", "register", F.col("at").alias("origin"), "trail")
-        done = ends if done is None else done.union(ends)
-        longer = F.when(F.col("_op") == "TRANSFORM", F.slice(F.concat(F.array("opcode"), "trail"), 1, trail)).otherwise(F.col("trail"))
-        back = here.where("_op IN ('MOVE', 'TRANSFORM')").select(*by, "idx", "register", F.col("at").alias("_via"), F.explode("reads").alias("_reg"), longer.alias("trail"))
-        before = reach.select(*by, F.col("idx").alias("_via"), F.col("register").alias("_reg"), F.col("write").alias("at"))
-        nxt = back.join(before, [*by, "_via", "_reg"]).groupBy(*by, "idx", "register", "at").agg(F.min("trail").alias("trail"))
-        front = saved(nxt.join(seen, [*by, "idx", "register", "at"], "left_anti"))
-        if front.isEmpty():
-            return done.groupBy(*by, "idx", "register", "origin").agg(F.min("trail").alias("trail"))
-        seen = seen.union(front.select(seen.columns))
-    raise RuntimeError("origins did not settle")
+    return flow.value_flow(instructions, edges, by, trail).where("origin IS NOT NULL").select(*by, "idx", "register", "origin", "trail")
 
 
 def proven_returns(instructions: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """(by, field): the only field that all returns of a method give back, whichever way they are reached."""
-    origins = value_origins(instructions, edges, by)
-    ops = instructions.select(*by, F.col("idx").alias("origin"), F.col("op").alias("_from"), F.col("ref").alias("_ref"))
-    at = instructions.where("op = 'RETURN'").select(*by, "idx")
-    found = at.join(origins, [*by, "idx"], "left").join(ops, [*by, "origin"], "left")
-    out = found.groupBy(*by).agg(single_or_null(F.when(F.col("_from") == "GET", F.col("_ref"))).alias("field"), F.count_if(~F.coalesce((F.col("_from") == "GET") & (F.size("trail") == 0), F.lit(False))).alias("_other"))
+    found = flow.value_flow(instructions, edges, by).where("op = 'RETURN'")
+    plain = F.coalesce((F.col("from_op") == "GET") & (F.size("trail") == 0), F.lit(False))
+    out = found.groupBy(*by).agg(single_or_null(F.when(F.col("from_op") == "GET", F.col("from_ref"))).alias("field"), F.count_if(~plain).alias("_other"))
     return out.where("_other = 0 AND field IS NOT NULL").select(*by, "field")
 
 
 def stored_values(instructions: DataFrame, edges: DataFrame, by: list[str], origin_op: str) -> DataFrame:
     """(by, target, source, trail, certain): fields that store what came from an ``origin_op`` (INVOKE: a call's result,
     GET: another field), and whether it can come from nowhere else."""
-    origins = value_origins(instructions, edges, by)
-    ops = instructions.select(*by, F.col("idx").alias("origin"), F.col("op").alias("_from"), F.col("ref").alias("source"))
-    puts = instructions.where("op = 'PUT'").select(*by, "idx", F.col("ref").alias("target"))
-    found = puts.join(origins, [*by, "idx"]).join(ops, [*by, "origin"])
-    every = found.withColumn("certain", F.count("*").over(Window.partitionBy(*by, "idx")) == 1)
-    return every.where(F.col("_from") == origin_op).groupBy(*by, "target", "source").agg(F.min("trail").alias("trail"), F.max("certain").alias("certain"))
+    puts = flow.value_flow(instructions, edges, by).where((F.col("op") == "PUT") & (F.col("from_op") == origin_op))
+    return puts.groupBy(*by, F.col("ref").alias("target"), F.col("from_ref").alias("source")).agg(F.min("trail").alias("trail"), F.max(F.col("n_ways") == 1).alias("certain"))
+
+
+def constant_writes(instructions: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, field, value): the constant that a PUT stores, where it can store no other."""
+    puts = flow.value_flow(instructions, edges, by).where("op = 'PUT'")
+    out = puts.groupBy(*by, "idx", "ref").agg(single_or_null("from_literal").alias("value"), F.count_if(~F.coalesce(F.col("from_op") == "CONST", F.lit(False))).alias("_other"))
+    return out.where("_other = 0 AND value IS NOT NULL").select(*by, F.col("ref").alias("field"), "value").distinct()
 
 
 def registrations(instructions: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
@@ -232,14 +136,11 @@ def registrations(instructions: DataFrame, edges: DataFrame, by: list[str]) -> D
     A call's only string constant is the key and its only number the default; RESOLVED if the stored call and its key are the
     only ones possible, else AMBIGUOUS.
     """
-    origins = saved(value_origins(instructions, edges, by))
-    ops = instructions.select(*by, F.col("idx").alias("origin"), F.col("op").alias("_from"), F.col("literal").alias("_literal"))
-    given = instructions.where("op = 'INVOKE'").select(*by, F.col("idx").alias("idx")).join(origins, [*by, "idx"]).join(ops, [*by, "origin"])
-    calls = given.groupBy(*by, "idx").agg(
-        F.count_distinct(F.when(F.col("_from") == "STRING", F.col("_literal"))).alias("n_keys"), F.min(F.when(F.col("_from") == "STRING", F.col("_literal"))).alias("key"),
-        single_or_null(F.when(F.col("_from") == "NUMERIC", F.col("_literal"))).alias("value")).withColumnRenamed("idx", "origin")
-    puts = instructions.where("op = 'PUT'").select(*by, "idx", F.col("ref").alias("field"))
-    stored = puts.join(origins.select(*by, "idx", "origin"), [*by, "idx"]).withColumn("n_ways", F.count("*").over(Window.partitionBy(*by, "idx"))).join(calls, [*by, "origin"])
+    found = saved(flow.value_flow(instructions, edges, by).where("op IN ('INVOKE', 'PUT')"))
+    text = F.when(F.col("from_op") == "STRING", F.col("from_literal"))
+    calls = found.where("op = 'INVOKE'").groupBy(*by, F.col("idx").alias("origin")).agg(
+        F.count_distinct(text).alias("n_keys"), F.min(text).alias("key"), single_or_null(F.when(F.col("from_op") == "NUMERIC", F.col("from_literal"))).alias("value"))
+    stored = found.where("op = 'PUT'").select(*by, F.col("ref").alias("field"), "origin", "n_ways").join(calls, [*by, "origin"])
     out = stored.where("n_keys > 0").groupBy(*by, "field").agg(F.count_distinct("key").alias("_k"), F.max("n_keys").alias("_n"), F.max("n_ways").alias("_w"), F.min("key").alias("key"), single_or_null("value").alias("value"))
     sure = (F.col("_k") == 1) & (F.col("_n") == 1) & (F.col("_w") == 1)
     return out.select(*by, "field", F.when(sure, F.col("key")).alias("key"), F.when(sure, F.col("value")).alias("value"), F.when(sure, "RESOLVED").otherwise("AMBIGUOUS").alias("status"))
@@ -272,30 +173,26 @@ def referencing(methods: DataFrame, fields: DataFrame, by: list[str], lists: str
     return methods.select(*by, F.explode(lists).alias("field")).join(fields.select("field"), "field", "left_semi").select(*by).distinct()
 
 
-#: What becomes of a call's result: proven uses, strongest first, by the operation that reads it; then the rest, strongest first.
-USES = {"RETURN": "RETURNED", "IF": "BRANCHED", "PUT": "STORED_FIELD", "INVOKE": "FORWARDED_ARGUMENT", "APUT": "STORED_ARRAY_OR_COLLECTION", "TRANSFORM": "TRANSFORMED"}
-LOST = ("UNSUPPORTED_OPCODE", "CAPTURED_THEN_OVERWRITTEN", "CAPTURED_BUT_UNUSED", "RESULT_NOT_CAPTURED")
+@dataclass(frozen=True)
+class CallRules:
+    """Names for what becomes of a call's result.  uses: (operation, name), strongest first, RECEIVER for a call made on it;
+    the others in the order in which they are tested after ``dropped``."""
+
+    uses: tuple[tuple[str, str], ...]
+    dropped: str
+    shared: str
+    other: str
+    overwritten: str
+    unused: str
 
 
-def invoke_outcomes(instructions: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+def invoke_outcomes(instructions: DataFrame, edges: DataFrame, by: list[str], rules: CallRules) -> DataFrame:
     """(by, idx, outcome): what becomes of each call's result, over all ways through a method.
 
-    instructions: (idx, op, opcode, reads, writes, receiver); an INVOKE without ``writes`` drops its result.  Where a use may also see
-    another value, the origin is ambiguous, which outweighs all; else the strongest use counts.  A result that
-    calls only take as their ``receiver`` is USED_AS_RECEIVER, one that operations outside of ``USES`` read UNSUPPORTED_OPCODE.
+    Where a named use may also see another value, the origin is ambiguous, which outweighs all; else the strongest use
+    counts, then any use without a name.
     """
-    origins = saved(value_origins(instructions, edges, by))
-    ways = origins.withColumn("_n", F.count("*").over(Window.partitionBy(*by, "idx", "register")))
-    ops = instructions.select(*by, "idx", F.col("op").alias("_op"), "receiver")
-    uses = ways.join(ops, [*by, "idx"]).where("_op <> 'MOVE'")
-    named = first_match([((F.col("_op") == "INVOKE") & F.col("receiver").eqNullSafe(F.col("register")), "USED_AS_RECEIVER"), *[(F.col("_op") == op, name) for op, name in USES.items()]], LOST[0])
-    order = [*list(USES.values())[:4], "USED_AS_RECEIVER", *list(USES.values())[4:], *LOST]
-    use = F.when((F.col("_n") > 1) & (named != LOST[0]), "CFG_ORIGIN_AMBIGUOUS").otherwise(named)
-    best = uses.select(*by, F.col("origin").alias("idx"), use.alias("use")).groupBy(*by, "idx").agg(F.max(F.col("use") == "CFG_ORIGIN_AMBIGUOUS").alias("_open"), F.min(F.array_position(F.array(*map(F.lit, order)), F.col("use"))).alias("_place"))
-    writers = instructions.where("writes IS NOT NULL").select(*by, F.col("idx").alias("at"), "writes")
-    gone = reaching_writes(instructions, edges, by).withColumnRenamed("idx", "at").join(writers, [*by, "at"]).where("writes = register").select(*by, F.col("write").alias("idx")).distinct().withColumn("_gone", F.lit(True))
-    sites = instructions.where("op = 'INVOKE'").select(*by, "idx", "writes").join(best, [*by, "idx"], "left").join(gone, [*by, "idx"], "left")
-    outcome = first_match([
-        (F.col("writes").isNull(), LOST[3]), (F.col("_open"), "CFG_ORIGIN_AMBIGUOUS"), (F.col("_place") > 0, F.element_at(F.array(*map(F.lit, order)), F.coalesce(F.nullif("_place", F.lit(0)), F.lit(1)).cast("int"))), (F.col("_gone"), LOST[1]),
-    ], LOST[2])
-    return sites.select(*by, "idx", outcome.alias("outcome"))
+    known = F.array(*[F.lit(op) for op, _ in rules.uses])
+    tests = [(~F.col("captured"), rules.dropped), (F.arrays_overlap("shared", known), rules.shared), *[(F.array_contains("uses", op), name) for op, name in rules.uses]]
+    tests += [(F.size(F.array_except("uses", F.array(F.lit("MOVE")))) > 0, rules.other), (F.col("overwritten"), rules.overwritten)]
+    return flow.call_uses(instructions, edges, by).select(*by, "idx", first_match(tests, rules.unused).alias("outcome"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..operators import dataflow, graph, matching
+from ..operators import dataflow, flow, graph, matching
 from ..session import table
 from .registry import registry
 
@@ -145,13 +145,27 @@ def cfg_successors(spark, d):
     return dataflow.successors(lines.withColumns({"offset": F.col("idx"), "targets": F.array(F.lit(1))}), ["l_orderkey"])
 
 
-@query("SELECT p_partkey, 'f' AS field, p_name AS key, CAST(p_size AS VARCHAR) AS value FROM part")
+def _cells(rows: list[tuple], **kinds: str):
+    """An array of structs (idx, and a column for each of ``kinds``); a cell is a column or a plain value."""
+    cell = lambda v, t: (v if isinstance(v, Column) else F.lit(v)).cast(t)
+    return F.array(*[F.struct(F.lit(k).alias("idx"), *[cell(v, t).alias(c) for v, (c, t) in zip(row, kinds.items(), strict=True)]) for k, row in enumerate(rows)])
+
+
+@query("""SELECT p_partkey, 'f' || (p_size % 4) AS field, CASE WHEN p_size % 3 = 1 THEN p_brand ELSE p_name END AS key, CASE WHEN p_size % 3 = 1 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS value FROM part WHERE p_size % 3 < 2 OR p_type LIKE 'SMALL%'""")
 def registration_flow(spark, d):
-    one = table(spark, d, "part").select("p_partkey", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("idx"), F.lit(op).alias("op"), F.lit(t).alias("target"), F.lit(s).alias("source"), (F.array(*map(F.lit, r)) if r else F.lit(None).cast("array<int>")).alias("registers"), (v if v is not None else F.lit(None).cast("string")).alias("value"), F.lit(f).cast("string").alias("field"))
-        for k, (op, t, s, r, v, f) in enumerate([("STRING", 0, None, None, F.col("p_name"), None), ("NUMERIC", 1, None, None, F.col("p_size").cast("string"), None), ("INVOKE", None, None, (0, 1), None, None), ("MOVE_RESULT", 2, None, None, None, None), ("SPUT", None, 2, None, None, "f")])
-    ])).alias("x")).select("p_partkey", "x.*")
-    return dataflow.registration_flow(one, ["p_partkey"])
+    """Straight registrations: parts of size 1 modulo 3 give a key alone, those of size 2 lose the call's result unless they are small."""
+    size, none = F.col("p_size") % 3, F.lit(None)
+    lost = (size == 2) & ~F.col("p_type").startswith("SMALL")
+    one = _cells([
+        ("STRING", none, 0, F.when(size == 1, F.col("p_brand")).otherwise(F.col("p_name")), none),
+        (F.when(size == 1, "OTHER").otherwise("NUMERIC"), none, 1, F.col("p_size"), none),
+        ("INVOKE", F.array(F.lit(0), F.lit(1)), 2, none, none),
+        (F.when(lost, "OTHER").otherwise("MOVE"), F.when(~lost, F.array(F.lit(2))), 3, none, none),
+        ("PUT", F.array(F.lit(3)), none, none, F.concat(F.lit("f"), (F.col("p_size") % 4).cast("string"))),
+    ], op="string", reads="array<int>", writes="int", literal="string", ref="string")
+    code = table(spark, d, "part").select("p_partkey", F.explode(one).alias("x")).select("p_partkey", "x.*").withColumn("opcode", F.col("op"))
+    steps = code.where("idx < 4").select("p_partkey", "idx", (F.col("idx") + 1).alias("next"))
+    return dataflow.registrations(code, steps, ["p_partkey"]).drop("status")
 
 
 _OPS = "CASE l_linenumber % 4 WHEN 0 THEN 'CONST' WHEN 1 THEN 'GET' WHEN 2 THEN 'SPUT' ELSE 'RETURN' END"
@@ -194,6 +208,15 @@ def targeted_search(spark, d):
 
 # --- control flow with loops --------------------------------------------------
 
+#: The names of what becomes of a call's result, strongest use first.
+CALL_RULES = dataflow.CallRules(
+    uses=(
+        ("RETURN", "RETURNED"), ("IF", "BRANCHED"), ("PUT", "STORED_FIELD"), ("INVOKE", "FORWARDED_ARGUMENT"), ("RECEIVER", "USED_AS_RECEIVER"),
+        ("APUT", "STORED_ARRAY_OR_COLLECTION"), ("TRANSFORM", "TRANSFORMED"),
+    ),
+    dropped="RESULT_NOT_CAPTURED", shared="CFG_ORIGIN_AMBIGUOUS", other="UNSUPPORTED_OPCODE", overwritten="CAPTURED_THEN_OVERWRITTEN", unused="CAPTURED_BUT_UNUSED",
+)
+
 _PROG_SQL = """p0 AS (SELECT l_orderkey, l_linenumber AS idx, min(l_partkey) % 5 AS k, min(l_suppkey) % 2 AS x, min(l_suppkey) AS s, max(l_quantity) > 30 AS jump FROM lineitem GROUP BY 1, 2),
     p AS (SELECT l_orderkey, idx, ['GET', 'INVOKE', 'MOVE', 'PUT', 'RETURN'][k + 1] AS op, CASE WHEN k <= 2 THEN x END AS wr, CASE WHEN k = 2 THEN 1 - x WHEN k >= 3 THEN x END AS rd, 'f' || s AS ref, jump FROM p0),
     e AS (SELECT l_orderkey, idx, lead(idx) OVER (PARTITION BY l_orderkey ORDER BY idx) AS next FROM p UNION SELECT p.l_orderkey, p.idx, q.idx FROM p JOIN (SELECT l_orderkey, min(idx) AS idx FROM p GROUP BY 1) q USING (l_orderkey) WHERE jump),
@@ -217,7 +240,7 @@ def _program(spark, d):
 
 @query(f"WITH RECURSIVE {_PROG_SQL} SELECT * FROM r")
 def reaching_writes(spark, d):
-    return dataflow.reaching_writes(*_program(spark, d), ["l_orderkey"])
+    return flow.reaching_writes(*_program(spark, d), ["l_orderkey"])
 
 
 @query(f"WITH RECURSIVE {_PROG_SQL} SELECT DISTINCT l_orderkey, idx, source AS origin FROM f")
@@ -250,17 +273,119 @@ def proven_returns(spark, d):
     FROM p LEFT JOIN b ON b.l_orderkey = p.l_orderkey AND b.site = p.idx LEFT JOIN g ON g.l_orderkey = p.l_orderkey AND g.site = p.idx WHERE p.op = 'INVOKE'""")
 def invoke_outcomes(spark, d):
     code, steps = _program(spark, d)
-    return dataflow.invoke_outcomes(code.withColumn("receiver", F.lit(None).cast("long")), steps, ["l_orderkey"])
+    return dataflow.invoke_outcomes(code, steps, ["l_orderkey"], CALL_RULES)
+
+
+@query("""WITH RECURSIVE {prog}, x(l_orderkey, idx, src, way) AS (SELECT p.l_orderkey, p.idx, r.write, [r.write] FROM p JOIN r ON r.l_orderkey = p.l_orderkey AND r.idx = p.idx AND r.register = p.rd
+        UNION ALL SELECT x.l_orderkey, x.idx, r.write, list_append(way, r.write) FROM x JOIN p ON p.l_orderkey = x.l_orderkey AND p.idx = x.src AND p.op = 'MOVE' JOIN r ON r.l_orderkey = x.l_orderkey AND r.idx = x.src AND r.register = p.rd WHERE NOT list_contains(way, r.write)),
+    y AS (SELECT x.*, row_number() OVER (PARTITION BY x.l_orderkey, x.idx, x.src ORDER BY len(way), way) AS k FROM x JOIN p q ON q.l_orderkey = x.l_orderkey AND q.idx = x.src AND q.op <> 'MOVE')
+    SELECT l_orderkey, idx, src AS origin, array_to_string(list_transform(list_reverse(way[1:len(way) - 1]), lambda w: 'op' || w), '>') AS trail FROM y WHERE k = 1""".format(prog=_PROG_SQL))
+def transformation_trails(spark, d):
+    """Moves of the programs as transformations: which ones lie between a read and its origins."""
+    code, steps = _program(spark, d)
+    named = code.withColumns({"opcode": F.concat(F.lit("op"), F.col("idx").cast("string")), "op": F.when(F.col("op") == "MOVE", "TRANSFORM").otherwise(F.col("op"))})
+    return dataflow.value_origins(named, steps, ["l_orderkey"]).select("l_orderkey", "idx", "origin", F.array_join("trail", ">").alias("trail"))
+
+
+#: y decides x's running: x stands after each end of one of y's ways, not of all (w: places from which the end is reached without passing y).
+_CONTROL_SQL = """n AS (SELECT l_orderkey, max(idx) AS last FROM p GROUP BY 1),
+    w(l_orderkey, y, x) AS (SELECT p.l_orderkey, p.idx, n.last FROM p JOIN n USING (l_orderkey) WHERE p.idx <> n.last UNION SELECT w.l_orderkey, w.y, e.idx FROM w JOIN e ON e.l_orderkey = w.l_orderkey AND e.next = w.x WHERE e.idx <> w.y),
+    b AS (SELECT l_orderkey, idx FROM e WHERE next IS NOT NULL GROUP BY ALL HAVING count(DISTINCT next) > 1),
+    c AS (SELECT DISTINCT p.l_orderkey, p.idx, b.idx AS branch FROM p JOIN b USING (l_orderkey) JOIN e ON e.l_orderkey = b.l_orderkey AND e.idx = b.idx LEFT JOIN w w1 ON w1.l_orderkey = p.l_orderkey AND w1.y = p.idx AND w1.x = e.next
+        LEFT JOIN w w2 ON w2.l_orderkey = p.l_orderkey AND w2.y = p.idx AND w2.x = b.idx WHERE e.next IS NOT NULL AND w1.x IS NULL AND (p.idx = b.idx OR w2.x IS NOT NULL))"""
+
+
+@query(f"WITH RECURSIVE {_PROG_SQL}, {_CONTROL_SQL} SELECT * FROM c")
+def control_dependences(spark, d):
+    return flow.control_dependences(*_program(spark, d), ["l_orderkey"])
+
+
+_LATCH_SQL = """p0 AS (SELECT l_orderkey, l_linenumber AS idx, min(l_partkey) % 6 AS k, min(l_suppkey) % 2 AS x, min(l_suppkey) AS s, max(l_quantity) > 30 AS jump FROM lineitem GROUP BY 1, 2),
+    p AS (SELECT l_orderkey, idx, ['GET', 'CONST', 'IF', 'PUT', 'MOVE', 'IF'][k + 1] AS op, CASE WHEN k <= 1 OR k = 4 THEN x END AS wr, CASE WHEN k = 4 THEN 1 - x WHEN k IN (2, 3, 5) THEN x END AS rd, 'f' || s AS ref, jump FROM p0),
+    e AS (SELECT l_orderkey, idx, lead(idx) OVER v AS next FROM p WINDOW v AS (PARTITION BY l_orderkey ORDER BY idx) UNION SELECT l_orderkey, idx, t FROM (SELECT l_orderkey, idx, op, jump, CASE WHEN jump THEN min(idx) OVER (PARTITION BY l_orderkey) ELSE lead(idx, 2) OVER (PARTITION BY l_orderkey ORDER BY idx) END AS t FROM p) WHERE op = 'IF' AND t IS NOT NULL),
+    r(l_orderkey, idx, register, write) AS (SELECT e.l_orderkey, e.next, p.wr, p.idx FROM e JOIN p USING (l_orderkey, idx) WHERE e.next IS NOT NULL AND p.wr IS NOT NULL
+        UNION SELECT e.l_orderkey, e.next, r.register, r.write FROM r JOIN p ON p.l_orderkey = r.l_orderkey AND p.idx = r.idx AND p.wr IS DISTINCT FROM r.register JOIN e ON e.l_orderkey = r.l_orderkey AND e.idx = r.idx WHERE e.next IS NOT NULL),
+    o(l_orderkey, idx, src) AS (SELECT p.l_orderkey, p.idx, r.write FROM p JOIN r ON r.l_orderkey = p.l_orderkey AND r.idx = p.idx AND r.register = p.rd
+        UNION SELECT o.l_orderkey, o.idx, r.write FROM o JOIN p ON p.l_orderkey = o.l_orderkey AND p.idx = o.src AND p.op = 'MOVE' JOIN r ON r.l_orderkey = o.l_orderkey AND r.idx = o.src AND r.register = p.rd),
+    f AS (SELECT o.l_orderkey, o.idx, q.op AS src_op, q.ref AS source, q.idx AS src, p.op, p.ref AS target FROM o JOIN p USING (l_orderkey, idx) JOIN p q ON q.l_orderkey = o.l_orderkey AND q.idx = o.src)"""
+
+
+def _latches(spark, d):
+    """Orders as methods with branches: a jump forwards over the next instruction, or back to the start."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("idx")).agg((F.min("l_partkey") % 6).alias("k"), (F.min("l_suppkey") % 2).alias("x"), F.min("l_suppkey").alias("s"), (F.max("l_quantity") > 30).alias("jump"))
+    op = F.element_at(F.array(*map(F.lit, ("GET", "CONST", "IF", "PUT", "MOVE", "IF"))), (F.col("k") + 1).cast("int"))
+    k, x, whole = F.col("k"), F.col("x"), Window.partitionBy("l_orderkey")
+    ordered = whole.orderBy("idx")
+    code = lines.select("l_orderkey", "idx", op.alias("op"), op.alias("opcode"), F.when((k <= 1) | (k == 4), x).alias("writes"), F.when(k == 4, F.array(1 - x)).when(k.isin(2, 3, 5), F.array(x)).alias("reads"), F.concat(F.lit("f"), F.col("s").cast("string")).alias("ref"), F.col("s").cast("string").alias("literal"),
+        F.lead("idx").over(ordered).alias("_next"), F.when(F.col("jump"), F.min("idx").over(whole)).otherwise(F.lead("idx", 2).over(ordered)).alias("_to"))
+    ways = F.array_compact(F.array("_next", F.when(F.col("op") == "IF", F.col("_to"))))
+    return code.drop("_next", "_to"), code.select("l_orderkey", "idx", F.explode(F.array_distinct(ways)).alias("next"))
+
+
+@query(f"""WITH RECURSIVE {_LATCH_SQL}, {_CONTROL_SQL} SELECT DISTINCT l_orderkey, target, source, 'VALUE' AS how FROM f WHERE op = 'PUT' AND src_op = 'GET'
+    UNION SELECT f.l_orderkey, f.target, g.source, 'LATCH' FROM f JOIN c ON c.l_orderkey = f.l_orderkey AND c.idx IN (f.idx, f.src) JOIN f g ON g.l_orderkey = c.l_orderkey AND g.idx = c.branch AND g.op = 'IF' AND g.src_op = 'GET' WHERE f.op = 'PUT' AND f.src_op = 'CONST'""")
+def field_latches(spark, d):
+    """Fields that take another field's value, and fields that are given a constant under a branch on another field."""
+    return flow.field_lineage(*_latches(spark, d), ["l_orderkey"]).drop("trail")
+
+
+@query(f"""WITH RECURSIVE {_LATCH_SQL}, g AS (SELECT p.l_orderkey, p.idx, p.ref AS field, f.src_op, f.source FROM p LEFT JOIN f ON f.l_orderkey = p.l_orderkey AND f.idx = p.idx AND f.src_op <> 'MOVE' WHERE p.op = 'PUT')
+    SELECT DISTINCT l_orderkey, field, value FROM (SELECT l_orderkey, idx, field, min(substr(source, 2)) AS value FROM g GROUP BY ALL HAVING bool_and(coalesce(src_op = 'CONST', false)) AND count(DISTINCT source) = 1)""")
+def constant_writes(spark, d):
+    return dataflow.constant_writes(*_latches(spark, d), ["l_orderkey"])
+
+
+@query("""WITH RECURSIVE p AS (SELECT l_orderkey, l_linenumber AS idx, ['CALL', 'DROP', 'IF', 'APUT', 'TRANSFORM', 'ODD', 'PUT', 'RETURN', 'GET', 'ON'][min(l_partkey) % 10 + 1] AS op, min(l_suppkey) % 2 AS x FROM lineitem GROUP BY 1, 2),
+    q AS (SELECT *, CASE WHEN op IN ('CALL', 'TRANSFORM', 'GET') THEN x END AS wr, CASE WHEN op = 'TRANSFORM' THEN 1 - x WHEN op NOT IN ('CALL', 'GET') THEN x END AS rd FROM p),
+    e AS (SELECT l_orderkey, idx, lead(idx) OVER v AS next FROM q WINDOW v AS (PARTITION BY l_orderkey ORDER BY idx) UNION SELECT l_orderkey, idx, next FROM (SELECT l_orderkey, idx, op, lead(idx, 2) OVER (PARTITION BY l_orderkey ORDER BY idx) AS next FROM q) WHERE op = 'IF'),
+    r(l_orderkey, idx, register, write) AS (SELECT e.l_orderkey, e.next, q.wr, q.idx FROM e JOIN q USING (l_orderkey, idx) WHERE e.next IS NOT NULL AND q.wr IS NOT NULL
+        UNION SELECT e.l_orderkey, e.next, r.register, r.write FROM r JOIN q ON q.l_orderkey = r.l_orderkey AND q.idx = r.idx AND q.wr IS DISTINCT FROM r.register JOIN e ON e.l_orderkey = r.l_orderkey AND e.idx = r.idx WHERE e.next IS NOT NULL),
+    o(l_orderkey, idx, src) AS (SELECT q.l_orderkey, q.idx, r.write FROM q JOIN r ON r.l_orderkey = q.l_orderkey AND r.idx = q.idx AND r.register = q.rd
+        UNION SELECT o.l_orderkey, o.idx, r.write FROM o JOIN q ON q.l_orderkey = o.l_orderkey AND q.idx = o.src AND q.op = 'TRANSFORM' JOIN r ON r.l_orderkey = o.l_orderkey AND r.idx = o.src AND r.register = q.rd),
+    u AS (SELECT o.l_orderkey, o.src, q.op, count(*) OVER (PARTITION BY o.l_orderkey, o.idx) AS n FROM o JOIN q USING (l_orderkey, idx) JOIN q z ON z.l_orderkey = o.l_orderkey AND z.idx = o.src WHERE z.op <> 'TRANSFORM'),
+    s AS (SELECT l_orderkey, src AS idx, bool_or(n > 1 AND op <> 'ODD') AS shared, list(op) AS ops FROM u GROUP BY ALL),
+    g AS (SELECT DISTINCT r.l_orderkey, r.write AS idx, true AS gone FROM r JOIN q ON q.l_orderkey = r.l_orderkey AND q.idx = r.idx AND q.wr = r.register)
+    SELECT q.l_orderkey, q.idx, CASE WHEN q.wr IS NULL THEN 'RESULT_NOT_CAPTURED' WHEN shared THEN 'CFG_ORIGIN_AMBIGUOUS' WHEN list_contains(ops, 'RETURN') THEN 'RETURNED' WHEN list_contains(ops, 'IF') THEN 'BRANCHED' WHEN list_contains(ops, 'PUT') THEN 'STORED_FIELD' WHEN list_contains(ops, 'DROP') THEN 'FORWARDED_ARGUMENT'
+        WHEN list_contains(ops, 'ON') THEN 'USED_AS_RECEIVER' WHEN list_contains(ops, 'APUT') THEN 'STORED_ARRAY_OR_COLLECTION' WHEN list_contains(ops, 'TRANSFORM') THEN 'TRANSFORMED' WHEN ops IS NOT NULL THEN 'UNSUPPORTED_OPCODE' WHEN gone THEN 'CAPTURED_THEN_OVERWRITTEN' ELSE 'CAPTURED_BUT_UNUSED' END AS outcome
+    FROM q LEFT JOIN s USING (l_orderkey, idx) LEFT JOIN g USING (l_orderkey, idx) WHERE q.op IN ('CALL', 'DROP', 'ON')""")
+def call_outcomes(spark, d):
+    """Every outcome of a call's result, over programs of ten operations in which an IF may pass over the next instruction."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("idx")).agg((F.min("l_partkey") % 10).alias("k"), (F.min("l_suppkey") % 2).alias("x"))
+    kind = F.element_at(F.array(*map(F.lit, ("CALL", "DROP", "IF", "APUT", "TRANSFORM", "ODD", "PUT", "RETURN", "GET", "ON"))), (F.col("k") + 1).cast("int"))
+    lines, x = lines.withColumn("kind", kind), F.col("x")
+    is_ = F.col("kind").isin
+    code = lines.select("l_orderkey", "idx", F.when(is_("CALL", "DROP", "ON"), "INVOKE").otherwise(F.col("kind")).alias("op"), F.col("kind").alias("opcode"), F.when(is_("CALL", "TRANSFORM", "GET"), x).alias("writes"), F.when(is_("TRANSFORM"), F.array(1 - x)).when(~is_("CALL", "GET"), F.array(x)).alias("reads"), F.when(is_("ON"), x).alias("receiver"))
+    ordered = Window.partitionBy("l_orderkey").orderBy("idx")
+    ahead = lines.withColumn("ways", F.array_compact(F.array(F.lead("idx").over(ordered), F.when(is_("IF"), F.lead("idx", 2).over(ordered)))))
+    ways = ahead.select("l_orderkey", "idx", F.explode("ways").alias("next"))
+    return dataflow.invoke_outcomes(code, ways, ["l_orderkey"], CALL_RULES)
+
+
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber AS idx, ['KEY', 'CONST', 'INVOKE', 'OTHER'][min(l_partkey) % 4 + 1] AS op, CAST(min(l_suppkey) AS VARCHAR) AS literal FROM lineitem GROUP BY 1, 2),
+    c AS (SELECT k.l_orderkey, k.idx, c.literal, row_number() OVER (PARTITION BY k.l_orderkey, k.idx ORDER BY c.idx < k.idx, abs(c.idx - k.idx)) AS n FROM i k JOIN i c ON c.l_orderkey = k.l_orderkey AND c.op = 'CONST' AND c.idx BETWEEN k.idx - 3 AND k.idx + 5 WHERE k.op = 'KEY'
+        AND NOT EXISTS (SELECT 1 FROM i s WHERE s.l_orderkey = k.l_orderkey AND s.op = 'INVOKE' AND s.idx > k.idx AND s.idx <= k.idx + 5 AND s.idx <= c.idx))
+    SELECT l_orderkey, idx, literal FROM c WHERE n = 1""")
+def nearby_literal(spark, d):
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("idx")).agg((F.min("l_partkey") % 4).alias("k"), F.min("l_suppkey").cast("string").alias("literal"))
+    op = F.element_at(F.array(*map(F.lit, ("KEY", "CONST", "INVOKE", "OTHER"))), (F.col("k") + 1).cast("int"))
+    return dataflow.nearby_literal(lines.select("l_orderkey", "idx", op.alias("op"), "literal"), ["l_orderkey"], 3, 5)
+
+
+@query("""SELECT l_orderkey, count(*) AS n_instructions, coalesce(string_agg(DISTINCT 'f' || l_partkey, ',' ORDER BY 'f' || l_partkey) FILTER (l_returnflag = 'N'), '') AS fields, coalesce(string_agg(DISTINCT 'm' || l_suppkey, ',' ORDER BY 'm' || l_suppkey) FILTER (l_returnflag = 'A'), '') AS calls FROM lineitem GROUP BY 1""")
+def method_references(spark, d):
+    kind = F.when(F.col("l_returnflag") == "N", "field").when(F.col("l_returnflag") == "A", "method").otherwise("none")
+    ref = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("f"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("m"), F.col("l_suppkey").cast("string")))
+    ops = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("idx"), F.col("l_linestatus").alias("opcode"), kind.alias("ref_kind"), ref.alias("ref"))
+    return dataflow.method_fingerprint(ops, ["l_orderkey"]).select("l_orderkey", "n_instructions", F.array_join("fields", ",").alias("fields"), F.array_join("calls", ",").alias("calls"))
 
 
 @query("SELECT p_partkey, 'f' AS field, CASE WHEN p_size % 2 = 0 THEN 'other' END AS key, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS value, CASE WHEN p_size % 2 = 0 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status FROM part")
 def cfg_registration(spark, d):
     """A key is overwritten on one way through a method; parts of odd size have another way around that."""
     none = F.lit(None)
-    rows = [("STRING", none, 0, F.col("p_name"), none), ("NUMERIC", none, 1, F.col("p_size").cast("string"), none), ("IF", none, none, none, none), ("STRING", none, 0, F.lit("other"), none), ("INVOKE", F.array(F.lit(0), F.lit(1)), 2, none, none), ("PUT", F.array(F.lit(2)), none, none, F.lit("f"))]
-    cell = lambda v, t: (v if isinstance(v, type(none)) else F.lit(v)).cast(t)
-    body = F.explode(F.array(*[F.struct(F.lit(k).alias("idx"), F.lit(op).alias("op"), F.lit(op).alias("opcode"), cell(r, "array<int>").alias("reads"), cell(w, "int").alias("writes"), cell(x, "string").alias("literal"), cell(f, "string").alias("ref")) for k, (op, r, w, x, f) in enumerate(rows)])).alias("i")
-    code = table(spark, d, "part").select("p_partkey", "p_size", body).select("p_partkey", "p_size", "i.*")
+    rows = [("STRING", none, 0, F.col("p_name"), none), ("NUMERIC", none, 1, F.col("p_size"), none), ("IF", none, none, none, none), ("STRING", none, 0, F.lit("other"), none), ("INVOKE", F.array(F.lit(0), F.lit(1)), 2, none, none), ("PUT", F.array(F.lit(2)), none, none, F.lit("f"))]
+    body = _cells(rows, op="string", reads="array<int>", writes="int", literal="string", ref="string")
+    code = table(spark, d, "part").select("p_partkey", "p_size", F.explode(body).alias("i")).select("p_partkey", "p_size", "i.*").withColumn("opcode", F.col("op"))
     steps = code.where("idx < 5").select("p_partkey", "idx", (F.col("idx") + 1).alias("next")).union(code.where("idx = 2 AND p_size % 2 = 1").select("p_partkey", "idx", F.lit(4)))
     return dataflow.registrations(code, steps, ["p_partkey"])
 
@@ -283,12 +408,12 @@ def returned_constant(spark, d):
 
 
 @query(f"""WITH {_GETTERS_SQL}, x AS (SELECT *, lag(q) OVER w AS q1, lag(q, 2) OVER w AS q2, lag(p, 2) OVER w AS p2 FROM i WINDOW w AS (PARTITION BY l_orderkey ORDER BY idx))
-    SELECT l_orderkey, idx, CAST(p2 AS VARCHAR) AS invoked FROM x WHERE q > 20 AND q1 > 10 AND q1 <= 20 AND q2 <= 10""")
+    SELECT l_orderkey, idx, CAST(p2 AS VARCHAR) AS invoked, CASE p % 3 WHEN 0 THEN 'TRUE_FALLS_THROUGH' WHEN 1 THEN 'FALSE_FALLS_THROUGH' ELSE 'OTHER' END AS polarity FROM x WHERE q > 20 AND q1 > 10 AND q1 <= 20 AND q2 <= 10""")
 def branch_decisions(spark, d):
     lines = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("idx")).agg(F.max("l_quantity").alias("q"), F.max("l_partkey").alias("p"))
     op = F.when(F.col("q") > 20, "IF").when(F.col("q") > 10, "MOVE_RESULT").otherwise("INVOKE")
-    code = lines.select("l_orderkey", "idx", op.alias("op"), F.lit("if-eqz").alias("opcode"), F.lit(0).alias("register"), F.col("p").cast("string").alias("ref"))
-    return dataflow.branch_decisions(code, ["l_orderkey"]).select("l_orderkey", "idx", "invoked")
+    code = lines.select("l_orderkey", "idx", op.alias("op"), F.element_at(F.array(*map(F.lit, ("if-eqz", "if-nez", "if-ltz"))), (F.col("p") % 3 + 1).cast("int")).alias("opcode"), F.lit(0).alias("register"), F.col("p").cast("string").alias("ref"))
+    return dataflow.branch_decisions(code, ["l_orderkey"]).select("l_orderkey", "idx", "invoked", "polarity")
 
 
 @query("SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 45 GROUP BY 1")

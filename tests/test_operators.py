@@ -145,17 +145,18 @@ def test_dataflow(spark):
     ]
     df = spark.createDataFrame(rows, schema)
     assert [tuple(r) for r in dataflow.branch_decisions(df, ["m"]).collect()] == [(1, 2, "A->b()Z", "if-eqz", "TRUE_FALLS_THROUGH")]
-    assert {r["ref"]: r["outcome"] for r in dataflow.call_outcomes(df, ["m"]).collect()} == {"A->b()Z": "BRANCH", "A->c()Z": "UNUSED"}
     assert {r["m"]: r["value"] for r in dataflow.returned_constant(df, ["m"]).collect()} == {1: "7", 2: "1"}
     assert [tuple(r) for r in dataflow.nearby_literal(df, ["m"]).collect()] == [(3, 1, "5")]
 
 
 def test_registration_clobbered(spark):
-    schema = "m int, idx int, op string, target int, source int, registers array<int>, value string, field string"
-    make = lambda m, *ops: [(m, k, *op) for k, op in enumerate(ops)]
-    good = [("STRING", 0, None, None, "key", None), ("NUMERIC", 1, None, None, "3", None), ("MOVE", 2, 0, None, None, None), ("INVOKE", None, None, [2, 1], None, None), ("MOVE_RESULT", 3, None, None, None, None)]
-    rows = make(1, *good, ("SPUT", None, 3, None, None, "f")) + make(2, *good, ("CLOBBER", 3, None, None, None, None), ("SPUT", None, 3, None, None, "g")) + make(3, ("STRING", 0, None, None, "key", None), ("SPUT", None, 0, None, None, "h"))
-    assert [tuple(r) for r in dataflow.registration_flow(spark.createDataFrame(rows, schema), ["m"]).collect()] == [(1, "f", "key", "3")]
+    schema = "m int, idx int, op string, opcode string, reads array<int>, writes int, literal string, ref string"
+    make = lambda m, *ops: [(m, k, op[0], *op) for k, op in enumerate(ops)]
+    good = [("STRING", None, 0, "key", None), ("NUMERIC", None, 1, "3", None), ("MOVE", [0], 2, None, None), ("INVOKE", [2, 1], 3, None, None)]
+    rows = make(1, *good, ("PUT", [3], None, None, "f")) + make(2, *good, ("OTHER", None, 3, None, None), ("PUT", [3], None, None, "g")) + make(3, ("STRING", None, 0, "key", None), ("PUT", [0], None, None, "h"))
+    code = spark.createDataFrame([(m, k, op, opcode, *rest) for m, k, opcode, op, *rest in rows], schema)
+    steps = code.selectExpr("m", "idx", "idx + 1 AS next")
+    assert [tuple(r) for r in dataflow.registrations(code, steps, ["m"]).collect()] == [(1, "f", "key", "3", "RESOLVED")]
 
 
 EVENTS = "p string, seq long, ts_ms long, event string, enabled boolean, eligible boolean, session int, live_enabled boolean"
@@ -433,13 +434,15 @@ def test_control_flow(spark):
 
 
 def test_invoke_outcomes(spark):
+    from ledgerwing.plans.graph_queries import CALL_RULES
+
     schema = "m int, idx int, op string, opcode string, reads array<int>, writes int, ref string, literal string, receiver int"
     cases = [("IF", None, "BRANCHED"), ("APUT", None, "STORED_ARRAY_OR_COLLECTION"), ("INVOKE", 0, "USED_AS_RECEIVER"), ("INVOKE", None, "FORWARDED_ARGUMENT"), ("ODD", None, "UNSUPPORTED_OPCODE"), ("TRANSFORM", None, "TRANSFORMED")]
     rows = [r for m, (op, receiver, _) in enumerate(cases) for r in ((m, 0, "INVOKE", "i", None, 0, None, None, None), (m, 1, op, "o", [0], 1 if op == "TRANSFORM" else None, None, None, receiver))]
     rows += [(50, 0, "INVOKE", "i", None, None, None, None, None), (50, 1, "RETURN", "r", None, None, None, None, None), (51, 0, "INVOKE", "i", None, 0, None, None, None), (51, 1, "GET", "g", None, 0, None, None, None), (52, 0, "INVOKE", "i", None, 0, None, None, None), (52, 1, "NOP", "n", None, None, None, None, None)]
     code = spark.createDataFrame(rows, schema)
     edges = code.where("idx = 0").selectExpr("m", "idx", "1 AS next")
-    got = {(r["m"], r["idx"]): r["outcome"] for r in dataflow.invoke_outcomes(code, edges, ["m"]).collect()}
+    got = {(r["m"], r["idx"]): r["outcome"] for r in dataflow.invoke_outcomes(code, edges, ["m"], CALL_RULES).collect()}
     assert all(got[m, 0] == want for m, (_, _, want) in enumerate(cases)), got
     assert got[50, 0] == "RESULT_NOT_CAPTURED" and got[51, 0] == "CAPTURED_THEN_OVERWRITTEN" and got[52, 0] == "CAPTURED_BUT_UNUSED"
 
