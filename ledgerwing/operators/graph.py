@@ -62,6 +62,46 @@ def budgeted_search(starts: DataFrame, edges: DataFrame, budget: int, max_depth:
     return seen.withColumn("exhausted", full)
 
 
+def numbered(roots: DataFrame) -> DataFrame:
+    """(root, word, bit) of distinct roots: 64 neighbours in order share a word.  Saved, so a retried task numbers nothing anew."""
+    rows = roots.select("root").distinct().repartitionByRange("root").sortWithinPartitions("root").select("root", F.monotonically_increasing_id().alias("_n"))
+    return saved(rows.select("root", F.shiftright("_n", 6).alias("word"), (F.col("_n") % 64).cast("int").alias("bit")))
+
+
+def reach(starts: DataFrame, edges: DataFrame, budget: int, max_depth: int) -> DataFrame:
+    """(root, node, depth, exhausted): what ``budgeted_search`` schedules, for many roots at once, without places.
+
+    starts: (root, node); edges: (src, dst, ordinal).  64 roots travel as one word of bits: a level is a join of (node, word, bits) rows with the
+    edges, an OR by node and word, and the bits not seen before.  New nodes are counted by root; a root that exceeds its budget
+    leaves, and only those roots are searched in order, one row for each root and node, to tell which nodes come first.
+    """
+    numbers = numbered(starts)
+    bit = F.expr("shiftleft(1L, bit)")
+    front = saved(starts.distinct().join(numbers, "root").groupBy("node", "word").agg(F.bit_or(bit).alias("bits")).withColumn("depth", F.lit(0)))
+    seen, counts = front, saved(_per_root(front, numbers).withColumnRenamed("n", "used"))
+    ways = edges.select("src", "dst").distinct()
+    for depth in range(1, max_depth + 1):
+        alive = counts.join(numbers, ["word", "bit"]).where(F.col("used") < budget).groupBy("word").agg(F.bit_or(bit).alias("alive"))
+        step = front.join(alive, "word").withColumn("bits", F.expr("bits & alive")).where("bits <> 0").join(ways, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        before = seen.groupBy("node", "word").agg(F.bit_or("bits").alias("_seen"))
+        front = saved(step.join(before, ["node", "word"], "left").select("node", "word", F.expr("bits & ~coalesce(_seen, 0L)").alias("bits"), F.lit(depth).alias("depth")).where("bits <> 0"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+        counts = saved(counts.unionByName(_per_root(front, numbers).withColumnRenamed("n", "used")).groupBy("word", "bit").agg(F.sum("used").alias("used")))
+    sizes = counts.join(numbers, ["word", "bit"]).select("root", "word", "bit", "used")
+    over = saved(sizes.where(F.col("used") > budget).select("root"))
+    whole = sizes.where(F.col("used") <= budget).join(seen, "word").where(F.expr("bits & shiftleft(1L, bit)") != 0).select("root", "node", "depth", (F.col("used") >= budget).alias("exhausted"))
+    cut = budgeted_search(starts.join(over, "root", "left_semi"), edges, budget, max_depth).select("root", "node", "depth", "exhausted")
+    return whole.unionByName(cut)
+
+
+def _per_root(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(word, bit, n): in how many rows each root's bit is set, added up 64 bits a word before the shuffle."""
+    sums = rows.groupBy("word").agg(*[F.sum(F.expr(f"shiftrightunsigned(bits, {k}) & 1L")).alias(f"b{k}") for k in range(64)])
+    return sums.select("word", F.posexplode(F.array(*[f"b{k}" for k in range(64)])).alias("bit", "n")).where("n > 0")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node that edges (a, b) reach.
 
@@ -115,17 +155,6 @@ def link_kind(depth: Column, path: Column) -> Column:
     return first_match([(F.exists(path, lambda p: p.contains("#dispatch")), "DISPATCHED"), (depth <= 1, "DIRECT")], "CHAINED")
 
 
-#: What a directed search comes to, in the order in which it is tested.
-OUTCOMES = ("SEMANTIC_CORRIDOR_EXHAUSTED", "MULTIPLE_SEMANTIC_ENDPOINTS", "SEMANTIC_ENDPOINT_FOUND", "FALLBACK_BUDGET_EXHAUSTED", "VALUE_FLOW_NOT_PROVEN", "SHARED_INFRASTRUCTURE_FANOUT", "ONLY_TECHNICAL_CONSUMERS", "NO_CONSUMER_FOUND", "GENERIC_RUNTIME_PATH_ONLY")
-
-
-def resolution_reason(exhausted: Column, n_endpoint_kinds: Column, fallback_exhausted: Column, n_unproven: Column, n_runtime: Column, n_fanout: Column, n_technical: Column, n_consumers: Column) -> Column:
-    """The outcome of a search: a used-up budget tells nothing, then kinds of endpoints found, then what stood in the way."""
-    none = n_runtime == 0
-    tests = [exhausted, n_endpoint_kinds > 1, n_endpoint_kinds == 1, fallback_exhausted, (n_unproven > 0) & none, n_fanout > 0, none & (n_technical > 0), n_consumers == 0]
-    return first_match(zip(tests, OUTCOMES, strict=False), OUTCOMES[-1])
-
-
 def dependencies(reached: DataFrame, nodes: DataFrame, roles: dict[str, Column], root: str = "root") -> DataFrame:
     """(root, one sorted array a role, status): names of reached nodes by role; a search that used up
     its budget is SUSPENDED and names nothing.

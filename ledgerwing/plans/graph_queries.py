@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..operators import dataflow, flow, graph, matching
+from ..operators import dataflow, flow, graph, matching, resolve
 from ..session import table
 from .registry import registry
 
 query, QUERIES, ORACLE_SQL = registry()
 
 
+#: What a directed search comes to, the first that holds, and its budgets.
+OUTCOMES = (
+    (lambda x: x["exhausted"], "SEMANTIC_CORRIDOR_EXHAUSTED"), (lambda x: x["kinds"] > 1, "MULTIPLE_SEMANTIC_ENDPOINTS"), (lambda x: x["kinds"] == 1, "SEMANTIC_ENDPOINT_FOUND"),
+    (lambda x: x["fallback_exhausted"], "FALLBACK_BUDGET_EXHAUSTED"), (lambda x: (x["unproven"] > 0) & (x["runtime"] == 0), "VALUE_FLOW_NOT_PROVEN"), (lambda x: x["pruned"] > 0, "SHARED_INFRASTRUCTURE_FANOUT"),
+    (lambda x: (x["runtime"] == 0) & (x["technical"] > 0), "ONLY_TECHNICAL_CONSUMERS"), (lambda x: x["consumers"] == 0, "NO_CONSUMER_FOUND"),
+)
+BUDGETS = resolve.Budgets(nodes=256, corridor=384, fallback=96, wrapper=24, generic=32, technical=8, retained=12, depth=6, reach=24)
+
+
+def search_outcome(**facts):
+    return resolve.outcome(OUTCOMES, "GENERIC_RUNTIME_PATH_ONLY", **facts)
+
+
 def _all_edges(spark, d):
     """Every supplier and part that any line item joins, in both directions: part p is -1 - p, as keys start at 0."""
     edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst")).distinct()
@@ -74,7 +87,8 @@ def caller_paths(spark, d):
 def resolution_reason(spark, d):
     c = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_returnflag").alias("f"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_linestatus") == "O").alias("o"))
     n, f, r, o = (F.col(x) for x in "nfro")
-    reason = graph.resolution_reason(n > 6, f - 1, n == 6, r, o, F.when(n == 3, 1).otherwise(0), F.when(n == 2, 1).otherwise(0), o)
+    one = lambda x: F.when(x, 1).otherwise(0)
+    reason = search_outcome(exhausted=n > 6, kinds=f - 1, fallback_exhausted=n == 6, unproven=r, runtime=o, pruned=one(n == 3), technical=one(n == 2), consumers=o)
     return c.select("l_orderkey", reason.alias("reason"))
 
 
@@ -85,6 +99,33 @@ def budgeted_bfs(spark, d):
     return graph.budgeted_search(starts, both, 64, 3)
 
 
+@query(f"""WITH RECURSIVE {_EDGES}, w(root, node, depth) AS (SELECT DISTINCT src, src, 0 FROM b UNION SELECT root, b.dst, depth + 1 FROM w JOIN b ON b.src = w.node WHERE depth < 2),
+    m AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY ALL) SELECT root, count(*) AS n_nodes, sum(depth)::BIGINT AS steps, sum(node)::BIGINT AS nodes FROM m GROUP BY root""")
+def reach_of_all(spark, d):
+    """From every supplier and part, all that lies within two steps; 64 roots to a word."""
+    edges = _all_edges(spark, d)
+    found = graph.reach(edges.select(F.col("src").alias("root"), F.col("src").alias("node")).distinct(), edges.withColumn("ordinal", F.col("dst")), 1_000_000, 2)
+    return found.groupBy("root").agg(F.count("*").alias("n_nodes"), F.sum("depth").alias("steps"), F.sum("node").alias("nodes"))
+
+
+def _resolve_inputs(spark, d):
+    """Parts are read by suppliers and by each other through shared suppliers; an edge is proven where some line was returned."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s"), (-1 - F.col("l_partkey")).alias("p")).agg(F.max(F.col("l_returnflag") != "N").alias("proven"), F.min("l_orderkey").alias("ordinal"))
+    edges = lines.select(F.col("p").alias("src"), F.col("s").alias("dst"), "ordinal", "proven").union(lines.where("ordinal % 3 = 0").select("s", "p", "ordinal", "proven"))
+    part, size = table(spark, d, "part"), F.col("p_size")
+    kinds = part.select((-1 - F.col("p_partkey")).alias("node"), F.col("p_brand").alias("category"), F.when(size > 48, "endpoint").when(size < 5, "wrapper").when(size < 8, "technical").otherwise("generic").alias("group"))
+    supp = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.lit("S").alias("category"), F.when(F.col("s_acctbal") < 0, "technical").when(F.col("s_acctbal") < 3000, "wrapper").otherwise("generic").alias("group"))
+    starts = part.select((-1 - F.col("p_partkey")).alias("root"), (-1 - F.col("p_partkey")).alias("node"))
+    return starts, edges, kinds.union(supp)
+
+
+@query()
+def directed_resolve(spark, d):
+    """Every part's consumers, from distances over cut edges and the search to the outcome."""
+    got = resolve.resolve(*_resolve_inputs(spark, d), BUDGETS, search_outcome)
+    return got.select("root", F.array_join("consumers", ",").alias("consumers"), F.array_join("endpoint_kinds", ",").alias("endpoint_kinds"), "scheduled", "corridor", "fallback", "status", "reason")
+
+
 @query("SELECT o_custkey AS node, o_custkey AS root FROM orders GROUP BY 1 UNION ALL SELECT 1000000000 + o_orderkey, o_custkey FROM orders")
 def components(spark, d):
     return graph.components(table(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1_000_000_000).alias("b")))
