@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..operators import dataflow, flow, graph, matching, resolve
+from ..operators import dataflow, flow, graph, matching, resolve, sketches
 from ..session import table
 from .registry import registry
 
@@ -171,6 +171,22 @@ def subgraph_score(spark, d):
     return matching.layer_scores(layers, layers)
 
 
+def _versions(spark, d):
+    """Two versions of the graph of suppliers and parts: all lines, and those without their orders' sixth and seventh."""
+    nodes = table(spark, d, "part").select((-1 - F.col("p_partkey")).alias("node"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("token"))
+    nodes = nodes.union(table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))))
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"), "l_linenumber")
+    return nodes, lines.drop("l_linenumber"), lines.where("l_linenumber < 6").drop("l_linenumber")
+
+
+@query()
+def neighbourhood_match(spark, d):
+    """Parts and suppliers of the second version by the sketched neighbourhoods of the first: classes that score 60 of 105 or more."""
+    nodes, old, new = _versions(spark, d)
+    sides = [sketches.members(sketches.ball_sketches(nodes, edges)) for edges in (old, new)]
+    return sketches.class_scores(*sides, (45, 35, 25), 60)
+
+
 @query("""SELECT l_orderkey, count(*) AS n_instructions, sha256(string_agg(l_returnflag || l_linestatus, ',' ORDER BY l_linenumber, l_returnflag || l_linestatus)) AS opcode_sha FROM lineitem GROUP BY l_orderkey""")
 def method_fingerprint(spark, d):
     ops = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("idx"), F.concat("l_returnflag", "l_linestatus").alias("opcode"), F.lit("none").alias("ref_kind"), F.lit("").alias("ref"))

@@ -340,14 +340,40 @@ def test_once_and_dense(spark):
     assert {r["v"]: r["dense_id"] for r in ranking.dense_ids(df, ["k"], "v", "o").collect()} == {"b": 0, "a": 1}
 
 
-def test_assign_reports_large_components(spark):
-    rows = [("big", a, b, 70) for a in range(13) for b in range(100, 113)] + [("fit", 20 + k, 200 + k, 90) for k in range(12)] + [("two", 50, 300, 90), ("two", 51, 300, 70)]
+def test_assign_solves_large_components(spark):
+    rows = [("ties", a, b, 70) for a in range(13) for b in range(100, 113)] + [("fit", 20 + k, 200 + k, 90) for k in range(12)] + [("two", 50, 300, 90), ("two", 51, 300, 70)]
+    rows += [("long", 1000 + k, 5000 + k + j, 90 - 30 * j) for k in range(3000) for j in (0, 1)]
     got = matching.assign(spark.createDataFrame(rows, "component string, l_node long, r_node long, score int")).collect()
     by = {r["l_node"]: r for r in got}
-    assert len(got) == len(by) == 13 + 12 + 2
-    assert all(by[a]["ambiguous"] and by[a]["r_node"] is None and not by[a]["accepted"] for a in range(13))
+    assert len(got) == len(by) == 13 + 12 + 2 + 3000
+    assert all(by[a]["ambiguous"] and by[a]["score"] == 70 for a in range(13)) and len({by[a]["r_node"] for a in range(13)}) == 13
     assert all(by[20 + k]["accepted"] and by[20 + k]["r_node"] == 200 + k for k in range(12))
     assert by[50]["accepted"] and by[51]["ambiguous"] and by[51]["r_node"] is None
+    assert all(by[1000 + k]["accepted"] and by[1000 + k]["r_node"] == 5000 + k for k in range(3000))
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_assignment_by_brute_force(whole):
+    """Totals and margins against all assignments, with and without everyone having a place."""
+    import itertools
+    import random
+
+    from ledgerwing.operators.assignment import Assignment
+
+    rng = random.Random(11)
+    for _ in range(400):
+        n, m = (k := rng.randint(1, 5), k) if whole else (rng.randint(1, 5), rng.randint(1, 5))
+        weight = {(a, b): rng.randint(0, rng.choice([3, 9, 40])) for a in range(n) for b in range(m) if whole or rng.random() < 0.7}
+        lift = 10_000 if whole else 0
+        best = Assignment(n, m, [(a, b, w + lift) for (a, b), w in weight.items()])
+
+        def total(barred=None):
+            return max((sum(weight[a, b] for a, b in enumerate(p) if b is not None) for p in itertools.product(*[[b for b in [*range(m), *([] if whole else [None])] if b is None or (a, b) in weight and (a, b) != barred] for a in range(n)])  # noqa: B023
+                        if len({b for b in p if b is not None}) == sum(b is not None for b in p)), default=float("-inf"))
+
+        assert sum(weight[p] for p in best.pairs()) == total()
+        for p, cost in best.margins(15).items():
+            assert cost == min(15, total() - total(p))
 
 
 def test_global_assignment_takes_all_parts(spark):
