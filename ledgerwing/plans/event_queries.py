@@ -60,7 +60,22 @@ _GATE_SQL = """g AS (SELECT user_id, event_id AS seq, epoch_us(ts) // 100000000
 
 @query(f"WITH {_GATE_SQL} SELECT user_id, seq, ts_ms, CAST(sid AS INT) AS session, CASE WHEN spent AND raw NOT IN ('NO_SESSION', 'NO_ACTIVITY') THEN 'ALREADY_ATTEMPTED' ELSE raw END AS decision FROM n WHERE raw IS NOT NULL")
 def session_gate(spark, d):
-    return gates.gate_batch(_gate_events(spark, d), "user_id")
+    return gates.gate_batch(_gate_events(spark, d), "user_id").drop("timed")
+
+
+@query(f"""WITH {_GATE_SQL[: _GATE_SQL.index('k AS (SELECT *, coalesce')].rstrip().rstrip(',')}, a AS (SELECT user_id, seq, ts_ms + 2800 AS ts_ms, sid FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sid ORDER BY ts_ms, seq) AS n FROM j WHERE e = 'view' AND now = 1 AND NOT active)
+        WHERE n = 1),
+    b AS (SELECT user_id, seq, ts_ms, e, false AS timed, mark, NULL AS wanted FROM g UNION ALL SELECT user_id, seq, ts_ms, 'purchase', true, NULL, sid FROM a),
+    h2 AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts_ms, timed, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts_ms, timed, seq ROWS UNBOUNDED PRECEDING), 0) AS now FROM b),
+    i2 AS (SELECT *, sum(CASE WHEN mark = 0 OR (mark = 1 AND before = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts_ms, timed, seq ROWS UNBOUNDED PRECEDING) AS sid FROM h2),
+    j2 AS (SELECT *, coalesce(sum(CASE WHEN e = 'view' THEN 1 ELSE 0 END) OVER w, 0) > 0 AS active, min(CASE WHEN e = 'view' THEN ts_ms END) OVER w AS first_at, min(ts_ms) OVER (PARTITION BY user_id, sid) AS ready_at FROM i2 WINDOW w AS (PARTITION BY user_id, sid ORDER BY ts_ms, timed, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    k2 AS (SELECT *, coalesce(sum(CASE WHEN e IN ('view', 'click') AND active THEN 1 ELSE 0 END) OVER w, 0) > 0 AS gone FROM j2 WINDOW w AS (PARTITION BY user_id, sid ORDER BY ts_ms, timed, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l2 AS (SELECT *, CASE WHEN e <> 'purchase' THEN NULL WHEN now = 0 THEN 'NO_SESSION' WHEN wanted <> sid THEN 'SESSION_CHANGED' WHEN NOT active THEN 'NO_ACTIVITY' WHEN ts_ms - first_at < 2800 THEN 'WAIT' WHEN ts_ms - ready_at > 12000 THEN 'STALE' WHEN gone THEN 'NAVIGATION_OBSERVED' ELSE 'NO_ELIGIBLE_MEDIA' END AS raw FROM k2),
+    n2 AS (SELECT *, coalesce(sum(CASE WHEN raw IN ('STALE', 'NAVIGATION_OBSERVED', 'NO_ELIGIBLE_MEDIA') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, sid ORDER BY ts_ms, timed, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS spent FROM l2)
+    SELECT user_id, seq, ts_ms, CAST(sid AS INT) AS session, timed, CASE WHEN spent AND raw NOT IN ('NO_SESSION', 'SESSION_CHANGED', 'NO_ACTIVITY') THEN 'ALREADY_ATTEMPTED' ELSE raw END AS decision FROM n2 WHERE raw IS NOT NULL""")
+def timed_gate(spark, d):
+    """Sessions that also attempt by themselves once their first activity has settled."""
+    return gates.gate_batch(gates.timed_attempts(_gate_events(spark, d), "user_id"), "user_id")
 
 
 @query("""WITH t AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'click' THEN value ELSE NULL END AS token FROM events),

@@ -11,6 +11,9 @@ from .registry import registry
 
 query, QUERIES, ORACLE_SQL = registry()
 
+#: The states of a runtime, in the order in which they are tested.
+READINESS = ("NO_TARGET", "DISCONNECTED", "API_UNSUPPORTED", "OUT_OF_SCOPE", "NO_OVERRIDES", "PROFILE_UNPUBLISHED", "READY_AWAITING_PROCESS")
+
 
 def _overrides(spark, d):
     kind = F.when(F.col("o_orderkey") % 4 == 0, F.lit("STRING")).otherwise(F.lit("INT"))
@@ -72,8 +75,10 @@ def reserved_targets(spark, d):
 @query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'NO_TARGET' WHEN c_nationkey % 5 = 0 THEN 'DISCONNECTED' WHEN c_nationkey % 5 = 1 THEN 'API_UNSUPPORTED' WHEN c_mktsegment = 'MACHINERY' THEN 'OUT_OF_SCOPE'
     WHEN c_custkey % 3 = 0 THEN 'NO_OVERRIDES' WHEN c_custkey % 3 = 1 THEN 'PROFILE_UNPUBLISHED' ELSE 'READY_AWAITING_PROCESS' END AS state FROM customer""")
 def readiness_ladder(spark, d):
-    m = F.col("c_nationkey") % 5
-    state = overrides.readiness(F.col("c_acctbal") >= 0, m != 0, F.when(m == 1, 100).otherwise(101), F.array(F.lit("x"), F.when(F.col("c_mktsegment") == "MACHINERY", "other").otherwise("com.acme")), F.when(F.col("c_custkey") % 3 == 0, 0).otherwise(2), F.col("c_custkey") % 3 == 2, "com.acme", 101)
+    m, third = F.col("c_nationkey") % 5, F.col("c_custkey") % 3
+    state = overrides.readiness([
+        (F.col("c_acctbal") >= 0, READINESS[0]), (m != 0, READINESS[1]), (m != 1, READINESS[2]), (F.col("c_mktsegment") != "MACHINERY", READINESS[3]), (third != 0, READINESS[4]), (third == 2, READINESS[5]),
+    ], READINESS[6])
     return table(spark, d, "customer").select("c_custkey", state.alias("state"))
 
 
