@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.codecs import preference_key, stored_value
-from ..operators import catalog, diff, ranking, retention
+from ..operators import catalog, diff, ranking, retention, textindex
 from ..operators.catalog import CatalogQuery
 from ..session import table
 from ..sources import sinks
+from ..sources.snapshots import Snapshots
 from ..stores import shared_dir
 from .registry import registry
 
@@ -431,3 +432,39 @@ def published_slot(spark, d):
     sinks.publish(rows.limit(0), root, lambda r: True)
     sinks.publish(rows, root, lambda r: not r.isEmpty())
     return sinks.published(spark, root)
+
+
+@query("""WITH k AS (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (0, 3) OR n_nationkey = (SELECT max(n_nationkey) FROM nation WHERE n_nationkey % 3 <> 1 AND n_nationkey NOT IN (0, 3)))
+    SELECT 'builds' AS part, n_name AS base_sha, 1::BIGINT AS n FROM k UNION ALL SELECT 'identifiers', n_name, count(*) FROM k JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name
+    UNION ALL SELECT 'getters', n_name, count(*) FROM k JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY n_name UNION ALL SELECT 'before', n_name, count(*) FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name""")
+def snapshot_prune(spark, d):
+    """Nations as builds, stored with their customers and orders as one change; retention then prunes all three at once.
+    The version before it can still be read."""
+    nation = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("base_sha"))
+    key, third = F.col("n_nationkey"), F.col("n_nationkey") % 3
+    builds = nation.select("base_sha", (key * 10).alias("generated_at"), F.when(third == 0, "INSTALLED").when(third == 1, "IMPORTED").otherwise("LEGACY").alias("origin"))
+    customers = table(spark, d, "customer").join(nation, F.col("c_nationkey") == key).select("base_sha", "c_custkey", F.col("c_name").alias("key"))
+    orders = table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("base_sha", "key", F.col("o_orderkey").alias("ordinal"))
+    store = Snapshots(spark, shared_dir(spark))
+    before = store.put({"builds": builds, "identifiers": customers, "getters": orders})
+    kept = retention.retained(store.read("builds").withColumnRenamed("base_sha", "fingerprint"), "NATION_3", "NATION_0", 3)
+    now = store.prune([r[0] for r in kept.select("fingerprint").collect()])  # three builds at most
+    parts = [("builds", now), ("identifiers", now), ("getters", now), ("identifiers", before)]
+    counts = [store.read(t, v).groupBy("base_sha").agg(F.count("*").alias("n")).select(F.lit("before" if v == before else t).alias("part"), "base_sha", "n") for t, v in parts]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_name ILIKE '%old w%' OR p_type ILIKE '%old w%'")
+def indexed_search(spark, d):
+    """A substring search over posting lists of trigrams that were written before."""
+    part, path = table(spark, d, "part"), f"{shared_dir(spark)}/index"
+    textindex.write_index(part, path, "p_partkey", ("p_name", "p_type"))
+    return textindex.indexed_search(part, spark.read.parquet(path), "p_partkey", ("p_name", "p_type"), "OLD w").select("p_partkey", "p_name", "p_type")
+
+
+@query("""SELECT 'old w' AS text, (SELECT count(*) FROM part WHERE EXISTS (SELECT 1 FROM (VALUES (lower(p_name)), (lower(p_type))) t(x) WHERE contains(x, 'old') AND contains(x, 'ld ') AND contains(x, 'd w'))) AS n_read, (SELECT count(*) FROM part WHERE p_name ILIKE '%old w%' OR p_type ILIKE '%old w%') AS n_found
+    UNION ALL SELECT 'ed', (SELECT count(*) FROM part), (SELECT count(*) FROM part WHERE p_name ILIKE '%ed%' OR p_type ILIKE '%ed%')""")
+def indexed_search_report(spark, d):
+    part, path = table(spark, d, "part"), f"{shared_dir(spark)}/index"
+    textindex.write_index(part, path, "p_partkey", ("p_name", "p_type"))
+    return textindex.search_report(part, spark.read.parquet(path), "p_partkey", ("p_name", "p_type"), ["old w", "ed"])

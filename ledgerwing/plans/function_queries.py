@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import classify, codecs, digests, requests, rules, text
 from ..functions.classify import Test, rule
 from ..session import table
-from ..sources import archives, texts, wire
+from ..sources import archives, reader, texts, wire
+from ..stores import shared_dir
 from .registry import registry
 
 query, QUERIES, ORACLE_SQL = registry()
@@ -285,6 +287,72 @@ def archive_resources(spark, d):
     return archives.resource_paths(archives.entries_of(_archives(spark, d), pattern="^res/"))
 
 
+def _stored(files, folder):
+    """Files (path, content) written into a shared folder, each under its last name."""
+    from pyarrow import fs
+
+    def write(parts):
+        system, place = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system.create_dir(place, recursive=True)
+        for part in parts:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                with system.open_output_stream(f"{place}/{path.rpartition('/')[2]}") as out:
+                    out.write(bytes(content))
+            yield part[["path"]]
+
+    files.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query(f"""WITH {_FILES_SQL} SELECT archive, name AS member, CAST(3 * length(s_name) AS BIGINT) AS size, sha256(s_name || s_name || s_name) AS sha256, NULL AS error FROM g WHERE n_regionkey <> 4 AND k % 2 = 1""")
+def archive_members(spark, d):
+    """Members of the nations' archives under res/, by the data source; the condition is pushed into it."""
+    spark.dataSource.register(reader.ArchiveSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    folder = _stored(_archives(spark, d), f"{shared_dir(spark)}/archives")
+    rows = spark.read.format("archive").load(f"{folder}/*.apk").where(F.col("member").startswith("res/"))
+    return rows.select(F.concat(F.lit("a/"), F.substring_index("path", "/", -1)).alias("archive"), "member", "size", F.sha2("content", 256).alias("sha256"), "error")
+
+
+def _resource_table(kinds, keys, values, rows):
+    """A resource table with one package: rows (type number from 1, key number, value number), and a value that only
+    another language has for each odd key."""
+    chunk = lambda kind, head, body=b"": struct.pack("<HHI", kind, 8 + len(head), 8 + len(head) + len(body)) + head + body
+
+    def pool(strings):
+        raw = [s.encode("utf-16-le") for s in strings]
+        data = b"".join(struct.pack("<H", len(r) // 2) + r + b"\0\0" for r in raw)
+        starts = [sum(len(r) + 4 for r in raw[:k]) for k in range(len(raw))]
+        return chunk(1, struct.pack("<IIIII", len(strings), 0, 0, 28 + 4 * len(strings), 0), struct.pack(f"<{len(strings)}I", *starts) + data + b"\0" * (-len(data) % 4))
+
+    def kind(number, own, language):
+        entries = b"".join(struct.pack("<HHIHBBI", 8, 0, key, 8, 0, 3, value) for key, value in own)
+        head = struct.pack("<BBHII", number, 0, 0, len(own), 48 + 4 * len(own)) + struct.pack("<I", 28) + language.ljust(24, b"\0")
+        return chunk(0x201, head, struct.pack(f"<{len(own)}I", *range(0, 16 * len(own), 16)) + entries)
+
+    body = pool(kinds) + pool(keys)
+    for number in range(1, len(kinds) + 1):
+        own = [(key, value) for n, key, value in rows if n == number]
+        body += kind(number, [(key, 0) for key, _ in own if key % 2], b"\0\0\0\0de") + kind(number, own, b"")
+    package = chunk(0x200, struct.pack("<I", 1) + b"\0" * 256 + struct.pack("<IIIII", 288, 0, 288 + len(pool(kinds)), 0, 0), body)
+    texts_ = pool(values)
+    return struct.pack("<HHII", 2, 12, 12 + len(texts_) + len(package), 1) + texts_ + package
+
+
+@query("""SELECT 'n' || s_nationkey AS archive, (CASE WHEN s_acctbal < 3000 THEN 'low' ELSE 'high' END) || '/s' || s_suppkey AS key, 'STRING' AS kind, s_name AS value, CASE WHEN place % 2 = 1 THEN 2 ELSE 1 END AS n_configs
+    FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place FROM supplier)""")
+def resource_entries(spark, d):
+    """Each nation's suppliers as a binary resource table, read back entry by entry."""
+    rows = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name", (F.col("s_acctbal") < 3000).alias("low")))).alias("r"))
+
+    @F.pandas_udf("binary")
+    def packed(groups: pd.Series) -> pd.Series:
+        return pd.Series([_resource_table(["low", "high"], [f"s{r['s_suppkey']}" for r in g], [r["s_name"] for r in g], [(1 if r["low"] else 2, k, k) for k, r in enumerate(g)]) for g in groups])
+
+    tables = rows.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("archive"), packed("r").alias("content"))
+    return archives.resources(tables).withColumn("n_configs", F.col("n_configs").cast("int"))
+
+
 @query("""SELECT s_nationkey, s_suppkey, CASE WHEN s_suppkey = lo THEN 'base' ELSE 'split-' || (row_number() OVER (PARTITION BY s_nationkey, s_suppkey = lo ORDER BY s_suppkey) - 1) END AS part
     FROM (SELECT *, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS lo FROM supplier)""")
 def split_parts(spark, d):

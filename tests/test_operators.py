@@ -366,6 +366,45 @@ def test_archives(spark):
     assert [r["within"] for r in archives.bounded(rows.where("error IS NULL"), total=3).orderBy("name").collect()] == [True, False]
 
 
+def test_archive_source(spark):
+    from ledgerwing.sources import reader
+
+    root = tempfile.mkdtemp(prefix="spark-")
+    with zipfile.ZipFile(f"{root}/a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in (("res/x", b"x" * 5000), ("res/", b""), ("other", b"o"), ("big", b"b" * 90_000)):
+            z.writestr(name, body)
+    with zipfile.ZipFile(f"{root}/b.zip", "w") as z:
+        z.writestr("res/y", b"yy")
+        z.writestr("res/z", b"qrst")
+    raw = bytearray(open(f"{root}/b.zip", "rb").read())
+    raw[raw.index(b"qrst")] ^= 1
+    open(f"{root}/b.zip", "wb").write(raw)
+    open(f"{root}/c.zip", "wb").write(b"no archive")
+    spark.dataSource.register(reader.ArchiveSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    df = spark.read.format("archive").option("maxBytes", 50_000).option("partitionBytes", 10).load(f"{root}/*.zip")
+    got = {(r["path"][-5:], r["member"]): (bytes(r["content"] or b""), r["error"]) for r in df.collect()}
+    assert got == {("a.zip", "res/x"): (b"x" * 5000, None), ("a.zip", "other"): (b"o", None), ("a.zip", "big"): (b"", "TOO_LARGE"), ("b.zip", "res/y"): (b"yy", None), ("b.zip", "res/z"): (b"", "DAMAGED"), ("c.zip", None): (b"", "NOT_AN_ARCHIVE")}
+    few = df.where("member LIKE 'res/%' AND size < 10")
+    assert {r["member"] for r in few.collect()} == {"res/y", "res/z"} and df.where("member = 'other'").rdd.getNumPartitions() == 1 < df.rdd.getNumPartitions()
+
+
+def test_trigram_search_equals_the_scan(spark):
+    import random
+
+    from ledgerwing.operators import textindex
+
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choice("abAB %_é") for _ in range(rng.randint(0, 9))) if k % 7 else None, rng.choice(["abc", "İx", ""])) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    path = tempfile.mkdtemp(prefix="spark-")
+    textindex.write_index(df, path, "id", ("a", "b"))
+    index = spark.read.parquet(path)
+    for text in ("ab", "aba", "B %", "%_é", "bab ab", "", "zzz", "éÉ"):
+        scan = catalog.search(df, catalog.CatalogQuery(text=text, text_columns=("a", "b"))) if text else df.where("a IS NOT NULL OR b IS NOT NULL")
+        assert sorted(r["id"] for r in textindex.indexed_search(df, index, "id", ("a", "b"), text).collect()) == sorted(r["id"] for r in scan.collect()), text
+
+
 def resource_table():
     def chunk(kind, head, body=b""):
         return struct.pack("<HHI", kind, 8 + len(head), 8 + len(head) + len(body)) + head + body
