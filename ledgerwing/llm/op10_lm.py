@@ -9,10 +9,11 @@ mass that the suffix leaves, so each state's probabilities sum to one.  ``Automa
 is the plain form for small vocabularies; ``score`` gives the same sums without ever
 holding the whole automaton, which grows with the corpus.
 
-Documents form blocks (ranges of ids, of about ``BLOCK_TEXT`` bytes).  Each block asks for the total counts of its own
-distinct words and grams, and one shuffle by key brings them back.  A block then
-knows every arc its texts can use.  The first block that asks for a gram adds it to its
-context's sums, and a second shuffle by context brings back the backoff weights.
+Documents form blocks (ranges of ids, of about ``BLOCK_TEXT`` bytes; beyond ``MOST_RANGES`` ranges, parts of ranges).  Each block asks for the total counts of its own
+distinct words and grams, and a shuffle by key brings them back.  A block then builds its part of the automaton,
+every state, arc and failure arc that its texts can use, and walks the texts: one traversal from left to right that carries
+the state and adds the arcs' log-probabilities.  The failure arcs it took are weighed at the end: the first block that asks
+for a gram adds it to its context's sums, and a second shuffle by context brings back the backoff weights.
 Keys travel as sorted, compressed arrays, a row for each block and range of keys.
 
 Words are told apart by 64-bit hashes, grams by as many bits as ``GUARD_BITS`` asks for.  Nulls: a null text is an empty one (its end token is
@@ -25,6 +26,7 @@ result.
 from __future__ import annotations
 
 import struct
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,9 @@ FLUSH = 8_000_000
 #: of the corpus with a chance under 1 to 2 ** GUARD_BITS, whatever its size.
 GUARD_BITS = 18
 PACK_BYTES = 16 << 20
+MOST_RANGES = 1 << 16
+#: Counts are gathered in so many rounds, each of an equal range of keys: the texts are read as often, and the shuffle is that much smaller.
+ROUNDS = 2
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,9 +166,10 @@ def _groups(batches, column: int):
 ASKED = "dest long, block long, size long, keys binary, nums binary"
 
 
-def asked(docs: DataFrame, n_dest: int, drop: int) -> DataFrame:
+def asked(docs: DataFrame, n_dest: int, drop: int, part: int = 0, parts: int = 1) -> DataFrame:
     """``ASKED`` of ``docs`` (block, held_out, text): the distinct words and grams of each block as
-    a task saw them; nums has the count in training rows."""
+    a task saw them; nums has the count in training rows.  Of ``parts`` equal ranges of keys, a power of two, only one is asked for."""
+    share = np.uint64(65 - parts.bit_length())
 
     def run(batches):
         held: dict[int, list] = {}
@@ -190,6 +196,9 @@ def asked(docs: DataFrame, n_dest: int, drop: int) -> DataFrame:
                     two, three, has_two, has_three = _grams(h, at, drop)
                     train = np.repeat(~np.asarray(piece.column(1).to_pylist(), bool), np.diff(at)).astype(np.int32)
                     for keys, n, gram in ((h, train, 0), (two[has_two], train[has_two], 1), (three[has_three], train[has_three], 1)):
+                        if parts > 1:
+                            own = keys >> share == part
+                            keys, n = keys[own], n[own]
                         keys, n = _summed(keys, n)
                         held.setdefault(block, []).append((keys, n, np.full(len(keys), gram, np.int32)))
                         size += len(keys)
@@ -367,8 +376,17 @@ HALF = "kind int, dest long, block long, size long, id long, held_out boolean, n
 HALF_NAMES = [c.split()[0] for c in HALF.split(", ")]
 
 
+#: Tokens of a text that one column of a walk takes; a later piece is entered by walking the two tokens before it, which
+#: are all that a state can know.
+PIECE = 512
+
+
 class Block:
-    """One block's known keys and what its documents leave to the contexts' weights."""
+    """One block's part of the automaton, all that its texts can use, and what its documents leave to the contexts' weights.
+
+    A state is the place of its context among the known keys: a word's for one word, a 2-gram's for two (-1: none).  An arc is
+    a known gram; ``source`` is the state that it leaves, ``target`` the one it leads to, ``fail`` a state's failure arc.
+    """
 
     def __init__(self, rows: list[tuple[int, bytes, bytes]], below: float, drop: int):
         parts = [(*_unpacked(k, n, drop), _unplanes(_loose(v), n).astype(np.int64)) for n, k, v in rows if n]
@@ -380,6 +398,55 @@ class Block:
         self.below, self.docs = below, []
         self.used = np.zeros(len(self.known), bool)
         self.sums: list[tuple[np.ndarray, ...]] = []
+        #: One more entry at the end, for place -1.
+        self.source, self.target, self.fail = (np.full(len(self.known) + 1, -1, np.int64) for _ in range(3))
+        self.log = np.zeros(len(self.known) + 1)
+        self.enter = np.append(np.where(~self.gram & (self.n >= MIN_COUNT), np.arange(len(self.known)), -1), -1)
+
+    def _states(self, w: np.ndarray, two: np.ndarray, three: np.ndarray, w0: np.ndarray, two0: np.ndarray):
+        """Arcs and failure arcs of the grams that a batch of texts has."""
+        for gram, context, target in ((two, w0, two), (three, two0, two)):
+            own = np.flatnonzero(gram >= 0)
+            self.source[gram[own]] = context[own]
+            self.target[gram[own]] = target[own]
+            self.log[gram[own]] = np.log10((self.n[gram[own]] - DISCOUNT) / self.n[context[own]])
+        own = np.flatnonzero(two >= 0)
+        self.fail[two[own]] = self.enter[w[own]]
+        self.source[-1] = -2  # no arc at place -1 leaves any state
+
+    def walk(self, w: np.ndarray, two: np.ndarray, three: np.ndarray, at: np.ndarray, uni: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One traversal from left to right, a token a step, of all texts side by side: each token's log-probability but for the
+        weights of failure arcs, and the states (two at most) whose failure arcs it took."""
+        total, failed = np.zeros(len(w)), np.full((len(w), 2), -1, np.int64)
+        n = np.diff(at)
+        pieces = -(-n // PIECE)
+        doc = np.repeat(np.arange(len(n)), pieces)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = at[:-1][doc] + nth * PIECE
+        end = np.minimum(first + PIECE, at[1:][doc])
+        begin = np.where(nth > 0, first - 2, first)
+        order = np.argsort(begin - end, kind="stable")  # the longest first
+        first, begin, end = first[order], begin[order], end[order]
+        length, state = end - begin, np.full(len(order), -1, np.int64)
+        active = len(order)
+        for k in range(int(length[0]) if len(length) else 0):
+            while length[active - 1] <= k:
+                active = int(np.searchsorted(-length, -k, "left"))
+            t, s = begin[:active] + k, state[:active]
+            arc = three[t]
+            by_three = self.source[arc] == s
+            wide = ~by_three & (s >= 0)
+            wide[wide] = self.gram[s[wide]]
+            low = np.where(wide, self.fail[s], s)
+            mid = two[t]
+            by_two = ~by_three & (self.source[mid] == low)
+            none = ~(by_three | by_two)
+            own = t >= first[:active]
+            total[t[own]] = np.where(by_three, self.log[arc], np.where(by_two, self.log[mid], uni[t]))[own]
+            a, b = own & wide, own & none & (low >= 0)
+            failed[t[a], 0], failed[t[b], 1] = s[a], low[b]
+            state[:active] = np.where(by_three, self.target[arc], np.where(by_two, self.target[mid], self.enter[w[t]]))
+        return total, failed
 
     def _owe(self, gram: np.ndarray, context: np.ndarray, lower: np.ndarray, whole: np.ndarray, base: np.ndarray):
         """Adds each gram that this block answers for, once, to its context: twice the
@@ -399,19 +466,15 @@ class Block:
         two[~has_two] = -1
         three[~has_three] = -1
         count = lambda x: np.where(x >= 0, self.n[x], 0) if len(self.n) else np.zeros(len(x), np.int64)
-        n1, n2, n3 = count(w), count(two), count(three)
+        n1, n2 = count(w), count(two)
         w0, two0 = np.concatenate([[-1], w[:-1]]), np.concatenate([[-1], two[:-1]])
         w0[~has_two], two0[~has_three] = -1, -1
         c1, c2 = count(w0), count(two0)
         self._owe(two, w0, 2 * (n1 + 1), c1, np.zeros_like(c1))
         self._owe(three, two0, 2 * n2 - 1, c2, c1)
         base = np.log10((n1 + 1) / self.below)
-        part = base.copy()
-        part[n2 > 0] = np.log10((n2[n2 > 0] - DISCOUNT) / c1[n2 > 0])
-        part[n3 > 0] = np.log10((n3[n3 > 0] - DISCOUNT) / c2[n3 > 0])
-        back2 = (n3 == 0) & (c2 >= MIN_COUNT)
-        back1 = (n3 == 0) & (n2 == 0) & (c1 >= MIN_COUNT)
-        uses = np.stack([np.where(back2, two0, -1), np.where(back1, w0, -1)], 1)
+        self._states(w, two, three, w0, two0)
+        part, uses = self.walk(w, two, three, at, base)
         self.used[uses[uses >= 0]] = True
         starts, total = at[:-1], lambda x: np.add.reduceat(x, at[:-1])
         per = [u[u >= 0].astype(np.uint32) for u in (uses[a:b].ravel() for a, b in zip(starts, at[1:], strict=True))]
@@ -512,13 +575,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_
     ``flag_col`` are scored but not learned from."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(flag_col).alias("held_out"), F.col(text_col).alias("text"))
-    bounds = ranges(rows, "id", "text", BLOCK_TEXT, LEAST_BLOCKS)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bounds = ranges(rows, "id", "text", BLOCK_TEXT, LEAST_BLOCKS, MOST_RANGES)
     rows = rows.withColumn("block", in_range(F.col("id"), bounds))
-    n_blocks = len(bounds) + 1
-    n_dest = 4 * n_blocks
+    split = -(-size // (BLOCK_TEXT * MOST_RANGES)) or 1  # blocks of a range, where there are more than the most ranges
+    if split > 1:
+        rows = rows.withColumn("block", F.col("block") * split + F.pmod(F.xxhash64("id", "text"), F.lit(split)))
+    n_blocks = split * (len(bounds) + 1)
+    n_dest = n_blocks
     drop = max(0, 64 - GUARD_BITS - (n_blocks * BLOCK_TEXT - 1).bit_length())
-    requests = asked(rows.select("block", "held_out", "text"), n_dest, drop)
-    known = staged(totals(requests.repartitionById(n_dest, F.col("dest").cast("int")).sortWithinPartitions("dest", "block"), drop))
+    texts_of = rows.select("block", "held_out", "text")
+    counted = [staged(totals(asked(texts_of, n_dest, drop, k, ROUNDS).repartitionById(n_dest, F.col("dest").cast("int")).sortWithinPartitions("dest", "block"), drop)) for k in range(ROUNDS)]
+    known = reduce(DataFrame.union, counted)
     tokens, distinct = known.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     below = float(tokens + distinct + 1)
 
