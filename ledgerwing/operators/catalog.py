@@ -186,6 +186,15 @@ def union_distinct(sources: list[DataFrame], key: list[str]) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_source")
 
 
+def union_unlike(sources: list[DataFrame], key: list[str]) -> DataFrame:
+    """Rows of lists of unlike shape as one list, missing columns null; of equal keys the row of the earliest list stays, and of
+    one list's the first by its own values."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.withColumn("_source", F.lit(k)) for k, s in enumerate(sources)])
+    rest = [c for c in both.columns if c not in (*key, "_source")]
+    first = Window.partitionBy(*key).orderBy("_source", *([F.to_json(F.struct(*rest))] if rest else []))
+    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_source")
+
+
 #: The stored tables; children have their parent's key and a place among its children.
 BUILDS = "base_sha string, generated_at long, dex_hashes map<string,string>, identifier_count int, editable_count int, error_count int, resolver_schema int, base_apk_sha string, version_code long, package_artifacts map<string,string>, origin string"
 IDENTIFIERS = "base_sha string, key string, namespace string, value_type string, compiled_default string, confidence string, reason string, editable boolean, preference_key string, occurrence_count int, kind string, resolution string, runtime_status string, semantics_reviewed boolean, editability_reason string, metadata map<string,string>, storage_type string, semantic_type string, evidence_confidence string, semantics_provenance string"

@@ -144,6 +144,38 @@ def lineage(starts: DataFrame, edges: DataFrame, max_edges: int, max_depth: int)
     return found.select("root", F.col("node").alias("field"), "depth")
 
 
+def cache_lineage(reached: DataFrame, writes: DataFrame, moves: DataFrame, max_depth: int, max_edges: int) -> DataFrame:
+    """(root, source, target, place): the moves between fields that what a search reached sets off, ``max_edges`` of each root's
+    at most, in the order of a queue; starting with the fields that cache a reached member's value.
+
+    reached: (root, node, depth); writes: (node, field, owner), owner null or the method that writes, which must be reached one
+    step further; moves: (source, target).  A field that is written and moves nowhere has one row without ``source``.
+    """
+    near = reached.where(F.col("depth") <= max_depth)
+    owners = reached.select("root", F.col("node").alias("owner"), F.col("depth").alias("_at"))
+    held = near.join(writes, "node").join(owners, ["root", "owner"], "left").where(F.col("owner").isNull() | (F.col("_at") == F.col("depth") + 1))
+    first = held.groupBy("root", "field").agg(F.min(F.struct("depth", "node")).alias("_o"))
+    front = saved(first.select("root", "field", F.row_number().over(Window.partitionBy("root").orderBy("_o", "field")).alias("at")))
+    seen, found = front.select("root", "field"), [front.select("root", F.lit(None).cast(moves.schema["source"].dataType).alias("source"), F.col("field").alias("target"), F.lit(0).alias("place"))]
+    used = front.select("root", F.lit(0).alias("used")).distinct()
+    steps = moves.select("source", "target").distinct()
+    while True:
+        order = Window.partitionBy("root").orderBy("at", "target")
+        rows = front.join(steps, F.col("field") == F.col("source")).join(used, "root")
+        rows = saved(rows.withColumn("place", F.col("used") + F.row_number().over(order)).where(F.col("place") <= max_edges).select("root", "source", "target", "place"))
+        if rows.isEmpty():
+            break
+        found.append(rows)
+        fresh = rows.groupBy("root", F.col("target").alias("field")).agg(F.min("place").alias("at")).join(seen, ["root", "field"], "left_anti")
+        front = saved(fresh.select("root", "field", "at"))
+        seen = seen.union(front.select("root", "field"))
+        used = saved(rows.groupBy("root").agg(F.max("place").alias("used")))
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
 def mixed(values: Column, none: str = "NONE") -> Column:
     """The only distinct non-null value of an array, MIXED for several, ``none`` for none."""
     kept = F.array_distinct(F.array_compact(values))

@@ -79,3 +79,18 @@ def readiness(states: list[tuple[Column, str]], last: str) -> Column:
 def hidden_keys(hidden: DataFrame, builds: DataFrame, key: str) -> DataFrame:
     """Hidden keys that were hidden under the present build."""
     return hidden.join(builds.select(key, "build"), [key, "build"], "left_semi")
+
+
+def compatible_getters(methods: DataFrame, diagnostic: Column) -> DataFrame:
+    """Methods that can serve a value: neither static nor with parameters, of a type that some value type has, no diagnostics.
+
+    methods: (static, parameters, descriptor).
+    """
+    served = F.col("descriptor").isin(*[d for own in DESCRIPTORS.values() for d in own])
+    return methods.where(~F.col("static") & (F.size("parameters") == 0) & served & ~diagnostic)
+
+
+def matching_records(records: DataFrame, methods: DataFrame, fingerprint: tuple[str, ...]) -> DataFrame:
+    """Records whose method is there unchanged: all fields of its fingerprint equal, nulls too."""
+    same = all_of([F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in fingerprint])
+    return records.alias("r").join(methods.select(*fingerprint).distinct().alias("m"), same, "left_semi")

@@ -468,3 +468,14 @@ def indexed_search_report(spark, d):
     part, path = table(spark, d, "part"), f"{shared_dir(spark)}/index"
     textindex.write_index(part, path, "p_partkey", ("p_name", "p_type"))
     return textindex.search_report(part, spark.read.parquet(path), "p_partkey", ("p_name", "p_type"), ["old w", "ed"])
+
+
+@query("""WITH u AS (SELECT n_name AS key, n_nationkey AS number, NULL AS note, 0 AS s FROM nation WHERE n_nationkey < 10 UNION ALL SELECT n_name, NULL, 'region' || n_regionkey, 1 FROM nation WHERE n_nationkey > 5 UNION ALL SELECT DISTINCT c_mktsegment, NULL, NULL, 2 FROM customer)
+    SELECT key, number, note FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s) AS n FROM u) WHERE n = 1""")
+def union_unlike(spark, d):
+    nation = table(spark, d, "nation")
+    return catalog.union_unlike([
+        nation.where("n_nationkey < 10").select(F.col("n_name").alias("key"), F.col("n_nationkey").alias("number")),
+        nation.where("n_nationkey > 5").select(F.col("n_name").alias("key"), F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("note")),
+        table(spark, d, "customer").select(F.col("c_mktsegment").alias("key")),
+    ], ["key"])

@@ -487,3 +487,25 @@ def event_lines(spark, d):
     lines = table(spark, d, "events").select(F.when(F.col("event_type") == "error", F.lit("noise")).otherwise(line).alias("value"))
     got = texts.events(lines, "LOG ")
     return got.select(F.element_at("fields", "id").cast("long").alias("event_id"), "name")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'INT:' || p_size WHEN p_size % 3 = 1 THEN 'STRING:' || p_name || ':x' ELSE 'BOOLEAN:maybe' END AS raw, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) WHEN p_size % 3 = 1 THEN p_name || ':x' END AS value,
+    'name.' || sha256(p_name)[:40] AS name_key, 'override.' || sha256(p_name)[:40] AS value_key FROM part""")
+def value_round_trip(spark, d):
+    """Values written as TYPE:value and read back, the value's key from its name's."""
+    size = F.col("p_size") % 3
+    kind = F.when(size == 0, "INT").when(size == 1, "STRING").otherwise("BOOLEAN")
+    value = F.when(size == 0, F.col("p_size").cast("string")).when(size == 1, F.concat("p_name", F.lit(":x"))).otherwise("maybe")
+    raw = codecs.serialize(kind, value)
+    name = codecs.name_key(codecs.preference_key(F.col("p_name")))
+    return table(spark, d, "part").select("p_partkey", raw.alias("raw"), codecs.stored_value(raw).alias("value"), name.alias("name_key"), codecs.value_key(name).alias("value_key"))
+
+
+@query("SELECT 'k' || p_partkey AS key, p_type AS type, CAST(p_size AS VARCHAR) AS default_value, 'g' || p_brand AS getter, CAST(1 + p_size % 2 AS INT) AS n_getters FROM part")
+def compatibility_fixture(spark, d):
+    """A file of identifiers for each brand, written as JSON and read back with its nested getters."""
+    getter = F.struct(F.concat(F.lit("g"), "p_brand").alias("name"), F.lit("()I").alias("descriptor"), F.array().cast("array<string>").alias("parameters"))
+    entry = F.struct(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("key"), F.col("p_type").alias("type"), F.col("p_size").cast("string").alias("compiledDefault"), F.array_repeat(getter, (1 + F.col("p_size") % 2).cast("int")).alias("getters"))
+    files = table(spark, d, "part").groupBy("p_brand").agg(F.to_json(F.collect_list(entry)).cast("binary").alias("content")).select(F.concat("p_brand", F.lit(".json")).alias("path"), "content")
+    rows = texts.compatibility_rows(spark, _stored(files, f"{shared_dir(spark)}/fixtures"))
+    return rows.select("key", "type", F.col("compiledDefault").alias("default_value"), F.col("getters")[0]["name"].alias("getter"), F.size("getters").alias("n_getters"))

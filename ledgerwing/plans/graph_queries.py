@@ -137,6 +137,19 @@ def field_lineage(spark, d):
     return graph.lineage(starts, _nation_moves(spark, d), 1_000_000, 3)
 
 
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS root, l_partkey FROM lineitem), f AS (SELECT DISTINCT root, 'B' || p_brand AS field FROM e JOIN part ON p_partkey = l_partkey WHERE p_size < 10),
+    m AS (SELECT DISTINCT 'B' || p_brand AS source, 'T' || p_type AS target FROM part UNION SELECT DISTINCT 'T' || p_type, 'S' || (p_size % 5) FROM part), a AS (SELECT root, source, target FROM f JOIN m ON source = field)
+    SELECT root, NULL AS source, field AS target FROM f UNION SELECT * FROM a UNION SELECT DISTINCT a.root, m.source, m.target FROM a JOIN m ON m.source = a.target""")
+def cache_lineage(spark, d):
+    """Suppliers reach the parts of their lines; small ones are cached by brand, and brands are moved to types, and types to sizes."""
+    starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
+    reached = graph.reach(starts, _all_edges(spark, d).withColumn("ordinal", F.col("dst")), 1_000_000, 1)
+    part = table(spark, d, "part")
+    writes = part.where("p_size < 10").select((-1 - F.col("p_partkey")).alias("node"), F.concat(F.lit("B"), "p_brand").alias("field"), F.lit(None).cast("long").alias("owner"))
+    moves = part.select(F.concat(F.lit("B"), "p_brand").alias("source"), F.concat(F.lit("T"), "p_type").alias("target")).union(part.select(F.concat(F.lit("T"), "p_type"), F.concat(F.lit("S"), (F.col("p_size") % 5).cast("string")))).distinct()
+    return graph.cache_lineage(reached, writes, moves, 3, 1_000_000).drop("place")
+
+
 @query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber <= 2")
 def relevant_records(spark, d):
     reached = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("depth"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import codecs
 from ..operators import graph, matching, overrides, roles
 from ..session import table
 from ..sources import sinks
@@ -267,3 +268,65 @@ def role_delegates(spark, d):
 def role_routes(spark, d):
     found = table(spark, d, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("role"), F.col("l_suppkey").alias("member"))
     return roles.route_status(found, ["l_orderkey"], {"first": ("AF", "RF"), "second": ("NO",)}).select("l_orderkey", F.array_join("open_routes", ",").alias("open_routes"), "status")
+
+
+@query("""WITH r AS (SELECT c_nationkey, c_custkey, c_mktsegment AS kind, c_acctbal > 0 AS active, c_custkey % 3 AS build, c_custkey % 5 = 0 AS handed FROM customer), e AS (SELECT c_nationkey, c_custkey FROM customer WHERE c_custkey % 2 = 0)
+    SELECT r.c_nationkey, 'k' || r.c_custkey AS key, CASE WHEN kind = 'MACHINERY' THEN 'ADVANCED_COLLISION' ELSE 'EXPERIMENTAL_COLLISION' END AS error FROM r JOIN e USING (c_nationkey, c_custkey) WHERE kind IN ('MACHINERY', 'BUILDING') AND active AND build = 1 AND NOT handed""")
+def ownership_collisions(spark, d):
+    """Customers as records of their nation's bundle, every other with a normal override as well."""
+    rows = table(spark, d, "customer").withColumn("key", F.concat(F.lit("k"), F.col("c_custkey").cast("string")))
+    entries = rows.where("c_custkey % 2 = 0").select("c_nationkey", codecs.preference_key(F.col("key")).alias("k"))
+    records = rows.select("c_nationkey", F.col("c_mktsegment").alias("kind"), "key", (F.col("c_acctbal") > 0).alias("active"), F.element_at(F.array(F.lit("aa"), F.lit("BB"), F.lit("cc")), (F.col("c_custkey") % 3 + 1).cast("int")).alias("build"), F.when(F.col("c_custkey") % 5 == 0, "TAKEN").alias("handoff"))
+    return sinks.ownership_errors(entries, records, ["c_nationkey"], F.lit("bb"), {"MACHINERY": "ADVANCED_COLLISION", "BUILDING": "EXPERIMENTAL_COLLISION"})
+
+
+@query("SELECT p_partkey FROM part WHERE p_size % 4 <> 0 AND p_size % 7 = 0 AND p_brand NOT LIKE '%1' AND p_size % 3 < 2")
+def compatible_getters(spark, d):
+    size = F.col("p_size")
+    methods = table(spark, d, "part").select("p_partkey", "p_brand", (size % 4 == 0).alias("static"), F.when(size % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("I"))).alias("parameters"), F.when(size % 3 == 0, "()I").when(size % 3 == 1, "()Ljava/lang/String;").otherwise("()V").alias("descriptor"))
+    return overrides.compatible_getters(methods, F.col("p_brand").endswith("1")).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part p WHERE EXISTS (SELECT 1 FROM part m WHERE m.p_partkey % 2 = 0 AND m.p_brand = p.p_brand AND m.p_type = p.p_type AND (CASE WHEN m.p_size > 40 THEN NULL ELSE m.p_size END) IS NOT DISTINCT FROM (CASE WHEN p.p_size > 40 THEN NULL ELSE p.p_size END))")
+def matching_records(spark, d):
+    rows = table(spark, d, "part").withColumn("p_size", F.when(F.col("p_size") <= 40, F.col("p_size")))
+    return overrides.matching_records(rows, rows.where("p_partkey % 2 = 0"), ("p_brand", "p_type", "p_size")).select("p_partkey")
+
+
+#: What a build must have for its media to be opened, and the names of the outcomes.
+ROLES = roles.RoleSpec(
+    family={"projection.ready": "onProjectionReady(). Notifying CarClientManager", "projection.end": "onProjectionEnd()", "projection.teardown": "onProjectionTearDown()"},
+    direct=("launch.startCarActivity", "startCarActivity(intent:"), auxiliary="launch.auxiliary", observer="launch.navigationObserver", factory="launch.controllerFactory", options="launch.optionsNoArgConstructor",
+    activity="activity.firstProjected", media=("media.selectedApp", "onMediaAppChanged"), argument="Landroid/content/Intent;", media_argument="Landroid/content/ComponentName;", void="V", runner="run",
+    activity_calls=(
+        "Landroid/content/Intent;->getComponent()Landroid/content/ComponentName;", "Landroid/content/Intent;->setComponent(Landroid/content/ComponentName;)Landroid/content/Intent;",
+        "Landroid/content/ComponentName;->getPackageName()Ljava/lang/String;", "Landroid/os/SystemClock;->elapsedRealtime()J",
+    ),
+)
+ROLE_LABELS = roles.RoleLabels(
+    family="consistent lifecycle family (ready/end/teardown)", factory="unique controller factory", route="at least one verified media launch route", media="unique media selected-app observer",
+    ambiguous="AMBIGUOUS", unsupported="UNSUPPORTED", known="KNOWN_BUILD_VALIDATED", review="REVIEW_ONLY",
+)
+
+
+def _role_methods(spark, d):
+    """Orders as builds: each line is one of the methods that a resolver looks for, so builds have some, all or several of them."""
+    lines = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey", "l_linenumber"), "o_orderkey")
+    k, own, n = F.col("l_partkey") % 10, F.concat(F.lit("Lc"), F.when(F.col("l_suppkey") % 5 == 0, "2").otherwise("1"), F.lit(";")), F.col("l_linenumber").cast("string")
+    texts_ = [*ROLES.family.values(), ROLES.direct[1], None, None, ROLES.media[1], None, None, ROLES.direct[1]]
+    pick = lambda values, kind="string": F.element_at(F.array(*[(v if not isinstance(v, str | None) else F.lit(v)).cast(kind) for v in values]), (k + 1).cast("int"))
+    none, intent, opt = F.array().cast("array<string>"), F.array(F.lit(ROLES.argument)), F.array(F.lit(ROLES.argument), F.lit("Lopt;"))
+    shapes = pick([none, none, none, opt, intent, opt, F.array(F.lit(ROLES.media_argument)), none, none, opt], "array<string>")
+    ref = F.concat(own, F.lit("->m"), F.when(k.isin(3, 5, 9), k.cast("string")).when(k == 7, "7").otherwise(F.concat(k.cast("string"), F.lit("_"), n)))
+    calls = F.array(*[F.concat(own, F.lit(f"->m{j}")) for j in (3, 5)], F.lit("Lopt;-><init>()V"), *[F.concat(F.lit(f"Lc{j};->m7")) for j in (1, 2)], *map(F.lit, ROLES.activity_calls))
+    return lines.select("o_custkey", ref.alias("ref"), own.alias("owner"), F.when(k == 8, "run").otherwise("m").alias("name"), shapes.alias("parameters"), F.when(k == 7, own).otherwise("V").alias("returns"), (k == 7).alias("static"), (k == 8).alias("runnable"),
+        F.array_compact(F.array(pick(texts_))).alias("strings"), F.when(k.isin(4, 8), calls).otherwise(none).alias("invoked"))
+
+
+@query()
+def role_resolver(spark, d):
+    """Customers as builds: anchors, both routes, the factory and the trigger, to one status."""
+    methods = _role_methods(spark, d)
+    made = methods.select("o_custkey", F.lit("Lopt;").alias("owner")).where("o_custkey % 4 > 0").distinct()
+    got = roles.resolve_build(methods, made, ["o_custkey"], ROLES, ROLE_LABELS, F.col("o_custkey") % 3 == 0)
+    return got.select("o_custkey", F.to_json("roles").alias("roles"), F.array_join("missing", ";").alias("missing"), "status")

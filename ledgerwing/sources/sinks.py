@@ -181,3 +181,15 @@ def bundle_errors(bundles: DataFrame, by: list[str], prefixes: tuple[str, ...])
     joined = bundles.select(*by, "sha256").join(actual, by, "left").join(bad, by, "left")
     error = F.when(~F.col("sha256").eqNullSafe(F.coalesce("_sha", nothing)), "CHECKSUM").when(F.col("_bad") > 0, "UNMANAGED_KEY")
     return joined.withColumn("error", error).where("error IS NOT NULL").select(*by, "error")
+
+
+def ownership_errors(entries: DataFrame, records: DataFrame, by: list[str], current: Column, errors: dict[str, str], prefix: str = "override.") -> DataFrame:
+    """(by, key, error): records of a bundle that contend with a normal override for the same key.
+
+    entries: (by, k), a bundle's preference keys; records: (by, kind, key, active, build, handoff).  Only an active record of the ``current``
+    build that wasn't handed over contends; paused and historical ones may stand beside a normal value.  errors: by kind.
+    """
+    live = records.where(F.col("active") & (F.lower("build") == F.lower(current)) & F.col("handoff").isNull())
+    clash = live.withColumn("k", preference_key(F.col("key"), prefix)).join(entries.select(*by, "k").distinct(), [*by, "k"], "left_semi")
+    error = F.coalesce(*[F.when(F.col("kind") == kind, F.lit(name)) for kind, name in errors.items()])
+    return clash.select(*by, "key", error.alias("error")).where("error IS NOT NULL")
