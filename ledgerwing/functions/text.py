@@ -35,10 +35,6 @@ def dotted_class(col: Column) -> Column:
     return F.when(matches(col, "(?s)L.*;"), F.translate(F.substr(col, F.lit(2), F.length(col) - 2), "/", ".")).otherwise(col)
 
 
-def same_class(a: Column, b: Column) -> Column:
-    return dotted_class(a) == dotted_class(b)
-
-
 def field_shape(col: Column) -> Column:
     """The type of ``owner->name:type``."""
     return F.when(F.instr(col, ":") > 0, F.substring_index(col, ":", -1)).otherwise(col)
