@@ -14,7 +14,8 @@ distinct words and grams, and a shuffle by key brings them back.  A block then b
 every state, arc and failure arc that its texts can use, and walks the texts: one traversal from left to right that carries
 the state and adds the arcs' log-probabilities.  The failure arcs it took are weighed at the end: the first block that asks
 for a gram adds it to its context's sums, and a second shuffle by context brings back the backoff weights.
-Keys travel as sorted, compressed arrays, a row for each block and range of keys.
+Keys travel as sorted, compressed arrays, a row for each block and range of keys; what comes back is a bit for each
+key and the counts of the known ones, as a block tells its keys from its texts.
 
 Words are told apart by 64-bit hashes, grams by as many bits as ``GUARD_BITS`` asks for.  Nulls: a null text is an empty one (its end token is
 scored); a null id is in the first block and counts as the empty string in the hold-out
@@ -123,9 +124,14 @@ def _numbers(x: np.ndarray) -> bytes:
     return _squeezed(_planes(x))
 
 
+def _dest(keys: np.ndarray, n_dest: int) -> np.ndarray:
+    """The range that each key lies in."""
+    return ((keys >> np.uint64(32)) * np.uint64(n_dest) >> np.uint64(32)).astype(np.int64)
+
+
 def _dealt(keys: np.ndarray, n_dest: int):
     """(dest, slice) of the ranges of keys among sorted ones."""
-    dest = ((keys >> np.uint64(32)) * np.uint64(n_dest) >> np.uint64(32)).astype(np.int64)
+    dest = _dest(keys, n_dest)
     edges = [0, *(np.flatnonzero(np.diff(dest)) + 1).tolist(), len(keys)]
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:
@@ -140,6 +146,15 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)
 
 
+def _distinct(keys: np.ndarray, n: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of n; a word and a gram are never the same."""
+    sides = [(*_summed(keys[gram == g], n[gram == g].astype(np.int64)), g) for g in (False, True)]
+    keys, n = (np.concatenate([side[k] for side in sides]) for k in (0, 1))
+    gram = np.repeat([False, True], [len(side[0]) for side in sides])
+    order = np.lexsort((gram, keys))
+    return keys[order], n[order], gram[order]
+
+
 def _runs(batches, column: int):
     """(value, piece) of runs of equal values in a column, batch by batch."""
     for batch in batches:
@@ -177,9 +192,7 @@ def asked(docs: DataFrame, n_dest: int, drop: int, part: int = 0, parts: int = 1
 
         def flush():
             for block, parts in held.items():
-                keys, n, gram = (np.concatenate(x) for x in zip(*parts, strict=True))
-                keys, n, gram = _summed(keys, n, gram)
-                n, gram = n.astype(np.int64), gram > 0
+                keys, n, gram = _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                 cut = [(d, s) for d, s in _dealt(keys, n_dest)]
                 for k in range(0, len(cut), 64):
                     own = cut[k : k + 64]
@@ -200,7 +213,7 @@ def asked(docs: DataFrame, n_dest: int, drop: int, part: int = 0, parts: int = 1
                             own = keys >> share == part
                             keys, n = keys[own], n[own]
                         keys, n = _summed(keys, n)
-                        held.setdefault(block, []).append((keys, n, np.full(len(keys), gram, np.int32)))
+                        held.setdefault(block, []).append((keys, n, np.full(len(keys), gram, bool)))
                         size += len(keys)
                 if size > FLUSH:
                     yield from flush()
@@ -210,27 +223,29 @@ def asked(docs: DataFrame, n_dest: int, drop: int, part: int = 0, parts: int = 1
     return docs.mapInArrow(tidy(run), ASKED)
 
 
+KNOWN = "dest long, block long, size long, keys binary, nums binary, n_tokens long, n_words long"
+
+
 def totals(rows: DataFrame, drop: int) -> DataFrame:
-    """``ASKED`` with n_tokens and n_words: what is known of each block's keys, without grams
-    under ``MIN_COUNT`` and unknown words.  nums has twice the total, and 1 more where
-    the block is the first that asks for a gram; each range's tokens and words are on one row."""
+    """``KNOWN`` of ``ASKED``: for each block and range of keys one row: of the block's ``size`` distinct words, then grams, in
+    order, a bit for each that is known (grams with ``MIN_COUNT`` or more, words with any); nums has twice their total, and 1 more
+    where the block is the first that asks for a gram.  A block can tell its keys from its texts, so they aren't sent back.
+    Each range's tokens and words are on one row."""
 
     def run(batches):
         for dest, pieces in _groups(batches, 0):
-            blocks, sizes = [], []
-            keys, nums, grams = [], [], []
+            asked_by: dict[int, list] = {}
             for p in pieces:
                 for block, n, raw, num in zip(*(p.column(k).to_pylist() for k in range(1, 5)), strict=True):
-                    blocks.append(block)
-                    sizes.append(n)
-                    own, gram = _unpacked(raw, n, drop)
-                    keys.append(own)
-                    grams.append(gram)
-                    nums.append(_unplanes(_loose(num), n).astype(np.int64))
-            flat, num, grams = np.concatenate(keys), np.concatenate(nums), np.concatenate(grams)
-            del keys, nums
-            order = np.argsort(flat, kind="stable")
-            new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+                    asked_by.setdefault(block, []).append((*_unpacked(raw, n, drop), _unplanes(_loose(num), n).astype(np.int64)))
+            own = {}
+            for block, parts in asked_by.items():
+                keys, gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                own[block] = _distinct(keys, n, gram)
+            flat, num, grams = (np.concatenate(x) for x in zip(*own.values(), strict=True))
+            del asked_by
+            order = np.lexsort((grams, flat))  # stable, so of equal keys the first block's comes first
+            new = np.concatenate([[True], (flat[order][1:] != flat[order][:-1]) | (grams[order][1:] != grams[order][:-1])])
             first = np.flatnonzero(new)
             total = np.add.reduceat(num[order], first)
             gram = grams[order[first]]
@@ -241,19 +256,20 @@ def totals(rows: DataFrame, drop: int) -> DataFrame:
             kept = np.where(gram, total >= MIN_COUNT, total > 0)
             sums = [int(total[~gram].sum()), int((total[~gram] > 0).sum())]
             at = 0
-            for block, n in zip(blocks, sizes, strict=True):
-                s = slice(at, at + n)
-                at += n
-                some = kept[of[s]]
+            for block, (keys, _, own_gram) in own.items():
+                s = slice(at, at + len(keys))
+                at += len(keys)
+                place = _words_first(own_gram)
+                some = kept[of[s]][place]
+                values = (2 * total[of[s]] + owner[s])[place][some]
                 if some.any() or sums[0]:
-                    own, is_gram = flat[s][some], grams[s][some]
                     yield pa.record_batch([
-                        pa.array([dest], pa.int64()), pa.array([block], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([_packed(own, is_gram, drop)], pa.binary()),
-                        pa.array([_numbers(2 * total[of[s]][some] + owner[s][some])], pa.binary()), pa.array(sums[:1], pa.int64()), pa.array(sums[1:], pa.int64()),
+                        pa.array([dest], pa.int64()), pa.array([block], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([_squeezed(np.packbits(some).tobytes())], pa.binary()),
+                        pa.array([_numbers(values)], pa.binary()), pa.array(sums[:1], pa.int64()), pa.array(sums[1:], pa.int64()),
                     ], names=["dest", "block", "size", "keys", "nums", "n_tokens", "n_words"])
                     sums = [0, 0]
 
-    return rows.mapInArrow(tidy(run), ASKED + ", n_tokens long, n_words long")
+    return rows.mapInArrow(tidy(run), KNOWN)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -388,13 +404,27 @@ class Block:
     a known gram; ``source`` is the state that it leaves, ``target`` the one it leads to, ``fail`` a state's failure arc.
     """
 
-    def __init__(self, rows: list[tuple[int, bytes, bytes]], below: float, drop: int):
-        parts = [(*_unpacked(k, n, drop), _unplanes(_loose(v), n).astype(np.int64)) for n, k, v in rows if n]
-        keys, gram, nums = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64))
+    def __init__(self, rows: list[tuple[int, int, bytes, bytes]], texts: list[tuple[np.ndarray, np.ndarray]], below: float, drop: int, n_dest: int):
+        """rows: (dest, size, bits, nums) of ``KNOWN``; texts: tokens and offsets of all batches, from which the keys are told."""
+        words, grams = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for h, at in texts:
+            two, three, has_two, has_three = _grams(h, at, drop)
+            words.append(np.unique(h))
+            grams += [np.unique(two[has_two]), np.unique(three[has_three])]
+        sides = np.unique(np.concatenate(words)), np.unique(np.concatenate(grams))
+        edges = [np.searchsorted(_dest(x, n_dest), np.arange(n_dest + 1)) for x in sides]
+        known = []
+        for d, size, bits, nums in rows:
+            own = [x[e[d] : e[d + 1]] for x, e in zip(sides, edges, strict=True)]
+            if sum(map(len, own)) != size:
+                raise ValueError(f"range {d} has {size} keys of a block that has {sum(map(len, own))}")
+            some = np.unpackbits(np.frombuffer(_loose(bits), np.uint8), count=size).astype(bool)
+            gram = np.repeat([False, True], [len(x) for x in own])[some]
+            known.append((np.concatenate(own)[some], gram, _unplanes(_loose(nums), int(some.sum())).astype(np.int64)))
+        keys, gram, nums = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64))
         self.known, first = np.unique(keys, return_index=True)
         self.n, self.gram, self.drop = nums[first] >> 1, gram[first], drop
-        self.owed = np.zeros(len(self.known), bool)
-        self.owed[np.searchsorted(self.known, keys[nums & 1 == 1])] = True
+        self.owed = (nums & 1 == 1)[first]
         self.below, self.docs = below, []
         self.used = np.zeros(len(self.known), bool)
         self.sums: list[tuple[np.ndarray, ...]] = []
@@ -458,8 +488,7 @@ class Block:
         self.owed[own] = False
         self.sums.append((context[at], 2 * self.n[own] - 1, lower[at], whole[at], base[at]))
 
-    def add(self, ids: pa.Array, flags: pa.Array, texts: pa.Array):
-        h, at = _tokens(texts)
+    def add(self, ids: pa.Array, flags: pa.Array, h: np.ndarray, at: np.ndarray):
         two, three, has_two, has_three = _grams(h, at, self.drop)
         all_places = places(np.concatenate([h, two, three]), self.known)
         w, two, three = (x.copy() for x in np.split(all_places, 3))
@@ -490,7 +519,7 @@ class Block:
         need[at] = True
         values = np.zeros((4, len(need)), np.int64)
         values[:, at] = held, low, sums[2][first], sums[3][first]
-        dest = ((self.known >> np.uint64(32)) * np.uint64(n_dest) >> np.uint64(32)).astype(np.int64)
+        dest = _dest(self.known, n_dest)
         order = np.lexsort((self.known, self.gram, dest))  # the order in which weights come back
         own = np.flatnonzero(need)
         keys, gram, want, values = self.known[own], self.gram[own], self.used[own], values[:, own]
@@ -510,28 +539,32 @@ class Block:
 
 
 def half_scored(rows: DataFrame, below: float, n_dest: int, drop: int) -> DataFrame:
-    """``HALF`` of (block, kind, size, keys, nums) sorted by block and kind: totals, then ``packed`` texts."""
+    """``HALF`` of (block, kind, dest, size, keys, nums) sorted by block and kind: totals, then ``packed`` texts."""
 
     def run(batches):
-        at, got, made = None, [], None
+        at, got, held = None, [], []
+
+        def finish():
+            made = Block(got, [tokens for _, _, tokens in held], below, drop, n_dest)
+            for ids, flags, tokens in held:
+                made.add(ids, flags, *tokens)
+            yield from made.rows(at, n_dest)
+
         for batch in batches:
             for block, run_of in _runs([batch], 0):
                 if block != at:
-                    if made:
-                        yield from made.rows(at, n_dest)
-                    at, got, made = block, [], None
+                    if held:
+                        yield from finish()
+                    at, got, held = block, [], []
                 for kind, piece in _runs([run_of], 1):
                     if kind == 0:
-                        got.extend(zip(*(piece.column(k).to_pylist() for k in (2, 3, 4)), strict=True))
+                        got.extend(zip(*(piece.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True))
                         continue
-                    if made is None:
-                        made, got = Block(got, below, drop), []
-                    for raw in piece.column(3):
-                        rows = pa.ipc.open_stream(raw.as_buffer()).read_all()
-                        for some in rows.to_batches(max_chunksize=500):
-                            made.add(*some.columns)
-        if made:
-            yield from made.rows(at, n_dest)
+                    for raw in piece.column(4):
+                        for some in pa.ipc.open_stream(raw.as_buffer()).read_all().to_batches(max_chunksize=500):
+                            held.append((some.column(0), some.column(1), _tokens(some.column(2))))
+        if held:
+            yield from finish()
 
     return rows.mapInArrow(tidy(run), HALF)
 
@@ -582,7 +615,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_
     if split > 1:
         rows = rows.withColumn("block", F.col("block") * split + F.pmod(F.xxhash64("id", "text"), F.lit(split)))
     n_blocks = split * (len(bounds) + 1)
-    n_dest = n_blocks
+    n_dest = ROUNDS * -(-n_blocks // ROUNDS)  # so that each range of keys lies in one round
     drop = max(0, 64 - GUARD_BITS - (n_blocks * BLOCK_TEXT - 1).bit_length())
     texts_of = rows.select("block", "held_out", "text")
     counted = [staged(totals(asked(texts_of, n_dest, drop, k, ROUNDS).repartitionById(n_dest, F.col("dest").cast("int")).sortWithinPartitions("dest", "block"), drop)) for k in range(ROUNDS)]
@@ -591,7 +624,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_
     below = float(tokens + distinct + 1)
 
     texts = packed(rows.select("block", "id", "held_out", F.coalesce("text", F.lit("")).alias("text")))
-    found = known.where("size > 0").select("block", F.lit(0).alias("kind"), "size", "keys", "nums")
+    found = known.select("block", F.lit(0).alias("kind"), "dest", "size", "keys", "nums")
+    texts = texts.select("block", "kind", F.lit(None).cast("long").alias("dest"), "size", "keys", "nums")
     half = staged(half_scored(found.union(texts).repartitionById(n_blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind"), below, n_dest, drop))
 
     contexts = half.where("kind = 0").select("dest", "block", "size", "keys", "nums")

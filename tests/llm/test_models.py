@@ -334,21 +334,18 @@ def test_walk_in_pieces(monkeypatch):
     texts = [" ".join(f"w{k}" for k in rng.zipf(1.4, n).clip(max=40)) for n in (0, 1, 2, 3, 7, 90, 400, 1300)]
     h, at = op10._tokens(pa.array(texts))
     two, three, has_two, has_three = op10._grams(h, at, 0)
-    got = []
-    for gram, keys in ((False, h), (True, two[has_two]), (True, three[has_three])):
-        k, n = np.unique(keys, return_counts=True)
-        got.append((k[n >= 2] if gram else k, n[n >= 2] if gram else n, gram))
-    keys = np.concatenate([k for k, _, _ in got])
-    gram = np.concatenate([np.full(len(k), g) for k, _, g in got])
-    n = np.concatenate([n for _, n, _ in got])
-    order = np.argsort(keys)
-    keys, gram, n = keys[order], gram[order], n[order]
-    row = (len(keys), op10._packed(keys, gram, 0), op10._numbers(2 * n[op10._words_first(gram)]))
+    flags = [np.full(len(k), g) for k, g in ((h, False), (two[has_two], True), (three[has_three], True))]
+    keys, n, gram = op10._distinct(np.concatenate([h, two[has_two], three[has_three]]), np.ones(sum(map(len, flags)), int), np.concatenate(flags))
+    rows = []
+    for d, s in op10._dealt(keys, 7):
+        first = op10._words_first(gram[s])
+        some = (~gram[s] | (n[s] >= 2))[first]
+        rows.append((d, len(some), op10._squeezed(np.packbits(some).tobytes()), op10._numbers(2 * n[s][first][some])))
     want = None
     for piece in (1, 2, 3, 50, 10_000):
         monkeypatch.setattr(op10, "PIECE", piece)
-        block = op10.Block([row], 1e6, 0)
-        block.add(pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts))
+        block = op10.Block(rows, [(h, at)], 1e6, 0, 7)
+        block.add(pa.array(range(len(texts))), pa.array([False] * len(texts)), h, at)
         ids, flags, n_tokens, known, base, part, uses = block.docs[0]
         now = (part.round(9).tolist(), [sorted(u.tolist()) for u in uses])
         want = want or now
