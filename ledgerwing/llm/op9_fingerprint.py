@@ -11,6 +11,9 @@ without a global sort in one task: documents are dealt to ranges of ids, each
 range is sorted, and the first document of a range is also sent to the range before it
 (the first of all to the last).
 
+A long text is fingerprinted in parts of ``PART_WORDS`` words, which are merged.  ``edited_contains`` estimates the share of a text's
+shingles that its edited text has, ``n_shingles_est`` their number.
+
 Nulls: a null text is an empty one.  Texts without words have likeness 1 to each
 other and 0 to others.  A null id sorts first; rows with equal ids are ordered
 by text, and all are kept (if their range starts with them, each of that id
@@ -33,13 +36,18 @@ from .common import shingles, tidy, word_hashes
 
 K = 128
 SHINGLE = 5
+PART_WORDS = 4096
 RANGE_BYTES = 4 << 20
 MIN_RANGES = 16
 
 
 def sketch(text: bytes, k: int = K, n: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of a text: of a long one the merged fingerprints of its parts, which share n - 1 words."""
     words, _ = word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    return bottom(shingles(words, n), k)
+    out = bottom(shingles(words[: PART_WORDS + n - 1], n), k)
+    for at in range(PART_WORDS, len(words) - n + 1, PART_WORDS):
+        out = merge(out, bottom(shingles(words[at : at + PART_WORDS + n - 1], n), k), k)
+    return out
 
 
 def bottom(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -169,10 +177,10 @@ class _Compare:
         self.text, self.sketch = following, after
         changed = edited(text, following)
         other = sketch(changed.encode())
-        return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), pack(own), pack(other), resemblance(own, other), resemblance(own, after)
+        return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), pack(own), pack(other), resemblance(own, other), resemblance(own, after), containment(own, other), distinct_count(own)
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_contains double, n_shingles_est double"
     return with_next(docs, _Compare(), schema)

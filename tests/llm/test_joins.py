@@ -179,7 +179,7 @@ def plain_sketch(text, k=op9.K):
 def test_fingerprints_of_next(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id > 19").union(odd.select("doc_id", "text").dropDuplicates(["doc_id"]))
     texts = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_contains double, n_shingles_est double"
     got = {r["doc_id"]: r for r in op9.with_next(docs.repartition(5), op9._Compare(), schema).collect()}
     assert len(got) == len(texts)
     for k, (doc, text) in enumerate(texts):
@@ -191,6 +191,7 @@ def test_fingerprints_of_next(spark, odd):
         a, b, c = plain_sketch(text), plain_sketch(changed), plain_sketch(after)
         assert op9.unpack(r["fingerprint"]).tolist() == a.tolist() and op9.unpack(r["edited_fingerprint"]).tolist() == b.tolist()
         assert r["near_edited"] == op9.resemblance(a, b) and r["near_next"] == op9.resemblance(a, c)
+        assert r["edited_contains"] == op9.containment(a, b) and r["n_shingles_est"] == op9.distinct_count(a)
 
 
 def test_fingerprint_edges(spark, odd, empty):
@@ -297,3 +298,10 @@ def test_near_copies_lose_no_text(spark):
     rows = [(3, a), (5, a), (5, b), (9, b), (7, b), (7, c), (7, c), (None, c), (8, ""), (8, ""), (8, None), (2, a.upper() + "!")]
     kept = cp.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(2, a.upper() + "!"), (5, b), (7, c), (None, c), (8, ""), (8, ""), (8, None)], key=str)
+
+
+def test_long_texts_are_merged_from_parts():
+    rng = random.Random(8)
+    for n in (4095, 4096, 4099, 4100, 4101, 9000):
+        text = " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+        assert op9.sketch(text.encode()).tolist() == plain_sketch(text).tolist()
