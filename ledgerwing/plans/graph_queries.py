@@ -460,10 +460,15 @@ def cfg_registration(spark, d):
     return dataflow.registrations(code, steps, ["p_partkey"])
 
 
-@query("SELECT p_partkey, p_name AS key, CAST(p_size AS VARCHAR) AS value FROM part")
+@query("""SELECT p_partkey, p_name AS key, CASE WHEN p_size % 4 = 1 THEN CAST(p_size + 1 AS VARCHAR) ELSE CAST(p_size AS VARCHAR) END AS value FROM part WHERE p_size % 4 < 2""")
 def positional_registration(spark, d):
-    calls = table(spark, d, "part").select("p_partkey", F.array(F.lit("J"), F.lit("Ljava/lang/String;"), F.lit("I")).alias("kinds"), F.array(F.lit("9"), F.lit(None).cast("string"), F.col("p_name"), F.col("p_size").cast("string")).alias("words"))
-    return dataflow.positional_registration(calls, ["p_partkey"])
+    """Calls of four shapes: a wide argument before the key, none, the value before it, and two texts that might be keys."""
+    size, name, none = F.col("p_size").cast("string"), F.col("p_name"), F.lit(None).cast("string")
+    text, turn = F.lit("Ljava/lang/String;"), F.col("p_size") % 4
+    kinds = F.when(turn == 0, F.array(F.lit("J"), text, F.lit("I"))).when(turn == 1, F.array(text, F.lit("D"), F.lit("I"))).when(turn == 2, F.array(F.lit("I"), text)).otherwise(F.array(text, F.lit("I"), text))
+    wide = F.array(name, (F.col("p_size") + 1).cast("string"), none, size)
+    words = F.when(turn == 0, F.array(F.lit("9"), none, name, size)).when(turn == 1, wide).when(turn == 2, F.array(size, name)).otherwise(F.array(name, size, F.col("p_brand")))
+    return dataflow.positional_registration(table(spark, d, "part").select("p_partkey", kinds.alias("kinds"), words.alias("words")), ["p_partkey"])
 
 
 _GETTERS_SQL = "i AS (SELECT l_orderkey, l_linenumber AS idx, max(l_quantity) AS q, max(l_partkey) AS p FROM lineitem GROUP BY 1, 2)"
