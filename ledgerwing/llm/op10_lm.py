@@ -379,15 +379,6 @@ class Automaton:
         return total
 
 
-def places(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Each key's place among the sorted known ones, or -1."""
-    if not len(known):
-        return np.full(len(keys), -1, np.int64)
-    some, back = np.unique(keys, return_inverse=True)
-    at = np.minimum(np.searchsorted(known, some), len(known) - 1)
-    return np.where(known[at] == some, at, -1).astype(np.int64)[back]
-
-
 HALF = "kind int, dest long, block long, size long, id long, held_out boolean, n_tokens long, n_known long, base double, part double, keys binary, nums binary"
 HALF_NAMES = [c.split()[0] for c in HALF.split(", ")]
 
@@ -406,25 +397,39 @@ class Block:
 
     def __init__(self, rows: list[tuple[int, int, bytes, bytes]], texts: list[tuple[np.ndarray, np.ndarray]], below: float, drop: int, n_dest: int):
         """rows: (dest, size, bits, nums) of ``KNOWN``; texts: tokens and offsets of all batches, from which the keys are told."""
-        words, grams = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for h, at in texts:
-            two, three, has_two, has_three = _grams(h, at, drop)
-            words.append(np.unique(h))
-            grams += [np.unique(two[has_two]), np.unique(three[has_three])]
-        sides = np.unique(np.concatenate(words)), np.unique(np.concatenate(grams))
+        h = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in texts)])
+        self.at = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(np.diff(at) for _, at in texts)]))
+        two, three, has_two, has_three = _grams(h, self.at, drop)
+        words, w = np.unique(h, return_inverse=True)
+        n_two = int(has_two.sum())
+        grams, g = np.unique(np.concatenate([two[has_two], three[has_three]]), return_inverse=True)
+        del h, two, three
+        sides = words, grams
         edges = [np.searchsorted(_dest(x, n_dest), np.arange(n_dest + 1)) for x in sides]
-        known = []
+        values = [np.full(len(x), -1, np.int64) for x in sides]
         for d, size, bits, nums in rows:
-            own = [x[e[d] : e[d + 1]] for x, e in zip(sides, edges, strict=True)]
-            if sum(map(len, own)) != size:
-                raise ValueError(f"range {d} has {size} keys of a block that has {sum(map(len, own))}")
+            own = [slice(e[d], e[d + 1]) for e in edges]
+            cut = own[0].stop - own[0].start
+            if cut + own[1].stop - own[1].start != size:
+                raise ValueError(f"range {d} has {size} keys, and its block other ones")
             some = np.unpackbits(np.frombuffer(_loose(bits), np.uint8), count=size).astype(bool)
-            gram = np.repeat([False, True], [len(x) for x in own])[some]
-            known.append((np.concatenate(own)[some], gram, _unplanes(_loose(nums), int(some.sum())).astype(np.int64)))
-        keys, gram, nums = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64))
-        self.known, first = np.unique(keys, return_index=True)
-        self.n, self.gram, self.drop = nums[first] >> 1, gram[first], drop
-        self.owed = (nums & 1 == 1)[first]
+            got = np.full(size, -1, np.int64)
+            got[some] = _unplanes(_loose(nums), int(some.sum())).astype(np.int64)
+            values[0][own[0]], values[1][own[1]] = got[:cut], got[cut:]
+        kept = [v >= 0 for v in values]
+        keys = np.concatenate([x[k] for x, k in zip(sides, kept, strict=True)])
+        gram = np.repeat([False, True], [int(k.sum()) for k in kept])
+        nums = np.concatenate([v[k] for v, k in zip(values, kept, strict=True)])
+        order = np.lexsort((gram, keys))
+        rank = np.empty(len(keys), np.int32)
+        rank[order] = np.arange(len(keys), dtype=np.int32)
+        place = [np.full(len(x), -1, np.int32) for x in sides]
+        place[0][kept[0]], place[1][kept[1]] = np.split(rank, [int(kept[0].sum())])
+        #: Of each token the places of its word and of the grams that end with it, -1 for unknown ones.
+        self.w, self.two, self.three = place[0][w], np.full(len(w), -1, np.int32), np.full(len(w), -1, np.int32)
+        self.two[has_two], self.three[has_three] = place[1][g[:n_two]], place[1][g[n_two:]]
+        self.known, self.gram, self.drop = keys[order], gram[order], drop
+        self.n, self.owed = nums[order] >> 1, nums[order] & 1 == 1
         self.below, self.docs = below, []
         self.used = np.zeros(len(self.known), bool)
         self.sums: list[tuple[np.ndarray, ...]] = []
@@ -488,12 +493,13 @@ class Block:
         self.owed[own] = False
         self.sums.append((context[at], 2 * self.n[own] - 1, lower[at], whole[at], base[at]))
 
-    def add(self, ids: pa.Array, flags: pa.Array, h: np.ndarray, at: np.ndarray):
-        two, three, has_two, has_three = _grams(h, at, self.drop)
-        all_places = places(np.concatenate([h, two, three]), self.known)
-        w, two, three = (x.copy() for x in np.split(all_places, 3))
-        two[~has_two] = -1
-        three[~has_three] = -1
+    def add(self, ids: pa.Array, flags: pa.Array, first: int):
+        """Documents from the block's ``first`` on."""
+        at = self.at[first : first + len(ids) + 1]
+        w, two, three = (x[at[0] : at[-1]].astype(np.int64) for x in (self.w, self.two, self.three))
+        at = at - at[0]
+        nth = np.arange(len(w)) - np.repeat(at[:-1], np.diff(at))
+        has_two, has_three = nth >= 1, nth >= 2
         count = lambda x: np.where(x >= 0, self.n[x], 0) if len(self.n) else np.zeros(len(x), np.int64)
         n1, n2 = count(w), count(two)
         w0, two0 = np.concatenate([[-1], w[:-1]]), np.concatenate([[-1], two[:-1]])
@@ -546,8 +552,10 @@ def half_scored(rows: DataFrame, below: float, n_dest: int, drop: int) -> DataFr
 
         def finish():
             made = Block(got, [tokens for _, _, tokens in held], below, drop, n_dest)
-            for ids, flags, tokens in held:
-                made.add(ids, flags, *tokens)
+            first = 0
+            for ids, flags, _ in held:
+                made.add(ids, flags, first)
+                first += len(ids)
             yield from made.rows(at, n_dest)
 
         for batch in batches:

@@ -345,7 +345,7 @@ def test_walk_in_pieces(monkeypatch):
     for piece in (1, 2, 3, 50, 10_000):
         monkeypatch.setattr(op10, "PIECE", piece)
         block = op10.Block(rows, [(h, at)], 1e6, 0, 7)
-        block.add(pa.array(range(len(texts))), pa.array([False] * len(texts)), h, at)
+        block.add(pa.array(range(len(texts))), pa.array([False] * len(texts)), 0)
         ids, flags, n_tokens, known, base, part, uses = block.docs[0]
         now = (part.round(9).tolist(), [sorted(u.tolist()) for u in uses])
         want = want or now
