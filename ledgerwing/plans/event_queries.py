@@ -84,10 +84,10 @@ def timed_gate(spark, d):
     n AS (SELECT *, sum(CASE WHEN fit = 'FIT' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM f)
     SELECT event_id, CASE WHEN fit = 'FIT' THEN CASE WHEN k = 1 THEN 'ACCEPTED' ELSE 'ALREADY_ATTEMPTED' END ELSE fit END AS decision FROM n""")
 def request_ttl(spark, d):
-    millis = F.lit(10**9) - (F.col("event_id") % 30) * 1000
-    body = F.concat(F.lit("v1|"), millis.cast("string"), F.lit("|"), F.lpad(F.hex(F.xxhash64("value")), 36, "0"))
-    token = F.when(F.col("event_type") == "click", body)
-    df = table(spark, d, "events").withColumns({"token": token, "now": F.lit(10**9)})
+    """A click's value alone makes its token, so that an equal one is a repeat whatever its age; the time at which it is read makes the age."""
+    body = F.concat(F.lit(f"v1|{10**9}|"), F.lpad(F.hex(F.xxhash64("value")), 36, "0"))
+    token = F.when((F.col("event_type") == "click") & F.col("value").isNotNull(), body)
+    df = table(spark, d, "events").withColumns({"token": token, "now": F.lit(10**9) + (F.col("event_id") % 30) * 1000})
     return gates.request_decisions(df, ["user_id"], _ORDER, "now", "token", F.lit(True), F.lit(True)).select("event_id", "decision")
 
 
