@@ -96,6 +96,7 @@ def resolve_build(methods: DataFrame, constructors: DataFrame, by: list[str], sp
     made without arguments; known: whether a build's mapping was validated before.  A role is given to the only method that
     fits; either route is enough, and one that is absent doesn't harm the other.  Builds without methods have no row.
     """
+    dealt = lambda df: df.hint("merge")  # noqa: E731  # saved rows repeat themselves and look small; sent to all at once they fill the driver
     void, none = F.col("returns") == spec.void, F.size("parameters") == 0
     has = lambda text: F.exists("strings", lambda s: s.contains(text))
     first, second = F.get("parameters", F.lit(0)), F.get("parameters", F.lit(1))
@@ -117,16 +118,16 @@ def resolve_build(methods: DataFrame, constructors: DataFrame, by: list[str], sp
 
     makes = F.array_contains("invoked", F.concat("option", F.lit("-><init>()V")))
     asked = rows.where("is_helper").select(*by, F.col("ref").alias("helper"), "owner", "invoked", F.explode(F.array_distinct("invoked")).alias("callee"))
-    delegates = rows.where("is_pair").select(*by, "owner", F.col("ref").alias("callee"), "option").join(made, [*by, "option"])
-    single = asked.join(delegates, [*by, "owner", "callee"]).where(makes).groupBy(*by, "helper", "owner").agg(F.count("*").alias("_n"), F.min("callee").alias("delegate"), F.min("option").alias("a_option")).where("_n = 1")
-    helpers = single.join(anchors.select(*by, "direct", "d_owner"), by).where("direct IS NULL OR (owner = d_owner AND delegate = direct)")
+    delegates = rows.where("is_pair").select(*by, "owner", F.col("ref").alias("callee"), "option").join(dealt(made), [*by, "option"])
+    single = asked.join(dealt(delegates), [*by, "owner", "callee"]).where(makes).groupBy(*by, "helper", "owner").agg(F.count("*").alias("_n"), F.min("callee").alias("delegate"), F.min("option").alias("a_option")).where("_n = 1")
+    helpers = single.join(dealt(anchors.select(*by, "direct", "d_owner")), by).where("direct IS NULL OR (owner = d_owner AND delegate = direct)")
     one = F.count("*") == 1
     helpers = helpers.groupBy(*by).agg(F.count("*").alias("n_helpers"), *[F.when(one, F.min(c)).alias(n) for c, n in (("helper", "aux"), ("delegate", "delegate"), ("a_option", "a_option"), ("owner", "a_owner"))])
-    now = anchors.join(helpers, by, "left").withColumn("owner", F.coalesce("d_owner", "a_owner"))
-    factories = rows.where("is_factory").select(*by, "owner", "ref").join(now.select(*by, "owner"), [*by, "owner"]).groupBy(*by).agg(F.count("*").alias("n_factories"), F.when(one, F.min("ref")).alias("factory"))
-    now = now.join(factories, by, "left").join(made.select(*by, F.col("option").alias("d_option"), F.lit(True).alias("d_made")), [*by, "d_option"], "left")
-    runs = rows.where("is_run").select(*by, "ref", "invoked").join(now.select(*by, "factory"), by).where(all_of([F.array_contains("invoked", F.col("factory")), *[F.array_contains("invoked", c) for c in spec.activity_calls]]))
-    now = now.join(runs.groupBy(*by).agg(F.when(one, F.min("ref")).alias("activity")), by, "left")
+    now = anchors.join(dealt(helpers), by, "left").withColumn("owner", F.coalesce("d_owner", "a_owner"))
+    factories = rows.where("is_factory").select(*by, "owner", "ref").join(dealt(now.select(*by, "owner")), [*by, "owner"]).groupBy(*by).agg(F.count("*").alias("n_factories"), F.when(one, F.min("ref")).alias("factory"))
+    now = now.join(dealt(factories), by, "left").join(dealt(made.select(*by, F.col("option").alias("d_option"), F.lit(True).alias("d_made"))), [*by, "d_option"], "left")
+    runs = rows.where("is_run").select(*by, "ref", "invoked").join(dealt(now.select(*by, "factory")), by).where(all_of([F.array_contains("invoked", F.col("factory")), *[F.array_contains("invoked", c) for c in spec.activity_calls]]))
+    now = now.join(dealt(runs.groupBy(*by).agg(F.when(one, F.min("ref")).alias("activity"))), by, "left")
 
     there = lambda c: F.col(c).isNotNull()
     yes = lambda c: F.coalesce(c, F.lit(False))
