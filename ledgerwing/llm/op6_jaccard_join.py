@@ -97,9 +97,9 @@ class Bands:
         return 4 * (least + 4)
 
     def sketch_words(self, size: int) -> int:
-        """64-bit words of a bit sketch: a power of 2 with at least 4 bits for each
-        element of the largest difference, so that sets far apart show it."""
-        return 1 << (max(1, -(-4 * self.difference(self.band(size)) // 64)) - 1).bit_length()
+        """64-bit words of a bit sketch: a power of 2 with at least 16 bits for each
+        element of the largest difference, so that few meet in a bit and sets a little too far apart show it."""
+        return 1 << (max(1, -(-16 * self.difference(self.band(size)) // 64)) - 1).bit_length()
 
     def linked(self, shared: int, a: int, b: int) -> bool:
         return self.den * shared >= self.num * (a + b - shared)
@@ -286,9 +286,9 @@ def comparisons(shared: DataFrame, labels: DataFrame, sketches: DataFrame, block
     return rows.select("key", F.least("z", "other").alias("x"), F.greatest("z", "other").alias("y"), "z", "node", "label", "size", "bits")
 
 
-def close_pairs(units: DataFrame, now: DataFrame, rank: tuple[int, int], bands: Bands) -> DataFrame:
-    """(a, b, more): of each unit the pairs that sketches allow to be linked and that ``now`` (node, root) doesn't
-    connect, for each two labels those with ranks in [from, to); in ``more`` keys that have others behind.
+def close_pairs(units: DataFrame, now: DataFrame, most: int, bands: Bands) -> DataFrame:
+    """(a, b, key, node): of each unit pairs (a, b) that sketches allow to be linked and that ``now`` (node, root) doesn't
+    connect, at most ``most`` for a class and for two labels; and the classes (key, node) that have others behind.
     A task gives each pair once for about every million it finds."""
 
     def pieces(batches):
@@ -315,7 +315,7 @@ def close_pairs(units: DataFrame, now: DataFrame, rank: tuple[int, int], bands:
     def run(batches):
         held, size = [], 0
         for piece in pieces(batches):
-            for got in _pairs(piece, rank, bands):
+            for got in _pairs(piece, most, bands):
                 held.append(got)
                 size += got.shape[1]
             if size > 1_000_000:
@@ -326,14 +326,13 @@ def close_pairs(units: DataFrame, now: DataFrame, rank: tuple[int, int], bands:
 
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = units.join(now, "node").select("key", "x", "y", "z", "node", "label", "size", "root", "bits")
-    return rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(tidy(run), "a long, b long, more long")
+    return rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(tidy(run), "a long, b long, key long, node long")
 
 
 def _batch(held: list[np.ndarray]) -> pa.RecordBatch:
-    a, b, more = np.unique(np.concatenate(held, 1), axis=1)
-    key = more != 0
+    x, y, behind = np.unique(np.concatenate(held, 1), axis=1)
     mask = lambda x, none: pa.array(x, pa.int64(), mask=none)
-    return pa.record_batch([mask(np.where(key, 0, a), key), mask(np.where(key, 0, b), key), mask(a, ~key)], names=["a", "b", "more"])
+    return pa.record_batch([mask(x, behind != 0), mask(y, behind != 0), mask(x, behind == 0), mask(y, behind == 0)], names=["a", "b", "key", "node"])
 
 
 def _sketches(column: pa.ChunkedArray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -349,9 +348,19 @@ def _sketches(column: pa.ChunkedArray, words: np.ndarray) -> tuple[np.ndarray, n
     return out, start
 
 
-def _pairs(rows: pa.Table, rank: tuple[int, int], bands: Bands):
+def _places(*columns: np.ndarray) -> np.ndarray:
+    """Each row's place, from 0, among those that are equal in all columns but the last two, in the order of these."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns[:-2]])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return out
+
+
+def _pairs(rows: pa.Table, most: int, bands: Bands):
     """The pairs of whole units, rows of (key, x, y, z, node, label, size, root, bits): columns of (a, b, 0), and of
-    (key, 0, 1) for keys with more."""
+    (key, node, 1) for classes with more."""
     key, x, y, z, node, label, size, root = (rows.column(c).to_numpy() for c in range(8))
     unit = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))])
     across = x != y
@@ -364,7 +373,7 @@ def _pairs(rows: pa.Table, rank: tuple[int, int], bands: Bands):
         if not len(i):
             break
         j = i + step
-        ok = (label[i] != label[j]) & ~(across[i] & (z[i] == z[j])) & (bands.den * np.minimum(size[i], size[j]) >= bands.num * np.maximum(size[i], size[j]))
+        ok = (root[i] != root[j]) & ~(across[i] & (z[i] == z[j])) & (bands.den * np.minimum(size[i], size[j]) >= bands.num * np.maximum(size[i], size[j]))
         i, j = i[ok], j[ok]
         if not len(i):
             continue
@@ -379,18 +388,14 @@ def _pairs(rows: pa.Table, rank: tuple[int, int], bands: Bands):
     if not found:
         return
     i, j, spare = np.concatenate(found, 1)
-    first, second = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-    order = np.lexsort((node[j], node[i], -spare, second, first, unit[i]))
-    i, j, first, second = i[order], j[order], first[order], second[order]
-    new = np.ones(len(i), bool)
-    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (unit[i][1:] != unit[i][:-1])
-    place = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    apart = root[i] != root[j]
-    chosen = apart & (place >= rank[0]) & (place < rank[1])
-    a, b = np.minimum(node[i], node[j])[chosen], np.maximum(node[i], node[j])[chosen]
-    yield np.stack([a, b, np.zeros(len(a), np.int64)])
-    behind = np.unique(key[i][apart & (place >= rank[1])])
-    yield np.stack([behind, np.zeros(len(behind), np.int64), np.ones(len(behind), np.int64)])
+    a, b, far = np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), -spare
+    own = _places(np.concatenate([i, j]), np.concatenate([far, far]), node[np.concatenate([j, i])])  # a row lies in one unit
+    of_two = _places(unit[i], np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), far, a ^ b)
+    place = np.maximum(np.minimum(own[: len(i)], own[len(i) :]), of_two)
+    now = place < most
+    yield np.stack([a[now], b[now], np.zeros(int(now.sum()), np.int64)])
+    behind = np.unique(np.concatenate([i[~now], j[~now]]))
+    yield np.stack([key[behind], node[behind], np.ones(len(behind), np.int64)])
 
 
 def partners(named: DataFrame, tested: DataFrame | None) -> DataFrame:
@@ -431,13 +436,14 @@ def linked_classes(rows: DataFrame, n: int, bands: Bands, hot: int = HOT, block:
         labels = relabelled(labels, found)
         tested = saved(pairs if tested is None else tested.union(pairs))
     units = saved(comparisons(shared, labels, sketches, block))
-    rank = (0, 1)
+    most = 1
     while not units.isEmpty():
-        pairs = saved(close_pairs(units, labels.withColumnRenamed("label", "root"), rank, bands))
-        found = verified(pairs.where("a IS NOT NULL").select("a", "b").distinct(), ids, rows, n, bands)
-        labels = relabelled(labels, found)
-        open_keys = pairs.where("more IS NOT NULL").select(F.col("more").alias("key")).distinct()
-        units, rank = saved(units.join(open_keys, "key", "left_semi")), (rank[1], 4 * rank[1])
+        found = saved(close_pairs(units, labels.withColumnRenamed("label", "root"), most, bands))
+        pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
+        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        labels = relabelled(labels, verified(pairs, ids, rows, n, bands))
+        units = saved(units.join(found.where("key IS NOT NULL").select("key", "node").distinct(), ["key", "node"], "left_semi"))
+        tested, most = pairs if tested is None else tested.union(pairs), 4 * most
 
     of = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of.groupBy("label").agg(F.min("rep").alias("component_id"))

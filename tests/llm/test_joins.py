@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,32 @@ def test_few_sets_leave_too_many_segments_empty():
             assert sum(op6.spare_keys(s, bands) == 0 for s in sets) <= 3, (num, size)
 
 
+def test_many_unlinked_near_copies_give_few_pairs():
+    """A unit gives at most a pair for each class at first, and all pairs in the end."""
+    rng, bands, n = np.random.default_rng(9), op6.Bands(80, 100), 60
+    base = np.unique(rng.integers(0, 2**63, 140, dtype=np.uint64))
+    bits = op6.bit_sketch(base, bands.sketch_words(140)).tobytes()
+    node = np.arange(n)
+    one = lambda v: np.full(n, v)
+    rows = pa.table({"key": one(7), "x": one(0), "y": one(0), "z": one(0), "node": node, "label": node, "size": one(140), "root": node, "bits": pa.array([bits] * n, pa.binary())})
+    given = lambda most: np.concatenate(list(op6._pairs(rows, most, bands)), 1)
+    first, last = given(1), given(n)
+    assert 0 < (first[2] == 0).sum() <= n and set(first[1][first[2] == 1]) == set(node[1:]) and set(first[0][first[2] == 1]) == {7}
+    assert {tuple(p) for p in last[:2, last[2] == 0].T} == {(a, b) for b in range(n) for a in range(b)} and not (last[2] == 1).any()
+
+
+def test_sketches_tell_sets_a_little_too_far_apart():
+    rng, bands = np.random.default_rng(10), op6.Bands(80, 100)
+    for size in (50, 140, 600):
+        most, refuted = bands.difference(bands.band(size)), 0
+        for _ in range(50):
+            base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            other = np.concatenate([base[most * 5 // 8 :], rng.integers(0, 2**63, most * 5 // 8, dtype=np.uint64)])
+            apart = np.bitwise_count(op6.bit_sketch(base, bands.sketch_words(size)) ^ op6.bit_sketch(other, bands.sketch_words(size))).sum()
+            refuted += int(apart) * 180 > 20 * 2 * size
+        assert refuted >= 45, size
+
+
 def test_short_texts_share_few_keys(spark):
     """Many unlike short texts give few candidates: the work grows with the rows, not with their square."""
     rng = random.Random(9)
