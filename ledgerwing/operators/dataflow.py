@@ -100,7 +100,7 @@ def field_moves(instructions: DataFrame, by: list[str]) -> DataFrame:
 # --- over all ways through a method -------------------------------------------
 
 
-def value_origins(instructions: DataFrame, edges: DataFrame, by: list[str], trail: int = 8) -> DataFrame:
+def value_origins(instructions: DataFrame, edges: DataFrame | None, by: list[str], trail: int = 8) -> DataFrame:
     """(by, idx, register, origin, trail): for every read, the instructions that its value may come from.
 
     A MOVE or TRANSFORM is followed to what it reads; a read that no write reaches gives nothing.
@@ -108,35 +108,35 @@ def value_origins(instructions: DataFrame, edges: DataFrame, by: list[str], trai
     return flow.value_flow(instructions, edges, by, trail).where("origin IS NOT NULL").select(*by, "idx", "register", "origin", "trail")
 
 
-def proven_returns(instructions: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+def proven_returns(instructions: DataFrame, edges: DataFrame | None, by: list[str]) -> DataFrame:
     """(by, field): the only field that all returns of a method give back, whichever way they are reached."""
-    found = flow.value_flow(instructions, edges, by).where("op = 'RETURN'")
+    found = flow.value_flow(instructions, edges, by, only=("RETURN",))
     plain = F.coalesce((F.col("from_op") == "GET") & (F.size("trail") == 0), F.lit(False))
     out = found.groupBy(*by).agg(single_or_null(F.when(F.col("from_op") == "GET", F.col("from_ref"))).alias("field"), F.count_if(~plain).alias("_other"))
     return out.where("_other = 0 AND field IS NOT NULL").select(*by, "field")
 
 
-def stored_values(instructions: DataFrame, edges: DataFrame, by: list[str], origin_op: str) -> DataFrame:
+def stored_values(instructions: DataFrame, edges: DataFrame | None, by: list[str], origin_op: str) -> DataFrame:
     """(by, target, source, trail, certain): fields that store what came from an ``origin_op`` (INVOKE: a call's result,
     GET: another field), and whether it can come from nowhere else."""
-    puts = flow.value_flow(instructions, edges, by).where((F.col("op") == "PUT") & (F.col("from_op") == origin_op))
+    puts = flow.value_flow(instructions, edges, by, only=("PUT",)).where(F.col("from_op") == origin_op)
     return puts.groupBy(*by, F.col("ref").alias("target"), F.col("from_ref").alias("source")).agg(F.min("trail").alias("trail"), F.max(F.col("n_ways") == 1).alias("certain"))
 
 
-def constant_writes(instructions: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+def constant_writes(instructions: DataFrame, edges: DataFrame | None, by: list[str]) -> DataFrame:
     """(by, field, value): the constant that a PUT stores, where it can store no other."""
-    puts = flow.value_flow(instructions, edges, by).where("op = 'PUT'")
+    puts = flow.value_flow(instructions, edges, by, only=("PUT",))
     out = puts.groupBy(*by, "idx", "ref").agg(single_or_null("from_literal").alias("value"), F.count_if(~F.coalesce(F.col("from_op") == "CONST", F.lit(False))).alias("_other"))
     return out.where("_other = 0 AND value IS NOT NULL").select(*by, F.col("ref").alias("field"), "value").distinct()
 
 
-def registrations(instructions: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+def registrations(instructions: DataFrame, edges: DataFrame | None, by: list[str]) -> DataFrame:
     """(by, field, key, value, status): what the calls whose results fields store were given, over all ways through a method.
 
     A call's only string constant is the key and its only number the default; RESOLVED if the stored call and its key are the
     only ones possible, else AMBIGUOUS.
     """
-    found = saved(flow.value_flow(instructions, edges, by).where("op IN ('INVOKE', 'PUT')"))
+    found = saved(flow.value_flow(instructions, edges, by, only=("INVOKE", "PUT")))
     text = F.when(F.col("from_op") == "STRING", F.col("from_literal"))
     calls = found.where("op = 'INVOKE'").groupBy(*by, F.col("idx").alias("origin")).agg(
         F.count_distinct(text).alias("n_keys"), F.min(text).alias("key"), single_or_null(F.when(F.col("from_op") == "NUMERIC", F.col("from_literal"))).alias("value"))
@@ -186,7 +186,7 @@ class CallRules:
     unused: str
 
 
-def invoke_outcomes(instructions: DataFrame, edges: DataFrame, by: list[str], rules: CallRules) -> DataFrame:
+def invoke_outcomes(instructions: DataFrame, edges: DataFrame | None, by: list[str], rules: CallRules) -> DataFrame:
     """(by, idx, outcome): what becomes of each call's result, over all ways through a method.
 
     Where a named use may also see another value, the origin is ambiguous, which outweighs all; else the strongest use
