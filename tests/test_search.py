@@ -25,6 +25,15 @@ def test_reach_with_negative_bits(spark):
     assert {(r["root"], r["node"], r["depth"]) for r in got} == {(r, n, n) for r in range(64) for n in range(3)}
 
 
+def test_full_roots_and_late_edges_are_left_alone(spark):
+    """A hub's edges are cut to the budget (and the roots' further starts), whatever the order; the nodes are those of a queue."""
+    edges = spark.createDataFrame([(0, k, -k) for k in range(1, 50)] + [(0, 49, 7)] + [(1, k, k) for k in (49, 48, 60)], "src long, dst long, ordinal int")
+    assert graph.first_edges(edges, 3).where("src = 0").count() == 3
+    got = graph.budgeted_search(spark.createDataFrame([(8, 0), (9, 0), (9, 49), (9, 48), (None, 0)], "root long, node long"), edges, 3, 2).collect()
+    assert sorted(((r["root"], r["node"], r["depth"], r["place"], r["exhausted"]) for r in got), key=str) == [
+        (8, 0, 0, 1, True), (8, 48, 1, 3, True), (8, 49, 1, 2, True), (9, 0, 0, 1, True), (9, 46, 1, 3, True), (9, 47, 1, 2, True), (9, 48, 0, 1, True), (9, 49, 0, 1, True), (None, 0, 0, 1, False)]
+
+
 def one_root(start, edges, kinds, distance, b):
     """The queue of one root: (consumers, endpoint kinds, scheduled, corridor, fallback, facts)."""
     group = lambda x: kinds.get(x, (None, "generic"))[1]
