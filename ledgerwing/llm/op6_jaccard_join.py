@@ -202,14 +202,20 @@ def class_keys(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame, classes: DataFrame, hot: int) -> DataFrame:
-    """(key, node): keys that several classes have, without the hot keys that classes (node, spare) can do without."""
+    """(key, node, alike): keys that several classes have, without the hot keys that classes (node, spare) can do without.
+
+    Keys of the very same classes, as those of a passage that two texts share, say the same: one stays and has their number as ``alike``.
+    """
     own = Window.partitionBy("key")
     many = keys.withColumns({"_low": F.min("node").over(own), "_top": F.max("node").over(own), "_n": F.count("*").over(own)})
     many = saved(many.where("_low <> _top").drop("_low", "_top").distinct())
     own_hot = many.where(F.col("_n") > hot).groupBy("node").agg(F.count("*").alias("_h"))
     spared = own_hot.join(classes.select("node", "spare"), "node").where("_h < spare").select("node")
     kept = many.where(F.col("_n") > hot).join(spared, "node", "left_anti")
-    return many.where(F.col("_n") <= hot).select("key", "node").union(kept.select("key", "node"))
+    rows = saved(many.where(F.col("_n") <= hot).select("key", "node").union(kept.select("key", "node")))
+    sets = rows.groupBy("key").agg(F.count("*").alias("_n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"_x{k}") for k in range(2)])
+    one = sets.groupBy("_n", "_x0", "_x1").agg(F.min("key").alias("key"), F.count("*").alias("alike"))
+    return rows.join(one.where("_n > 1").select("key", "alike"), "key")
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
@@ -265,8 +271,8 @@ def verified(pairs: DataFrame, ids: DataFrame, rows: DataFrame, n: int, bands: B
     return saved(members.repartition(parts, "a", "piece").sortWithinPartitions("a", "piece", "role").mapInArrow(tidy(run), "a long, b long").distinct())
 
 
-def comparisons(shared: DataFrame, labels: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
-    """(key, x, y, z, node, label, size, bits): units (key, x, y) of what is to be compared of the keys
+def comparisons(shared: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """(key, x, y, z, node, label): units (key, x, y) of what is to be compared of the keys
     whose classes have several labels.
 
     A key of up to ``block`` classes is one unit.  Of a larger one, classes outside its most common
@@ -282,12 +288,12 @@ def comparisons(shared: DataFrame, labels: DataFrame, sketches: DataFrame, block
     rows = rows.withColumn("minor", ~F.col("label").eqNullSafe(F.col("top")))
     z = F.when(F.col("minor"), F.pmod(F.xxhash64("node"), "few")).otherwise(F.col("few") + F.pmod(F.xxhash64("node"), F.greatest("most", F.lit(1)))).cast("int")
     last = F.when(F.col("minor"), F.col("few") + F.col("most")).otherwise(F.col("few")) - 1
-    rows = rows.withColumn("z", z).join(sketches, "node").withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    return rows.select("key", F.least("z", "other").alias("x"), F.greatest("z", "other").alias("y"), "z", "node", "label", "size", "bits")
+    rows = rows.withColumn("z", z).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rows.select("key", F.least("z", "other").alias("x"), F.greatest("z", "other").alias("y"), "z", "node", "label")
 
 
 def close_pairs(units: DataFrame, now: DataFrame, most: int, bands: Bands) -> DataFrame:
-    """(a, b, key, node): of each unit pairs (a, b) that sketches allow to be linked and that ``now`` (node, root) doesn't
+    """(a, b, key, node): of each unit pairs (a, b) that the sketches in ``now`` (node, root, size, bits) allow to be linked and that its roots don't
     connect, at most ``most`` for a class and for two labels; and the classes (key, node) that have others behind.
     A task gives each pair once for about every million it finds."""
 
@@ -399,12 +405,12 @@ def _pairs(rows: pa.Table, most: int, bands: Bands):
 
 
 def partners(named: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """(a, b): for each class of (key, node, label) the class under another label that it shares most keys with, of the outermost
+    """(a, b): for each class of (key, node, label, alike) the class under another label that it shares most keys with, of the outermost
     two labels of each key; not in ``tested`` (a, b)."""
     end = F.struct("label", "node")
     ends = named.groupBy("key").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).where("lo.label <> hi.label")
     other = F.when(F.col("label") != F.col("lo.label"), F.col("lo.node")).otherwise(F.col("hi.node"))
-    counted = named.join(ends, "key").groupBy("node", other.alias("other")).agg(F.count("*").alias("n"))
+    counted = named.join(ends, "key").groupBy("node", other.alias("other")).agg(F.sum("alike").alias("n"))
     counted = counted.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "node", "n")
     if tested is not None:
         counted = counted.join(tested, ["a", "b"], "left_anti")
@@ -429,16 +435,16 @@ def linked_classes(rows: DataFrame, n: int, bands: Bands, hot: int = HOT, block:
     shared = saved(shared_keys(class_keys(rows.where("doc_id IS NOT NULL").select("text"), n, bands), classes, hot))
     labels, tested = saved(shared.select("node", F.col("node").alias("label")).distinct()), None
     for _ in range(ROUNDS):  # each class with its likeliest partner
-        pairs = saved(partners(saved(shared.join(labels, "node").select("key", "node", "label")), tested))
+        pairs = saved(partners(saved(shared.join(labels, "node").select("key", "node", "label", "alike")), tested))
         found = verified(plausible(pairs, sketches, bands), ids, rows, n, bands)
         if found.isEmpty():
             break
         labels = relabelled(labels, found)
         tested = saved(pairs if tested is None else tested.union(pairs))
-    units = saved(comparisons(shared, labels, sketches, block))
+    units = saved(comparisons(shared, labels, block))
     most = 1
     while not units.isEmpty():
-        found = saved(close_pairs(units, labels.withColumnRenamed("label", "root"), most, bands))
+        found = saved(close_pairs(units, labels.select("node", F.col("label").alias("root")).join(sketches, "node"), most, bands))
         pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
         pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         labels = relabelled(labels, verified(pairs, ids, rows, n, bands))

@@ -173,6 +173,21 @@ def test_common_passages_are_no_candidates(spark):
     assert got == {k: k if k < 300 else k - 300 for k in range(340)}
 
 
+def test_keys_of_the_same_classes_are_one(spark):
+    """Texts that share a long passage meet in one key for each set of classes, and what is compared carries no sketches."""
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(150)]
+    rows = [(k, " ".join(common + [f"w{rng.randint(0, 10**6)}" for _ in range(40 + k)])) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = op6.Bands(80, 100)
+    classes = op6.classes_of(docs, 5, bands)
+    shared = op6.shared_keys(op6.class_keys(docs.select("text"), 5, bands), classes, op6.HOT)
+    keys = shared.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"), F.max("alike").alias("alike")).collect()
+    assert len({tuple(r["nodes"]) for r in keys}) == len(keys) and sum(r["alike"] for r in keys) > len(keys) > 0
+    units = op6.comparisons(shared, classes.select("node", F.col("node").alias("label")), 2)
+    assert units.count() and "bits" not in units.columns
+
+
 def test_membership_filter(spark):
     ids = spark.createDataFrame([(k * 7,) for k in range(3000)] + [(None,)], "i long")
     rows = spark.range(21_000).selectExpr("id", "nullif(id, 14) AS x").withColumn("hit", maybe_in(ids)("x"))
